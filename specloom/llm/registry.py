@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import mixing, token_counts, warc
 
-QUERIES = {"op2_warc": warc.op2_warc}
+QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op5_mixing": mixing.op5_mixing,
+    "op10_token_counts": token_counts.op10_token_counts,
+}
 ORACLES = {"op2_warc": warc.ORACLE}
