@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, token_counts, warc
+from . import ann, mixing, token_counts, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op5_mixing": mixing.op5_mixing,
+    "op9_ann": ann.op9_ann,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {"op2_warc": warc.ORACLE}
