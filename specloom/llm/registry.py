@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, language, mixing, quality, token_counts, warc
+from . import ann, class_lm, language, mixing, quality, token_counts, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_quality": quality.op3_quality,
     "op5_mixing": mixing.op5_mixing,
+    "op6_class_lm": class_lm.op6_class_lm,
     "op7_language": language.op7_language,
     "op9_ann": ann.op9_ann,
     "op10_token_counts": token_counts.op10_token_counts,
