@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), tot
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def laid_out(docs: DataFrame, block: int, per_bucket: int = 100_000) -> DataFrame:
+def laid_out(docs: DataFrame, block: int, per_bucket: int = 10_000) -> DataFrame:
     """Documents with their size and the position in their source's stream where they start."""
     sized = docs.select("doc_id", "source", _size(F.col("text")).alias("size"), F.xxhash64("text").alias("salt"))
     sized = settle(sized, "sizes")
@@ -106,12 +106,14 @@ def slots(targets: DataFrame, block: int, per_shard: int = 65_536, least_shards:
     counts = counts.withColumn("first", F.coalesce(F.sum("count").over(first), F.lit(0)))
     counts = settle(counts, "counts")
     drawn = counts.groupBy(F.col("source").alias("s")).agg(F.sum("count").alias("drawn"))
-    spans = t.join(drawn, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    short = t.join(drawn, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
     kept = counts.join(t.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where("first < wanted").select("source", "blocks", F.col("shard"), "first", F.least(F.col("first") + F.col("count"), F.col("wanted")).alias("end"))
     per = F.ceil((F.col("wanted") - F.col("drawn")) / F.lit(shards)).cast("long")
-    more = spans.where("drawn < wanted").withColumn("per", per).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
+    more = short.where("drawn < wanted").withColumn("per", per).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
     more = more.withColumn("first", F.col("drawn") + F.col("shard") * F.col("per")).where("first < wanted").select("source", "blocks", "shard", "first", F.least(F.col("first") + F.col("per"), F.col("wanted")).alias("end"))
-    j = kept.unionByName(more).select("source", "blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("j"))
+    # Few small rows stand for many slots: deal them out before they unfold.
+    spans = kept.unionByName(more).repartition(max(1, math.ceil(n_slots / 50_000)), "shard", "source")
+    j = spans.select("source", "blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("j"))
     j = j.withColumn("turn", F.floor(F.col("j") / F.col("blocks")).cast("long"))
     return j.select("shard", "source", "turn", _permuted(F.pmod("j", "blocks"), F.col("blocks"), F.col("source"), F.col("turn"), seed).alias("block"))
 
