@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, class_lm, language, mixing, quality, token_counts, warc
+from . import ann, class_lm, language, mixing, near_dedup, quality, token_counts, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_quality": quality.op3_quality,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_class_lm": class_lm.op6_class_lm,
     "op7_language": language.op7_language,
