@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, class_lm, language, mixing, near_dedup, quality, token_counts, warc
+from . import ann, class_lm, decontamination, language, mixing, near_dedup, quality, token_counts, warc
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_warc": warc.op2_warc,
     "op3_quality": quality.op3_quality,
     "op4_near_dedup": near_dedup.op4_near_dedup,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_ann": ann.op9_ann,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-ORACLES = {"op2_warc": warc.ORACLE}
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op2_warc": warc.ORACLE}
