@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, class_lm, decontamination, language, mixing, near_dedup, quality, token_counts, warc
+from . import ann, class_lm, decontamination, language, mixing, near_dedup, quality, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_class_lm": class_lm.op6_class_lm,
     "op7_language": language.op7_language,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_ann": ann.op9_ann,
     "op10_token_counts": token_counts.op10_token_counts,
 }
