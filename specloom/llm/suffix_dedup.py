@@ -169,12 +169,14 @@ def first_documents(segments: np.ndarray, sizes: np.ndarray, ids: np.ndarray, le
     return out
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 8 << 20, bucket_bytes: int = 3 << 20) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) of rows (doc_id, text). ``spans``: removed runs as
-    (start, bytes); ``kept``: what is left, as bytes."""
+def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 8 << 20, bucket_bytes: int = 3 << 20, outputs: tuple[str, ...] = ("spans", "kept"), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of rows (doc_id, text), with the columns of ``docs`` named in ``carry``
+    and these ``outputs``: ``spans``, removed runs as (start, bytes); ``kept``, what is left, as bytes; ``kept_text``, the same as text without
+    characters that are cut in two."""
     if length < ANCHOR + 8:
         raise ValueError("strings are too short for anchors")
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *(F.col(c).alias(f"_{c}") for c in carry))
+    carried = docs.drop("doc_id", "text").schema
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     batches = max(1, math.ceil(total / batch_bytes))
     partitions = max(1, math.ceil(total / (32 << 20)))  # of anchors: about one in 16 bytes
@@ -295,13 +297,22 @@ def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 8 << 20,
                 pos = int(z[k])
             parts.append(raw[pos : int(b.starts[i + 1])])
             kept.append(b"".join(parts))
-        offsets = pa.array(of.astype(np.int32))
-        spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(a - b.starts[owner[a]]), pa.array(z - a)], ["start", "bytes"]))
-        return pa.table({"doc_id": left.combine_chunks().column("doc_id"), "n_bytes": pa.array(b.sizes), "n_removed": pa.array(bound.astype(np.int64)), "n_spans": pa.array(n_spans.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), "spans": spans, "kept": pa.array(kept, pa.binary())})
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,bytes:long>>, kept binary"
-    return groups.cogroup(firsts.groupBy("batch")).applyInArrow(cut_out, schema)
+        more = {}
+        if "spans" in outputs:
+            offsets = pa.array(of.astype(np.int32))
+            more["spans"] = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(a - b.starts[owner[a]]), pa.array(z - a)], ["start", "bytes"]))
+        if "kept" in outputs:
+            more["kept"] = pa.array(kept, pa.binary())
+        if "kept_text" in outputs:
+            more["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
+        own = {"doc_id": left.column("doc_id"), "n_bytes": pa.array(b.sizes), "n_removed": pa.array(bound.astype(np.int64)), "n_spans": pa.array(n_spans.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+        return pa.table(own | {f.name: left.column(f.name) for f in carried} | {c: more[c] for c in outputs})
+
+    kinds = {"spans": "array<struct<start:bigint,bytes:bigint>>", "kept": "binary", "kept_text": "string"}
+    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in carried), *(f"{c} {kinds[c]}" for c in outputs)])
+    out = groups.cogroup(firsts.groupBy("batch")).applyInArrow(cut_out, schema)
+    return out.withColumnsRenamed({f"_{c}": c for c in carry})
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return repeated(table(spark, sf_dir, "documents"), outputs=()).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
