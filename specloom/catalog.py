@@ -3,10 +3,276 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.columns import completed, metric
+from .operators import network as nw
+from .operators import traces as tr
+from .sources.tables import checkpointed, read
+
+LENGTH, CUT, MODELS = 5, 115, 4
+THETA = 0.7
+
+# ---- SQL that several queries share
+
+SEQ = "seq AS (SELECT user_id, event_id, ts, event_type, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS pos FROM events)"
+SLOT = f"""slot AS (SELECT 'm' || (user_id % {MODELS}) AS model_id, user_id, pos // {LENGTH} AS s, (pos % {LENGTH})::INT AS k, event_type AS e,
+  CASE WHEN value >= {CUT} THEN 'hi' ELSE 'lo' END AS v FROM seq QUALIFY count(*) OVER (PARTITION BY user_id, pos // {LENGTH}) = {LENGTH})"""
+OBS = """obs AS (SELECT model_id, 'E_' || k AS vertex, 'E' AS signal, k, [] AS pv, e AS outcome FROM slot WHERE k = 0
+  UNION ALL SELECT model_id, 'V_' || k, 'V', k, [], v FROM slot WHERE k = 0
+  UNION ALL SELECT b.model_id, 'E_' || b.k, 'E', b.k, [a.e], b.e FROM slot a JOIN slot b ON a.user_id = b.user_id AND a.s = b.s AND b.k = a.k + 1
+  UNION ALL SELECT b.model_id, 'V_' || b.k, 'V', b.k, [a.v, a.e], b.v FROM slot a JOIN slot b ON a.user_id = b.user_id AND a.s = b.s AND b.k = a.k + 1)"""
+CPT = """val AS (SELECT DISTINCT model_id, signal, outcome FROM obs),
+cnt AS (SELECT model_id, vertex, signal, k, pv, outcome, count(*) AS n FROM obs GROUP BY ALL),
+vert AS (SELECT DISTINCT model_id, vertex, signal, k FROM obs),
+combo AS (SELECT model_id, vertex, signal, k, []::VARCHAR[] AS pv FROM vert WHERE k = 0
+  UNION ALL SELECT x.model_id, vertex, x.signal, k, [e.outcome] FROM vert x JOIN val e ON e.model_id = x.model_id AND e.signal = 'E' WHERE k > 0 AND x.signal = 'E'
+  UNION ALL SELECT x.model_id, vertex, x.signal, k, [v.outcome, e.outcome] FROM vert x JOIN val e ON e.model_id = x.model_id AND e.signal = 'E' JOIN val v ON v.model_id = x.model_id AND v.signal = 'V' WHERE k > 0 AND x.signal = 'V'),
+grid AS (SELECT c.*, o.outcome FROM combo c JOIN val o ON o.model_id = c.model_id AND o.signal = c.signal),
+cpt AS (SELECT g.model_id, g.vertex, g.signal, g.k, g.pv, g.outcome,
+  CASE WHEN sum(n) OVER w IS NULL THEN 1.0 / count(*) OVER w ELSE coalesce(n, 0) / sum(n) OVER w END::DOUBLE AS p
+  FROM grid g LEFT JOIN cnt c ON c.model_id = g.model_id AND c.vertex = g.vertex AND c.pv = g.pv AND c.outcome = g.outcome WINDOW w AS (PARTITION BY g.model_id, g.vertex, g.pv))"""
+LEARN = f"{SEQ}, {SLOT}, {OBS}, {CPT}"
+_LEVELS = ["m0 AS (SELECT model_id, k, signal, outcome, p FROM cpt WHERE k = 0)"]
+for _k in range(1, LENGTH):
+    _LEVELS.append(
+        f"m{_k} AS (SELECT c.model_id, c.k, c.signal, c.outcome, sum(c.p * e.p) AS p FROM cpt c JOIN m{_k - 1} e ON e.model_id = c.model_id AND e.signal = 'E' AND c.pv[1] = e.outcome WHERE c.k = {_k} AND c.signal = 'E' GROUP BY ALL"
+        f" UNION ALL SELECT c.model_id, c.k, c.signal, c.outcome, sum(c.p * v.p * e.p) FROM cpt c JOIN m{_k - 1} v ON v.model_id = c.model_id AND v.signal = 'V' AND c.pv[1] = v.outcome JOIN m{_k - 1} e ON e.model_id = c.model_id AND e.signal = 'E' AND c.pv[2] = e.outcome WHERE c.k = {_k} AND c.signal = 'V' GROUP BY ALL)"
+    )
+MARGINALS = ", ".join(_LEVELS) + ", marg AS (" + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(LENGTH)) + ")"
+WEIGHTS = """wt AS (SELECT model_id, 'E' AS ss, k - 1 AS sk, pv[1] AS sv, 'E' AS ds, k AS dk, outcome AS dv, p FROM cpt WHERE signal = 'E' AND k > 0
+  UNION ALL SELECT c.model_id, 'V', c.k - 1, c.pv[1], 'V', c.k, c.outcome, sum(c.p * m.p) FROM cpt c JOIN marg m ON m.model_id = c.model_id AND m.k = c.k - 1 AND m.signal = 'E' AND m.outcome = c.pv[2] WHERE c.signal = 'V' AND c.k > 0 GROUP BY ALL
+  UNION ALL SELECT c.model_id, 'E', c.k - 1, c.pv[2], 'V', c.k, c.outcome, sum(c.p * m.p) FROM cpt c JOIN marg m ON m.model_id = c.model_id AND m.k = c.k - 1 AND m.signal = 'V' AND m.outcome = c.pv[1] WHERE c.signal = 'V' AND c.k > 0 GROUP BY ALL)"""
+NETWORK = f"{LEARN}, {MARGINALS}, {WEIGHTS}"
+
+# ---- what several queries start from
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tr.positions(read(spark, sf_dir, "events"))
+
+
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.concat(F.lit("m"), F.pmod("user_id", F.lit(MODELS)).cast("string"))
+    return nw.counted(nw.observations(tr.samples(placed(spark, sf_dir), LENGTH), model, CUT, LENGTH))
+
+
+def cpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nw.learned(counts(spark, sf_dir))
+
+
+def rounded(*names: str) -> list:
+    return [F.round(n, 9).alias(n) for n in names]
+
+
+def joined(name: str):
+    return F.array_join(name, ",").alias(name)
+
+
+def cpt_rows(t: DataFrame) -> DataFrame:
+    return t.select("model_id", "vertex", joined("parent_vals"), "outcome", *rounded("p"))
+
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# ---- traces and invariants
+
+
+@query("trace_sequences", f"WITH {SEQ} SELECT user_id, pos, event_type, value FROM seq")
+def _(spark, sf_dir):
+    return placed(spark, sf_dir).select("user_id", "pos", "event_type", "value")
+
+
+@query("transition_cpt", f"WITH {SEQ}, n AS (SELECT a.event_type AS cur, b.event_type AS nxt, count(*) AS n FROM seq a JOIN seq b ON a.user_id = b.user_id AND b.pos = a.pos + 1 GROUP BY ALL) SELECT cur, nxt, n, round(n / sum(n) OVER (PARTITION BY cur), 9) AS p, round(1 - n / sum(n) OVER (PARTITION BY cur), 9) AS w FROM n")
+def _(spark, sf_dir):
+    return tr.transition_cpt(tr.transitions(placed(spark, sf_dir))).select("cur", "nxt", "n", *rounded("p", "w"))
+
+
+def _tokens(spark, sf_dir):
+    """Traces of (event type, hi or lo) tokens."""
+    hi = F.when(F.col("value") >= CUT, "hi").otherwise("lo")
+    return placed(spark, sf_dir).withColumn("event_type", F.concat_ws(":", "event_type", hi))
+
+
+PAIRS = f"""{SEQ}, tok AS (SELECT user_id, pos, event_type || ':' || CASE WHEN value >= {CUT} THEN 'hi' ELSE 'lo' END AS t FROM seq),
+ends AS (SELECT user_id, t, min(pos) AS first, max(pos) AS last FROM tok GROUP BY ALL),
+total AS (SELECT t, count(*) AS n FROM tok GROUP BY t),
+cnt AS (SELECT x.t AS e, y.t AS k, count(*) FILTER (y.first < x.pos) AS earlier, count(*) FILTER (y.last > x.pos) AS later FROM tok x JOIN ends y ON x.user_id = y.user_id AND x.t <> y.t GROUP BY ALL),
+pairs AS (SELECT a.t AS a, b.t AS b, a.n AS n_a, b.n AS n_b, coalesce(p.earlier, 0) AS precedes, coalesce(f.later, 0) AS follows FROM total a JOIN total b ON a.t <> b.t LEFT JOIN cnt p ON p.k = a.t AND p.e = b.t LEFT JOIN cnt f ON f.e = a.t AND f.k = b.t)"""
+FOUND = f"""{PAIRS}, found AS (SELECT 'precedes' AS kind, a, b, precedes / n_b AS ratio FROM pairs WHERE precedes > 0 AND precedes / n_b >= 0.8
+  UNION ALL SELECT 'follows', a, b, follows / n_a FROM pairs WHERE follows > 0 AND follows / n_a >= 0.8 UNION ALL SELECT 'not_followed', a, b, NULL FROM pairs WHERE follows = 0)"""
+
+
+def _found(spark, sf_dir):
+    return tr.invariants(tr.pair_counts(_tokens(spark, sf_dir)), 0.8)
+
+
+@query("invariant_counts", f"WITH {PAIRS} SELECT * FROM pairs")
+def _(spark, sf_dir):
+    return tr.pair_counts(_tokens(spark, sf_dir))
+
+
+for _kind in ("precedes", "follows", "not_followed"):
+
+    @query(f"invariant_{_kind}", f"WITH {FOUND} SELECT a, b, round(ratio, 9) AS ratio FROM found WHERE kind = '{_kind}'")
+    def _(spark, sf_dir, kind=_kind):
+        return _found(spark, sf_dir).where(F.col("kind") == kind).select("a", "b", *rounded("ratio"))
+
+
+@query("invariant_summary", f"WITH {FOUND} SELECT kind, CASE kind WHEN 'precedes' THEN 2 WHEN 'follows' THEN 3 ELSE 4 END AS height, 2 AS leaves, count(*) AS n FROM found GROUP BY kind")
+def _(spark, sf_dir):
+    return tr.invariant_summary(_found(spark, sf_dir))
+
+
+@query("invariant_false_positives", f"WITH {FOUND} SELECT kind, count(*) AS n, count(*) FILTER (substr(a, 1, 2) <> substr(b, 1, 2)) AS n_false FROM found GROUP BY kind")
+def _(spark, sf_dir):
+    return tr.false_positives(_found(spark, sf_dir))
+
+
+@query(
+    "interval_reconstruct",
+    f"WITH {SEQ}, t AS (SELECT user_id, pos, event_type, epoch_us(ts) / 1e6 - min(epoch_us(ts)) OVER u / 1e6 AS s, (max(epoch_us(ts)) OVER u / 1e6 - min(epoch_us(ts)) OVER u / 1e6) * 1.5 AS over_ FROM seq WINDOW u AS (PARTITION BY user_id))"
+    ' SELECT user_id, pos, event_type, round(s, 3) AS "start", round(coalesce(lead(s) OVER (PARTITION BY user_id, event_type ORDER BY pos), over_), 3) AS "end" FROM t',
+)
+def _(spark, sf_dir):
+    return tr.intervals(placed(spark, sf_dir)).select("user_id", "pos", "event_type", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+@query(
+    "trace_chunk",
+    f"WITH {SEQ}, s AS (SELECT user_id, pos // {LENGTH} AS sample, pos, event_type FROM seq QUALIFY count(*) OVER (PARTITION BY user_id, pos // {LENGTH}) = {LENGTH}),"
+    " c AS (SELECT *, sample // 3 AS trace, count(*) OVER (PARTITION BY user_id, sample // 3) AS n FROM s)"
+    f" SELECT user_id, trace, sample, (row_number() OVER (PARTITION BY user_id, trace ORDER BY pos) - 1)::INT AS pos_in_trace, event_type FROM c WHERE n = 3 * {LENGTH}",
+)
+def _(spark, sf_dir):
+    return tr.chunks(tr.samples(placed(spark, sf_dir), LENGTH), 3)
+
+
+@query("trace_interleave", "WITH t AS (SELECT strftime(ts, '%Y-%m-%d %H') || '/' || ((user_id // 2) % 8) AS log, 'F' || (user_id % 2) || '.' || event_type AS token, ts, event_id FROM events) SELECT log, (row_number() OVER (PARTITION BY log ORDER BY ts, event_id) - 1)::INT AS pos, token FROM t")
+def _(spark, sf_dir):
+    return tr.interleaved(read(spark, sf_dir, "events"), 2)
+
+
+# ---- learning and changing distributions
+
+
+@query("learn_cpt_chain", f"WITH {LEARN} SELECT model_id, vertex, array_to_string(pv, ',') AS parent_vals, outcome, round(p, 9) AS p FROM cpt")
+def _(spark, sf_dir):
+    return cpt_rows(cpt(spark, sf_dir))
+
+
+_NAN = """WITH ty AS (SELECT DISTINCT event_type AS t FROM events), c AS (SELECT user_id, ts::DATE AS day, event_type AS t, count(*) AS n FROM events GROUP BY ALL),
+g AS (SELECT u.user_id, u.day, ty.t, c.n, sum(c.n) OVER (PARTITION BY u.user_id, u.day) AS total FROM (SELECT DISTINCT user_id, day FROM c) u JOIN ty ON true LEFT JOIN c ON c.user_id = u.user_id AND c.day = u.day AND c.t = ty.t),
+p AS (SELECT user_id, day, t, n / (total + 1) AS p, sum(n / (total + 1)) OVER w AS s, count(n) OVER w AS known, count(*) OVER w AS size FROM g WINDOW w AS (PARTITION BY user_id, day))
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, t AS event_type, round(CASE WHEN known = size THEN p WHEN p IS NULL THEN {missing} ELSE {present} END, 9) AS p FROM p"""
+
+
+def _incomplete(spark, sf_dir):
+    """For each user and day the share of each event type, missing where there was none, out of one more event than there were."""
+    events = read(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    n = events.groupBy("user_id", "day", "event_type").agg(F.count("*").alias("n"))
+    types = events.agg(F.array_sort(F.collect_set("event_type")).alias("types"))  # a row
+    own = n.groupBy("user_id", "day").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("own"), F.sum("n").alias("total"))
+    return own.join(F.broadcast(types), F.lit(True)).withColumn("p", F.transform("types", lambda t: F.try_element_at("own", t) / (F.col("total") + 1)))
+
+
+for _name, _missing, _present in (("tozero1", "0", "p + (1 - s) / known"), ("tozero2", "0", "p / s"), ("split", "(1 - s) / (size - known)", "p")):
+
+    @query(f"nan_{_name}", _NAN.format(missing=_missing, present=_present))
+    def _(spark, sf_dir, strategy=_name):
+        t = _incomplete(spark, sf_dir).select("user_id", "day", F.explode(F.arrays_zip("types", completed(F.col("p"), strategy).alias("q"))).alias("x"))
+        return t.select("user_id", "day", F.col("x.types").alias("event_type"), F.round("x.q", 9).alias("p"))
+
+
+@query("force_initial_state", f"WITH {LEARN} SELECT model_id, vertex, array_to_string(pv, ',') AS parent_vals, outcome, round(CASE WHEN k = 0 AND signal = 'E' THEN (outcome = 'view')::INT ELSE p END, 9) AS p FROM cpt")
+def _(spark, sf_dir):
+    return cpt_rows(nw.force_initial(cpt(spark, sf_dir), "view"))
+
+
+@query("without_initial_state", f"WITH {LEARN} SELECT model_id, vertex, array_to_string(pv, ',') AS parent_vals, outcome, round(CASE WHEN k = 0 THEN (CASE WHEN outcome = 'view' THEN 0 ELSE p END) / sum(CASE WHEN outcome = 'view' THEN 0 ELSE p END) OVER (PARTITION BY model_id, vertex, pv) ELSE p END, 9) AS p FROM cpt")
+def _(spark, sf_dir):
+    return cpt_rows(nw.without_initial(cpt(spark, sf_dir), "view"))
+
+
+@query(
+    "state_change_diagonal",
+    f"WITH {LEARN}, r AS (SELECT *, sum(CASE WHEN k > 0 AND outcome = pv[1] THEN 0 ELSE p END) OVER w AS rest, count(*) FILTER (k = 0 OR outcome <> pv[1]) OVER w AS others FROM cpt WINDOW w AS (PARTITION BY model_id, vertex, pv))"
+    " SELECT model_id, vertex, array_to_string(pv, ',') AS parent_vals, outcome, round(CASE WHEN k = 0 THEN p WHEN outcome = pv[1] THEN 0.7 WHEN rest > 0 THEN p * 0.3 / rest ELSE 0.3 / others END, 9) AS p FROM r",
+)
+def _(spark, sf_dir):
+    return cpt_rows(nw.state_change(cpt(spark, sf_dir), 0.3))
+
+
+@query(
+    "edge_removal_marginalise",
+    f"WITH {LEARN}, a AS (SELECT model_id, vertex, CASE WHEN signal = 'V' THEN pv[1:1] ELSE pv END AS pv, outcome, avg(p) AS p FROM cpt GROUP BY ALL)"
+    " SELECT model_id, vertex, array_to_string(pv, ',') AS parent_vals, outcome, round(p / sum(p) OVER (PARTITION BY model_id, vertex, pv), 9) AS p FROM a",
+)
+def _(spark, sf_dir):
+    t = cpt(spark, sf_dir)
+    gone = nw.cross_edges(nw.edges(t.select("model_id", "vertex", "parents").distinct()))
+    return cpt_rows(nw.without_edges(t, gone))
+
+
+# ---- network structure
+
+
+@query("vertex_naming_check", f"WITH {SEQ}, {SLOT} SELECT DISTINCT model_id, true AS consistent FROM slot")
+def _(spark, sf_dir):
+    return nw.naming_check(nw.vertices(counts(spark, sf_dir)))
+
+
+_CHAIN = f"WITH {SEQ}, {SLOT}, m AS (SELECT DISTINCT model_id FROM slot), k AS (SELECT unnest(range({LENGTH}))::INT AS k), s AS (SELECT unnest(['E', 'V']) AS s)"
+
+
+@query("start_terminal_edges", f"{_CHAIN} SELECT model_id, 'start' AS src, s || '_0' AS dst FROM m, s UNION ALL SELECT model_id, s || '_{LENGTH - 1}', 'terminal' FROM m, s")
+def _(spark, sf_dir):
+    return nw.boundary_edges(nw.vertices(counts(spark, sf_dir)))
+
+
+@query("cross_edges", f"{_CHAIN} SELECT model_id, 'E_' || k AS src, 'V_' || (k + 1) AS dst FROM m, k WHERE k < {LENGTH - 1}")
+def _(spark, sf_dir):
+    return nw.cross_edges(nw.edges(nw.vertices(counts(spark, sf_dir))))
+
+
+@query("topo_depth", f"{_CHAIN} SELECT model_id, s || '_' || k AS vertex, k AS depth FROM m, s, k")
+def _(spark, sf_dir):
+    v = nw.vertices(counts(spark, sf_dir))
+    return nw.depths(nw.edges(v), v.select("model_id", "vertex"), LENGTH)
+
+
+_E, _V = "count(DISTINCT e)", "count(DISTINCT v)"
+_N = [f"v{k} AS (SELECT model_id, ne, nv, nv * {'1' if k == LENGTH - 1 else 'lv'} AS lv, ne * {'1' if k == LENGTH - 1 else '(le + lv)'} AS le FROM {'z' if k == LENGTH - 1 else f'v{k + 1}'})" for k in reversed(range(LENGTH))]
+
+
+@query("dag_path_count", f"WITH {SEQ}, {SLOT}, z AS (SELECT model_id, {_E} AS ne, {_V} AS nv FROM slot GROUP BY model_id), {', '.join(_N)} SELECT model_id, (le + lv)::BIGINT AS n FROM v0")
+def _(spark, sf_dir):
+    v = nw.vertices(counts(spark, sf_dir))
+    return nw.path_count(v, LENGTH)
+
+
+@query("marginals_independent", f"WITH {LEARN}, {MARGINALS} SELECT model_id, signal || '_' || k AS vertex, outcome, round(p, 9) AS p FROM marg")
+def _(spark, sf_dir):
+    return nw.marginals(cpt(spark, sf_dir), LENGTH).select("model_id", "vertex", "outcome", *rounded("p"))
+
+
+@query("edge_weights", f"WITH {NETWORK} SELECT model_id, ss || '_' || sk AS src, sv AS src_val, ds || '_' || dk AS dst, dv AS dst_val, round(p, 9) AS p, round(1 - p, 9) AS w FROM wt")
+def _(spark, sf_dir):
+    t = checkpointed(cpt(spark, sf_dir))
+    return nw.edge_weights(t, nw.marginals(t, LENGTH)).select("model_id", "src", "src_val", "dst", "dst_val", *rounded("p", "w"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return QUERIES["edge_weights"](spark, sf_dir)
