@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.columns import completed, metric
+from .functions.columns import completed, token_distance
+from .operators import boolfn as bf
+from .operators import edit as ed
+from .operators import factors as fc
+from .operators import graphs as gr
+from .operators import logic as lg
 from .operators import network as nw
+from .operators import paths as pt
+from .operators import sampling as sm
 from .operators import traces as tr
 from .sources.tables import checkpointed, read
 
@@ -274,5 +281,288 @@ def _(spark, sf_dir):
     return nw.edge_weights(t, nw.marginals(t, LENGTH)).select("model_id", "src", "src_val", "dst", "dst_val", *rounded("p", "w"))
 
 
+# ---- factors
+
+
+def _factors(spark, sf_dir, *names):
+    t = checkpointed(cpt(spark, sf_dir))
+    k = lambda n: int(n[2:])
+    parents = lambda n: [] if k(n) == 0 else [f"V_{k(n) - 1}", f"E_{k(n) - 1}"] if n[0] == "V" else [f"E_{k(n) - 1}"]
+    return [fc.factor(t, n, parents(n)) for n in names]
+
+
+_E0, _V1 = "(SELECT model_id, outcome AS E_0, p FROM cpt WHERE vertex = 'E_0')", "(SELECT model_id, outcome AS V_1, pv[1] AS V_0, pv[2] AS E_0, p FROM cpt WHERE vertex = 'V_1')"
+
+
+@query("factor_product", f'WITH {LEARN} SELECT model_id, "V_1", "V_0", "E_0", round(b.p * a.p, 9) AS p FROM {_V1} b JOIN {_E0} a USING (model_id, E_0)')
+def _(spark, sf_dir):
+    a, b = _factors(spark, sf_dir, "V_1", "E_0")
+    return fc.multiply(a, b).select("model_id", "V_1", "V_0", "E_0", *rounded("p"))
+
+
+@query("factor_sumout", f'WITH {LEARN} SELECT model_id, "V_1", "V_0", round(sum(b.p * a.p), 9) AS p FROM {_V1} b JOIN {_E0} a USING (model_id, E_0) GROUP BY ALL')
+def _(spark, sf_dir):
+    a, b = _factors(spark, sf_dir, "V_1", "E_0")
+    return fc.sum_out(fc.multiply(a, b), "E_0").select("model_id", "V_1", "V_0", *rounded("p"))
+
+
+@query("factor_reduce", f"WITH {LEARN} SELECT model_id, \"V_1\", \"V_0\", round(p, 9) AS p FROM {_V1} WHERE E_0 = 'view'")
+def _(spark, sf_dir):
+    return fc.reduce(_factors(spark, sf_dir, "V_1")[0], "E_0", "view").select("model_id", "V_1", "V_0", *rounded("p"))
+
+
+_VE = f"""{LEARN}, e1 AS (SELECT model_id, outcome AS e1, p FROM cpt WHERE vertex = 'E_1' AND pv[1] = 'view'), v1 AS (SELECT model_id, outcome AS v1, p FROM cpt WHERE vertex = 'V_1' AND pv[1] = 'lo' AND pv[2] = 'view'),
+j AS (SELECT c.model_id, c.outcome AS v2, sum(c.p * e1.p * v1.p) AS p FROM cpt c JOIN e1 ON e1.model_id = c.model_id AND c.pv[2] = e1 JOIN v1 ON v1.model_id = c.model_id AND c.pv[1] = v1 WHERE c.vertex = 'V_2' GROUP BY ALL)"""
+
+
+@query("ve_condprob", f'WITH {_VE} SELECT model_id, v2 AS "V_2", round(p / sum(p) OVER (PARTITION BY model_id), 9) AS p FROM j')
+def _(spark, sf_dir):
+    f = _factors(spark, sf_dir, "E_0", "V_0", "E_1", "V_1", "V_2")
+    return fc.conditional(f, ["V_2"], {"E_0": "view", "V_0": "lo"}).select("model_id", "V_2", *rounded("p"))
+
+
+@query("ve_specific_query", f"WITH {LEARN}, j AS (SELECT b.model_id, b.outcome AS e2, sum(a.p * b.p) AS p FROM cpt a JOIN cpt b ON a.model_id = b.model_id AND a.vertex = 'E_1' AND b.vertex = 'E_2' AND b.pv[1] = a.outcome WHERE a.pv[1] = 'view' GROUP BY ALL) SELECT model_id, round(sum(p) FILTER (e2 IN ('click', 'error')) / sum(p), 9) AS p FROM j GROUP BY model_id")
+def _(spark, sf_dir):
+    f = _factors(spark, sf_dir, "E_0", "E_1", "E_2")
+    return fc.specific(f, {"E_2": ["click", "error"]}, {"E_0": "view"}).select("model_id", *rounded("p"))
+
+
+# ---- paths and edit distances
+
+_LAST = LENGTH - 1
+PATHS = f"""{NETWORK}, walk AS (SELECT model_id, signal AS s, k, outcome AS v, [signal || ':' || outcome] AS tokens, [signal] AS signals, 0 AS n, 0::DOUBLE AS w FROM (SELECT DISTINCT model_id, signal, k, outcome FROM cpt WHERE k = 0)
+  UNION ALL SELECT a.model_id, b.ds, b.dk, b.dv, list_append(a.tokens, b.ds || ':' || b.dv), list_append(a.signals, b.ds), a.n + 1, a.w + (1 - b.p) FROM walk a JOIN wt b ON a.model_id = b.model_id AND a.s = b.ss AND a.k = b.sk AND a.v = b.sv),
+path AS (SELECT model_id, tokens, signals, w / n AS metric FROM walk WHERE k = {_LAST} AND w / n <= 1 - {THETA}),
+num AS (SELECT *, (row_number() OVER (PARTITION BY model_id ORDER BY round(metric, 12), array_to_string(tokens, ',')) - 1)::INT AS path_id FROM path)"""
+
+
+def _paths(spark, sf_dir, min_signals=1):
+    c = checkpointed(counts(spark, sf_dir))
+    t, v = checkpointed(nw.learned(c)), nw.vertices(c)
+    states = v.select("model_id", F.col("vertex").alias("v"), F.explode("vals").alias("val"))
+    w = nw.edge_weights(t, nw.marginals(t, LENGTH))
+    return pt.below(w, nw.boundary_edges(v), states, THETA, LENGTH - 1, 2, min_signals)
+
+
+def _numbered(spark, sf_dir):
+    order = Window.partitionBy("model_id").orderBy(F.round("metric", 12), joined("tokens"))
+    return checkpointed(_paths(spark, sf_dir).select("model_id", "tokens", "metric", (F.row_number().over(order) - 1).alias("path_id")))
+
+
+@query("paths_threshold", f"WITH RECURSIVE {PATHS} SELECT model_id, array_to_string(tokens, ',') AS tokens, round(metric, 9) AS metric FROM path")
+def _(spark, sf_dir):
+    return _paths(spark, sf_dir).select("model_id", joined("tokens"), *rounded("metric"))
+
+
+@query("paths_min_signals", f"WITH RECURSIVE {PATHS} SELECT model_id, array_to_string(tokens, ',') AS tokens, round(metric, 9) AS metric FROM path WHERE len(list_distinct(signals)) >= 2")
+def _(spark, sf_dir):
+    return _paths(spark, sf_dir, 2).select("model_id", joined("tokens"), *rounded("metric"))
+
+
+@query("best_path_min_avg", f"WITH RECURSIVE {PATHS} SELECT model_id, n AS n_edges, round(min(w / n), 9) AS metric FROM walk WHERE k = {_LAST} GROUP BY ALL")
+def _(spark, sf_dir):
+    c = checkpointed(counts(spark, sf_dir))
+    t, v = checkpointed(nw.learned(c)), nw.vertices(c)
+    states = v.select("model_id", F.col("vertex").alias("v"), F.explode("vals").alias("val"))
+    return pt.best(nw.edge_weights(t, nw.marginals(t, LENGTH)), nw.boundary_edges(v), states, LENGTH - 1).select("model_id", "n_edges", *rounded("metric"))
+
+
+_CODE = f"""{PATHS}, alpha AS (SELECT model_id, list_sort(list_distinct(flatten(list(tokens)))) AS a FROM num GROUP BY model_id),
+code AS (SELECT model_id, path_id, array_to_string(list_transform(tokens, lambda t: chr((64 + list_position(a, t))::INT)), '') AS c FROM num JOIN alpha USING (model_id)),
+dist AS (SELECT x.model_id, x.path_id AS a, y.path_id AS b, levenshtein(x.c, y.c)::INT AS d FROM code x JOIN code y USING (model_id))"""
+
+
+def _distances(spark, sf_dir):
+    return ed.confusion(_numbered(spark, sf_dir))
+
+
+@query("levenshtein_confusion", f"WITH RECURSIVE {_CODE} SELECT model_id, a, b, d FROM dist")
+def _(spark, sf_dir):
+    return _distances(spark, sf_dir)
+
+
+@query("nearest_paths_order", f"WITH RECURSIVE {_CODE} SELECT model_id, a, b, (row_number() OVER (PARTITION BY model_id, a ORDER BY d, b) - 1)::INT AS place FROM dist")
+def _(spark, sf_dir):
+    return ed.merge_order(_distances(spark, sf_dir))
+
+
+@query(
+    "levenshtein_tokens_hof",
+    f"WITH {SEQ}, t AS (SELECT user_id, pos // {LENGTH} AS s, string_agg(chr((64 + list_position((SELECT list_sort(list(DISTINCT event_type)) FROM events), event_type))::INT), '' ORDER BY pos) AS c FROM seq GROUP BY ALL HAVING count(*) = {LENGTH})"
+    " SELECT a.user_id, a.s AS sample, levenshtein(a.c, b.c)::INT AS d FROM t a JOIN t b ON a.user_id = b.user_id AND b.s = a.s + 1",
+)
+def _(spark, sf_dir):
+    s = tr.samples(placed(spark, sf_dir), LENGTH).select("user_id", "sample", F.col("events.event_type").alias("x"))
+    nxt = s.select("user_id", (F.col("sample") - 1).alias("sample"), F.col("x").alias("y"))
+    return s.join(nxt, ["user_id", "sample"]).select("user_id", "sample", token_distance(F.col("x"), F.col("y")).cast("int").alias("d"))
+
+
+# ---- labelled transition systems
+
+HOURS, SHARE = 3, 0.04
+KRIPKE = f"""{SEQ}, st AS (SELECT user_id, pos, event_type || ':' || (hour(ts) // {HOURS}) AS st, event_type, hour(ts) // {HOURS} AS slot FROM seq),
+states AS (SELECT DISTINCT st AS state FROM st), labels AS (SELECT DISTINCT st AS state, event_type AS ap FROM st UNION SELECT DISTINCT st, 'slot' || slot FROM st),
+step AS (SELECT a.st AS src, b.st AS dst, count(*) AS n FROM st a JOIN st b ON a.user_id = b.user_id AND b.pos = a.pos + 1 GROUP BY ALL),
+strong AS (SELECT src, dst FROM (SELECT *, sum(n) OVER (PARTITION BY src) AS total FROM step) WHERE n >= {SHARE} * total),
+trans AS (SELECT * FROM strong UNION ALL SELECT state, state FROM states WHERE state NOT IN (SELECT src FROM strong))"""
+
+
+def _strong(spark, sf_dir):
+    p = placed(spark, sf_dir).withColumn("slot", F.floor(F.hour("ts") / HOURS))
+    p = p.withColumn("event_type", F.concat_ws(":", "event_type", "slot"))
+    n = tr.transitions(p).groupBy(F.col("cur").alias("src"), F.col("nxt").alias("dst")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("src"))
+    return checkpointed(n.withColumn("total", total).where(F.col("n") >= SHARE * F.col("total")).select("src", "dst"))
+
+
+def _kripke(spark, sf_dir):
+    slot = F.floor(F.hour("ts") / HOURS)
+    states = read(spark, sf_dir, "events").select("event_type", slot.alias("slot")).distinct().withColumn("state", F.concat_ws(":", "event_type", "slot"))
+    states = checkpointed(states)
+    labels = states.select("state", F.explode(F.array("event_type", F.concat(F.lit("slot"), F.col("slot").cast("string")))).alias("ap"))
+    strong = _strong(spark, sf_dir)
+    loops = states.select("state").join(strong.select(F.col("src").alias("state")), "state", "left_anti").select(F.col("state").alias("src"), F.col("state").alias("dst"))
+    return lg.Kripke(states.select("state"), checkpointed(strong.union(loops)), checkpointed(labels)).checked()
+
+
+@query("kripke_transitions", f"WITH {KRIPKE} SELECT src, dst FROM trans")
+def _(spark, sf_dir):
+    return _kripke(spark, sf_dir).transitions
+
+
+def _sat_sql(f) -> str:
+    """SQL for the states of a formula."""
+    f = lg.rewritten(f)
+    if f == lg.TRUE:
+        return "SELECT state FROM states"
+    if isinstance(f, str):
+        return f"SELECT state FROM labels WHERE ap = '{f}'"
+    op, *args = f
+    a = f"({_sat_sql(args[0])})"
+    if op == "not":
+        return f"SELECT state FROM states WHERE state NOT IN {a}"
+    if op == "or":
+        return f"SELECT state FROM {a} UNION SELECT state FROM ({_sat_sql(args[1])})"
+    if op == "EX":
+        return f"SELECT DISTINCT src AS state FROM trans WHERE dst IN {a}"
+    if op == "EU":
+        return f"WITH RECURSIVE r AS (SELECT state FROM ({_sat_sql(args[1])}) UNION SELECT t.src FROM r JOIN trans t ON t.dst = r.state WHERE t.src IN {a}) SELECT state FROM r"
+    inner = f"SELECT src AS x, dst AS y FROM trans WHERE src IN {a} AND dst IN {a}"
+    return f"WITH RECURSIVE c AS ({inner} UNION SELECT c.x, i.y FROM c JOIN ({inner}) i ON i.x = c.y) SELECT DISTINCT x AS state FROM (SELECT x, y FROM c UNION SELECT x, x FROM c) z WHERE y IN (SELECT x FROM c WHERE x = y)"
+
+
+FORMULAS = {
+    "ap": "purchase", "not": ("not", "purchase"), "or": ("or", "purchase", "slot0"), "and": ("and", "purchase", "slot0"), "imply": ("imply", "purchase", "slot0"),
+    "ex": ("EX", "purchase"), "ax": ("AX", ("or", "purchase", "view")), "ef": ("EF", ("and", "error", "slot7")), "af": ("AF", "error"), "eg": ("EG", ("not", "error")), "ag": ("AG", ("not", ("and", "error", "slot7"))),
+    "eu": ("EU", ("not", "error"), ("and", "purchase", "slot3")), "au": ("AU", ("not", "error"), "purchase"), "er": ("ER", "purchase", ("not", "error")), "ar": ("AR", "purchase", ("not", "error")), "ew": ("EW", ("not", "error"), "purchase"), "aw": ("AW", ("not", "error"), "purchase"),
+    "option": ("EU", "view", ("and", "click", ("EX", "purchase"))),
+}
+for _name, _formula in FORMULAS.items():
+
+    @query(f"ctl_{_name}", f"WITH {KRIPKE} SELECT state FROM ({_sat_sql(_formula)})")
+    def _(spark, sf_dir, formula=_formula):
+        return _kripke(spark, sf_dir).sat(formula)
+
+
+_CLOSURE = "clo AS (SELECT src AS x, dst AS y FROM strong UNION SELECT clo.x, s.dst FROM clo JOIN strong s ON s.src = clo.y)"
+
+
+@query("ctl_fair", f"WITH RECURSIVE {KRIPKE}, c AS (SELECT src AS x, dst AS y FROM trans UNION SELECT c.x, t.dst FROM c JOIN trans t ON t.src = c.y), good AS (SELECT DISTINCT a.x FROM c a WHERE a.x = a.y AND EXISTS (SELECT 1 FROM c b JOIN c d ON b.x = d.y AND b.y = d.x JOIN labels l ON l.state = b.y AND l.ap = 'purchase' WHERE b.x = a.x)) SELECT x AS state FROM good UNION SELECT x FROM c WHERE y IN (SELECT x FROM good)")
+def _(spark, sf_dir):
+    return _kripke(spark, sf_dir).fair_states(["purchase"])
+
+
+@query("reachable_set", f"WITH RECURSIVE {KRIPKE}, r AS (SELECT state AS node FROM labels WHERE ap = 'signup' UNION SELECT s.dst FROM r JOIN strong s ON s.src = r.node) SELECT node FROM r")
+def _(spark, sf_dir):
+    k = _kripke(spark, sf_dir)
+    return gr.reachable(_strong(spark, sf_dir), k.sat("signup").select(F.col("state").alias("node")))
+
+
+@query("scc", f"WITH RECURSIVE {KRIPKE}, {_CLOSURE}, nodes AS (SELECT src AS node FROM strong UNION SELECT dst FROM strong) SELECT node, coalesce((SELECT min(a.y) FROM clo a JOIN clo b ON a.x = b.y AND a.y = b.x WHERE a.x = node), node) AS component FROM nodes")
+def _(spark, sf_dir):
+    return gr.strong_components(_strong(spark, sf_dir))
+
+
+@query("induced_subgraph", f"WITH {KRIPKE}, n AS (SELECT state FROM labels WHERE ap IN ('view', 'click')) SELECT src, dst FROM strong WHERE src IN (FROM n) AND dst IN (FROM n)")
+def _(spark, sf_dir):
+    k = _kripke(spark, sf_dir)
+    return gr.induced(_strong(spark, sf_dir), k.sat(("or", "view", "click")).select(F.col("state").alias("node")))
+
+
+@query("reversed_graph", f"WITH {KRIPKE} SELECT dst AS src, src AS dst FROM strong")
+def _(spark, sf_dir):
+    return gr.reversed_graph(_strong(spark, sf_dir))
+
+
+@query("graph_sources", f"WITH {KRIPKE} SELECT DISTINCT src AS node FROM strong")
+def _(spark, sf_dir):
+    return gr.sources(_strong(spark, sf_dir))
+
+
+# ---- boolean functions
+
+_TRUTH = f"""tt AS (SELECT a, b, c, count(e.event_id) AS n FROM (SELECT unnest([false, true]) AS a) JOIN (SELECT unnest([false, true]) AS b) ON true JOIN (SELECT unnest([false, true]) AS c) ON true
+  LEFT JOIN events e ON (e.value >= {CUT}) = a AND (e.event_type = 'purchase') = b AND (hour(e.ts) < 12) = c GROUP BY ALL),
+f AS (SELECT a, b, c, n % 2 = 0 AS f FROM tt), g AS (SELECT b, c, sum(n) % 3 = 0 AS f FROM tt GROUP BY ALL)"""
+
+
+def _truth(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select((F.col("value") >= CUT).alias("a"), (F.col("event_type") == "purchase").alias("b"), (F.hour("ts") < 12).alias("c"))
+    both = F.array(F.lit(False), F.lit(True))
+    n = e.groupBy("a", "b", "c").agg(F.count("*").alias("n"))
+    grid = spark.range(1).select(F.explode(both).alias("a")).select("a", F.explode(both).alias("b")).select("a", "b", F.explode(both).alias("c"))
+    n = checkpointed(grid.join(n, ["a", "b", "c"], "left").fillna(0, ["n"]))
+    f = n.select("a", "b", "c", (F.col("n") % 2 == 0).alias("f"))
+    g = n.groupBy("b", "c").agg((F.sum("n") % 3 == 0).alias("f"))
+    return f, g
+
+
+for _op, _sql in (("and", "f.f AND g.f"), ("or", "f.f OR g.f"), ("xor", "f.f <> g.f")):
+
+    @query(f"boolfn_{_op}", f"WITH {_TRUTH} SELECT a, b, c, {_sql} AS f FROM f JOIN g USING (b, c)")
+    def _(spark, sf_dir, op=_op):
+        return bf.apply(*_truth(spark, sf_dir), op)
+
+
+@query("boolfn_negate", f"WITH {_TRUTH} SELECT a, b, c, NOT f AS f FROM f")
+def _(spark, sf_dir):
+    return bf.negated(_truth(spark, sf_dir)[0])
+
+
+@query("boolfn_restrict", f"WITH {_TRUTH} SELECT a, c, f FROM f WHERE b")
+def _(spark, sf_dir):
+    return bf.restricted(_truth(spark, sf_dir)[0], "b", True)
+
+
+@query("boolfn_essential", f"WITH {_TRUTH}, e AS (SELECT 'a' AS variable FROM f GROUP BY b, c HAVING min(f) <> max(f) UNION SELECT 'b' FROM f GROUP BY a, c HAVING min(f) <> max(f) UNION SELECT 'c' FROM f GROUP BY a, b HAVING min(f) <> max(f)) SELECT variable FROM e")
+def _(spark, sf_dir):
+    return bf.essential(_truth(spark, sf_dir)[0])
+
+
+@query("boolfn_equivalent", f"WITH {_TRUTH} SELECT count(*) = 0 AS equivalent FROM f JOIN g USING (b, c) WHERE (f.f OR g.f) <> (NOT (NOT f.f AND NOT g.f))")
+def _(spark, sf_dir):
+    f, g = _truth(spark, sf_dir)
+    return bf.equivalent(bf.apply(f, g, "or"), bf.negated(bf.apply(bf.negated(f), bf.negated(g), "and")))
+
+
+# ---- sampling
+
+_U = "('0x' || substr(md5(concat_ws('|', '0', sample_key, '{v}')), 1, 8))::BIGINT / 4294967296.0"
+_ORDER = [(f"{s}_{k}", [] if k == 0 else [f"E_{k - 1}"] if s == "E" else [f"V_{k - 1}", f"E_{k - 1}"]) for k in range(LENGTH) for s in "EV"]
+_DRAWS = ["d0 AS (SELECT DISTINCT model_id, user_id || '/' || s AS sample_key FROM slot)"]
+for _i, (_v, _pa) in enumerate(_ORDER):
+    _pv = "[]::VARCHAR[]" if not _pa else "[" + ", ".join(f'"{x}"' for x in _pa) + "]"
+    _DRAWS.append(f'd{_i + 1} AS (SELECT d.*, CASE WHEN len(list_filter(cdf, lambda x: x.c > {_U.format(v=_v)})) > 0 THEN list_filter(cdf, lambda x: x.c > {_U.format(v=_v)})[1].o ELSE cdf[-1].o END AS "{_v}" FROM d{_i} d JOIN cdf ON cdf.model_id = d.model_id AND cdf.vertex = \'{_v}\' AND cdf.pv = {_pv})')
+_CDF = "cum AS (SELECT *, sum(p) OVER (PARTITION BY model_id, vertex, pv ORDER BY outcome) AS c FROM cpt), cdf AS (SELECT model_id, vertex, pv, list({'c': c, 'o': outcome} ORDER BY outcome) AS cdf FROM cum GROUP BY ALL)"
+
+
+@query("ancestral_sample", f"WITH {LEARN}, {_CDF}, {', '.join(_DRAWS)} SELECT * FROM d{len(_ORDER)}")
+def _(spark, sf_dir):
+    run = tr.samples(placed(spark, sf_dir), LENGTH)
+    ids = run.select(F.concat(F.lit("m"), F.pmod("user_id", F.lit(MODELS)).cast("string")).alias("model_id"), F.concat_ws("/", "user_id", "sample").alias("sample_key"))
+    return sm.ancestral(checkpointed(cpt(spark, sf_dir)), ids, _ORDER)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["edge_weights"](spark, sf_dir)
+    """Learns the networks of ``events`` and lists the state paths above the threshold."""
+    return QUERIES["paths_threshold"](spark, sf_dir)
