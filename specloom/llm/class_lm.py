@@ -9,11 +9,12 @@ is what stands before the first word. Word classes:
 2. Every other training word goes to the class that makes its neighbours in the corpus likeliest. Each batch of texts decides
    for its own occurrences, and the class with most occurrences behind it wins.
 
-Class transitions and emissions are then counted over all training tokens. Both are smoothed by adding to counts. An unseen
-word gets the base model's probability of one, and the class before it stays the context.
+Class transitions and emissions are then counted over all training tokens. Transitions are smoothed by adding to counts; within its
+class a known word has its share of the class's tokens. An unseen word gets the base model's probability of one, and the
+class before it stays the context.
 
 Scale: texts are dealt once into batches of about ``batch_bytes`` by a hash. A batch asks for the counts and classes of its own
-distinct words only, so tokens are never shuffled; a document is reduced to its class-pair counts before the transition table is
+distinct words only, so tokens are never shuffled; both steps that read batches share one shuffle. A document is reduced to its class-pair counts before the transition table is
 known, so texts are read once for scoring.
 
 Defined cases: null and empty texts are the end token alone; without training rows all tokens are unknown; repeated rows
@@ -179,9 +180,9 @@ def _requests(batched: DataFrame, core: list[str], core_class: np.ndarray, evide
     return batched.groupBy("batch").applyInArrow(ask, "batch long, word string, vote int, n long")
 
 
-def score_texts(docs: DataFrame, core: int = 1500, classes: int = 24, batch_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, core: int = 1500, classes: int = 24, batch_bytes: int = 16 << 20) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of rows (doc_id, text, held_out)."""
-    docs = docs.select("doc_id", "text", "held_out")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", "held_out")
     train = docs.where("NOT held_out")
     counts = settle(word_counts(train), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -204,9 +205,12 @@ def score_texts(docs: DataFrame, core: int = 1500, classes: int = 24, batch_byte
 
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     batched = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(max(1, math.ceil(size / batch_bytes)))))
-    asked = settle(_requests(batched, names, of, evidence), "requests")
-    votes = asked.groupBy("word", "vote").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("c"), F.max_by("vote", F.struct("n", -F.col("vote"))).alias("class")).where("c > 0")
-    answers = asked.select("batch", "word").join(votes, "word")
+    groups = batched.groupBy("batch")
+    # One shuffle by word answers all batches; a word outside the core has at most a row per batch.
+    asked = _requests(batched, names, of, evidence).repartition("word")
+    by_word, by_vote = Window.partitionBy("word"), Window.partitionBy("word", "vote")
+    answers = asked.withColumn("c", F.sum("n").over(by_word)).where("c > 0").withColumn("for_vote", F.sum("n").over(by_vote))
+    answers = answers.withColumn("class", F.max_by("vote", F.struct("for_vote", -F.col("vote"))).over(by_word)).select("batch", "word", "c", "class")
 
     unseen = math.log10(0.5 / (total + 0.5 * (distinct + 1)))
 
@@ -227,7 +231,7 @@ def score_texts(docs: DataFrame, core: int = 1500, classes: int = 24, batch_byte
         owner = np.repeat(np.arange(n), np.diff(starts))
         sums = lambda x: np.bincount(owner, x, n)
         base = sums(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1))))
-        emitted = sums(np.where(c > 0, np.log10(c + 0.5), unseen))
+        emitted = sums(np.where(c > 0, np.log10(np.maximum(c, 1)), unseen))
         # Class pairs, with the last known class as context.
         known = np.flatnonzero(k >= 0)
         before = np.zeros(len(known), int)
@@ -242,21 +246,14 @@ def score_texts(docs: DataFrame, core: int = 1500, classes: int = 24, batch_byte
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, pair array<int>, times array<int>"
-    reduced = settle(batched.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(reduce, schema), "reduced")
+    reduced = settle(groups.cogroup(answers.groupBy("batch")).applyInArrow(reduce, schema), "reduced")
 
     # Class statistics over all training tokens: bounded by classes^2.
     seen = np.zeros((n_classes, n_classes))
     for r in reduced.where("NOT held_out").select(F.explode(F.arrays_zip("pair", "times")).alias("x")).groupBy("x.pair").agg(F.sum("x.times")).collect():
         seen[r[0] // n_classes, r[0] % n_classes] = r[1]
-    types = np.zeros(n_classes)
-    for k in of[1:] if len(names) > 1 else []:
-        types[k] += 1
-    types[0] += n_core[0] > 0
-    for r in votes.groupBy("class").count().collect():
-        types[r[0]] += r[1]
-    drop(asked)
-    live = np.maximum((types > 0).sum(), 1)
-    step = np.log10((seen + 0.5) / (seen.sum(axis=1, keepdims=True) + 0.5 * live)) - np.log10(np.maximum(seen.sum(axis=0) + 0.5 * types, 0.5)) + math.log10(1 - 10**unseen)
+    live = max(int((seen.sum(axis=0) > 0).sum()), 1)
+    step = np.log10((seen + 0.5) / (seen.sum(axis=1, keepdims=True) + 0.5 * live)) - np.log10(np.maximum(seen.sum(axis=0), 1)) + math.log10(1 - 10**unseen)
     weight = step.ravel().tolist()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -79,17 +79,20 @@ def remainder(id_col: str, n: int) -> Column:
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
-    """Slices of an Arrow batch whose texts take about ``limit`` bytes each; a single longer text is a slice of its own."""
+    """Slices of an Arrow batch whose texts take about ``limit`` bytes each; a single longer text is a slice of its own.
+    Later slices are copied: some string kernels misread arrays that start inside a buffer."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start, n = 0, batch.num_rows
     while start < n:
         end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + limit, "right")))
-        yield batch.slice(start, end - start)
+        yield batch.slice(start, end - start) if start == 0 else batch.take(pa.array(np.arange(start, end)))
         start = end
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, and for each text the position where its words start (one more entry than texts)."""
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = parts.flatten()

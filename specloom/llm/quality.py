@@ -46,6 +46,8 @@ def _groups(owner: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.
 def features(texts: pa.Array) -> np.ndarray:
     """A row of FEATURES for each text."""
     n = len(texts)
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(n)))
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     whole = b"".join(x.as_buffer() for x in texts) if n else b""

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 LENGTH = 50
-ANCHOR = 20
+ANCHOR = 32
 LAST = (1 << 63) - 1
 _U = np.uint64
 
@@ -72,7 +72,11 @@ class Batch:
         if not keep:
             return
         eight = _words_at(self.bytes)
-        h = _mix(eight[: total - ANCHOR + 1] ^ _mix(eight[8 : total - ANCHOR + 9] * _U(0x9E3779B97F4A7C15) + (eight[12 : total - ANCHOR + 13] >> _U(32)) * _U(0xC2B2AE3D27D4EB4F)))
+        h, m = np.zeros(total - ANCHOR + 1, _U), total - ANCHOR + 1
+        for k in range(0, ANCHOR, 8):
+            h ^= eight[k : k + m]
+            h = _mix(h * _U(0x9E3779B97F4A7C15))
+        del eight
         # Smallest hash among the length - ANCHOR + 1 substrings of each window: minima over spans that double.
         span, width = 1, length - ANCHOR + 1
         while span * 2 <= width:
@@ -104,46 +108,63 @@ def _split(anchor: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]
     return ((anchor >> _U(32)) % _U(partitions)).astype(np.int64), (anchor & _U(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _dense(x: np.ndarray) -> np.ndarray:
+    """Ranks of numbers from 0, equal ones alike."""
+    order = np.argsort(x)
+    y = x[order]
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[False], y[1:] != y[:-1]]))
+    return rank
+
+
+def _below(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For each key how many of the others are smaller."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.searchsorted(np.sort(others), keys[order])
+    return out
+
+
+def _triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, top: int) -> np.ndarray:
+    """Ranks of triples of numbers below ``top``."""
+    if top**3 < 1 << 25:  # short alphabets: by counting
+        key = (a * top + b) * top + c
+        seen = np.zeros(top**3, bool)
+        seen[key] = True
+        return (np.cumsum(seen) - 1)[key]
+    if top**3 < 1 << 63:
+        return _dense((a * top + b) * top + c)
+    return _dense(_dense(a * top + b) * top + c)
+
+
 def _ranks(s: np.ndarray, depth: int) -> np.ndarray:
     """Numbers that order the suffixes of ``s`` (numbers of 1 or more) by at least ``depth`` first symbols."""
     n = len(s)
-    if depth <= 1 or n < 3:
-        if n < 3:
-            return np.array([sum(tuple(s[j:]) < tuple(s[i:]) for j in range(n)) for i in range(n)], np.int64)
-        return np.unique(s, return_inverse=True)[1].astype(np.int64)
-    p = np.concatenate([s, np.zeros(3, np.int64)])
-    one, two, zero = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3), np.arange(0, n, 3)
-    sample = np.concatenate([one, two])
+    p = np.concatenate([s, np.zeros(6, np.int64)])
     top = int(p.max()) + 1
-    if top**3 < 1 << 62:
-        triple = (p[sample] * top + p[sample + 1]) * top + p[sample + 2]
-    else:
-        pair = np.unique(p[sample] * top + p[sample + 1], return_inverse=True)[1].astype(np.int64)
-        triple = pair * top + p[sample + 2]
-    if top**3 < 1 << 25:  # names of short alphabets by counting
-        seen = np.zeros(top**3 + 1, np.int64)
-        seen[triple + 1] = 1
-        names = np.cumsum(seen)[triple + 1]
-    else:
-        names = np.unique(triple, return_inverse=True)[1].astype(np.int64) + 1
-    if depth > 3:
-        names = _ranks(names, -(-depth // 3)) + 1
-    rank = np.zeros(n + 4, np.int64)
-    rank[sample] = names
-    most = int(names.max()) + 2
-    # The other suffixes are ordered by their first symbol and the rank of what follows, and merged with both samples.
-    first = p[zero] * most + rank[zero + 1]
-    order = np.argsort(first, kind="stable")
-    sorted_first = first[order]
-    key_one = np.sort(p[one] * most + rank[one + 1])
-    two_names = np.unique(np.concatenate([p[two] * top + p[two + 1], p[zero] * top + p[zero + 1]]), return_inverse=True)[1].astype(np.int64)
-    wide_two, wide_zero = two_names[: len(two)] * most + rank[two + 2], two_names[len(two) :] * most + rank[zero + 2]
-    sorted_wide, in_sample = np.sort(wide_zero), np.sort(names)
-    out = np.zeros(n + 2, np.int64)
-    out[one] = np.searchsorted(in_sample, rank[one]) + np.searchsorted(sorted_first, p[one] * most + rank[one + 1])
-    out[two] = np.searchsorted(in_sample, rank[two]) + np.searchsorted(sorted_wide, wide_two)
-    out[zero[order]] = np.searchsorted(key_one, sorted_first) + np.searchsorted(sorted_first, sorted_first)
-    out[zero] += np.searchsorted(np.sort(wide_two), wide_zero)
+    if depth <= 3:
+        return _triples(p[:n], p[1 : n + 1], p[2 : n + 2], top)
+    # Samples are the suffixes at 1 and 2 modulo 3; a last empty one stands in where n leaves none at 1.
+    ones, twos, zeros = (n + 1) // 3 if n % 3 != 1 else (n + 2) // 3, n // 3 if n % 3 != 2 else (n - 2) // 3, (n + 2) // 3
+    part = lambda k, m: p[k::3][:m]
+    names = _triples(*(np.concatenate([part(1 + k, ones), part(2 + k, twos)]) for k in range(3)), top)
+    names = _ranks(names + 1, -(-depth // 3)) + 1
+    most = int(names.max()) + 2 if len(names) else 2
+    one, two = np.zeros(zeros + 2, np.int64), np.zeros(zeros + 2, np.int64)
+    one[:ones], two[:twos] = names[:ones], names[ones:]
+    # The others are ordered by their first symbol and the rank of what follows, and merged with both samples.
+    first = part(0, zeros) * most + one[:zeros]
+    key_one = part(1, ones) * most + two[:ones]
+    pair_zero, pair_two = part(0, zeros) * top + part(1, zeros), part(2, twos) * top + part(3, twos)
+    if top * top * most >= 1 << 63:
+        pairs = _dense(np.concatenate([pair_zero, pair_two]))
+        pair_zero, pair_two = pairs[:zeros], pairs[zeros:]
+    wide_zero, wide_two = pair_zero * most + two[:zeros], pair_two * most + one[1 : twos + 1]
+    smaller = np.concatenate([[0], np.cumsum(np.bincount(names, minlength=most))])
+    out = np.zeros(n + 3, np.int64)
+    out[0::3][:zeros] = _below(first, first) + _below(first, key_one) + _below(wide_zero, wide_two)
+    out[1::3][:ones] = smaller[names[:ones]] + _below(key_one, first)
+    out[2::3][:twos] = smaller[names[ones:]] + _below(wide_two, wide_zero)
     return out[:n]
 
 
@@ -169,7 +190,7 @@ def first_documents(segments: np.ndarray, sizes: np.ndarray, ids: np.ndarray, le
     return out
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 8 << 20, bucket_bytes: int = 3 << 20, outputs: tuple[str, ...] = ("spans", "kept"), carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20, bucket_bytes: int = 3 << 20, outputs: tuple[str, ...] = ("spans", "kept"), carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of rows (doc_id, text), with the columns of ``docs`` named in ``carry``
     and these ``outputs``: ``spans``, removed runs as (start, bytes); ``kept``, what is left, as bytes; ``kept_text``, the same as text without
     characters that are cut in two."""
@@ -179,7 +200,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 8 << 20,
     carried = docs.drop("doc_id", "text").schema
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     batches = max(1, math.ceil(total / batch_bytes))
-    partitions = max(1, math.ceil(total / (32 << 20)))  # of anchors: about one in 16 bytes
+    partitions = max(1, math.ceil(total / (20 << 20)))  # of anchors: about one in 10 bytes
     buckets = max(1, math.ceil(total / (2 * bucket_bytes)))
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(batches)))
     groups = dealt.groupBy("batch")
