@@ -61,7 +61,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 16 << 20):
+            for part in pieces(batch, "text"):
                 coded, _ = tokens(part.column("text"))
                 n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
                 yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(n)], ["word", "n"])
@@ -80,7 +80,7 @@ def core_bigrams(texts: DataFrame, core: list[str]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(core, pa.string())
         for batch in batches:
-            for part in pieces(batch, "text", 16 << 20):
+            for part in pieces(batch, "text"):
                 coded, starts = tokens(part.column("text"))
                 code = _core_codes(coded, names)
                 before = _before(code, starts, core.index(END))
@@ -113,7 +113,7 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, classes: i
             pairs[old] -= r
             pairs[:, old] -= l
             pairs[old, old] -= own
-            rows, cols = pairs.sum(axis=1), pairs.sum(axis=0)
+            rows, cols = pairs.sum(axis=1) + l, pairs.sum(axis=0) + r  # with the word's pairs, whatever its class
             base = _xlogx(pairs)
             gain = (_xlogx(pairs + r) - base).sum(axis=1) + (_xlogx(pairs + l[:, None]) - base).sum(axis=0)
             diag = np.diag(pairs)
@@ -162,7 +162,7 @@ def _requests(batched: DataFrame, core: list[str], core_class: np.ndarray, evide
         before = _before(known, starts, 0)
         after = np.full(len(known), -1)
         after[:-1] = known[1:]
-        c = core_class.max() + 1
+        c = len(evidence)
         rest = (code < 0) & train
         says = np.zeros(words * c)
         for k in range(c):
@@ -180,9 +180,9 @@ def _requests(batched: DataFrame, core: list[str], core_class: np.ndarray, evide
     return batched.groupBy("batch").applyInArrow(ask, "batch long, word string, vote int, n long")
 
 
-def score_texts(docs: DataFrame, core: int = 1500, classes: int = 24, batch_bytes: int = 16 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, core: int = 1500, classes: int = 24, batch_bytes: int = 8 << 20) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of rows (doc_id, text, held_out)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text", "held_out")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     train = docs.where("NOT held_out")
     counts = settle(word_counts(train), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -253,7 +253,7 @@ def score_texts(docs: DataFrame, core: int = 1500, classes: int = 24, batch_byte
     for r in reduced.where("NOT held_out").select(F.explode(F.arrays_zip("pair", "times")).alias("x")).groupBy("x.pair").agg(F.sum("x.times")).collect():
         seen[r[0] // n_classes, r[0] % n_classes] = r[1]
     live = max(int((seen.sum(axis=0) > 0).sum()), 1)
-    step = np.log10((seen + 0.5) / (seen.sum(axis=1, keepdims=True) + 0.5 * live)) - np.log10(np.maximum(seen.sum(axis=0), 1)) + math.log10(1 - 10**unseen)
+    step = np.log10((seen + 0.5) / (seen.sum(axis=1, keepdims=True) + 0.5 * live)) - np.log10(np.maximum(seen.sum(axis=0), 1)) + math.log10(max(1 - 10**unseen, 1e-12))
     weight = step.ravel().tolist()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
