@@ -15,7 +15,7 @@ def scope(f: DataFrame) -> list[str]:
 def factor(cpt: DataFrame, vertex: str, parents: list[str]) -> DataFrame:
     """The factor of a vertex: a column for it and each parent."""
     rows = cpt.where(F.col("vertex") == vertex)
-    return rows.select(KEY, F.col("outcome").alias(vertex), *[F.col("parent_vals")[i].alias(pa) for i, pa in enumerate(parents)], "p")
+    return rows.select(KEY, F.col("outcome").alias(vertex), *[F.get("parent_vals", F.lit(i)).alias(pa) for i, pa in enumerate(parents)], "p")
 
 
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:

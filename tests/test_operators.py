@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specloom.functions.columns import completed, token_distance
-from specloom.operators import boolfn, edit, graphs, logic, network, paths, traces
+from specloom.operators import boolfn, edit, graphs, logic, network, paths, patterns, traces
 from specloom.sources import tables
 
 
@@ -29,7 +29,7 @@ def fx_a(spark):
 
 def vertices(cpt):
     v = cpt.groupBy("model_id", "vertex", "parents").agg(F.array_sort(F.collect_set("outcome")).alias("vals"))
-    return v.withColumn("signal", F.split("vertex", "_")[0]).withColumn("idx", F.split("vertex", "_")[1].cast("int"))
+    return v.withColumn("signal", F.split_part("vertex", F.lit("_"), F.lit(1))).withColumn("idx", F.split_part("vertex", F.lit("_"), F.lit(2)).cast("int"))
 
 
 def test_marginals_weights_paths(spark):
@@ -118,3 +118,12 @@ def test_model_files(spark, tmp_path):
     assert v.count() == 2 and e.select("src", "dst").collect() == [("A_0", "A_1")]
     tables.write_specs(spark.createDataFrame([(0.88449, "G(a)")], "probability double, ltl string"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value == "0.8845, G(a)"
+
+
+def test_pattern_merge(spark):
+    merge = lambda *seqs: patterns.merge_runs(spark.createDataFrame([("k", i, list(s), [False] * len(s)) for i, s in enumerate(seqs)], "key string, ord int, tokens array<string>, xable array<boolean>"), 10).withColumn("text", patterns.as_text(F.col("symbols"))).withColumn("ctl", patterns.as_ctl(F.col("symbols"))).orderBy(F.desc("step"))
+    row = patterns.metrics(merge("ABCDEF", "AbCDeF")).first()
+    assert row.text.replace("<F>", "") == "(A)(B|b)(C)(D)(E|e)(F)" and (row.length, row.letters, row.strings, row.compared) == (6, 4, 4, True)
+    row = patterns.metrics(merge("ACE", "CE")).first()
+    assert row.length == 2 and row.ctl == "E(A U (C and EX(E)))"
+    assert patterns.metrics(merge("A")).first().length == 0
