@@ -15,7 +15,9 @@ from .operators import network as nw
 from .operators import paths as pt
 from .operators import sampling as sm
 from .operators import traces as tr
-from .sources.tables import checkpointed, read
+from .plans import mining
+from .sources.tables import checkpointed, read, work_path
+from .streaming import windows
 
 LENGTH, CUT, MODELS = 5, 115, 4
 THETA = 0.7
@@ -566,3 +568,15 @@ def _(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns the networks of ``events`` and lists the state paths above the threshold."""
     return QUERIES["paths_threshold"](spark, sf_dir)
+
+
+@query("pattern_merge")
+def _(spark, sf_dir):
+    """Accepted paths merged with their nearest ones; depends on order, so there is no SQL (tests compare worked cases)."""
+    return mining.patterns_of_paths(_numbered(spark, sf_dir), 4)
+
+
+@query("stream_window_counts", "WITH h AS (SELECT date_trunc('hour', ts) AS w, event_type, ts FROM events) SELECT w AS \"start\", event_type, count(*) AS n FROM h WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY w, event_type")
+def _(spark, sf_dir):
+    counted = windows.run_to_end(windows.window_counts(windows.event_stream(spark, sf_dir)), work_path(spark))
+    return counted.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

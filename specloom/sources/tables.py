@@ -12,18 +12,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration by a table in the folder that all executors share."""
-    spark = df.sparkSession
+def work_path(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share; removed when the application ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     path = f"{root.rstrip('/')}/specloom/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of an iteration by a table in the shared folder."""
+    spark = df.sparkSession
+    path = work_path(spark)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
