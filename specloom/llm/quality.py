@@ -134,11 +134,14 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 250, pair_rounds: int = 60,
         for i, j, t in model["pairs"]:
             p, cell = chance(), rough[i] * coarse + rough[j]
             g, h = np.bincount(cell, y - p, coarse * coarse).reshape(coarse, coarse), np.bincount(cell, p * (1 - p), coarse * coarse).reshape(coarse, coarse)
-            top = _tree(g.sum(axis=1), h.sum(axis=1), 2)
-            side, step = top == top[0], np.zeros((coarse, coarse))
-            for rows in (side, ~side):
-                if rows.any():
-                    step[rows] = rate * _tree(g[rows].sum(axis=0), h[rows].sum(axis=0), 2)
+            best, step = -1.0, np.zeros((coarse, coarse))
+            for cut in range(1, coarse):  # a split of one feature, and on each side one of the other
+                sides = [(rows, _tree(g[rows].sum(axis=0), h[rows].sum(axis=0), 2)) for rows in (slice(0, cut), slice(cut, coarse))]
+                value = sum(float((g[rows].sum(axis=0) * leaf).sum()) for rows, leaf in sides)
+                if value > best:
+                    best = value
+                    for rows, leaf in sides:
+                        step[rows] = rate * leaf
             t += step
             score += step.ravel()[cell]
     return model | {"coarse": coarse}
