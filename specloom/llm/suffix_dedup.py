@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 LENGTH = 50
-ANCHOR = 32
+ANCHOR = 20
 LAST = (1 << 63) - 1
 _U = np.uint64
 
@@ -73,9 +73,11 @@ class Batch:
             return
         eight = _words_at(self.bytes)
         h, m = np.zeros(total - ANCHOR + 1, _U), total - ANCHOR + 1
-        for k in range(0, ANCHOR, 8):
+        for k in [*range(0, ANCHOR - 7, 8), *([ANCHOR - 8] if ANCHOR % 8 else [])]:
             h ^= eight[k : k + m]
-            h = _mix(h * _U(0x9E3779B97F4A7C15))
+            h *= _U(0x9E3779B97F4A7C15)
+            h ^= h >> _U(32)
+        h = _mix(h)
         del eight
         # Smallest hash among the length - ANCHOR + 1 substrings of each window: minima over spans that double.
         span, width = 1, length - ANCHOR + 1
@@ -117,11 +119,12 @@ def _dense(x: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _below(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """For each key how many of the others are smaller."""
-    order = np.argsort(keys)
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.searchsorted(np.sort(others), keys[order])
+def _between(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each number of a how many of b are smaller, and the other way round."""
+    out = np.empty(len(a), np.int64), np.empty(len(b), np.int64)
+    i, j = np.argsort(a), np.argsort(b)
+    x, y = a[i], b[j]
+    out[0][i], out[1][j] = np.searchsorted(y, x), np.searchsorted(x, y)
     return out
 
 
@@ -137,8 +140,8 @@ def _triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, top: int) -> np.ndarra
     return _dense(_dense(a * top + b) * top + c)
 
 
-def _ranks(s: np.ndarray, depth: int) -> np.ndarray:
-    """Numbers that order the suffixes of ``s`` (numbers of 1 or more) by at least ``depth`` first symbols."""
+def _ranks(s: np.ndarray, depth: int, need: np.ndarray | None = None) -> np.ndarray:
+    """Numbers that order the suffixes of ``s`` (numbers of 1 or more) by at least ``depth`` first symbols, for those marked in ``need``."""
     n = len(s)
     p = np.concatenate([s, np.zeros(6, np.int64)])
     top = int(p.max()) + 1
@@ -148,23 +151,32 @@ def _ranks(s: np.ndarray, depth: int) -> np.ndarray:
     ones, twos, zeros = (n + 1) // 3 if n % 3 != 1 else (n + 2) // 3, n // 3 if n % 3 != 2 else (n - 2) // 3, (n + 2) // 3
     part = lambda k, m: p[k::3][:m]
     names = _triples(*(np.concatenate([part(1 + k, ones), part(2 + k, twos)]) for k in range(3)), top)
-    names = _ranks(names + 1, -(-depth // 3)) + 1
+    want = np.zeros(3 * (zeros + 2), bool)
+    want[:n] = True if need is None else need
+    of = [want[k::3] for k in range(3)]
+    # A suffix is ranked by the sample it is or that follows it.
+    follow = of[0] | of[1]
+    need_two = (follow | of[2])[:twos]
+    need_one = (follow | np.concatenate([[False], of[2][:-1]]))[:ones]
+    names = _ranks(names + 1, -(-depth // 3), np.concatenate([need_one, need_two])) + 1
     most = int(names.max()) + 2 if len(names) else 2
     one, two = np.zeros(zeros + 2, np.int64), np.zeros(zeros + 2, np.int64)
     one[:ones], two[:twos] = names[:ones], names[ones:]
+    z, i, j = np.flatnonzero(of[0][:zeros]), np.flatnonzero(of[1][:ones]), np.flatnonzero(of[2][:twos])
     # The others are ordered by their first symbol and the rank of what follows, and merged with both samples.
-    first = part(0, zeros) * most + one[:zeros]
-    key_one = part(1, ones) * most + two[:ones]
-    pair_zero, pair_two = part(0, zeros) * top + part(1, zeros), part(2, twos) * top + part(3, twos)
+    first, key_one = p[3 * z] * most + one[z], p[3 * i + 1] * most + two[i]
+    pair_zero, pair_two = p[3 * z] * top + p[3 * z + 1], p[3 * j + 2] * top + p[3 * j + 3]
     if top * top * most >= 1 << 63:
         pairs = _dense(np.concatenate([pair_zero, pair_two]))
-        pair_zero, pair_two = pairs[:zeros], pairs[zeros:]
-    wide_zero, wide_two = pair_zero * most + two[:zeros], pair_two * most + one[1 : twos + 1]
-    smaller = np.concatenate([[0], np.cumsum(np.bincount(names, minlength=most))])
+        pair_zero, pair_two = pairs[: len(z)], pairs[len(z) :]
+    zero_one, one_zero = _between(first, key_one)
+    zero_two, two_zero = _between(pair_zero * most + two[z], pair_two * most + one[j + 1])
+    smaller = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate([one[i], two[j]]), minlength=most))])
     out = np.zeros(n + 3, np.int64)
-    out[0::3][:zeros] = _below(first, first) + _below(first, key_one) + _below(wide_zero, wide_two)
-    out[1::3][:ones] = smaller[names[:ones]] + _below(key_one, first)
-    out[2::3][:twos] = smaller[names[ones:]] + _below(wide_two, wide_zero)
+    own = np.sort(first)
+    out[3 * z] = np.searchsorted(own, first) + zero_one + zero_two
+    out[3 * i + 1] = smaller[one[i]] + one_zero
+    out[3 * j + 2] = smaller[two[j]] + two_zero
     return out[:n]
 
 
@@ -174,7 +186,9 @@ def first_documents(segments: np.ndarray, sizes: np.ndarray, ids: np.ndarray, le
     windows = sizes - length + 1
     owner = np.repeat(np.arange(len(sizes)), windows)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + starts[owner]
-    rank = _ranks(segments.astype(np.int64) + 1, length)[at]
+    need = np.zeros(len(segments), bool)
+    need[at] = True
+    rank = _ranks(segments.astype(np.int64) + 1, length, need)[at]
     order = np.argsort(rank, kind="stable")
     pos, eight = at[order], _words_at(segments)
     new = np.ones(len(pos), bool)
@@ -200,7 +214,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20,
     carried = docs.drop("doc_id", "text").schema
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     batches = max(1, math.ceil(total / batch_bytes))
-    partitions = max(1, math.ceil(total / (20 << 20)))  # of anchors: about one in 10 bytes
+    partitions = max(1, math.ceil(total / (32 << 20)))  # of anchors: about one in 16 bytes
     buckets = max(1, math.ceil(total / (2 * bucket_bytes)))
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(batches)))
     groups = dealt.groupBy("batch")
@@ -222,7 +236,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20,
         batch, own = t.column("batch").to_numpy(), [np.frombuffer(x, np.uint32) for x in t.column("bits").to_pylist()]
         values, times = np.unique(np.concatenate(own), return_counts=True)
         values = values[times > 1]
-        hits = [np.intersect1d(x, values) for x in own]
+        hits = [x[values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x] if len(values) else x[:0] for x in own]
         return pa.table({"batch": pa.array(batch), "part": t.column("part"), "bits": pa.array([x.tobytes() for x in hits], pa.binary())})
 
     answers = groups.applyInArrow(anchors, "part long, batch long, bits binary").groupBy("part").applyInArrow(shared, "batch long, part long, bits binary")
