@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from specloom.functions.columns import completed, token_distance
+from specloom.functions.columns import completed, index_of, token_distance
 from specloom.operators import boolfn, edit, graphs, logic, network, paths, patterns, traces
 from specloom.sources import tables
 
@@ -29,7 +29,7 @@ def fx_a(spark):
 
 def vertices(cpt):
     v = cpt.groupBy("model_id", "vertex", "parents").agg(F.array_sort(F.collect_set("outcome")).alias("vals"))
-    return v.withColumn("signal", F.split_part("vertex", F.lit("_"), F.lit(1))).withColumn("idx", F.split_part("vertex", F.lit("_"), F.lit(2)).cast("int"))
+    return v.withColumn("signal", F.split_part("vertex", F.lit("_"), F.lit(1))).withColumn("idx", index_of(F.col("vertex")))
 
 
 def test_marginals_weights_paths(spark):
