@@ -7,10 +7,11 @@
    the similarity, most precisely for high ones.
 3. Members of a band bucket are linked with the bucket's smallest id. Sketches drop the pairs that are far from the threshold;
    the others are confirmed on both full sets. Components follow.
-4. A bucket that still has several components may hide links between members that aren't its smallest. Such buckets are
-   compared in full, block of members against block of members, by sketches inside tasks; only pairs of different components
-   that the sketches don't rule out are given out and confirmed. So no link between the components is lost, and a bucket of
-   thousands of near copies is one component before step 4 and is never compared pair by pair.
+4. A bucket that still has several components may hide links between members that aren't its smallest. Members of such buckets
+   are compared by sketches inside tasks, block against block, which gives clusters of nodes that may be similar across
+   components. Clusters are compared by full sets the same way; what comes out is a confirmed link for each pair of components,
+   never the pairs that were looked at. So no link between components is lost, and a bucket of thousands of near copies that
+   are one component before step 4 is not compared again.
 
 With 32 bands of 4 rows, a pair of similarity 0.75 shares no bucket with a chance of 0.5 in 100,000. The sketch limit is 0.15 below the
 threshold, about five deviations of the estimate.
@@ -157,14 +158,37 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
-def _hidden(members: DataFrame, k: int, limit: float, size: int = 512) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket that sketches don't rule out. ``members``: (key, node, component,
-    sketch) of the buckets with several components. Blocks of a bucket meet each other as rows of arrays."""
-    n = members.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = members.join(n, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / size)).cast("int"))
-    blocks = dealt.groupBy("key", "part").agg(F.collect_list(F.struct("node", "component", "sketch")).alias("rows"))
-    left = blocks.select("key", F.col("part").alias("p"), F.col("rows").alias("left"))
-    pairs = left.join(blocks.select("key", F.col("part").alias("q"), F.col("rows").alias("right")), "key").where("p <= q")
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes is connected with by links a, b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _blocks(rows: DataFrame, group: str, columns: list[str], size: int) -> DataFrame:
+    """Pairs of blocks (left, right: arrays of structs) of a group; a block has about ``size`` members. Blocks of one large component
+    have no other members and aren't paired with each other."""
+    n = rows.groupBy(group, "component").agg(F.count("*").alias("m")).withColumn("owner", F.when(F.col("m") > size // 8, F.col("component")))
+    of = n.groupBy(group, "owner").agg(F.sum("m").alias("all"))
+    dealt = rows.join(n.select(group, "component", "owner"), [group, "component"]).join(of.select(F.col(group).alias("g"), F.col("owner").alias("o"), "all"), (F.col(group) == F.col("g")) & F.col("owner").eqNullSafe(F.col("o")))
+    part = F.concat_ws("/", "owner", F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / size)))
+    blocks = dealt.groupBy(group, "owner", part.alias("part")).agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    left = blocks.select(group, F.col("owner").alias("own_l"), F.col("part").alias("p"), F.col("rows").alias("left"))
+    right = blocks.select(group, F.col("owner").alias("own_r"), F.col("part").alias("q"), F.col("rows").alias("right"))
+    other = ~F.coalesce(F.col("own_l") == F.col("own_r"), F.lit(False))
+    return left.join(right, group).where((F.col("p") <= F.col("q")) & other).select("left", "right")
+
+
+def _doubtful(members: DataFrame, k: int, limit: float, size: int = 512) -> DataFrame:
+    """Links (a, b) that connect, within their buckets, the nodes of different components that sketches don't rule out as similar:
+    not pairs, but as few links as connect them. ``members``: (key, node, component, sketch) of the buckets with several components."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,12 +196,59 @@ def _hidden(members: DataFrame, k: int, limit: float, size: int = 512) -> DataFr
                 x, y = left.values, right.values
                 (a, ca), (b, cb) = ((v.field("node").to_numpy(), v.field("component").to_numpy()) for v in (x, y))
                 sa, sb = _bits(x.field("sketch")), _bits(y.field("sketch"))
+                one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for i in range(len(a)):
                     on = np.flatnonzero(cb != ca[i])
                     on = on[estimate(sa[i], sb[on], k) >= limit]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[on])), pa.array(np.maximum(a[i], b[on]))], ["a", "b"])
+                    one.append(np.full(len(on), i))
+                    two.append(on + len(a))
+                one, two = np.concatenate(one), np.concatenate(two)
+                nodes, used = np.concatenate([a, b]), np.unique(np.concatenate([one, two]))
+                root = _labels(len(nodes), one, two)[used]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[root]), pa.array(nodes[used])], ["a", "b"])
 
-    return pairs.select("left", "right").mapInArrow(compare, "a long, b long").distinct()
+    return _blocks(members, "key", ["node", "component", "sketch"], size).mapInArrow(compare, "a long, b long").distinct()
+
+
+def _hidden(doubtful: DataFrame, labelled: DataFrame, texts: DataFrame, width: int, percent: int, k: int, limit: float, size: int = 512) -> DataFrame:
+    """Confirmed links (a, b) between different components among connected ``doubtful`` nodes, one for each pair of components and blocks.
+    Full sets meet in tasks, block against block. ``labelled``: (node, component, sketch)."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                s, at = shingle_sets(part.column("text"), width)
+                raw = s.tobytes()
+                sets = [raw[i * 8 : j * 8] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
+
+    cluster = components(doubtful).select("node", F.col("component").alias("cluster"))
+    sets = texts.join(cluster, "node", "left_semi").mapInArrow(shingled, "node long, set binary")
+    rows = settle(cluster.join(labelled, "node").join(sets, "node"), "clusters")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                x, y = left.values, right.values
+                (a, ca), (b, cb) = ((v.field("node").to_numpy(), v.field("component").to_numpy()) for v in (x, y))
+                sa, sb = _bits(x.field("sketch")), _bits(y.field("sketch"))
+                own, other = ([np.frombuffer(z, np.uint64) for z in v.field("set").to_pylist()] for v in (x, y))
+                found: dict = {}
+                for i, s in enumerate(own):
+                    on = np.flatnonzero(cb != ca[i])
+                    on = on[estimate(sa[i], sb[on], k) >= limit]
+                    on = on[[(ca[i], c) not in found for c in cb[on].tolist()]] if len(on) else on
+                    if not len(on) or not len(s):
+                        continue
+                    each = np.array([len(other[j]) for j in on])
+                    every = np.concatenate([other[j] for j in on])
+                    hit = s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every
+                    both = np.bincount(np.repeat(np.arange(len(on)), each), hit, len(on))
+                    for j in on[100 * both >= percent * (len(s) + each - both)].tolist():
+                        found.setdefault((ca[i], cb[j]), (a[i], b[j]))
+                yield pa.RecordBatch.from_arrays([pa.array([v[z] for v in found.values()], pa.int64()) for z in (0, 1)], ["a", "b"])
+
+    return _blocks(rows, "cluster", ["node", "component", "sketch", "set"], size).mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 0.15) -> DataFrame:
@@ -208,10 +279,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     labelled = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
     mixed = settle(mixed, "mixed")
-    hidden = settle(_hidden(labelled.join(mixed, "key", "left_semi").join(sketch, "node"), k, limit), "hidden")
-    more = _confirmed(hidden.join(promising, ["a", "b"], "left_anti"), texts, width, percent)
+    doubtful = settle(_doubtful(labelled.join(mixed, "key", "left_semi").join(sketch, "node"), k, limit), "doubtful")
+    with_component = reps.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sketch")
+    more = _hidden(doubtful, with_component, texts, width, percent, k, limit)
     found_all = settle(components(links.union(more).union(found.select("component", "node"))), "components")
-    drop(heads, members, promising, found, mixed, hidden)
+    drop(heads, members, promising, found, mixed, doubtful)
 
     of_class = classes.join(found_all, "node", "left").select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("component"))
     named = signed.join(of_class, F.col("digest") == F.col("d"), "left")
