@@ -501,6 +501,82 @@ def _(spark, sf_dir):
     return gr.sources(_strong(spark, sf_dir))
 
 
+# ---- transition systems of the learned networks: every edge with all pairs of values, nothing dropped
+
+NET = f"""{LEARN}, iv AS (SELECT model_id, signal, outcome, row_number() OVER (PARTITION BY model_id, signal ORDER BY outcome) - 1 AS i FROM val),
+ns AS (SELECT x.model_id, x.vertex, x.model_id || '/' || x.vertex || ':' || iv.i AS state, x.signal || ':' || iv.outcome AS ap FROM vert x JOIN iv ON iv.model_id = x.model_id AND iv.signal = x.signal
+  UNION ALL SELECT m, b, m || '/' || b || ':0', b || ':0' FROM (SELECT DISTINCT model_id AS m FROM vert) x, (SELECT unnest(['start', 'terminal']) AS b) y),
+ne AS (SELECT model_id, signal || '_' || (k - 1) AS a, vertex AS b FROM vert WHERE k > 0 UNION ALL SELECT model_id, 'E_' || (k - 1), vertex FROM vert WHERE k > 0 AND signal = 'V'
+  UNION ALL SELECT model_id, 'start', vertex FROM vert WHERE k = 0 UNION ALL SELECT model_id, vertex, 'terminal' FROM vert WHERE k = {LENGTH - 1}
+  UNION ALL SELECT DISTINCT model_id, 'terminal', 'terminal' FROM vert),
+states AS (SELECT state FROM ns), labels AS (SELECT state, ap FROM ns),
+trans AS (SELECT x.state AS src, y.state AS dst FROM ne JOIN ns x ON x.model_id = ne.model_id AND x.vertex = ne.a JOIN ns y ON y.model_id = ne.model_id AND y.vertex = ne.b)"""
+
+
+def _network_kripke(spark, sf_dir):
+    v = checkpointed(nw.vertices(checkpointed(counts(spark, sf_dir))))
+    return lg.of_network(v, nw.edges(v).union(nw.boundary_edges(v))).checked()
+
+
+@query("network_kripke_transitions", f"WITH {NET} SELECT src, dst FROM trans")
+def _(spark, sf_dir):
+    return _network_kripke(spark, sf_dir).transitions
+
+
+@query("network_kripke_labels", f"WITH {NET} SELECT state, ap FROM labels")
+def _(spark, sf_dir):
+    return _network_kripke(spark, sf_dir).labels
+
+
+_BUY, _ERR, _HI, _LO = "E:purchase", "E:error", "V:hi", "V:lo"
+NETWORK_FORMULAS = {
+    "ap": _BUY, "not": ("not", _BUY), "or": ("or", _BUY, _HI), "and": ("and", _BUY, ("EX", _HI)), "imply": ("imply", _BUY, ("EX", _HI)),
+    "ex": ("EX", _BUY), "ax": ("AX", ("or", _HI, _LO)), "ef": ("EF", _ERR), "af": ("AF", ("or", _HI, _LO)), "eg": ("EG", ("not", _ERR)), "ag": ("AG", ("not", _ERR)),
+    "eu": ("EU", ("not", _ERR), _BUY), "au": ("AU", ("not", _ERR), "terminal:0"), "er": ("ER", _HI, ("not", _ERR)), "ar": ("AR", _BUY, ("not", _ERR)), "ew": ("EW", ("not", _ERR), _BUY), "aw": ("AW", ("or", _HI, _LO), "terminal:0"),
+    "option": ("EU", "E:view", ("and", "E:click", ("EX", _BUY))),
+}
+for _name, _formula in NETWORK_FORMULAS.items():
+
+    @query(f"network_ctl_{_name}", f"WITH {NET} SELECT state FROM ({_sat_sql(_formula)})")
+    def _(spark, sf_dir, formula=_formula):
+        return _network_kripke(spark, sf_dir).sat(formula)
+
+
+_NET_CLOSURE = "clo AS (SELECT src AS x, dst AS y FROM trans UNION SELECT clo.x, t.dst FROM clo JOIN trans t ON t.src = clo.y)"
+
+
+@query("network_ctl_fair", f"WITH RECURSIVE {NET}, {_NET_CLOSURE}, good AS (SELECT DISTINCT a.x FROM clo a JOIN clo b ON a.x = b.y AND a.y = b.x JOIN labels l ON l.state = a.y AND l.ap = 'terminal:0') SELECT x AS state FROM good UNION SELECT x FROM clo WHERE y IN (SELECT x FROM good)")
+def _(spark, sf_dir):
+    return _network_kripke(spark, sf_dir).fair_states(["terminal:0"])
+
+
+@query("network_reachable_set", f"WITH RECURSIVE {NET}, r AS (SELECT state AS node FROM labels WHERE ap = 'E:signup' UNION SELECT t.dst FROM r JOIN trans t ON t.src = r.node) SELECT node FROM r")
+def _(spark, sf_dir):
+    k = _network_kripke(spark, sf_dir)
+    return gr.reachable(k.transitions, k.sat("E:signup").select(F.col("state").alias("node")))
+
+
+@query("network_scc", f"WITH RECURSIVE {NET}, {_NET_CLOSURE} SELECT state AS node, coalesce((SELECT min(a.y) FROM clo a JOIN clo b ON a.x = b.y AND a.y = b.x WHERE a.x = state), state) AS component FROM states")
+def _(spark, sf_dir):
+    return gr.strong_components(_network_kripke(spark, sf_dir).transitions)
+
+
+@query("network_induced_subgraph", f"WITH {NET}, n AS (SELECT state FROM labels WHERE ap IN ('E:view', 'E:click')) SELECT src, dst FROM trans WHERE src IN (FROM n) AND dst IN (FROM n)")
+def _(spark, sf_dir):
+    k = _network_kripke(spark, sf_dir)
+    return gr.induced(k.transitions, k.sat(("or", "E:view", "E:click")).select(F.col("state").alias("node")))
+
+
+@query("network_reversed_graph", f"WITH {NET} SELECT dst AS src, src AS dst FROM trans")
+def _(spark, sf_dir):
+    return gr.reversed_graph(_network_kripke(spark, sf_dir).transitions)
+
+
+@query("network_graph_sources", f"WITH {NET} SELECT DISTINCT src AS node FROM trans")
+def _(spark, sf_dir):
+    return gr.sources(_network_kripke(spark, sf_dir).transitions)
+
+
 # ---- boolean functions
 
 _TRUTH = f"""tt AS (SELECT a, b, c, count(e.event_id) AS n FROM (SELECT unnest([false, true]) AS a) JOIN (SELECT unnest([false, true]) AS b) ON true JOIN (SELECT unnest([false, true]) AS c) ON true

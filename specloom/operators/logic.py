@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
 from .graphs import reachable, reversed_graph, strong_components
+from .network import START, TERMINAL
 
 TRUE = ("true",)
 
@@ -117,3 +118,17 @@ class Kripke:
 
     def _before(self, states: DataFrame) -> DataFrame:
         return self.transitions.join(states.select(F.col("state").alias("dst")), "dst", "left_semi").select(F.col("src").alias("state")).distinct()
+
+
+def of_network(vertices: DataFrame, edges: DataFrame) -> Kripke:
+    """The structure of networks (vertices with signal and vals; edges from start and into terminal included): a state model/vertex:i for each
+    value of each vertex, a transition for every edge and pair of values whatever its probability, a loop at each terminal, and signal:value labels.
+    Models share no state, so formulas hold for each model as if it were alone."""
+    own = vertices.select("model_id", "vertex", "signal", F.posexplode("vals").alias("i", "value"))
+    ends = vertices.select("model_id").distinct().select("model_id", F.explode(F.array(F.lit(START), F.lit(TERMINAL))).alias("vertex"))
+    own = own.union(ends.select("model_id", "vertex", "vertex", F.lit(0), F.lit("0")))
+    own = checkpointed(own.withColumn("state", F.concat("model_id", F.lit("/"), "vertex", F.lit(":"), F.col("i").cast("string"))))
+    loops = edges.select("model_id").distinct().select("model_id", F.lit(TERMINAL), F.lit(TERMINAL))
+    a, b = (own.select("model_id", F.col("vertex").alias(n), F.col("state").alias(f"{n}_state")) for n in ("src", "dst"))
+    t = edges.select("model_id", "src", "dst").union(loops).join(a, ["model_id", "src"]).join(b, ["model_id", "dst"])
+    return Kripke(own.select("state"), checkpointed(t.select(F.col("src_state").alias("src"), F.col("dst_state").alias("dst"))), own.select("state", F.concat_ws(":", "signal", "value").alias("ap")))

@@ -100,6 +100,17 @@ def test_partial_relation_is_an_error(spark):
         kripke(spark, [(1, 2)], [(1, "p")]).checked()
 
 
+def test_network_structure_is_whole(spark):
+    """Every edge with all pairs of values, those of probability zero too; a cut at 4 % of a state's steps would lose most of 60 values."""
+    vals = [f"x{i:02d}" for i in range(60)]
+    v = spark.createDataFrame([("m", "A_0", "A", 0, [], vals), ("m", "A_1", "A", 1, ["A_0"], vals), ("n", "A_0", "A", 0, [], ["y"]), ("n", "A_1", "A", 1, ["A_0"], ["y"])], "model_id string, vertex string, signal string, idx int, parents array<string>, vals array<string>")
+    k = logic.of_network(v, network.edges(v).union(network.boundary_edges(v))).checked()
+    got = {(r.src, r.dst) for r in k.transitions.collect()}
+    want = {(f"m/A_0:{i}", f"m/A_1:{j}") for i in range(60) for j in range(60)} | {("m/start:0", f"m/A_0:{i}") for i in range(60)} | {(f"m/A_1:{i}", "m/terminal:0") for i in range(60)} | {("m/terminal:0", "m/terminal:0")}
+    assert got == want | {("n/start:0", "n/A_0:0"), ("n/A_0:0", "n/A_1:0"), ("n/A_1:0", "n/terminal:0"), ("n/terminal:0", "n/terminal:0")} and k.transitions.count() == len(got)
+    assert {r.state for r in k.sat(("EX", "A:x07")).collect()} == {"m/start:0", *(f"m/A_0:{i}" for i in range(60))}
+
+
 def test_components_and_reach(spark):
     e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (4, 4)], "src int, dst int")
     assert {r.node: r.component for r in graphs.strong_components(e).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
