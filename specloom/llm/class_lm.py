@@ -3,19 +3,22 @@
 p(word | word before) = p(class | class before) * p(word | class); the end of a text is a token with a class of its own, and
 is what stands before the first word. Word classes:
 
-1. The ``core`` most frequent words are clustered by the exchange algorithm: words move one at a time to the class
-   that raises the likelihood of their class bigrams most, until a sweep moves none. It works on core bigram counts, at most
-   core^2 of them, however large the corpus is.
-2. Every other training word goes to the class that makes its neighbours in the corpus likeliest. Each batch of texts decides
-   for its own occurrences, and the class with most occurrences behind it wins.
+1. Seeds: the ``core`` most frequent words are clustered by the exchange algorithm in one task: words move one at a time to the class
+   that raises the likelihood of their class bigrams most, until a sweep moves none. It works on core bigram counts.
+2. Rounds over the whole training vocabulary, the seeds included: each batch of texts sums (word, neighbour class, side, count), the sums are
+   added up by word over the corpus, and every word moves to the class that raises the likelihood most against the table of all class pairs.
+   In the first round neighbours are seeds, later all words. Rounds go on while they raise the likelihood by ``least_gain`` of the classes' part.
+
+A class depends on sums over the corpus only, never on how texts are dealt. The number of classes grows with the cube root of the vocabulary, so the
+table of class pairs grows more slowly than the vocabulary and stays small.
 
 Class transitions and emissions are then counted over all training tokens. Transitions are smoothed by adding to counts; within its
 class a known word has its share of the class's tokens. An unseen word gets the base model's probability of one, and the
 class before it stays the context.
 
-Scale: texts are dealt once into batches of about ``batch_bytes`` by a hash. A batch asks for the counts and classes of its own
-distinct words only, so tokens are never shuffled; both steps that read batches share one shuffle. A document is reduced to its class-pair counts before the transition table is
-known, so texts are read once for scoring.
+Scale: texts are dealt once into batches of about ``batch_bytes`` by a hash and stored as numbers of words. In each round a batch asks for the
+classes of its own distinct words only, so tokens are never shuffled by word. A document is reduced to its class-pair counts before the transition
+table is known.
 
 Defined cases: null and empty texts are the end token alone; without training rows all tokens are unknown; repeated rows
 are scored (and learned from) each; a null id counts as the empty text for the split; other columns are ignored.
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, pieces, remainder, settle, split_words, table
@@ -147,86 +150,199 @@ def _fit_core(bigrams: DataFrame, words: int, classes: int) -> np.ndarray:
     return out
 
 
-def _requests(batched: DataFrame, core: list[str], core_class: np.ndarray, evidence: np.ndarray) -> DataFrame:
-    """Rows (batch, word, vote, n) for the distinct words outside the core of each batch: the class its training occurrences
-    there speak for, and how many those are (0 for words that occur in held-out texts only)."""
+def _encoded(batched: DataFrame) -> DataFrame:
+    """A row for each batch: its distinct words, its tokens as places in these, where texts start, and the texts' columns."""
 
-    def ask(t: pa.Table) -> pa.Table:
+    def encode(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        text = t.column("text").chunk(0) if t.num_rows else pa.array([], pa.string())
-        coded, starts = tokens(text)
-        names, words = pa.array(core, pa.string()), len(coded.dictionary)
-        code, codes = _core_codes(coded, names), coded.indices.to_numpy()
-        train = np.repeat(~t.column("held_out").to_numpy(), np.diff(starts))
-        known = np.where(code >= 0, core_class[code], -1)
-        before = _before(known, starts, 0)
-        after = np.full(len(known), -1)
-        after[:-1] = known[1:]
-        c = len(evidence)
-        rest = (code < 0) & train
-        says = np.zeros(words * c)
-        for k in range(c):
-            seen = rest & (before == k)
-            says += np.outer(np.bincount(codes[seen], minlength=words), evidence[k]).ravel()
-            seen = rest & (after == k)
-            says += np.outer(np.bincount(codes[seen], minlength=words), evidence[:, k]).ravel()
-        n = np.bincount(codes[rest], minlength=words)
-        out = np.zeros(words, bool)
-        out[codes[code < 0]] = True
-        vote = 1 + says.reshape(words, c)[:, 1:].argmax(axis=1) if c > 1 else np.zeros(words, int)
-        at = np.flatnonzero(out)
-        return pa.table({"batch": pa.array(np.full(len(at), t.column("batch")[0].as_py() if t.num_rows else 0)), "word": coded.dictionary.take(pa.array(at)).cast(pa.string()), "vote": pa.array(vote[at].astype(np.int32)), "n": pa.array(n[at])})
-
-    return batched.groupBy("batch").applyInArrow(ask, "batch long, word string, vote int, n long")
-
-
-def score_texts(docs: DataFrame, core: int = 1500, classes: int = 24, batch_bytes: int = 8 << 20) -> DataFrame:
-    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of rows (doc_id, text, held_out)."""
+        coded, starts = tokens(t.column("text").chunk(0))
+        cell = lambda x, kind: pa.array([x], pa.list_(kind))
+        return pa.table({
+            "batch": pa.array([t.column("batch")[0].as_py()]), "words": pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.string())), "codes": cell(coded.indices.to_numpy(), pa.int32()),
+            "starts": cell(starts.astype(np.int32), pa.int32()), "doc_id": pa.ListArray.from_arrays([0, t.num_rows], t.column("doc_id").chunk(0)), "held_out": pa.ListArray.from_arrays([0, t.num_rows], t.column("held_out").chunk(0)),
+        })
+
+    return batched.groupBy("batch").applyInArrow(encode, "batch long, words array<string>, codes array<int>, starts array<int>, doc_id array<long>, held_out array<boolean>")
+
+
+def _cell(t, name: str) -> pa.Array:
+    """The values of a list column's only row."""
+    return t.column(name).combine_chunks().flatten() if isinstance(t, pa.Table) else t.column(name).flatten()
+
+
+NEIGHBOURS = "word string, code int, n long"
+
+
+def _neighbours(t, classes: int, known: pa.Array, kinds: np.ndarray) -> pa.Table:
+    """Rows (word, code, n) of an encoded batch's training tokens: how often a word stands before a word of class ``code``, after one of
+    class ``code - classes``, or before itself (2 * classes). Words without a class are left out as neighbours."""
+    words, codes, starts = _cell(t, "words"), _cell(t, "codes").to_numpy().astype(np.int64), _cell(t, "starts").to_numpy()
+    w = len(words)
+    kind = np.full(w, -1, np.int64)
+    at = pc.index_in(words, known).to_numpy(zero_copy_only=False) if len(known) else np.full(w, np.nan)
+    hit = ~np.isnan(at.astype(float))
+    kind[hit] = kinds[at[hit].astype(np.int64)]
+    end = pc.index(words, END).as_py()
+    train = np.repeat(~_cell(t, "held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(starts))
+    pair, n = np.unique((_before(codes, starts, end) * w + codes)[train], return_counts=True)
+    a, b = pair // w, pair % w
+    width = 2 * classes + 1
+    own, right, left = a == b, (a != b) & (kind[b] >= 0), (a != b) & (kind[a] >= 0)
+    key = np.concatenate([a[own] * width + 2 * classes, a[right] * width + kind[b[right]], b[left] * width + classes + kind[a[left]]])
+    key, back = np.unique(key, return_inverse=True)
+    total = np.bincount(back, np.concatenate([n[own], n[right], n[left]]), len(key)).astype(np.int64)
+    return pa.table({"word": words.take(pa.array(key // width)), "code": pa.array((key % width).astype(np.int32)), "n": pa.array(total)})
+
+
+def _answers(encoded: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Rows (for_batch, word, c, class): what each batch needs to know of its own words, by one shuffle on the word."""
+    return encoded.select("batch", F.explode("words").alias("word")).join(kinds.select("word", "c", "class"), "word").select(F.col("batch").alias("for_batch"), "word", "c", "class")
+
+
+def _with_neighbours(kinds: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (word, c, class, codes, ns): the sums over all batches beside each word's class."""
+    per = found.groupBy("word", "code").agg(F.sum("n").alias("n")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("x"))
+    return kinds.join(per, "word", "left").select("word", "c", "class", F.coalesce("x.code", F.array().cast("array<int>")).alias("codes"), F.coalesce("x.n", F.array().cast("array<long>")).alias("ns"))
+
+
+def choices(of: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """For each word (``of``: its class, or -1) the class that raises the likelihood most against the table of all class pairs, its own pairs
+    taken out; -1 if nothing speaks for a class. Rows (word, code, n) as from ``_neighbours``, sorted by word."""
+    c, count = len(pairs), len(of)
+    right, left, own = np.zeros((count, c)), np.zeros((count, c)), np.zeros(count)
+    for side, at in ((right, code < c), (left, (code >= c) & (code < 2 * c))):
+        side[word[at], code[at] % c] = n[at]
+    own[word[code == 2 * c]] = n[code == 2 * c]
+    r, l, member = right.sum(axis=1), left.sum(axis=1), np.flatnonzero(of >= 0)  # noqa: E741
+    gain = np.zeros((count, c))
+    for side, other, table in ((right, left, pairs.T), (left, right, pairs)):
+        w, j = np.nonzero(side)
+        for low in range(0, len(w), max(1, (1 << 20) // c)):
+            wb, jb = w[low : low + max(1, (1 << 20) // c)], j[low : low + max(1, (1 << 20) // c)]
+            base, x = table[jb].copy(), side[wb, jb]
+            rows = np.flatnonzero(of[wb] >= 0)
+            base[rows, of[wb[rows]]] -= x[rows]
+            same = np.flatnonzero((of[wb] == jb) & (of[wb] >= 0))
+            base[same] -= other[wb[same]]
+            base[same, jb[same]] -= own[wb[same]]
+            base = np.maximum(base, 0)
+            up = _xlogx(base + x[:, None]) - _xlogx(base)
+            first = np.flatnonzero(np.concatenate([[True], wb[1:] != wb[:-1]]))
+            gain[wb[first]] += np.add.reduceat(up, first, axis=0)
+    diag, rows, cols = (np.repeat(x[None], count, axis=0) for x in (np.diag(pairs), pairs.sum(axis=1), pairs.sum(axis=0)))
+    k = of[member]
+    diag[member, k] -= right[member, k] + left[member, k] + own[member]
+    rows[member, k] -= r[member] + own[member]
+    cols[member, k] -= l[member] + own[member]
+    diag, x = np.maximum(diag, 0), own[:, None]
+    gain += _xlogx(diag + right + left + x) - _xlogx(diag + right) - _xlogx(diag + left) + _xlogx(diag)
+    gain -= _xlogx(rows + r[:, None] + x) - _xlogx(rows) + _xlogx(cols + l[:, None] + x) - _xlogx(cols)
+    gain[:, 0] = -np.inf
+    best = np.where(r + l + own > 0, gain.argmax(axis=1), -1)
+    stay = (of >= 0) & ((best < 0) | (gain[np.arange(count), best] <= gain[np.arange(count), of] + 1e-9))
+    return np.where(of == 0, 0, np.where(stay, of, best))
+
+
+def _chosen(sums: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """Rows (word, c, class) with the best class of each word. A word that nothing speaks for yet takes one by its hash."""
+    classes = len(pairs)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, step := max(1, (1 << 18) // classes)):
+                b = whole.slice(low, step)
+                b = b.take(pa.array(np.arange(b.num_rows)))
+                size = pc.list_value_length(b.column("codes")).to_numpy(zero_copy_only=False)
+                of, spread = b.column("class").to_numpy().astype(np.int64), b.column("spread").to_numpy().astype(np.int64)
+                new = choices(of, np.repeat(np.arange(b.num_rows), size), b.column("codes").flatten().to_numpy(), b.column("ns").flatten().to_numpy(), pairs)
+                yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(np.where(new < 0, spread, new).astype(np.int32))], ["word", "c", "class"])
+
+    spread = (1 + F.pmod(F.xxhash64("word"), F.lit(classes - 1))).cast("int")
+    return sums.withColumn("spread", spread).mapInArrow(choose, "word string, c long, class int")
+
+
+def _pairs(sums: DataFrame, classes: int) -> np.ndarray:
+    """How often words of each class follow words of each class: at most classes^2 rows."""
+    out = np.zeros((classes, classes))
+    x = sums.where("class >= 0").select("class", F.explode(F.arrays_zip("codes", "ns")).alias("x")).where(f"x.codes < {classes} OR x.codes = {2 * classes}")
+    for r in x.groupBy("class", "x.codes").agg(F.sum("x.ns")).collect():
+        out[r[0], r[0] if r[1] == 2 * classes else r[1]] += r[2]
+    return out
+
+
+def _information(pairs: np.ndarray) -> float:
+    """The part of the log likelihood that depends on the classes."""
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=1)).sum() - _xlogx(pairs.sum(axis=0)).sum() + _xlogx(pairs.sum()))
+
+
+def clustered(encoded: DataFrame, counts: DataFrame, seeds: tuple[list[str], np.ndarray], classes: int, least_gain: float) -> DataFrame:
+    """Rows (word, c, class) for all training words: rounds in which every word takes the class that its neighbours in the whole corpus make
+    likeliest, until a round raises the likelihood's share of the classes by less than ``least_gain``. The best round's classes are kept."""
+    names, of = seeds
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(names, pa.string())
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from _neighbours(b.slice(i, 1), classes, known, of).to_batches()
+
+    def again(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _neighbours(left, classes, right.column("word").combine_chunks(), right.column("class").to_numpy()) if left.num_rows else pa.table({"word": pa.array([], pa.string()), "code": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+
+    seed = counts.sparkSession.createDataFrame(list(zip(names, map(int, of), strict=True)), "word string, class int")
+    kinds = counts.withColumnRenamed("n", "c").join(F.broadcast(seed), "word", "left").select("word", "c", F.coalesce("class", F.lit(-1)).alias("class"))
+    sums = settle(_with_neighbours(kinds, encoded.select("words", "codes", "starts", "held_out").mapInArrow(first, NEIGHBOURS)), "sums")
+    pairs, best, kept = _pairs(sums, classes), -math.inf, None
+    while True:
+        kinds = settle(_chosen(sums, pairs), "kinds")
+        drop(sums)
+        found = encoded.groupBy("batch").cogroup(_answers(encoded, kinds).groupBy("for_batch")).applyInArrow(again, NEIGHBOURS)
+        sums = settle(_with_neighbours(kinds, found), "sums")
+        pairs = _pairs(sums, classes)
+        now = _information(pairs)
+        better = now > best
+        last = not now > best + least_gain * abs(best) if kept is not None else False
+        if better:
+            if kept is not None:
+                drop(kept)
+            kept, best = kinds, now
+        else:
+            drop(kinds)
+        if last:
+            drop(sums)
+            return kept
+
+
+def score_texts(docs: DataFrame, core: int = 1500, classes: int = 24, batch_bytes: int = 8 << 20, least_gain: float = 0.01) -> DataFrame:
+    """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of rows (doc_id, text, held_out). ``classes`` is the least
+    number of classes: it is the cube root of the number of training words where that is more."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     train = docs.where("NOT held_out")
     counts = settle(word_counts(train), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = [(r.word, r.n) for r in counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(core).collect()]
-    ends = counts.where(F.col("word") == END).first()
-    names, n_core = [END, *(w for w, _ in top)], np.array([ends.n if ends else 0, *(n for _, n in top)])
-    drop(counts)
+    names = [END, *(r.word for r in counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(core).collect())]
 
     bigrams = core_bigrams(train, names)
-    bigrams = settle(bigrams, "bigrams")
-    n_classes = max(2, min(classes, len(names)))
+    n_classes = max(2, min(max(classes, math.ceil(distinct ** (1 / 3))), distinct))
     of = _fit_core(bigrams, len(names), n_classes)
-    kind = F.element_at(F.array(*[F.lit(int(x)) for x in of]), F.col("a") + 1), F.element_at(F.array(*[F.lit(int(x)) for x in of]), F.col("b") + 1)
-    pairs = np.full((n_classes, n_classes), 0.5)
-    for r in bigrams.select(kind[0].alias("x"), kind[1].alias("y"), "n").groupBy("x", "y").sum("n").collect():  # at most classes^2
-        pairs[r[0], r[1]] += r[2]
-    # What a neighbour of a class says for each class of a word: log odds against the class's frequency.
-    evidence = np.log(pairs * pairs.sum() / pairs.sum(axis=1, keepdims=True) / pairs.sum(axis=0, keepdims=True))
-    drop(bigrams)
 
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     batched = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(max(1, math.ceil(size / batch_bytes)))))
-    groups = batched.groupBy("batch")
-    # One shuffle by word answers all batches; a word outside the core has at most a row per batch.
-    asked = _requests(batched, names, of, evidence).repartition("word")
-    by_word, by_vote = Window.partitionBy("word"), Window.partitionBy("word", "vote")
-    answers = asked.withColumn("c", F.sum("n").over(by_word)).where("c > 0").withColumn("for_vote", F.sum("n").over(by_vote))
-    answers = answers.withColumn("class", F.max_by("vote", F.struct("for_vote", -F.col("vote"))).over(by_word)).select("batch", "word", "c", "class")
+    encoded = settle(_encoded(batched), "encoded")
+    kinds = clustered(encoded, counts, (names, of), n_classes, least_gain)
+    drop(counts)
 
     unseen = math.log10(0.5 / (total + 0.5 * (distinct + 1)))
 
     def reduce(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.combine_chunks()
-        n = left.num_rows
-        coded, starts = tokens(left.column("text").chunk(0) if n else pa.array([], pa.string()))
-        codes, words = coded.indices.to_numpy(), coded.dictionary.cast(pa.string())
+        doc_id, held_out, words, codes, starts = (_cell(left, x) for x in ("doc_id", "held_out", "words", "codes", "starts"))
+        n, codes, starts = len(doc_id), codes.to_numpy(), starts.to_numpy().astype(np.int64) if left.num_rows else np.zeros(1, np.int64)
         count, kind = np.zeros(len(words), np.int64), np.full(len(words), -1)
-        for w, c, k in ((pa.array(names, pa.string()), n_core, of), (right.column("word").combine_chunks(), right.column("c").to_numpy(), right.column("class").to_numpy())):
-            at = pc.index_in(words, w) if len(w) else None
-            if at is not None:
-                hit = at.is_valid().to_numpy(zero_copy_only=False)
-                place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[hit]
-                count[hit], kind[hit] = c[place], k[place]
-        kind[count == 0] = -1
+        if right.num_rows and len(words):
+            at = pc.index_in(words, right.column("word").combine_chunks())
+            hit = at.is_valid().to_numpy(zero_copy_only=False)
+            place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[hit]
+            count[hit], kind[hit] = right.column("c").to_numpy()[place], right.column("class").to_numpy()[place]
         c, k = count[codes], kind[codes]
         owner = np.repeat(np.arange(n), np.diff(starts))
         sums = lambda x: np.bincount(owner, x, n)
@@ -241,12 +357,13 @@ def score_texts(docs: DataFrame, core: int = 1500, classes: int = 24, batch_byte
         of_doc = np.searchsorted(pair, np.arange(n + 1) * n_classes * n_classes)
         offsets = pa.array(of_doc.astype(np.int32))
         return pa.table({
-            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(np.diff(starts)), "n_known": pa.array(sums(c > 0).astype(np.int64)), "base_score": pa.array(base), "emitted": pa.array(emitted),
+            "doc_id": doc_id, "held_out": held_out, "n_tokens": pa.array(np.diff(starts)), "n_known": pa.array(sums(c > 0).astype(np.int64)), "base_score": pa.array(base), "emitted": pa.array(emitted),
             "pair": pa.ListArray.from_arrays(offsets, pa.array((pair % (n_classes * n_classes)).astype(np.int32))), "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, pair array<int>, times array<int>"
-    reduced = settle(groups.cogroup(answers.groupBy("batch")).applyInArrow(reduce, schema), "reduced")
+    reduced = settle(encoded.groupBy("batch").cogroup(_answers(encoded, kinds).groupBy("for_batch")).applyInArrow(reduce, schema), "reduced")
+    drop(encoded, kinds)
 
     # Class statistics over all training tokens: bounded by classes^2.
     seen = np.zeros((n_classes, n_classes))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from specloom.llm import ann, class_lm, mixing, token_counts, warc
+from specloom.llm.common import settle
 from tests.oracle import same
 
 from .util import ODD, documents, odd, rest, words
@@ -44,6 +45,49 @@ def test_exchange_finds_classes():
     assert len(set(of[1:6])) == len(set(of[6:11])) == 1 and of[1] != of[6]
 
 
+def test_class_lm_is_the_same_for_any_batching(spark, sf_dir):
+    docs = documents(spark, sf_dir).limit(150).selectExpr("doc_id", "text", "doc_id % 5 = 1 AS held_out")
+    one, many = ({(r.doc_id, r.n_tokens): r.score for r in class_lm.score_texts(docs, core=20, classes=5, batch_bytes=b).collect()} for b in (1 << 30, 1 << 14))
+    assert one == pytest.approx(many, rel=1e-9)
+
+
+def test_all_words_take_part_in_clustering(spark):
+    """Only two words are seeds; the other 60 take turns in two groups, which rounds over all bigrams find."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'ab'[k % 2]}{int(rng.integers(0, 30))}" for k in range(60)) for _ in range(80)]
+    docs = spark.createDataFrame([(i, t, False, i % 3) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean, batch long")
+    counts, encoded = settle(class_lm.word_counts(docs), "counts"), settle(class_lm._encoded(docs), "encoded")
+    of = {r.word: r["class"] for r in class_lm.clustered(encoded, counts, (["\n", "a0", "b0"], np.array([0, 1, 2])), 3, 0.001).collect()}
+    assert len(of) == 61 and of["\n"] == 0 and {of[f"a{i}"] for i in range(30)} == {1} and {of[f"b{i}"] for i in range(30)} == {2}
+
+
+def test_choices_equal_the_likelihood():
+    """The chosen class is the one whose table of pairs has the highest likelihood, all words but one staying."""
+    rng = np.random.default_rng(3)
+    words, c = 12, 4
+    big = rng.integers(0, 6, (words, words)).astype(float)
+    of = np.array([0, *rng.integers(1, c, words - 1)])
+
+    def table(kind):
+        out = np.zeros((c, c))
+        np.add.at(out, (kind[:, None].repeat(words, 1), kind[None].repeat(words, 0)), big)
+        return out
+
+    rows = Counter()
+    for a in range(words):
+        for b in range(words):
+            if a == b:
+                rows[a, 2 * c] += big[a, b]
+            else:
+                rows[a, of[b]] += big[a, b]
+                rows[b, c + of[a]] += big[a, b]
+    word, code, n = (np.array(x) for x in zip(*[(w, k, v) for (w, k), v in sorted(rows.items()) if v], strict=True))
+    got = class_lm.choices(of, word.astype(int), code.astype(int), n, table(of))
+    for w in range(1, words):
+        value = [class_lm._information(table(np.where(np.arange(words) == w, k, of))) for k in range(1, c)]
+        assert value[got[w] - 1] == pytest.approx(max(value))
+
+
 def test_class_lm_odd_rows(spark):
     docs = odd(spark).drop("held_out").selectExpr("*", "doc_id IN (5, 6) AS held_out")
     got = class_lm.score_texts(docs).collect()
