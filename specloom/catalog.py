@@ -13,6 +13,7 @@ from .operators import graphs as gr
 from .operators import logic as lg
 from .operators import network as nw
 from .operators import paths as pt
+from .operators import patterns
 from .operators import sampling as sm
 from .operators import traces as tr
 from .plans import mining
@@ -348,7 +349,7 @@ def _paths(spark, sf_dir, min_signals=1):
 
 def _numbered(spark, sf_dir):
     order = Window.partitionBy("model_id").orderBy(F.round("metric", 12), joined("tokens"))
-    return checkpointed(_paths(spark, sf_dir).select("model_id", "tokens", "metric", (F.row_number().over(order) - 1).alias("path_id")))
+    return checkpointed(_paths(spark, sf_dir).select("model_id", "nodes", "tokens", "metric", (F.row_number().over(order) - 1).alias("path_id")))
 
 
 @query("paths_threshold", f"WITH RECURSIVE {PATHS} SELECT model_id, array_to_string(tokens, ',') AS tokens, round(metric, 9) AS metric FROM path")
@@ -648,8 +649,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pattern_merge")
 def _(spark, sf_dir):
-    """Accepted paths merged with their nearest ones; depends on order, so there is no SQL (tests compare worked cases)."""
-    return mining.patterns_of_paths(_numbered(spark, sf_dir), 4)
+    """Accepted paths merged with the others by distance until the acceptance rules end it; depends on order, so there is no SQL (tests compare worked cases)."""
+    return mining.patterns_of_paths(mining.flagged(_numbered(spark, sf_dir), patterns.edge_flags(nw.vertices(counts(spark, sf_dir)))))
 
 
 @query("stream_window_counts", "WITH h AS (SELECT date_trunc('hour', ts) AS w, event_type, ts FROM events) SELECT w AS \"start\", event_type, count(*) AS n FROM h WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY w, event_type")

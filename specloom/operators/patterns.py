@@ -69,23 +69,51 @@ def merged(pattern: list[dict], tokens: list[str], xable: list[bool]) -> list[di
     return out
 
 
-def merge_runs(sequences: DataFrame, most: int) -> DataFrame:
-    """Rows (key, step, symbols): for each key the pattern after each of its first ``most`` sequences (key, ord, tokens, xable), in order.
-
-    The loop depends on its order, so a key is one group; ``most`` bounds it.
+def acceptance(pattern: list[dict]) -> tuple[bool, int]:
+    """The values of ``compared`` and ``by_metric`` of ``metrics``, inside a task."""
+    fixed = [i for i, s in enumerate(pattern) if s["kind"] != OPTION]
+    part = pattern[fixed[0] : fixed[-1] + 1] if fixed else []
+    if len(part) < 2:
+        return False, -1
+    ratio, strings = sum(s["kind"] == LETTER for s in part) / len(part), 1
+    for s in part:
+        strings *= len(s["tokens"]) if s["kind"] == GROUP else len(s["tokens"]) + 1 if s["kind"] == OPTION else 1
+    half = len(part) // 2
+    by_metric = -1 if ratio < 0.5 or strings > 2**half else 0 if ratio > 0.8 or strings < 2 ** (len(part) // 5 + 1) else 1
+    return ratio >= 0.5 and strings <= 2.5**half, by_metric
+
+
+def merge_runs(sequences: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows (key, step, symbols): for each key the pattern after each of its sequences (key, ord, tokens, xable), in order: the first ``most``, or
+    else until both acceptance rules have ended the run (the comparison at the first pattern that it refuses, the metrics at the first that they
+    take or refuse); that pattern is the last row. The loop depends on its order, so a key is one group.
     """
     import pandas as pd
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        pattern, out = None, []
+        pattern, out, compared, by_metric = None, [], True, 0
         for i, (tokens, xable) in enumerate(rows.sort_values("ord")[["tokens", "xable"]].itertuples(index=False)):
             tokens, xable = list(tokens), list(xable)
             pattern = letters(tokens, xable) if pattern is None else merged(pattern, tokens, xable)
             out.append((rows.key.iloc[0], i, pattern))
+            if most is None:
+                now = acceptance(pattern)
+                compared, by_metric = compared and now[0], by_metric or now[1]
+                if not compared and by_metric:
+                    break
         return pd.DataFrame(out, columns=["key", "step", "symbols"])
 
-    first = sequences.where(F.col("ord") < most).select(F.col("key").cast("string"), "ord", "tokens", "xable")
-    return first.groupBy("key").applyInPandas(run, f"key string, step int, symbols {SYMBOLS}")
+    first = sequences if most is None else sequences.where(F.col("ord") < most)
+    return first.select(F.col("key").cast("string"), "ord", "tokens", "xable").groupBy("key").applyInPandas(run, f"key string, step int, symbols {SYMBOLS}")
+
+
+def edge_flags(v: DataFrame, share: float = 0.7) -> DataFrame:
+    """Rows (model_id, src, dst, xable) for the edges of vertices (model_id, vertex, parents): by the vertex's hash, a ``share`` of the vertices has
+    one parent whose edge is xable."""
+    code = F.md5(F.concat_ws("|", F.lit("xable"), "model_id", "vertex"))
+    number = lambda at: F.conv(F.substring(code, at, 8), 16, 10).cast("long")
+    chosen = F.when(number(1) / 4294967296 < share, number(9) % F.size("parents")).otherwise(-1)
+    return v.where(F.size("parents") > 0).withColumn("chosen", chosen).select("model_id", F.col("vertex").alias("dst"), "chosen", F.posexplode("parents").alias("i", "src")).select("model_id", "src", "dst", (F.col("i") == F.col("chosen")).alias("xable"))
 
 
 def trimmed(symbols: Column) -> Column:

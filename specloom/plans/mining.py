@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import edit, patterns
+from ..sources.tables import checkpointed
 
 
-def patterns_of_paths(paths: DataFrame, nearest: int) -> DataFrame:
+def flagged(paths: DataFrame, flags: DataFrame) -> DataFrame:
+    """Adds xable to paths with nodes: the flag (model_id, src, dst, xable) of the edge into each node, false for the first."""
+    e = paths.select("model_id", "path_id", F.posexplode("nodes").alias("i", "x"), "nodes").withColumn("src", F.when(F.col("i") > 0, F.get("nodes.v", F.col("i") - 1)))
+    e = e.select("model_id", "path_id", "i", "src", F.col("x.v").alias("dst")).join(flags, ["model_id", "src", "dst"], "left")
+    each = e.groupBy("model_id", "path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("xable", F.lit(False)).alias("f")))), lambda x: x["f"]).alias("xable"))
+    return paths.join(each, ["model_id", "path_id"])
+
+
+def patterns_of_paths(paths: DataFrame) -> DataFrame:
     """Rows (model_id, path_id, step, probability, pattern, ctl, length, letters, ratio, strings, compared, by_metric): each path of rows (model_id, path_id, tokens,
-    metric) merged with its nearest ones, one after the other. The probability is one less the mean metric of the paths merged so far."""
-    order = edit.merge_order(edit.confusion(paths)).where(F.col("place") < nearest)
-    other = paths.select("model_id", F.col("path_id").alias("b"), "tokens", "metric")
-    met = order.join(other, ["model_id", "b"]).withColumn("key", F.concat_ws("/", "model_id", "a")).withColumn("xable", F.transform("tokens", lambda t: F.lit(False)))
-    runs = patterns.merge_runs(met.select("key", F.col("place").alias("ord"), "tokens", "xable"), nearest)
-    upto = met.select("key", F.explode(F.sequence("place", F.lit(nearest - 1))).alias("step"), "metric").groupBy("key", "step").agg((1 - F.avg("metric")).alias("probability"))
+    xable, metric) merged with the others by distance, one after the other, until both acceptance rules have ended the run. The probability is one less the
+    mean metric of the paths merged so far."""
+    order = edit.merge_order(edit.confusion(paths))
+    other = paths.select("model_id", F.col("path_id").alias("b"), "tokens", "xable", "metric")
+    met = checkpointed(order.join(other, ["model_id", "b"]).withColumn("key", F.concat_ws("/", "model_id", "a")))
+    runs = patterns.merge_runs(met.select("key", F.col("place").alias("ord"), "tokens", "xable"))
+    so_far = Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    upto = met.select("key", F.col("place").alias("step"), (1 - F.avg("metric").over(so_far)).alias("probability"))
     out = patterns.metrics(runs.join(upto, ["key", "step"]))
     name = F.split("key", "/")
     return out.select(name[0].alias("model_id"), name[1].cast("int").alias("path_id"), "step", "probability", patterns.as_text(F.col("symbols")).alias("pattern"), patterns.as_ctl(F.col("symbols")).alias("ctl"), "length", "letters", "ratio", "strings", "compared", "by_metric")

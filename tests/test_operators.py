@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from specloom.functions.columns import completed, index_of, token_distance
 from specloom.operators import boolfn, edit, graphs, logic, network, paths, patterns, traces
+from specloom.plans import mining
 from specloom.sources import tables
 
 
@@ -138,3 +139,50 @@ def test_pattern_merge(spark):
     row = patterns.metrics(merge("ACE", "CE")).first()
     assert row.length == 2 and row.ctl == "E(A U (C and EX(E)))"
     assert patterns.metrics(merge("A")).first().length == 0
+
+
+def test_merging_goes_on_until_the_rules_end_it(spark):
+    """Against a plain loop over all other paths by distance; the nearest four are not enough for path 0."""
+    seqs = ["ABCDEFGHIJ"] * 5 + ["aBCDEFGHIJ", "ABcDEFGHIJ", "ABCDeFGHIJ", "ABCDEFgHIJ", "ABCDEFGHiJ", "ABCDEFGHIj", "XYZ"]
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            last, row = row, [i]
+            for j, b in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (a != b)))
+        return row[-1]
+
+    want = {}
+    for i, s in enumerate(seqs):
+        pattern, mean, met, compared, by_metric = None, 0.0, [], True, 0
+        for step, b in enumerate(sorted(range(len(seqs)), key=lambda k: (distance(s, seqs[k]), k))):
+            flags = [k % 2 == 1 for k in range(len(seqs[b]))]
+            pattern = patterns.letters(seqs[b], flags) if pattern is None else patterns.merged(pattern, list(seqs[b]), flags)
+            met.append(b / 100)
+            want[i, step] = (pattern, 1 - sum(met) / len(met))
+            fixed = [k for k, x in enumerate(pattern) if x["kind"] != "option"]
+            part = pattern[fixed[0] : fixed[-1] + 1]
+            n, half = math.prod(len(x["tokens"]) + (x["kind"] == "option") for x in part), len(part) // 2
+            ratio = sum(x["kind"] == "letter" for x in part) / len(part)
+            compared = compared and ratio >= 0.5 and n <= 2.5**half
+            by_metric = by_metric or (-1 if ratio < 0.5 or n > 2**half else int(ratio <= 0.8 and n >= 2 ** (len(part) // 5 + 1)))
+            if not compared and by_metric:
+                break
+    rows = [("m", i, list(s), [k % 2 == 1 for k in range(len(s))], i / 100) for i, s in enumerate(seqs)]
+    got = mining.patterns_of_paths(spark.createDataFrame(rows, "model_id string, path_id int, tokens array<string>, xable array<boolean>, metric double")).collect()
+    assert {(r.path_id, r.step) for r in got} == set(want) and len(got) == len(want) and max(r.step for r in got if r.path_id == 0) >= 4
+    for r in got:
+        pattern, p = want[r.path_id, r.step]
+        assert r.probability == pytest.approx(p) and (r.compared, r.by_metric) == patterns.acceptance(pattern)
+    assert all("<X>" in r.pattern for r in got if r.path_id == 0 and r.step == 0)
+
+
+def test_edge_flags_reach_tokens(spark):
+    v = spark.createDataFrame([("m", f"A_{i}", [f"A_{i - 1}", f"B_{i - 1}"] if i else []) for i in range(200)], "model_id string, vertex string, parents array<string>")
+    flags = patterns.edge_flags(v)
+    per = flags.groupBy("dst").agg(F.sum(F.col("xable").cast("int")).alias("n")).collect()
+    assert len(per) == 199 and {r.n for r in per} == {0, 1} and 0.55 < sum(r.n for r in per) / 199 < 0.85
+    of = {(r.src, r.dst): r.xable for r in flags.collect()}
+    path = spark.createDataFrame([("m", 0, [(f"A_{i}", "x") for i in range(30)])], "model_id string, path_id int, nodes array<struct<v:string,val:string>>")
+    assert mining.flagged(path, flags).first().xable == [False] + [of[f"A_{i - 1}", f"A_{i}"] for i in range(1, 30)]
