@@ -6,7 +6,7 @@ is what stands before the first word. Word classes:
 1. Seeds: the ``core`` most frequent words are clustered by the exchange algorithm in one task: words move one at a time to the class
    that raises the likelihood of their class bigrams most, until a sweep moves none. It works on core bigram counts.
 2. Rounds over the whole training vocabulary, the seeds included: each batch of texts sums (word, neighbour class, side, count), the sums are
-   added up by word over the corpus, and every word moves to the class that raises the likelihood most against the table of all class pairs.
+   added up by word over the corpus (a word that only one batch has is whole there and not shuffled), and every word moves to the class that raises the likelihood most against the table of all class pairs.
    In the first round neighbours are seeds, later all words. Rounds go on while they raise the likelihood by ``least_gain`` of the classes' part.
 
 A class depends on sums over the corpus only, never on how texts are dealt. The number of classes grows with the cube root of the vocabulary, so the
@@ -26,6 +26,7 @@ are scored (and learned from) each; a null id counts as the empty text for the s
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -170,28 +171,34 @@ def _cell(t, name: str) -> pa.Array:
     return t.column(name).combine_chunks().flatten() if isinstance(t, pa.Table) else t.column(name).flatten()
 
 
-NEIGHBOURS = "word string, code int, n long"
+NEIGHBOURS = "batch long, word string, c long, class int, whole boolean, codes array<int>, ns array<long>"
 
 
-def _neighbours(t, classes: int, known: pa.Array, kinds: np.ndarray) -> pa.Table:
-    """Rows (word, code, n) of an encoded batch's training tokens: how often a word stands before a word of class ``code``, after one of
-    class ``code - classes``, or before itself (2 * classes). Words without a class are left out as neighbours."""
+def _neighbours(t: pa.Table, classes: int, answers: pa.Table) -> pa.Table:
+    """A row for each training word of an encoded batch, with codes and counts: how often it stands before a word of class ``code``, after one of
+    class ``code - classes``, or before itself (2 * classes). Words without a class are left out as neighbours. ``whole``: no other batch has it."""
     words, codes, starts = _cell(t, "words"), _cell(t, "codes").to_numpy().astype(np.int64), _cell(t, "starts").to_numpy()
     w = len(words)
-    kind = np.full(w, -1, np.int64)
-    at = pc.index_in(words, known).to_numpy(zero_copy_only=False) if len(known) else np.full(w, np.nan)
-    hit = ~np.isnan(at.astype(float))
-    kind[hit] = kinds[at[hit].astype(np.int64)]
-    end = pc.index(words, END).as_py()
+    kind, c = np.full(w, -1, np.int64), np.zeros(w, np.int64)
+    if answers.num_rows:
+        at = pc.index_in(words, answers.column("word").combine_chunks())
+        hit, place = at.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(at, 0).to_numpy(zero_copy_only=False)
+        kind[hit], c[hit] = answers.column("class").to_numpy()[place[hit]], answers.column("c").to_numpy()[place[hit]]
     train = np.repeat(~_cell(t, "held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(starts))
-    pair, n = np.unique((_before(codes, starts, end) * w + codes)[train], return_counts=True)
+    n_here = np.bincount(codes[train], minlength=w)
+    here = np.flatnonzero(n_here)
+    pair, n = np.unique((_before(codes, starts, pc.index(words, END).as_py()) * w + codes)[train], return_counts=True)
     a, b = pair // w, pair % w
     width = 2 * classes + 1
     own, right, left = a == b, (a != b) & (kind[b] >= 0), (a != b) & (kind[a] >= 0)
-    key = np.concatenate([a[own] * width + 2 * classes, a[right] * width + kind[b[right]], b[left] * width + classes + kind[a[left]]])
+    key = np.concatenate([here * width + 2 * classes, a[own] * width + 2 * classes, a[right] * width + kind[b[right]], b[left] * width + classes + kind[a[left]]])
     key, back = np.unique(key, return_inverse=True)
-    total = np.bincount(back, np.concatenate([n[own], n[right], n[left]]), len(key)).astype(np.int64)
-    return pa.table({"word": words.take(pa.array(key // width)), "code": pa.array((key % width).astype(np.int32)), "n": pa.array(total)})
+    total = np.bincount(back, np.concatenate([np.zeros(len(here)), n[own], n[right], n[left]]), len(key)).astype(np.int64)
+    offsets = pa.array(np.append(np.searchsorted(key, here * width), len(key)).astype(np.int32))
+    return pa.table({
+        "batch": pa.array(np.full(len(here), t.column("batch")[0].as_py())), "word": words.take(pa.array(here)), "c": pa.array(c[here]), "class": pa.array(kind[here].astype(np.int32)), "whole": pa.array(n_here[here] == c[here]),
+        "codes": pa.ListArray.from_arrays(offsets, pa.array((key % width).astype(np.int32))), "ns": pa.ListArray.from_arrays(offsets, pa.array(total)),
+    })
 
 
 def _answers(encoded: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -199,12 +206,6 @@ def _answers(encoded: DataFrame, kinds: DataFrame) -> DataFrame:
     return encoded.select("batch", F.explode("words").alias("word")).join(kinds.select("word", "c", "class"), "word").select(F.col("batch").alias("for_batch"), "word", "c", "class")
 
 
-def _with_neighbours(kinds: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows (word, c, class, codes, ns): the sums over all batches beside each word's class."""
-    per = found.groupBy("word", "code").agg(F.sum("n").alias("n")).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("x"))
-    return kinds.join(per, "word", "left").select("word", "c", "class", F.coalesce("x.code", F.array().cast("array<int>")).alias("codes"), F.coalesce("x.n", F.array().cast("array<long>")).alias("ns"))
-
-
 def choices(of: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """For each word (``of``: its class, or -1) the class that raises the likelihood most against the table of all class pairs, its own pairs
     taken out; -1 if nothing speaks for a class. Rows (word, code, n) as from ``_neighbours``, sorted by word."""
@@ -244,7 +245,7 @@ def choices(of: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, p
 
 
 def _chosen(sums: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """Rows (word, c, class) with the best class of each word. A word that nothing speaks for yet takes one by its hash."""
+    """Rows (batch, word, c, class) with the best class of each word. A word that nothing speaks for yet takes one by its hash."""
     classes = len(pairs)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,10 +256,10 @@ def _chosen(sums: DataFrame, pairs: np.ndarray) -> DataFrame:
                 size = pc.list_value_length(b.column("codes")).to_numpy(zero_copy_only=False)
                 of, spread = b.column("class").to_numpy().astype(np.int64), b.column("spread").to_numpy().astype(np.int64)
                 new = choices(of, np.repeat(np.arange(b.num_rows), size), b.column("codes").flatten().to_numpy(), b.column("ns").flatten().to_numpy(), pairs)
-                yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(np.where(new < 0, spread, new).astype(np.int32))], ["word", "c", "class"])
+                yield pa.RecordBatch.from_arrays([b.column("batch"), b.column("word"), b.column("c"), pa.array(np.where(new < 0, spread, new).astype(np.int32))], ["batch", "word", "c", "class"])
 
     spread = (1 + F.pmod(F.xxhash64("word"), F.lit(classes - 1))).cast("int")
-    return sums.withColumn("spread", spread).mapInArrow(choose, "word string, c long, class int")
+    return sums.withColumn("spread", spread).mapInArrow(choose, "batch long, word string, c long, class int")
 
 
 def _pairs(sums: DataFrame, classes: int) -> np.ndarray:
@@ -279,37 +280,47 @@ def clustered(encoded: DataFrame, counts: DataFrame, seeds: tuple[list[str], np.
     """Rows (word, c, class) for all training words: rounds in which every word takes the class that its neighbours in the whole corpus make
     likeliest, until a round raises the likelihood's share of the classes by less than ``least_gain``. The best round's classes are kept."""
     names, of = seeds
+    spark = counts.sparkSession
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(names, pa.string())
-        for b in batches:
-            for i in range(b.num_rows):
-                yield from _neighbours(b.slice(i, 1), classes, known, of).to_batches()
+    def sums_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _neighbours(left, classes, right) if left.num_rows else pa.table({x: pa.array([], k) for x, k in (("batch", pa.int64()), ("word", pa.string()), ("c", pa.int64()), ("class", pa.int32()), ("whole", pa.bool_()), ("codes", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64())))})
+
+    def summed(answers: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """Rows (batch, word, c, class, codes, ns) over the corpus: words of a single batch are whole there, only others are shuffled."""
+        found = settle(encoded.groupBy("batch").cogroup(answers.groupBy("for_batch")).applyInArrow(sums_of, NEIGHBOURS), "found")
+        x = found.where("NOT whole").select("word", "c", "class", F.explode(F.arrays_zip("codes", "ns")).alias("x")).groupBy("word", "c", "class", F.col("x.codes").alias("code")).agg(F.sum("x.ns").alias("n"))
+        x = x.groupBy("word", "c", "class").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("x"))
+        shared = settle(x.select(F.lit(None).cast("long").alias("batch"), "word", "c", "class", F.col("x.code").alias("codes"), F.col("x.n").alias("ns")), "shared")
+        return found.where("whole").drop("whole").unionByName(shared), [found, shared]
 
-    def again(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _neighbours(left, classes, right.column("word").combine_chunks(), right.column("class").to_numpy()) if left.num_rows else pa.table({"word": pa.array([], pa.string()), "code": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+    def cleared() -> None:
+        """Shuffle files of past rounds go when the driver's garbage is collected."""
+        gc.collect()
+        spark._jvm.System.gc()
 
-    seed = counts.sparkSession.createDataFrame(list(zip(names, map(int, of), strict=True)), "word string, class int")
+    seed = spark.createDataFrame(list(zip(names, map(int, of), strict=True)), "word string, class int")
     kinds = counts.withColumnRenamed("n", "c").join(F.broadcast(seed), "word", "left").select("word", "c", F.coalesce("class", F.lit(-1)).alias("class"))
-    sums = settle(_with_neighbours(kinds, encoded.select("words", "codes", "starts", "held_out").mapInArrow(first, NEIGHBOURS)), "sums")
+    sums, tables = summed(_answers(encoded, kinds))
+    members = settle(tables[0].where("NOT whole").select(F.col("batch").alias("for_batch"), "word"), "members")
     pairs, best, kept = _pairs(sums, classes), -math.inf, None
     while True:
         kinds = settle(_chosen(sums, pairs), "kinds")
-        drop(sums)
-        found = encoded.groupBy("batch").cogroup(_answers(encoded, kinds).groupBy("for_batch")).applyInArrow(again, NEIGHBOURS)
-        sums = settle(_with_neighbours(kinds, found), "sums")
+        drop(*tables)
+        cleared()
+        own = kinds.where("batch IS NOT NULL").withColumnRenamed("batch", "for_batch")
+        sums, tables = summed(own.unionByName(members.join(kinds.where("batch IS NULL").drop("batch"), "word")))
         pairs = _pairs(sums, classes)
         now = _information(pairs)
-        better = now > best
-        last = not now > best + least_gain * abs(best) if kept is not None else False
-        if better:
+        last = kept is not None and now <= best + least_gain * abs(best)
+        if now > best:
             if kept is not None:
                 drop(kept)
             kept, best = kinds, now
         else:
             drop(kinds)
         if last:
-            drop(sums)
+            drop(members, *tables)
+            cleared()
             return kept
 
 
