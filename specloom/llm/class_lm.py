@@ -276,6 +276,12 @@ def _information(pairs: np.ndarray) -> float:
     return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=1)).sum() - _xlogx(pairs.sum(axis=0)).sum() + _xlogx(pairs.sum()))
 
 
+def _cleared(spark: SparkSession) -> None:
+    """Shuffle files of past queries go when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clustered(encoded: DataFrame, counts: DataFrame, seeds: tuple[list[str], np.ndarray], classes: int, least_gain: float) -> DataFrame:
     """Rows (word, c, class) for all training words: rounds in which every word takes the class that its neighbours in the whole corpus make
     likeliest, until a round raises the likelihood's share of the classes by less than ``least_gain``. The best round's classes are kept."""
@@ -288,16 +294,13 @@ def clustered(encoded: DataFrame, counts: DataFrame, seeds: tuple[list[str], np.
     def summed(answers: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """Rows (batch, word, c, class, codes, ns) over the corpus: words of a single batch are whole there, only others are shuffled."""
         found = settle(encoded.groupBy("batch").cogroup(answers.groupBy("for_batch")).applyInArrow(sums_of, NEIGHBOURS), "found")
+        _cleared(spark)
         x = found.where("NOT whole").select("word", "c", "class", F.explode(F.arrays_zip("codes", "ns")).alias("x")).groupBy("word", "c", "class", F.col("x.codes").alias("code")).agg(F.sum("x.ns").alias("n"))
         x = x.groupBy("word", "c", "class").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("x"))
         shared = settle(x.select(F.lit(None).cast("long").alias("batch"), "word", "c", "class", F.col("x.code").alias("codes"), F.col("x.n").alias("ns")), "shared")
+        _cleared(spark)
         return found.where("whole").drop("whole").unionByName(shared), [found, shared]
 
-    def cleared() -> None:
-        """Shuffle files of past rounds go when the driver's garbage is collected."""
-        gc.collect()
-        spark._jvm.System.gc()
-
     seed = spark.createDataFrame(list(zip(names, map(int, of), strict=True)), "word string, class int")
     kinds = counts.withColumnRenamed("n", "c").join(F.broadcast(seed), "word", "left").select("word", "c", F.coalesce("class", F.lit(-1)).alias("class"))
     sums, tables = summed(_answers(encoded, kinds))
@@ -306,7 +309,7 @@ def clustered(encoded: DataFrame, counts: DataFrame, seeds: tuple[list[str], np.
     while True:
         kinds = settle(_chosen(sums, pairs), "kinds")
         drop(*tables)
-        cleared()
+        _cleared(spark)
         own = kinds.where("batch IS NOT NULL").withColumnRenamed("batch", "for_batch")
         sums, tables = summed(own.unionByName(members.join(kinds.where("batch IS NULL").drop("batch"), "word")))
         pairs = _pairs(sums, classes)
@@ -320,7 +323,7 @@ def clustered(encoded: DataFrame, counts: DataFrame, seeds: tuple[list[str], np.
             drop(kinds)
         if last:
             drop(members, *tables)
-            cleared()
+            _cleared(spark)
             return kept
 
 
@@ -340,6 +343,7 @@ def score_texts(docs: DataFrame, core: int = 1500, classes: int = 24, batch_byte
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     batched = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(max(1, math.ceil(size / batch_bytes)))))
     encoded = settle(_encoded(batched), "encoded")
+    _cleared(docs.sparkSession)
     kinds = clustered(encoded, counts, (names, of), n_classes, least_gain)
     drop(counts)
 
