@@ -16,8 +16,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that ``lang`` names; texts without letters go. Scores are kept by nobody: a text of
-    several languages stays."""
+    """Documents in one of the languages that ``lang`` names; texts without letters go. The label decides nothing but
+    'und' (no letter): no text is rejected for its language, and one of several languages stays."""
     docs = docs.select(COLUMNS)
     return language.identify(docs, language.learn(docs), with_spans=False).where("lang_pred <> 'und'").select(COLUMNS)
 
