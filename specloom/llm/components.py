@@ -11,7 +11,8 @@ from .common import drop, settle
 def _large_star(links: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to its smallest neighbour (or itself)."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
-    least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
+    # Written first, so that the join has plain shuffles on both sides and a node with many links can be split.
+    least = settle(both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m")), "least")
     return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
 
@@ -28,6 +29,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Links stay in tables; each round reads the one before it from the shared folder, and rounds grow with the logarithm
     of the longest chain. Minima are aggregated in tasks before the shuffle, so a node with many links is one row a task.
+
+    Defined cases: links with a null end, and links of a node with itself, are left out (a node that has no other isn't in the result); repeated
+    links count once; no links give no rows.
     """
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     links = settle(links, "links")

@@ -13,12 +13,15 @@
    never the pairs that were looked at. So no link between components is lost, and a bucket of thousands of near copies that
    are one component before step 4 is not compared again.
 
-With 32 bands of 4 rows, a pair of similarity 0.75 shares no bucket with a chance of 0.5 in 100,000. The sketch limit is 0.15 below the
-threshold, about five deviations of the estimate.
+With 32 bands of 4 rows, a pair of similarity 0.75 shares no bucket with a chance of 0.5 in 100,000. The estimate from 128 samples has a
+deviation of 0.038 at 0.75 (and the sketch adds a little); the limit is 0.25 below the threshold, over six of them, as full sets decide anyway.
+
+Scale: texts to be confirmed against one head are gathered in blocks of ``PACK`` shingles, so a head's text is sent once per block and
+not once per member, and a head with most members is many blocks. Blocks of members are bounded in members and in bytes.
 
 Defined cases: texts without words have an empty set and are linked with nothing; a text of fewer words than a shingle is
-one shingle; repeated rows of a doc_id are one node, which has the sets of all its rows; null ids keep their rows, with a null
-component, and are linked with nothing; other columns are ignored.
+one shingle; rows that repeat a doc_id with different texts are linked with each other, each under the signature of its own text; null ids
+keep their rows, with a null component, and are linked with nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, pieces, settle, split_words, table
+from .common import drop, lean, pieces, settle, split_words, table
 from .components import components
 
 SKETCH_BITS = 2048
+PACK = 1 << 17
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -91,6 +95,8 @@ def _minhash(s: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
 def _sketches(mins: np.ndarray) -> np.ndarray:
     """Odd sketches: each sample flips one bit of its text's bitmap."""
     n, k = mins.shape
+    if n > 512:
+        return np.concatenate([_sketches(mins[i : i + 512]) for i in range(0, n, 512)])
     bit = (_mix(mins + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)).astype(np.int64)
     flips = np.bincount((np.arange(n)[:, None] * SKETCH_BITS + bit).ravel(), minlength=n * SKETCH_BITS) & 1
     return np.packbits(flips.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
@@ -120,7 +126,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 offsets = pa.array(np.arange(len(mins) + 1, dtype=np.int32) * bands)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(starts)), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64))), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "digest", "keys", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<bigint>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(sign), "doc_id long, n_shingles long, digest binary, keys array<bigint>, sketch binary")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -135,27 +141,38 @@ def _promising(pairs: DataFrame, k: int, limit: float) -> DataFrame:
             on = pa.array(estimate(_bits(b.column("sketch_a")), _bits(b.column("sketch_b")), k) >= limit)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(on), b.column("b").filter(on)], ["a", "b"])
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(keep, "a long, b long")
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(lean(keep), "a long, b long").distinct()
+
 
+def _shared(x: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some sorted sets, how many values it has and how many of them are in the sorted set ``x``."""
+    size = np.array([len(y) for y in sets], np.int64)
+    every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every if len(x) else np.zeros(len(every), bool)
+    return size, np.bincount(np.repeat(np.arange(len(sets)), size), hit, len(sets))
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union. ``sets``: (node, text), a row per node."""
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union. ``sets``: rows (node, text); ``sizes``: (node, n_shingles)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text_b", 2 << 20):
-                x, at_x = shingle_sets(part.column("text_a"), width)
-                y, at_y = shingle_sets(part.column("text_b"), width)
-                on = []
-                for i in range(part.num_rows):
-                    p, q = x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]]
-                    at = np.minimum(np.searchsorted(q, p), max(len(q) - 1, 0))
-                    both = int((q[at] == p).sum()) if len(q) else 0
-                    on.append(100 * both >= percent * (len(p) + len(q) - both))
-                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(on, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-    one, two = (sets.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+            for i in range(batch.num_rows):
+                head, members = batch.column("text_a").slice(i, 1), batch.column("members")[i].values
+                x, _ = shingle_sets(head, width)
+                y, at = shingle_sets(members.field("text"), width)
+                size, both = _shared(x, [y[p:q] for p, q in zip(at[:-1], at[1:], strict=True)])
+                on = 100 * both >= percent * (len(x) + size - both)
+                b = members.field("b").filter(pa.array(on))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), batch.column("a")[i].as_py())), b], ["a", "b"])
+
+    weighed = settle(pairs.join(sizes.groupBy(F.col("node").alias("b")).agg(F.sum("n_shingles").alias("w")), "b"), "weighed")
+    blocks = weighed.groupBy("a").agg(F.ceil(F.sum("w") / PACK).alias("blocks"))
+    dealt = settle(weighed.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block")), "dealt")
+    two = sets.select(F.col("node").alias("b"), "text")
+    members = dealt.join(two, "b").groupBy("a", "block").agg(F.collect_list(F.struct("b", "text")).alias("members"))
+    one = dealt.select("a", "block").distinct().join(sets.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return one.join(members, ["a", "block"]).select("a", "text_a", "members").mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -172,13 +189,13 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _blocks(rows: DataFrame, group: str, columns: list[str], size: int) -> DataFrame:
-    """Pairs of blocks (left, right: arrays of structs) of a group; a block has about ``size`` members. Blocks of one large component
-    have no other members and aren't paired with each other."""
-    n = rows.groupBy(group, "component").agg(F.count("*").alias("m")).withColumn("owner", F.when(F.col("m") > size // 8, F.col("component")))
-    of = n.groupBy(group, "owner").agg(F.sum("m").alias("all"))
-    dealt = rows.join(n.select(group, "component", "owner"), [group, "component"]).join(of.select(F.col(group).alias("g"), F.col("owner").alias("o"), "all"), (F.col(group) == F.col("g")) & F.col("owner").eqNullSafe(F.col("o")))
-    part = F.concat_ws("/", "owner", F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / size)))
+def _blocks(rows: DataFrame, group: str, columns: list[str], size: int, limit: int = 4 << 20) -> DataFrame:
+    """Pairs of blocks (left, right: arrays of structs) of a group; a block has about ``size`` members and ``limit`` bytes (column ``weight``)
+    at most. Blocks of one large component have no other members and aren't paired with each other."""
+    n = rows.groupBy(group, "component").agg(F.count("*").alias("m"), F.sum("weight").alias("w")).withColumn("owner", F.when(F.col("m") > size // 8, F.col("component")))
+    of = n.groupBy(group, "owner").agg(F.greatest(F.ceil(F.sum("m") / size), F.ceil(F.sum("w") / limit)).alias("parts"))
+    dealt = rows.join(n.select(group, "component", "owner"), [group, "component"]).join(of.select(F.col(group).alias("g"), F.col("owner").alias("o"), "parts"), (F.col(group) == F.col("g")) & F.col("owner").eqNullSafe(F.col("o")))
+    part = F.concat_ws("/", "owner", F.pmod(F.xxhash64("node"), "parts"))
     blocks = dealt.groupBy(group, "owner", part.alias("part")).agg(F.collect_list(F.struct(*columns)).alias("rows"))
     left = blocks.select(group, F.col("owner").alias("own_l"), F.col("part").alias("p"), F.col("rows").alias("left"))
     right = blocks.select(group, F.col("owner").alias("own_r"), F.col("part").alias("q"), F.col("rows").alias("right"))
@@ -207,7 +224,8 @@ def _doubtful(members: DataFrame, k: int, limit: float, size: int = 512) -> Data
                 root = _labels(len(nodes), one, two)[used]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[root]), pa.array(nodes[used])], ["a", "b"])
 
-    return _blocks(members, "key", ["node", "component", "sketch"], size).mapInArrow(compare, "a long, b long").distinct()
+    members = members.withColumn("weight", F.lit(SKETCH_BITS // 8))
+    return _blocks(members, "key", ["node", "component", "sketch"], size).mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def _hidden(doubtful: DataFrame, labelled: DataFrame, texts: DataFrame, width: int, percent: int, k: int, limit: float, size: int = 512) -> DataFrame:
@@ -223,8 +241,8 @@ def _hidden(doubtful: DataFrame, labelled: DataFrame, texts: DataFrame, width: i
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
     cluster = components(doubtful).select("node", F.col("component").alias("cluster"))
-    sets = texts.join(cluster, "node", "left_semi").mapInArrow(shingled, "node long, set binary")
-    rows = settle(cluster.join(labelled, "node").join(sets, "node"), "clusters")
+    sets = texts.join(cluster, "node", "left_semi").mapInArrow(lean(shingled), "node long, set binary")
+    rows = settle(cluster.join(labelled, "node").join(sets, "node").withColumn("weight", F.octet_length("set") + SKETCH_BITS // 8), "clusters")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,25 +258,26 @@ def _hidden(doubtful: DataFrame, labelled: DataFrame, texts: DataFrame, width: i
                     on = on[[(ca[i], c) not in found for c in cb[on].tolist()]] if len(on) else on
                     if not len(on) or not len(s):
                         continue
-                    each = np.array([len(other[j]) for j in on])
-                    every = np.concatenate([other[j] for j in on])
-                    hit = s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every
-                    both = np.bincount(np.repeat(np.arange(len(on)), each), hit, len(on))
+                    each, both = _shared(s, [other[j] for j in on])
                     for j in on[100 * both >= percent * (len(s) + each - both)].tolist():
                         found.setdefault((ca[i], cb[j]), (a[i], b[j]))
                 yield pa.RecordBatch.from_arrays([pa.array([v[z] for v in found.values()], pa.int64()) for z in (0, 1)], ["a", "b"])
 
-    return _blocks(rows, "cluster", ["node", "component", "sketch", "set"], size).mapInArrow(compare, "a long, b long")
+    return _blocks(rows, "cluster", ["node", "component", "sketch", "set"], size).mapInArrow(lean(compare), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 0.15) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 0.25) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept) of rows (doc_id, text)."""
     k, limit = bands * rows, percent / 100 - slack
     signed = settle(signatures(docs, width, bands, rows), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = settle(full.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    # A repeated id has several sets; its sets are told apart by their digest, and their classes are linked through the id.
-    reps = settle(full.join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("node"))).select("node", "keys", "sketch").dropDuplicates(["node"]), "reps")
+    named = classes.withColumnRenamed("digest", "d")
+    reps = settle(full.join(named, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("node"))).dropDuplicates(["digest"]).select("node", "n_shingles", "keys", "sketch"), "reps")
+    # A repeated id with several sets links their classes.
+    holds = full.select("doc_id", "digest").join(named, F.col("digest") == F.col("d")).select("doc_id", "node")
+    several = holds.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most")
+    own = settle(holds.join(several, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct(), "own")
 
     members = reps.select("node", F.explode("keys").alias("key"))
     heads = settle(members.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"), "heads")
@@ -273,7 +292,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
 
     promising = settle(_promising(with_sketches(stars), k, limit), "promising")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    links = settle(_confirmed(promising, texts, width, percent), "confirmed")
+    links = settle(_confirmed(promising, texts, reps.select("node", "n_shingles"), width, percent).union(own), "confirmed")
     found = settle(components(links), "components")
 
     labelled = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -286,9 +305,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     drop(heads, members, promising, found, mixed, doubtful)
 
     of_class = classes.join(found_all, "node", "left").select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("component"))
-    named = signed.join(of_class, F.col("digest") == F.col("d"), "left")
+    out = signed.join(of_class, F.col("digest") == F.col("d"), "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

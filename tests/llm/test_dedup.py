@@ -50,6 +50,22 @@ def test_hidden_links_and_hot_groups(spark):
     assert got == brute_components(rows)
 
 
+def test_repeated_id_with_two_texts_links_both(spark):
+    base, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(3, base), (5, base + " x"), (5, other), (9, other + " y"), (11, " ".join(f"z{i}" for i in range(30)))]
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (9, 3), (11, 11)]
+
+
+def test_very_long_texts_and_one_common_head(spark):
+    """A text of half a million words beside its near copy, and a head with members in several blocks."""
+    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(500_000))
+    head = [f"v{i}" for i in range(3_000)]
+    rows = [(1, long), (2, long + " end")] + [(10 + k, " ".join([*head[: 3_000 - k], f"t{k}"])) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1} | {10 + k: 10 for k in range(120)}
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_dedup.near_duplicates(odd(spark)).collect()
     by = {r.doc_id: r for r in got}
