@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,27 @@ def drop(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.settled_at)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers are reused, and what one task leaves allocated its neighbours can't have."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """A function for mapInArrow that gives memory back at the end of its task."""
+
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return over_batches
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -6,12 +6,14 @@ partial sums in each task.
 
 Prediction: a word's score for a language is the log probability of its n-grams; languages that are not written in the word's
 script are ruled out. Over the words of a text, the best path through languages pays ``penalty`` for every switch; runs of one
-label are spans. The prediction is the language whose spans have most letters, the score its share of all letters. Paths are
-computed for many texts at once, a step per word position.
+label are spans. The prediction is the language whose spans have most letters, the score the share of all letters that these spans
+have in scripts of a learned language. Paths are computed for many texts at once, a step per word position.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; if no language is written in a word's
-script the word says nothing; ties go to the first language by code point; without training rows all is ``und``; a null id
-counts as the empty text for the split; other columns are kept by ``identify`` unless their names clash with its own, which
+Tasks take texts in slices of ``SLICE`` bytes, whatever the size of Arrow's batches, and keep sums only.
+
+Defined cases: null texts and texts without a letter (combining marks alone are none) are ``und`` with score 0; if no language is
+written in a word's script the word says nothing and counts nothing in the score, so a text wholly in unlearned scripts has score 0; ties go
+to the first language by code point; without training rows all is ``und``; a null id counts as the empty text for the split; other columns are kept by ``identify`` unless their names clash with its own, which
 replace them.
 """
 
@@ -25,9 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, remainder, split_words, table
+from .common import lean, pieces, remainder, split_words, table
 
 BUCKETS = 1 << 15
+SLICE = 2 << 20
 #: Where scripts start and end among the code points.
 SCRIPTS = [
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x531, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("arabic", 0x750, 0x77F),
@@ -50,20 +53,24 @@ class Words:
     def __init__(self, texts: pa.Array):
         flat, self.starts = split_words(texts, lower=False)
         coded = flat.dictionary_encode()
-        self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.codes = coded.indices.to_numpy(zero_copy_only=False)
         letters = pc.replace_substring_regex(pc.utf8_lower(coded.dictionary), r"[^\pL\pM]+", "")
-        self.letters = pc.utf8_length(letters).to_numpy(zero_copy_only=False).astype(np.int64)
-        points = np.frombuffer((" " + "  ".join(letters.to_pylist()) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
+        letters = pc.if_else(pc.match_substring_regex(letters, r"\pL"), letters, "")  # marks need a letter to stand on
+        self.letters = pc.utf8_length(letters).to_numpy(zero_copy_only=False).astype(np.int32)
+        points = np.frombuffer((" " + "  ".join(letters.to_pylist()) + " ").encode("utf-32-le"), np.uint32)
         self.n = len(self.letters)
-        owner = np.repeat(np.arange(self.n), self.letters + 2) if self.n else np.zeros(len(points), np.int64)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), self.letters + 2) if self.n else np.zeros(len(points), np.int32)
+        size = [len(points) - k for k in range(3)]
         h, owners, buckets = np.zeros(len(points), np.uint64), [], []
-        for k in range(3):
-            m = len(points) - k
-            h = h[:m] * np.uint64(0x9E3779B97F4A7C15) + points[k:] + np.uint64(k + 1)
+        for k, m in enumerate(size):
+            h = h[:m]
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += points[k:]
+            h += np.uint64(k + 1)
             inside = owner[:m] == owner[k:]
             inside &= self.letters[owner[:m]] > 0 if self.n else False
             owners.append(owner[:m][inside])
-            buckets.append(((h[inside] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(49)).astype(np.int64))
+            buckets.append(((h[inside] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(49)).astype(np.uint16))
         self.owner, self.bucket = np.concatenate(owners), np.concatenate(buckets)
         lead = np.cumsum(self.letters + 2) - self.letters - 1  # the first letter of each word
         self.script = np.where(self.letters > 0, _scripts(points[np.minimum(lead, len(points) - 1)]), 0) if self.n else np.zeros(0, np.int64)
@@ -76,7 +83,7 @@ def learn(docs: DataFrame) -> dict:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SLICE):
                 w = Words(part.column("text"))
                 langs = part.column("lang").to_pylist()
                 of_word = np.repeat(np.arange(len(langs)), np.diff(w.starts))
@@ -91,7 +98,7 @@ def learn(docs: DataFrame) -> dict:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], ["lang", "bucket", "n"])
 
-    rows = docs.where("lang IS NOT NULL").select("text", "lang").mapInArrow(count, kinds).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.where("lang IS NOT NULL").select("text", "lang").mapInArrow(lean(count), kinds).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names, total = rows.column("lang").to_pylist(), {}
     for lang, bucket, n in zip(names, rows.column("bucket").to_pylist(), rows.column("n").to_pylist(), strict=True):
         total.setdefault(lang, np.zeros(BUCKETS + len(NAMES)))[bucket] = n
@@ -151,7 +158,8 @@ def label_texts(texts: pa.Array, model: dict, penalty: float) -> tuple[list, np.
     place = place - w.starts[owner]
     letters = np.bincount(owner * len(langs) + labels, w.letters[codes], n * len(langs)).reshape(n, len(langs))
     top, total = letters.argmax(axis=1), letters.sum(axis=1)
-    score = letters[np.arange(n), top] / np.maximum(total, 1)
+    readable = model["allowed"].any(axis=0)[w.script[codes]]
+    score = np.bincount(owner, w.letters[codes] * (readable & (labels == top[owner])), n) / np.maximum(total, 1)
     cut = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
     spans: list[list] = [[] for _ in range(n)]
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(labels)], strict=True):
@@ -173,14 +181,14 @@ def identify(docs: DataFrame, model: dict, penalty: float = 8.0, with_spans: boo
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 16 << 20):
+            for part in pieces(batch, "text", SLICE):
                 lang, score, spans = label_texts(part.column("text"), shared.value, penalty)
                 new = [pa.array([x or "und" for x in lang], pa.string()), pa.array(score)]
                 if with_spans:
                     new.append(pa.array(spans, to_arrow_schema(schema).field("spans").type))
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "lang_pred", "score", *(["spans"] if with_spans else [])])
 
-    return docs.mapInArrow(label, schema)
+    return docs.mapInArrow(lean(label), schema)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

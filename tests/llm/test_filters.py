@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pyarrow as pa
 
@@ -48,6 +50,23 @@ def test_spans_of_mixed_text(spark):
     assert [s.lang for s in row.spans] == ["en", "fr", "ru"] and sum(s.words for s in row.spans) == len(text.split())
 
 
+def test_marks_alone_are_no_letters(spark):
+    model = language.learn(spark.createDataFrame([("the house on the hill", "en")], "text string, lang string"))
+    docs = spark.createDataFrame([(1, "\u0301\u0302 \u0301"), (2, "e\u0301t"), (3, "ฉันรัก"), (4, "12 %")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, model).collect()}
+    assert got == {1: ("und", 0.0), 2: ("en", 1.0), 3: ("en", 0.0), 4: ("und", 0.0)}
+
+
+def test_paths_are_the_best_of_all():
+    """Viterbi against every labelling of short texts."""
+    rng = np.random.default_rng(4)
+    scores, codes, starts = rng.normal(size=(7, 3)), rng.integers(0, 7, 16), np.array([0, 5, 5, 10, 16])
+    got = language._paths(scores, codes, starts, 0.7)
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        value = lambda path, own=codes[a:b]: sum(scores[c, x] for c, x in zip(own, path, strict=True)) - 0.7 * sum(x != y for x, y in zip(path, path[1:], strict=False))
+        assert value(got[a:b]) == max(value(p) for p in itertools.product(range(3), repeat=b - a))
+
+
 def test_language_odd_rows(spark):
     docs = odd(spark)
     got = language.identify(docs, language.learn(docs)).collect()

@@ -1,4 +1,5 @@
 import corpus_pipeline as cp
+from specloom.llm import language
 from specloom.llm.common import settle
 
 from .test_dedup import brute_components
@@ -14,6 +15,8 @@ def test_stages_take_effect(spark, sf_dir):
         kept = {r.doc_id for r in after}
         if name == "language ID":
             assert kept == {r.doc_id for r in before if any(c.isalpha() for c in r.text or "")}
+            assert {r.doc_id: r.lang for r in after} == {r.doc_id: r.lang_pred for r in language.op7_language(spark, sf_dir).collect() if r.doc_id in kept}
+            assert all(r.lang for r in after)
         elif name == "near duplicates":
             assert kept == {i for i, (_, c) in brute_components([(r.doc_id, r.text) for r in before]).items() if i == c}
         elif name == "repeated passages":
@@ -30,3 +33,9 @@ def test_stages_on_odd_rows(spark, sf_dir):
         for _, stage in cp.STAGES:
             docs = settle(stage(spark, docs, sf_dir), "stage")
             docs.count()
+
+
+def test_language_stage_rejects_unlearned_scripts(spark, sf_dir):
+    rows = [(i, "the house is on the hill by the sea", "en", "s", 9) for i in range(8)] + [(20, "ฉันรักคุณ มาก", None, "s", 9), (21, "12 34", "en", "s", 9), (22, "a hill by the sea ฉันรักคุณ", None, "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.lang for r in cp.language_id(spark, docs, sf_dir).collect()} == {i: "en" for i in [*range(8), 22]}
