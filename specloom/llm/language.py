@@ -19,6 +19,7 @@ replace them.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,7 +163,7 @@ def label_texts(texts: pa.Array, model: dict, penalty: float) -> tuple[list, np.
     score = np.bincount(owner, w.letters[codes] * (readable & (labels == top[owner])), n) / np.maximum(total, 1)
     cut = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
     spans: list[list] = [[] for _ in range(n)]
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(labels)], strict=True):
+    for a, b in itertools.pairwise([*cut.tolist(), len(labels)]):
         spans[owner[a]].append({"lang": langs[labels[a]], "first": int(place[a]), "words": int(place[b - 1] - place[a] + 1)})
     return [langs[x] if y else None for x, y in zip(top.tolist(), total.tolist(), strict=True)], score, spans
 
