@@ -3,11 +3,12 @@
 p(word | word before) = p(class | class before) * p(word | class); the end of a text is a token with a class of its own, and
 is what stands before the first word. Word classes:
 
-1. Seeds: the ``core`` most frequent words are clustered by the exchange algorithm in one task: words move one at a time to the class
-   that raises the likelihood of their class bigrams most, until a sweep moves none. It works on core bigram counts.
-2. Rounds over the whole training vocabulary, the seeds included: each batch of texts sums (word, neighbour class, side, count), the sums are
-   added up by word over the corpus (a word that only one batch has is whole there and not shuffled), and every word moves to the class that raises the likelihood most against the table of all class pairs.
-   In the first round neighbours are seeds, later all words. Rounds go on while they raise the likelihood by ``least_gain`` of the classes' part.
+1. Seeds: words with at least 1 / ``share`` of all training tokens (so at most ``share`` words) are clustered by the exchange algorithm in
+   one task: words move one at a time to the class that raises the likelihood of their class bigrams most, until a sweep moves none.
+2. ``rounds`` of exchange over the whole training vocabulary, the seeds included: what stands before and after each word is summed over the
+   corpus as counts of (word, neighbour class, side), and every word moves to the class that raises the likelihood most against
+   the table of all class pairs. In the first round neighbours are seeds, later all words. If the last round lowers the likelihood, its
+   predecessor's classes are kept.
 
 A class depends on sums over the corpus only, never on how texts are dealt. The number of classes grows with the cube root of the vocabulary, so the
 table of class pairs grows more slowly than the vocabulary and stays small.
@@ -16,9 +17,10 @@ Class transitions and emissions are then counted over all training tokens. Trans
 class a known word has its share of the class's tokens. An unseen word gets the base model's probability of one, and the
 class before it stays the context.
 
-Scale: texts are dealt once into batches of about ``batch_bytes`` by a hash and stored as numbers of words. In each round a batch asks for the
-classes of its own distinct words only, so tokens are never shuffled by word. A document is reduced to its class-pair counts before the transition
-table is known.
+Scale: texts are encoded once, in the order of the scan, in batches of about ``batch_bytes``; words are 64-bit hashes, and the vocabulary is cut into
+parts by ranges of the hash, about ``per_part`` words of batches each. A part and a batch exchange packed numbers: classes of the batch's distinct
+words one way, sparse sums the other. So tokens are never shuffled by word. The sums of seeds, which every batch has, go through a plain
+aggregation with partial sums instead; they are at most ``share`` * (2 * classes + 1) numbers, and so they meet on the driver.
 
 Defined cases: null and empty texts are the end token alone; without training rows all tokens are unknown; repeated rows
 are scored (and learned from) each; a null id counts as the empty text for the split; other columns are ignored.
@@ -33,10 +35,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, pieces, remainder, settle, split_words, table
+from .common import drop, give_back, lean, pieces, remainder, settle, split_words, table
 
 END = "\n"  # no word contains white space
 
@@ -52,6 +56,10 @@ def tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return both.take(pa.array(take)).dictionary_encode(), starts + np.arange(n + 1)
 
 
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
 def _before(codes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     """The code before each token; ``end`` before the first of a text."""
     out = np.empty_like(codes)
@@ -60,39 +68,150 @@ def _before(codes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """Rows (word, n) over rows (text); end tokens included."""
+def _blob(x: np.ndarray, kind: str) -> bytes:
+    return np.ascontiguousarray(x, kind).tobytes()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                coded, _ = tokens(part.column("text"))
-                n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
-                yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(n)], ["word", "n"])
 
-    return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _read(cell, kind: str) -> np.ndarray:
+    """The numbers of a binary cell (null: none)."""
+    raw = cell.as_buffer()
+    return np.frombuffer(raw, kind) if raw is not None and len(raw) else np.empty(0, kind)
+
+
+def _merged(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``limit`` bytes of text from smaller and larger ones."""
+    held, size = [], 0
+    for batch in batches:
+        for part in pieces(batch, "text", limit):
+            n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if held and size + n > limit:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+ENCODED = "batch long, h binary, n binary, codes binary, starts binary, doc_id array<long>, held_out array<boolean>"
+
+
+def encoded_batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
+    """A row per batch of rows (doc_id, text, held_out): its distinct words as sorted hashes ``h`` with their counts ``n`` in training rows, its tokens
+    as places in these, where texts start, and the texts' columns."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, t in enumerate(_merged(batches, batch_bytes)):
+            if not t.num_rows:
+                continue
+            coded, starts = tokens(t.column("text"))
+            h = np.fromiter(map(word_hash, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+            order = np.argsort(h)
+            place = np.empty(len(h), np.int32)
+            place[order] = np.arange(len(h), dtype=np.int32)
+            codes = place[coded.indices.to_numpy(zero_copy_only=False)]
+            train = np.repeat(~t.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(starts))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([(TaskContext.get().partitionId() << 32) + k]), *(pa.array([x], pa.binary()) for x in (_blob(h[order], "<u8"), _blob(np.bincount(codes[train], minlength=len(h)), "<u4"), _blob(codes, "<i4"), _blob(starts, "<i4"))),
+                *(pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c)) for c in ("doc_id", "held_out")),
+            ], ["batch", "h", "n", "codes", "starts", "doc_id", "held_out"])
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(lean(encode), ENCODED)
+
+
+class Tokens:
+    """The tokens of a batch and its training bigrams (a, b, n); words are places among its distinct ones."""
+
+    def __init__(self, row, bigrams: bool = True):
+        cell = lambda c: row.column(c).combine_chunks()[0] if isinstance(row, pa.Table) else row.column(c)[0]
+        self.h, self.codes, self.starts = _read(cell("h"), "<u8"), _read(cell("codes"), "<i4"), _read(cell("starts"), "<i4").astype(np.int64)
+        self.n, self.doc_id, self.held_out = _read(cell("n"), "<u4"), cell("doc_id").values, cell("held_out").values.to_numpy(zero_copy_only=False).astype(bool)
+        if bigrams:
+            w, end = len(self.h), int(np.searchsorted(self.h, np.uint64(word_hash(END))))
+            train = np.repeat(~self.held_out, np.diff(self.starts))
+            pair, self.times = np.unique((_before(self.codes, self.starts, end).astype(np.int64) * w + self.codes)[train], return_counts=True)
+            self.a, self.b = pair // w, pair % w
+
+
+def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _cuts(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array, and where each starts (one more entry)."""
+    cut = np.flatnonzero(np.diff(part, prepend=-1))
+    return part[cut], np.append(cut, len(part))
+
+
+#: A row (batch WORDS) with a part's hashes and counts, and for each batch (its number) where its words of this part are among them.
+VOCABULARY, WORDS, KINDS = "part long, batch long, a binary, n binary, tokens long, known long", -2, -1
+
+
+def vocabulary(encoded: DataFrame, parts: int) -> DataFrame:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for k in range(rows.num_rows):
+                h, n = _read(rows.column("h")[k], "<u8"), _read(rows.column("n")[k], "<u4")
+                part, cut = _cuts(_part_of(h, parts))
+                hs, ns = ([_blob(x[i:j], kind) for i, j in zip(cut[:-1], cut[1:], strict=True)] for x, kind in ((h, "<u8"), (n, "<u4")))
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), rows.column("batch")[k].as_py())), pa.array(hs, pa.binary()), pa.array(ns, pa.binary())], ["part", "batch", "h", "n"])
+
+    def gather(t: pa.Table) -> pa.Table:
+        hs = [_read(x, "<u8") for x in t.column("h")]
+        every = np.unique(np.concatenate(hs))
+        at, n = [np.searchsorted(every, x) for x in hs], np.zeros(len(every), np.int64)
+        for place, x in zip(at, t.column("n"), strict=True):
+            n += np.bincount(place, _read(x, "<u4"), len(every)).astype(np.int64)
+        rows, none = len(at), [None] * len(at)
+        return pa.table({
+            "part": pa.array([t.column("part")[0].as_py()] * (rows + 1)), "batch": pa.array([WORDS, *t.column("batch").to_pylist()]), "a": pa.array([_blob(every, "<u8"), *(_blob(x, "<i4") for x in at)], pa.binary()),
+            "n": pa.array([_blob(n, "<i8"), *none], pa.binary()), "tokens": pa.array([int(n.sum()), *none], pa.int64()), "known": pa.array([int((n > 0).sum()), *none], pa.int64()),
+        })
+
+    return encoded.select("batch", "h", "n").mapInArrow(lean(split), "part long, batch long, h binary, n binary").groupBy("part").applyInArrow(gather, VOCABULARY)
+
+
+class Seeds:
+    """The frequent words: hashes (the end token first), and where each is in its part (part -1: nowhere)."""
+
+    def __init__(self, vocabulary: DataFrame, total: int, share: int):
+        end = word_hash(END)
+
+        def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                for k in range(rows.num_rows):
+                    h, n = _read(rows.column("a")[k], "<u8"), _read(rows.column("n")[k], "<i8")
+                    on = np.flatnonzero(((n * share >= total) & (n > 0)) | (h == np.uint64(end)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), rows.column("part")[k].as_py())), pa.array(on), pa.array(h[on].view(np.int64)), pa.array(n[on])], ["part", "place", "h", "n"])
 
+        found = vocabulary.where(f"batch = {WORDS}").select("part", "a", "n").mapInArrow(lean(frequent), "part long, place long, h long, n long").collect()
+        rows = sorted(((r.h & (1 << 64) - 1, r.part, r.place, r.n) for r in found), key=lambda r: (r[0] != end, -r[3], r[0]))
+        rows = rows if rows and rows[0][0] == end else [(end, -1, -1, 0), *rows]
+        self.h, self.part, self.place = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        self.order = np.argsort(self.h)
 
-def _core_codes(coded: pa.DictionaryArray, core: pa.Array) -> np.ndarray:
-    """For each token its place in ``core``, or -1."""
-    return pc.fill_null(pc.index_in(coded.dictionary.cast(pa.string()), core), -1).to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
+    def __len__(self) -> int:
+        return len(self.h)
 
+    def among(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash among the seeds, or -1."""
+        at = np.minimum(np.searchsorted(self.h[self.order], h), len(self.h) - 1)
+        return np.where(self.h[self.order][at] == h, self.order[at], -1)
 
-def core_bigrams(texts: DataFrame, core: list[str]) -> DataFrame:
-    """Rows (a, b, n): how often core word b follows core word a."""
+
+def seed_bigrams(encoded: DataFrame, seeds: Seeds) -> DataFrame:
+    """Rows (a, b, n): how often seed b follows seed a in training rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(core, pa.string())
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                coded, starts = tokens(part.column("text"))
-                code = _core_codes(coded, names)
-                before = _before(code, starts, core.index(END))
-                both = (code >= 0) & (before >= 0)
-                pair, n = np.unique(before[both] * len(core) + code[both], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((pair // len(core)).astype(np.int32)), pa.array((pair % len(core)).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
+        for rows in batches:
+            for k in range(rows.num_rows):
+                t = Tokens(rows.slice(k, 1))
+                of = seeds.among(t.h)
+                a, b = of[t.a], of[t.b]
+                on = (a >= 0) & (b >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(a[on].astype(np.int32)), pa.array(b[on].astype(np.int32)), pa.array(t.times[on].astype(np.int64))], ["a", "b", "n"])
 
-    return texts.select("text").mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return encoded.mapInArrow(lean(count), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -135,7 +254,7 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, words: int, classes: i
     return of
 
 
-def _fit_core(bigrams: DataFrame, words: int, classes: int) -> np.ndarray:
+def _fit_seeds(bigrams: DataFrame, words: int, classes: int) -> np.ndarray:
     """Runs the exchange in one task; its input is bounded by words^2."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -151,124 +270,217 @@ def _fit_core(bigrams: DataFrame, words: int, classes: int) -> np.ndarray:
     return out
 
 
-def _encoded(batched: DataFrame) -> DataFrame:
-    """A row for each batch: its distinct words, its tokens as places in these, where texts start, and the texts' columns."""
-
-    def encode(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        coded, starts = tokens(t.column("text").chunk(0))
-        cell = lambda x, kind: pa.array([x], pa.list_(kind))
-        return pa.table({
-            "batch": pa.array([t.column("batch")[0].as_py()]), "words": pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.string())), "codes": cell(coded.indices.to_numpy(), pa.int32()),
-            "starts": cell(starts.astype(np.int32), pa.int32()), "doc_id": pa.ListArray.from_arrays([0, t.num_rows], t.column("doc_id").chunk(0)), "held_out": pa.ListArray.from_arrays([0, t.num_rows], t.column("held_out").chunk(0)),
-        })
-
-    return batched.groupBy("batch").applyInArrow(encode, "batch long, words array<string>, codes array<int>, starts array<int>, doc_id array<long>, held_out array<boolean>")
-
+def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of ``n``."""
+    if not len(key):
+        return key, n.astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first)
+
+
+def _answers(vocabulary: DataFrame, kinds: DataFrame, with_counts: bool = False) -> DataFrame:
+    """Rows (batch, part, a, n): the classes (and counts) of each batch's words of each part."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        batch, cells = t.column("batch").to_numpy(), t.column("a")
+        of, n = np.empty(0, "<i2"), np.empty(0, "<i8")
+        for k in np.flatnonzero(batch < 0):
+            if batch[k] == KINDS:
+                of = _read(cells[int(k)], "<i2")
+            else:
+                n = _read(t.column("n")[int(k)], "<i8")
+        own = np.flatnonzero(batch >= 0)
+        at = [_read(cells[int(k)], "<i4") for k in own]
+        return pa.table({"batch": pa.array(batch[own]), "part": pa.array(np.full(len(own), t.column("part")[0].as_py())), "a": pa.array([_blob(of[x], "<i2") for x in at], pa.binary()), "n": pa.array([_blob(n[x], "<i8") if with_counts else None for x in at], pa.binary())})
+
+    asked = vocabulary if with_counts else vocabulary.where(f"batch <> {WORDS}")
+    return asked.select("part", "batch", "a", "n").unionByName(kinds).groupBy("part").applyInArrow(answer, "batch long, part long, a binary, n binary")
+
+
+def _joined(right: pa.Table, column: str, kind: str) -> np.ndarray:
+    """The numbers of a batch's answers, in the order of its words."""
+    order = np.argsort(right.column("part").to_numpy(), kind="stable")
+    return np.concatenate([np.empty(0, kind), *(_read(right.column(column)[int(k)], kind) for k in order)])
+
+
+#: Rows of sums: of a part (its number), of seeds, or of class pairs; sizes say how many codes each word has.
+EVIDENCE, SEEDS, PAIRS = "part long, batch long, sizes binary, codes binary, ns binary", -1, -2
+
+
+def evidence(encoded: DataFrame, answers: DataFrame, seeds: Seeds, classes: int, parts: int, pairs_only: bool = False) -> DataFrame:
+    """For each batch and part, how often each training word stands before a word of class ``code``, after one of class ``code - classes``, or
+    before itself (2 * classes); words without a class are left out as neighbours. And how often classes follow each other."""
+
+    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["part", "batch", "sizes", "codes", "ns"]
+        if not left.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 3], names)
+        t, kind, width = Tokens(left), _joined(right, "a", "<i2").astype(np.int64), 2 * classes + 1
+        ka, kb = kind[t.a], kind[t.b]
+        on = (ka >= 0) & (kb >= 0)
+        code, n = _sums(ka[on] * classes + kb[on], t.times[on])
+        rows = [(PAIRS, b"", _blob(code, "<i4"), _blob(n, "<u4"))]
+        if not pairs_only:
+            same = t.a == t.b
+            r, l = ~same & (kb >= 0), ~same & (ka >= 0)  # noqa: E741
+            key, n = _sums(np.concatenate([t.a[r] * width + kb[r], t.b[l] * width + classes + ka[l], t.a[same] * width + 2 * classes]), np.concatenate([t.times[r], t.times[l], t.times[same]]))
+            word, code, seed = key // width, key % width, seeds.among(t.h)
+            hot = seed[word] >= 0
+            rows.append((SEEDS, _blob(seed[word[hot]], "<i4"), _blob(code[hot], "<u2"), _blob(n[hot], "<u4")))
+            word, code, n = word[~hot], code[~hot], n[~hot]
+            part, cut = _cuts(_part_of(t.h, parts))
+            at = np.searchsorted(word, cut)
+            sizes = np.bincount(word, minlength=len(t.h))
+            for p, i, j, x, y in zip(part.tolist(), cut[:-1], cut[1:], at[:-1], at[1:], strict=True):
+                if y > x:
+                    rows.append((p, _blob(sizes[i:j], "<u2"), _blob(code[x:y], "<u2"), _blob(n[x:y], "<u4")))
+        p, *rest = zip(*rows, strict=True)
+        give_back()
+        return pa.table([pa.array(p, pa.int64()), pa.array([left.column("batch")[0].as_py()] * len(p), pa.int64()), *(pa.array(x, pa.binary()) for x in rest)], names)
+
+    return encoded.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(gather, EVIDENCE)
+
+
+def _totals(found: DataFrame, part: int, width: int) -> pa.Table:
+    """Sums (key, n) over all batches of the rows of ``part``: bounded by the number of keys."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for k in range(rows.num_rows):
+                word, code = _read(rows.column("sizes")[k], "<i4").astype(np.int64), _read(rows.column("codes")[k], "<i4" if part == PAIRS else "<u2").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(word * width + code if part == SEEDS else code), pa.array(_read(rows.column("ns")[k], "<u4").astype(np.int64))], ["key", "n"])
+
+    return found.where(f"part = {part}").select("sizes", "codes", "ns").mapInArrow(unpack, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+
+
+def class_pairs(found: DataFrame, classes: int) -> np.ndarray:
+    """How often words of each class follow words of each class: at most classes^2 rows."""
+    t, out = _totals(found, PAIRS, 0), np.zeros(classes * classes)
+    out[t.column("key").to_numpy()] = t.column("n").to_numpy()
+    return out.reshape(classes, classes)
 
-def _cell(t, name: str) -> pa.Array:
-    """The values of a list column's only row."""
-    return t.column(name).combine_chunks().flatten() if isinstance(t, pa.Table) else t.column(name).flatten()
 
+class Gains:
+    """What the likelihood gains by class pairs that become more frequent: tables for small numbers, and the formula for others."""
 
-NEIGHBOURS = "batch long, word string, c long, class int, whole boolean, codes array<int>, ns array<long>"
+    SMALL = 8
 
+    def __init__(self, pairs: np.ndarray):
+        self.pairs, self.both = pairs, np.concatenate([pairs.T, pairs])  # of a word before class j, then of one after class j
+        log = _xlogx(self.both)
+        self.up = [None, *(_xlogx(self.both + x) - log for x in range(1, self.SMALL + 1))]
 
-def _neighbours(t: pa.Table, classes: int, answers: pa.Table) -> pa.Table:
-    """A row for each training word of an encoded batch, with codes and counts: how often it stands before a word of class ``code``, after one of
-    class ``code - classes``, or before itself (2 * classes). Words without a class are left out as neighbours. ``whole``: no other batch has it."""
-    words, codes, starts = _cell(t, "words"), _cell(t, "codes").to_numpy().astype(np.int64), _cell(t, "starts").to_numpy()
-    w = len(words)
-    kind, c = np.full(w, -1, np.int64), np.zeros(w, np.int64)
-    if answers.num_rows:
-        at = pc.index_in(words, answers.column("word").combine_chunks())
-        hit, place = at.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(at, 0).to_numpy(zero_copy_only=False)
-        kind[hit], c[hit] = answers.column("class").to_numpy()[place[hit]], answers.column("c").to_numpy()[place[hit]]
-    train = np.repeat(~_cell(t, "held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(starts))
-    n_here = np.bincount(codes[train], minlength=w)
-    here = np.flatnonzero(n_here)
-    pair, n = np.unique((_before(codes, starts, pc.index(words, END).as_py()) * w + codes)[train], return_counts=True)
-    a, b = pair // w, pair % w
-    width = 2 * classes + 1
-    own, right, left = a == b, (a != b) & (kind[b] >= 0), (a != b) & (kind[a] >= 0)
-    key = np.concatenate([here * width + 2 * classes, a[own] * width + 2 * classes, a[right] * width + kind[b[right]], b[left] * width + classes + kind[a[left]]])
-    key, back = np.unique(key, return_inverse=True)
-    total = np.bincount(back, np.concatenate([np.zeros(len(here)), n[own], n[right], n[left]]), len(key)).astype(np.int64)
-    offsets = pa.array(np.append(np.searchsorted(key, here * width), len(key)).astype(np.int32))
-    return pa.table({
-        "batch": pa.array(np.full(len(here), t.column("batch")[0].as_py())), "word": words.take(pa.array(here)), "c": pa.array(c[here]), "class": pa.array(kind[here].astype(np.int32)), "whole": pa.array(n_here[here] == c[here]),
-        "codes": pa.ListArray.from_arrays(offsets, pa.array((key % width).astype(np.int32))), "ns": pa.ListArray.from_arrays(offsets, pa.array(total)),
-    })
+    def rows(self, code: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+        """For each (code, n) the gain with each class."""
+        for x in range(1, self.SMALL + 1):
+            on = np.flatnonzero(n == x)
+            out[on] = self.up[x][code[on]]
+        on = np.flatnonzero(n > self.SMALL)
+        base = self.both[code[on]]
+        out[on] = _xlogx(base + n[on][:, None]) - _xlogx(base)
 
 
-def _answers(encoded: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Rows (for_batch, word, c, class): what each batch needs to know of its own words, by one shuffle on the word."""
-    return encoded.select("batch", F.explode("words").alias("word")).join(kinds.select("word", "c", "class"), "word").select(F.col("batch").alias("for_batch"), "word", "c", "class")
+def choices(of: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, pairs: np.ndarray, at_once: int = 1 << 19) -> np.ndarray:
+    """For each word (``of``: its class, or -1) the class that raises the likelihood most against the table of all class pairs, its own pairs
+    taken out; -1 if nothing speaks for a class. Rows (word, code, n) as from ``evidence``, each once, sorted by word."""
+    gains, c, out = Gains(pairs), len(pairs), np.empty(len(of), np.int64)
+    step = max(1, at_once // (4 * c))
+    for low in range(0, len(of), step):
+        i, j = np.searchsorted(word, [low, low + step])
+        out[low : low + step] = _choose(of[low : low + step], word[i:j] - low, code[i:j], n[i:j].astype(np.float64), gains)
+    return out
 
 
-def choices(of: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """For each word (``of``: its class, or -1) the class that raises the likelihood most against the table of all class pairs, its own pairs
-    taken out; -1 if nothing speaks for a class. Rows (word, code, n) as from ``_neighbours``, sorted by word."""
-    c, count = len(pairs), len(of)
-    right, left, own = np.zeros((count, c)), np.zeros((count, c)), np.zeros(count)
-    for side, at in ((right, code < c), (left, (code >= c) & (code < 2 * c))):
-        side[word[at], code[at] % c] = n[at]
-    own[word[code == 2 * c]] = n[code == 2 * c]
-    r, l, member = right.sum(axis=1), left.sum(axis=1), np.flatnonzero(of >= 0)  # noqa: E741
+def _choose(of: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, gains: Gains) -> np.ndarray:
+    c, count, pairs = len(gains.pairs), len(of), gains.pairs
+    side = code < 2 * c
+    w, k, x = word[side], code[side], n[side]
+    own = np.bincount(word[~side], n[~side], count)
+    total = lambda on: np.bincount(w[on], x[on], count)
+    r, l = total(k < c), total(k >= c)  # noqa: E741
     gain = np.zeros((count, c))
-    for side, other, table in ((right, left, pairs.T), (left, right, pairs)):
-        w, j = np.nonzero(side)
-        for low in range(0, len(w), max(1, (1 << 20) // c)):
-            wb, jb = w[low : low + max(1, (1 << 20) // c)], j[low : low + max(1, (1 << 20) // c)]
-            base, x = table[jb].copy(), side[wb, jb]
-            rows = np.flatnonzero(of[wb] >= 0)
-            base[rows, of[wb[rows]]] -= x[rows]
-            same = np.flatnonzero((of[wb] == jb) & (of[wb] >= 0))
-            base[same] -= other[wb[same]]
-            base[same, jb[same]] -= own[wb[same]]
-            base = np.maximum(base, 0)
-            up = _xlogx(base + x[:, None]) - _xlogx(base)
-            first = np.flatnonzero(np.concatenate([[True], wb[1:] != wb[:-1]]))
-            gain[wb[first]] += np.add.reduceat(up, first, axis=0)
-    diag, rows, cols = (np.repeat(x[None], count, axis=0) for x in (np.diag(pairs), pairs.sum(axis=1), pairs.sum(axis=0)))
-    k = of[member]
-    diag[member, k] -= right[member, k] + left[member, k] + own[member]
-    rows[member, k] -= r[member] + own[member]
-    cols[member, k] -= l[member] + own[member]
-    diag, x = np.maximum(diag, 0), own[:, None]
-    gain += _xlogx(diag + right + left + x) - _xlogx(diag + right) - _xlogx(diag + left) + _xlogx(diag)
-    gain -= _xlogx(rows + r[:, None] + x) - _xlogx(rows) + _xlogx(cols + l[:, None] + x) - _xlogx(cols)
+    block = max(1, (1 << 19) // c)
+    for low in range(0, len(w), block):
+        wb = w[low : low + block]
+        up = np.empty((len(wb), c))
+        gains.rows(k[low : low + block], x[low : low + block], up)
+        first = np.flatnonzero(np.concatenate([[True], wb[1:] != wb[:-1]]))
+        gain[wb[first]] += np.add.reduceat(up, first, axis=0)
+    right, left = np.zeros((count, c)), np.zeros((count, c))
+    for target, at in ((right, k < c), (left, k >= c)):
+        target[w[at], k[at] % c] = x[at]
+    # The table holds the word's own pairs, in the row and the column of its class: take them out. Entries of other classes differ for the class as
+    # a candidate only; the entry of the class itself differs for all candidates.
+    mine, member = of[w], of >= 0
+    same = mine == k % c
+    on = (mine >= 0) & ~same
+    base = gains.both[k[on], mine[on]]
+    less = np.maximum(base - x[on], 0)
+    gain[member, of[member]] += np.bincount(w[on], _xlogx(less + x[on]) - _xlogx(less) - _xlogx(base + x[on]) + _xlogx(base), count)[member]
+    for at, other in ((same & (k < c), left), (same & (k >= c), right)):
+        wa, xa = w[at], x[at][:, None]
+        base = gains.both[k[at]]
+        less = base - other[wa]
+        less[np.arange(len(wa)), of[wa]] -= x[at] + own[wa]
+        less = np.maximum(less, 0)
+        gain[wa] += _xlogx(less + xa) - _xlogx(less) - _xlogx(base + xa) + _xlogx(base)
+    # Pairs within the candidate class are counted from both sides.
+    diag = np.repeat(np.diag(pairs)[None], count, axis=0)
+    at = np.flatnonzero(member)
+    diag[at, of[at]] = np.maximum(diag[at, of[at]] - right[at, of[at]] - left[at, of[at]] - own[at], 0)
+    i, j = np.nonzero((right > 0) & (left > 0) | (own > 0)[:, None])
+    d, a, b = diag[i, j], right[i, j], left[i, j]
+    gain[i, j] += _xlogx(d + a + b + own[i]) - _xlogx(d + a) - _xlogx(d + b) + _xlogx(d)
+    # Totals of the classes; words of equal frequency share their row.
+    for sums, size in ((pairs.sum(axis=1), r + own), (pairs.sum(axis=0), l + own)):
+        value, back = np.unique(size, return_inverse=True)
+        gain -= (_xlogx(sums + value[:, None]) - _xlogx(sums))[back]
+        now = sums[of[member]]
+        gain[member, of[member]] += _xlogx(now + size[member]) - _xlogx(now) - _xlogx(now) + _xlogx(now - size[member])
     gain[:, 0] = -np.inf
     best = np.where(r + l + own > 0, gain.argmax(axis=1), -1)
-    stay = (of >= 0) & ((best < 0) | (gain[np.arange(count), best] <= gain[np.arange(count), of] + 1e-9))
+    stay = member & ((best < 0) | (gain[np.arange(count), best] <= gain[np.arange(count), of] + 1e-9))
     return np.where(of == 0, 0, np.where(stay, of, best))
 
 
-def _chosen(sums: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """Rows (batch, word, c, class) with the best class of each word. A word that nothing speaks for yet takes one by its hash."""
-    classes = len(pairs)
+def moved(found: DataFrame, vocabulary: DataFrame, kinds: DataFrame, seeds: Seeds, of_seeds: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """Each part's classes (rows as ``kinds``) after every word took its best one. A word that nothing speaks for yet takes one by its hash."""
+    classes, width = len(pairs), 2 * len(pairs) + 1
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, step := max(1, (1 << 18) // classes)):
-                b = whole.slice(low, step)
-                b = b.take(pa.array(np.arange(b.num_rows)))
-                size = pc.list_value_length(b.column("codes")).to_numpy(zero_copy_only=False)
-                of, spread = b.column("class").to_numpy().astype(np.int64), b.column("spread").to_numpy().astype(np.int64)
-                new = choices(of, np.repeat(np.arange(b.num_rows), size), b.column("codes").flatten().to_numpy(), b.column("ns").flatten().to_numpy(), pairs)
-                yield pa.RecordBatch.from_arrays([b.column("batch"), b.column("word"), b.column("c"), pa.array(np.where(new < 0, spread, new).astype(np.int32))], ["batch", "word", "c", "class"])
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        part = right.column("part")[0].as_py()
+        cell = {b: x for b, x in zip(right.column("batch").to_pylist(), right.column("a"), strict=True)}
+        h, of = _read(cell[WORDS], "<u8"), _read(cell[KINDS], "<i2").astype(np.int64)
+        keys, ns = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for k in range(left.num_rows):
+            word = np.repeat(_read(cell[left.column("batch")[k].as_py()], "<i4"), _read(left.column("sizes")[k], "<u2"))
+            keys.append(word.astype(np.int64) * width + _read(left.column("codes")[k], "<u2"))
+            ns.append(_read(left.column("ns")[k], "<u4"))
+        key, n = _sums(np.concatenate(keys), np.concatenate(ns))
+        new = choices(of, key // width, key % width, n, pairs)
+        new = np.where(new < 0, 1 + (h % np.uint64(max(classes - 1, 1))).astype(np.int64), new)
+        new[seeds.place[seeds.part == part]] = of_seeds[seeds.part == part]
+        give_back()
+        return pa.table({"part": pa.array([part]), "batch": pa.array([KINDS]), "a": pa.array([_blob(new, "<i2")], pa.binary()), "n": pa.array([None], pa.binary())})
 
-    spread = (1 + F.pmod(F.xxhash64("word"), F.lit(classes - 1))).cast("int")
-    return sums.withColumn("spread", spread).mapInArrow(choose, "batch long, word string, c long, class int")
+    rows = vocabulary.select("part", "batch", "a", "n").unionByName(kinds)
+    return found.where("part >= 0").groupBy("part").cogroup(rows.groupBy("part")).applyInArrow(choose, "part long, batch long, a binary, n binary")
 
 
-def _pairs(sums: DataFrame, classes: int) -> np.ndarray:
-    """How often words of each class follow words of each class: at most classes^2 rows."""
-    out = np.zeros((classes, classes))
-    x = sums.where("class >= 0").select("class", F.explode(F.arrays_zip("codes", "ns")).alias("x")).where(f"x.codes < {classes} OR x.codes = {2 * classes}")
-    for r in x.groupBy("class", "x.codes").agg(F.sum("x.ns")).collect():
-        out[r[0], r[0] if r[1] == 2 * classes else r[1]] += r[2]
-    return out
+def first_kinds(vocabulary: DataFrame, seeds: Seeds, of_seeds: np.ndarray) -> DataFrame:
+    """A row per part with the classes of its words: those of seeds, and -1."""
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for k in range(rows.num_rows):
+                part = rows.column("part")[k].as_py()
+                of = np.full(len(_read(rows.column("a")[k], "<u8")), -1, "<i2")
+                of[seeds.place[seeds.part == part]] = of_seeds[seeds.part == part]
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([KINDS]), pa.array([of.tobytes()], pa.binary()), pa.array([None], pa.binary())], ["part", "batch", "a", "n"])
+
+    return vocabulary.where(f"batch = {WORDS}").select("part", "a").mapInArrow(start, "part long, batch long, a binary, n binary")
 
 
 def _information(pairs: np.ndarray) -> float:
@@ -282,121 +494,72 @@ def _cleared(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def clustered(encoded: DataFrame, counts: DataFrame, seeds: tuple[list[str], np.ndarray], classes: int, least_gain: float) -> DataFrame:
-    """Rows (word, c, class) for all training words: rounds in which every word takes the class that its neighbours in the whole corpus make
-    likeliest, until a round raises the likelihood's share of the classes by less than ``least_gain``. The best round's classes are kept."""
-    names, of = seeds
-    spark = counts.sparkSession
-
-    def sums_of(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _neighbours(left, classes, right) if left.num_rows else pa.table({x: pa.array([], k) for x, k in (("batch", pa.int64()), ("word", pa.string()), ("c", pa.int64()), ("class", pa.int32()), ("whole", pa.bool_()), ("codes", pa.list_(pa.int32())), ("ns", pa.list_(pa.int64())))})
-
-    def summed(answers: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-        """Rows (batch, word, c, class, codes, ns) over the corpus: words of a single batch are whole there, only others are shuffled."""
-        found = settle(encoded.groupBy("batch").cogroup(answers.groupBy("for_batch")).applyInArrow(sums_of, NEIGHBOURS), "found")
-        _cleared(spark)
-        x = found.where("NOT whole").select("word", "c", "class", F.explode(F.arrays_zip("codes", "ns")).alias("x")).groupBy("word", "c", "class", F.col("x.codes").alias("code")).agg(F.sum("x.ns").alias("n"))
-        x = x.groupBy("word", "c", "class").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("x"))
-        shared = settle(x.select(F.lit(None).cast("long").alias("batch"), "word", "c", "class", F.col("x.code").alias("codes"), F.col("x.n").alias("ns")), "shared")
+def clustered(encoded: DataFrame, words: DataFrame, seeds: Seeds, of_seeds: np.ndarray, classes: int, parts: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
+    """Classes of all words (a row per part) after ``rounds`` of exchange, and how often classes follow each other."""
+    spark = encoded.sparkSession
+    kinds, before = settle(first_kinds(words, seeds, of_seeds), "kinds"), None
+    for _ in range(rounds):
+        found = settle(evidence(encoded, _answers(words, kinds), seeds, classes, parts), "evidence")
         _cleared(spark)
-        return found.where("whole").drop("whole").unionByName(shared), [found, shared]
-
-    seed = spark.createDataFrame(list(zip(names, map(int, of), strict=True)), "word string, class int")
-    kinds = counts.withColumnRenamed("n", "c").join(F.broadcast(seed), "word", "left").select("word", "c", F.coalesce("class", F.lit(-1)).alias("class"))
-    sums, tables = summed(_answers(encoded, kinds))
-    members = settle(tables[0].where("NOT whole").select(F.col("batch").alias("for_batch"), "word"), "members")
-    pairs, best, kept = _pairs(sums, classes), -math.inf, None
-    while True:
-        kinds = settle(_chosen(sums, pairs), "kinds")
-        drop(*tables)
+        pairs = class_pairs(found, classes)
+        t = _totals(found, SEEDS, 2 * classes + 1)
+        key, n = _sums(t.column("key").to_numpy(), t.column("n").to_numpy())
+        new = choices(of_seeds, key // (2 * classes + 1), key % (2 * classes + 1), n, pairs)
+        new = np.where(new < 0, of_seeds, new)
+        if before is not None:
+            drop(before[0])
+        before = (kinds, pairs)
+        kinds, of_seeds = settle(moved(found, words, kinds, seeds, new, pairs), "kinds"), new
+        drop(found)
         _cleared(spark)
-        own = kinds.where("batch IS NOT NULL").withColumnRenamed("batch", "for_batch")
-        sums, tables = summed(own.unionByName(members.join(kinds.where("batch IS NULL").drop("batch"), "word")))
-        pairs = _pairs(sums, classes)
-        now = _information(pairs)
-        last = kept is not None and now <= best + least_gain * abs(best)
-        if now > best:
-            if kept is not None:
-                drop(kept)
-            kept, best = kinds, now
-        else:
-            drop(kinds)
-        if last:
-            drop(members, *tables)
-            _cleared(spark)
-            return kept
-
-
-def score_texts(docs: DataFrame, core: int = 1500, classes: int = 24, batch_bytes: int = 8 << 20, least_gain: float = 0.01) -> DataFrame:
+    pairs = class_pairs(evidence(encoded, _answers(words, kinds), seeds, classes, parts, pairs_only=True), classes)
+    if before is not None:
+        if rounds > 1 and _information(before[1]) > _information(pairs):
+            kinds, before, pairs = before[0], (kinds, None), before[1]
+        drop(before[0])
+    _cleared(spark)
+    return kinds, pairs
+
+
+def score_texts(docs: DataFrame, share: int = 4096, classes: int = 24, rounds: int = 3, batch_bytes: int = 8 << 20, per_part: int = 1 << 18) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of rows (doc_id, text, held_out). ``classes`` is the least
     number of classes: it is the cube root of the number of training words where that is more."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    train = docs.where("NOT held_out")
-    counts = settle(word_counts(train), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    names = [END, *(r.word for r in counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(core).collect())]
-
-    bigrams = core_bigrams(train, names)
+    encoded = settle(encoded_batches(docs, batch_bytes), "encoded")
+    parts = max(1, math.ceil((encoded.agg(F.sum(F.octet_length("h"))).first()[0] or 0) / (8 * per_part)))
+    words = settle(vocabulary(encoded, parts), "vocabulary")
+    total, distinct = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    seeds = Seeds(words, total, share)
     n_classes = max(2, min(max(classes, math.ceil(distinct ** (1 / 3))), distinct))
-    of = _fit_core(bigrams, len(names), n_classes)
-
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    batched = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(max(1, math.ceil(size / batch_bytes)))))
-    encoded = settle(_encoded(batched), "encoded")
-    _cleared(docs.sparkSession)
-    kinds = clustered(encoded, counts, (names, of), n_classes, least_gain)
-    drop(counts)
+    of_seeds = _fit_seeds(seed_bigrams(encoded, seeds), len(seeds), n_classes)
+    kinds, seen = clustered(encoded, words, seeds, of_seeds, n_classes, parts, rounds)
 
     unseen = math.log10(0.5 / (total + 0.5 * (distinct + 1)))
-
-    def reduce(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc_id, held_out, words, codes, starts = (_cell(left, x) for x in ("doc_id", "held_out", "words", "codes", "starts"))
-        n, codes, starts = len(doc_id), codes.to_numpy(), starts.to_numpy().astype(np.int64) if left.num_rows else np.zeros(1, np.int64)
-        count, kind = np.zeros(len(words), np.int64), np.full(len(words), -1)
-        if right.num_rows and len(words):
-            at = pc.index_in(words, right.column("word").combine_chunks())
-            hit = at.is_valid().to_numpy(zero_copy_only=False)
-            place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[hit]
-            count[hit], kind[hit] = right.column("c").to_numpy()[place], right.column("class").to_numpy()[place]
-        c, k = count[codes], kind[codes]
-        owner = np.repeat(np.arange(n), np.diff(starts))
-        sums = lambda x: np.bincount(owner, x, n)
-        base = sums(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1))))
-        emitted = sums(np.where(c > 0, np.log10(np.maximum(c, 1)), unseen))
-        # Class pairs, with the last known class as context.
-        known = np.flatnonzero(k >= 0)
-        before = np.zeros(len(known), int)
-        before[1:] = k[known[:-1]]
-        before[np.concatenate([[True], owner[known[1:]] != owner[known[:-1]]])[: len(known)]] = 0
-        pair, times = np.unique((owner[known] * n_classes + before) * n_classes + k[known], return_counts=True)
-        of_doc = np.searchsorted(pair, np.arange(n + 1) * n_classes * n_classes)
-        offsets = pa.array(of_doc.astype(np.int32))
-        return pa.table({
-            "doc_id": doc_id, "held_out": held_out, "n_tokens": pa.array(np.diff(starts)), "n_known": pa.array(sums(c > 0).astype(np.int64)), "base_score": pa.array(base), "emitted": pa.array(emitted),
-            "pair": pa.ListArray.from_arrays(offsets, pa.array((pair % (n_classes * n_classes)).astype(np.int32))), "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-        })
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, pair array<int>, times array<int>"
-    reduced = settle(encoded.groupBy("batch").cogroup(_answers(encoded, kinds).groupBy("for_batch")).applyInArrow(reduce, schema), "reduced")
-    drop(encoded, kinds)
-
-    # Class statistics over all training tokens: bounded by classes^2.
-    seen = np.zeros((n_classes, n_classes))
-    for r in reduced.where("NOT held_out").select(F.explode(F.arrays_zip("pair", "times")).alias("x")).groupBy("x.pair").agg(F.sum("x.times")).collect():
-        seen[r[0] // n_classes, r[0] % n_classes] = r[1]
     live = max(int((seen.sum(axis=0) > 0).sum()), 1)
     step = np.log10((seen + 0.5) / (seen.sum(axis=1, keepdims=True) + 0.5 * live)) - np.log10(np.maximum(seen.sum(axis=0), 1)) + math.log10(max(1 - 10**unseen, 1e-12))
-    weight = step.ravel().tolist()
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.array(weight)
-        for b in batches:
-            pair, times = b.column("pair"), b.column("times")
-            ends = pair.offsets.to_numpy() - pair.offsets[0].as_py()
-            run = np.concatenate([[0], np.cumsum(w[pair.flatten().to_numpy()] * times.flatten().to_numpy())])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(b.column("emitted").to_numpy() + run[ends[1:]] - run[ends[:-1]])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, kinds = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        if not left.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names)
+        t = Tokens(left, bigrams=False)
+        kind, count = _joined(right, "a", "<i2").astype(np.int64), _joined(right, "n", "<i8")
+        kind[count == 0] = -1
+        c, k, n = count[t.codes], kind[t.codes], len(t.starts) - 1
+        owner = np.repeat(np.arange(n), np.diff(t.starts))
+        sums = lambda x, of=owner: np.bincount(of, x, n)
+        base = sums(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1))))
+        value = sums(np.where(c > 0, np.log10(np.maximum(c, 1)), unseen))
+        known = np.flatnonzero(k >= 0)  # the last known class is the context
+        before = np.concatenate([[0], k[known[:-1]]])[: len(known)]
+        before[np.concatenate([[True], owner[known[1:]] != owner[known[:-1]]])[: len(known)]] = 0
+        value += sums(step[before, k[known]], owner[known])
+        out = pa.table([t.doc_id, pa.array(t.held_out), pa.array(np.diff(t.starts)), pa.array(sums(c > 0).astype(np.int64)), pa.array(base), pa.array(value)], names)
+        give_back()
+        return out
 
-    out = reduced.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = encoded.groupBy("batch").cogroup(_answers(words, kinds, with_counts=True).groupBy("batch")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long"))
 
 

@@ -31,7 +31,7 @@ def test_class_lm(spark, sf_dir):
 def test_class_lm_is_a_distribution(spark):
     """Scores of all one-word texts, the unseen word among them, add up to one times the chance of an end after them."""
     docs = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate([("a b a c", False), ("a b", False), ("b d", False)] + [(w, True) for w in ["a", "b", "c", "d", "zz", ""]])], "doc_id long, text string, held_out boolean")
-    got = {r.doc_id: r for r in class_lm.score_texts(docs, core=2, classes=3).collect()}
+    got = {r.doc_id: r for r in class_lm.score_texts(docs, share=2, classes=3).collect()}
     firsts = sum(10 ** got[i].score for i in range(3, 9))
     assert 0 < firsts < 1 and got[7].n_known == 1 and got[8].n_tokens == 1
 
@@ -47,18 +47,88 @@ def test_exchange_finds_classes():
 
 def test_class_lm_is_the_same_for_any_batching(spark, sf_dir):
     docs = documents(spark, sf_dir).limit(150).selectExpr("doc_id", "text", "doc_id % 5 = 1 AS held_out")
-    one, many = ({(r.doc_id, r.n_tokens): r.score for r in class_lm.score_texts(docs, core=20, classes=5, batch_bytes=b).collect()} for b in (1 << 30, 1 << 14))
-    assert one == pytest.approx(many, rel=1e-9)
+    one, *others = ({(r.doc_id, r.n_tokens): r.score for r in class_lm.score_texts(docs.repartition(k), share=20, classes=5, batch_bytes=b, per_part=p).collect()} for k, b, p in ((1, 1 << 30, 1 << 20), (3, 1 << 14, 1 << 10), (7, 1 << 12, 200)))
+    assert all(one == pytest.approx(x, rel=1e-9) for x in others)
+
+
+def _brute_scores(rows, share, classes, rounds):
+    """Scores of (id, text, held_out) rows by plain counts: seeds by ``exchange``, then rounds in which every word takes the class of highest likelihood."""
+    toks = [(i, words(t) + ["\n"], h) for i, t, h in rows]
+    c, big = Counter(w for _, x, h in toks if not h for w in x), Counter()
+    for _, x, h in toks:
+        if not h:
+            big.update(zip(["\n", *x[:-1]], x, strict=True))
+    total, v = sum(c.values()), len(c)
+    seeds = sorted([w for w in c if c[w] * share >= total or w == "\n"], key=lambda w: (w != "\n", -c[w], class_lm.word_hash(w)))
+    classes = max(2, min(max(classes, math.ceil(v ** (1 / 3))), v))
+    own = sorted((seeds.index(a), seeds.index(b), n) for (a, b), n in big.items() if a in seeds and b in seeds)
+    of = dict(zip(seeds, class_lm.exchange(*(np.array(x) for x in zip(*own, strict=True)), len(seeds), classes).tolist(), strict=True))
+
+    def table(kind):
+        out = np.zeros((classes, classes))
+        for (a, b), n in big.items():
+            if a in kind and b in kind:
+                out[kind[a], kind[b]] += n
+        return out
+
+    history = []
+    for _ in range(rounds):
+        history.append((dict(of), table(of)))
+        new = {}
+        for w in c:
+            value = [-np.inf] + [class_lm._information(table(of | {w: k})) for k in range(1, classes)]
+            best = int(np.argmax(value))
+            linked = any(w in p and (p[0] in of or p[1] in of or p[0] == p[1]) for p in big)
+            if w == "\n":
+                new[w] = 0
+            elif w in of:
+                new[w] = best if linked and value[best] > value[of[w]] + 1e-9 else of[w]
+            else:
+                new[w] = best if linked else 1 + class_lm.word_hash(w) % (classes - 1)
+        of = new
+    seen = table(of)
+    if rounds > 1 and class_lm._information(history[-1][1]) > class_lm._information(seen):
+        of, seen = history[-1]
+    unseen = math.log10(0.5 / (total + 0.5 * (v + 1)))
+    live = int((seen.sum(axis=0) > 0).sum())
+    out = {}
+    for i, x, _ in toks:
+        value, before = 0.0, 0
+        for w in x:
+            if c[w]:
+                k = of[w]
+                value += math.log10((seen[before, k] + 0.5) / (seen[before].sum() + 0.5 * live)) + math.log10(c[w] / max(seen[:, k].sum(), 1)) + math.log10(max(1 - 10**unseen, 1e-12))
+                before = k
+            else:
+                value += unseen
+        out[i] = value
+    return out
+
+
+def test_class_lm_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"{'abc'[k % 3]}{int(rng.integers(0, 5)) ** 2 % 7}" for k in range(int(rng.integers(0, 14)))) for _ in range(40)]
+    rows = [(i, t, i % 4 == 1) for i, t in enumerate(texts)] + [(90, "zz a0 yy", True), (91, "zz zz", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    for share, rounds in ((4096, 2), (12, 1), (12, 3)):
+        got = {r.doc_id: r.score for r in class_lm.score_texts(docs, share=share, classes=4, rounds=rounds, per_part=4).collect()}
+        assert got == pytest.approx(_brute_scores(rows, share, 4, rounds), rel=1e-9)
 
 
 def test_all_words_take_part_in_clustering(spark):
-    """Only two words are seeds; the other 60 take turns in two groups, which rounds over all bigrams find."""
+    """Only the end and two words are seeds; the other 60 take turns in two groups, which rounds over all bigrams find."""
     rng = np.random.default_rng(5)
-    texts = [" ".join(f"{'ab'[k % 2]}{int(rng.integers(0, 30))}" for k in range(60)) for _ in range(80)]
-    docs = spark.createDataFrame([(i, t, False, i % 3) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean, batch long")
-    counts, encoded = settle(class_lm.word_counts(docs), "counts"), settle(class_lm._encoded(docs), "encoded")
-    of = {r.word: r["class"] for r in class_lm.clustered(encoded, counts, (["\n", "a0", "b0"], np.array([0, 1, 2])), 3, 0.001).collect()}
-    assert len(of) == 61 and of["\n"] == 0 and {of[f"a{i}"] for i in range(30)} == {1} and {of[f"b{i}"] for i in range(30)} == {2}
+    texts = [" ".join("a" if k % 6 == 0 else "b" if k % 6 == 3 else f"{'ab'[k % 2]}{int(rng.integers(0, 30))}" for k in range(60)) for _ in range(80)]
+    docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    encoded = settle(class_lm.encoded_batches(docs, 1 << 12), "encoded")
+    vocabulary = settle(class_lm.vocabulary(encoded, 3), "vocabulary")
+    seeds = class_lm.Seeds(vocabulary, 61 * 80, 20)
+    assert len(seeds) == 3
+    kinds, pairs = class_lm.clustered(encoded, vocabulary, seeds, np.array([0, 1, 2]), 3, 3, 3)
+    of = {r.part: np.frombuffer(r.a, "<i2") for r in kinds.collect()}
+    named = {int(h): int(k) for r in vocabulary.where("batch = -2").collect() for h, k in zip(np.frombuffer(r.a, "<u8"), of[r.part], strict=True)}
+    group = lambda x: {named[class_lm.word_hash(w)] for w in x}
+    assert len(named) == 63 and group(["\n"]) == {0} and group(["a", *(f"a{i}" for i in range(30))]) == group(["a"]) != group(["b"]) == group(["b", *(f"b{i}" for i in range(30))])
 
 
 def test_choices_equal_the_likelihood():
