@@ -25,10 +25,10 @@ THETA = 0.7
 
 # ---- SQL that several queries share
 
-SEQ = "seq AS (SELECT user_id, event_id, ts, event_type, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS pos FROM events)"
-SLOT = f"""slot AS (SELECT 'm' || (user_id % {MODELS}) AS model_id, user_id, pos // {LENGTH} AS s, (pos % {LENGTH})::INT AS k, event_type AS e,
+SEQ = "seq AS MATERIALIZED (SELECT user_id, event_id, ts, event_type, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS pos FROM events)"
+SLOT = f"""slot AS MATERIALIZED (SELECT 'm' || (user_id % {MODELS}) AS model_id, user_id, pos // {LENGTH} AS s, (pos % {LENGTH})::INT AS k, event_type AS e,
   CASE WHEN value >= {CUT} THEN 'hi' ELSE 'lo' END AS v FROM seq QUALIFY count(*) OVER (PARTITION BY user_id, pos // {LENGTH}) = {LENGTH})"""
-OBS = """obs AS (SELECT model_id, 'E_' || k AS vertex, 'E' AS signal, k, [] AS pv, e AS outcome FROM slot WHERE k = 0
+OBS = """obs AS MATERIALIZED (SELECT model_id, 'E_' || k AS vertex, 'E' AS signal, k, [] AS pv, e AS outcome FROM slot WHERE k = 0
   UNION ALL SELECT model_id, 'V_' || k, 'V', k, [], v FROM slot WHERE k = 0
   UNION ALL SELECT b.model_id, 'E_' || b.k, 'E', b.k, [a.e], b.e FROM slot a JOIN slot b ON a.user_id = b.user_id AND a.s = b.s AND b.k = a.k + 1
   UNION ALL SELECT b.model_id, 'V_' || b.k, 'V', b.k, [a.v, a.e], b.v FROM slot a JOIN slot b ON a.user_id = b.user_id AND a.s = b.s AND b.k = a.k + 1)"""
@@ -39,18 +39,18 @@ combo AS (SELECT model_id, vertex, signal, k, []::VARCHAR[] AS pv FROM vert WHER
   UNION ALL SELECT x.model_id, vertex, x.signal, k, [e.outcome] FROM vert x JOIN val e ON e.model_id = x.model_id AND e.signal = 'E' WHERE k > 0 AND x.signal = 'E'
   UNION ALL SELECT x.model_id, vertex, x.signal, k, [v.outcome, e.outcome] FROM vert x JOIN val e ON e.model_id = x.model_id AND e.signal = 'E' JOIN val v ON v.model_id = x.model_id AND v.signal = 'V' WHERE k > 0 AND x.signal = 'V'),
 grid AS (SELECT c.*, o.outcome FROM combo c JOIN val o ON o.model_id = c.model_id AND o.signal = c.signal),
-cpt AS (SELECT g.model_id, g.vertex, g.signal, g.k, g.pv, g.outcome,
+cpt AS MATERIALIZED (SELECT g.model_id, g.vertex, g.signal, g.k, g.pv, g.outcome,
   CASE WHEN sum(n) OVER w IS NULL THEN 1.0 / count(*) OVER w ELSE coalesce(n, 0) / sum(n) OVER w END::DOUBLE AS p
   FROM grid g LEFT JOIN cnt c ON c.model_id = g.model_id AND c.vertex = g.vertex AND c.pv = g.pv AND c.outcome = g.outcome WINDOW w AS (PARTITION BY g.model_id, g.vertex, g.pv))"""
 LEARN = f"{SEQ}, {SLOT}, {OBS}, {CPT}"
-_LEVELS = ["m0 AS (SELECT model_id, k, signal, outcome, p FROM cpt WHERE k = 0)"]
+_LEVELS = ["m0 AS MATERIALIZED (SELECT model_id, k, signal, outcome, p FROM cpt WHERE k = 0)"]
 for _k in range(1, LENGTH):
     _LEVELS.append(
-        f"m{_k} AS (SELECT c.model_id, c.k, c.signal, c.outcome, sum(c.p * e.p) AS p FROM cpt c JOIN m{_k - 1} e ON e.model_id = c.model_id AND e.signal = 'E' AND c.pv[1] = e.outcome WHERE c.k = {_k} AND c.signal = 'E' GROUP BY ALL"
+        f"m{_k} AS MATERIALIZED (SELECT c.model_id, c.k, c.signal, c.outcome, sum(c.p * e.p) AS p FROM cpt c JOIN m{_k - 1} e ON e.model_id = c.model_id AND e.signal = 'E' AND c.pv[1] = e.outcome WHERE c.k = {_k} AND c.signal = 'E' GROUP BY ALL"
         f" UNION ALL SELECT c.model_id, c.k, c.signal, c.outcome, sum(c.p * v.p * e.p) FROM cpt c JOIN m{_k - 1} v ON v.model_id = c.model_id AND v.signal = 'V' AND c.pv[1] = v.outcome JOIN m{_k - 1} e ON e.model_id = c.model_id AND e.signal = 'E' AND c.pv[2] = e.outcome WHERE c.k = {_k} AND c.signal = 'V' GROUP BY ALL)"
     )
-MARGINALS = ", ".join(_LEVELS) + ", marg AS (" + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(LENGTH)) + ")"
-WEIGHTS = """wt AS (SELECT model_id, 'E' AS ss, k - 1 AS sk, pv[1] AS sv, 'E' AS ds, k AS dk, outcome AS dv, p FROM cpt WHERE signal = 'E' AND k > 0
+MARGINALS = ", ".join(_LEVELS) + ", marg AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(LENGTH)) + ")"
+WEIGHTS = """wt AS MATERIALIZED (SELECT model_id, 'E' AS ss, k - 1 AS sk, pv[1] AS sv, 'E' AS ds, k AS dk, outcome AS dv, p FROM cpt WHERE signal = 'E' AND k > 0
   UNION ALL SELECT c.model_id, 'V', c.k - 1, c.pv[1], 'V', c.k, c.outcome, sum(c.p * m.p) FROM cpt c JOIN marg m ON m.model_id = c.model_id AND m.k = c.k - 1 AND m.signal = 'E' AND m.outcome = c.pv[2] WHERE c.signal = 'V' AND c.k > 0 GROUP BY ALL
   UNION ALL SELECT c.model_id, 'E', c.k - 1, c.pv[2], 'V', c.k, c.outcome, sum(c.p * m.p) FROM cpt c JOIN marg m ON m.model_id = c.model_id AND m.k = c.k - 1 AND m.signal = 'V' AND m.outcome = c.pv[1] WHERE c.signal = 'V' AND c.k > 0 GROUP BY ALL)"""
 NETWORK = f"{LEARN}, {MARGINALS}, {WEIGHTS}"
@@ -278,7 +278,7 @@ def _(spark, sf_dir):
     return nw.marginals(cpt(spark, sf_dir), LENGTH).select("model_id", "vertex", "outcome", *rounded("p"))
 
 
-@query("edge_weights", f"WITH {NETWORK} SELECT model_id, ss || '_' || sk AS src, sv AS src_val, ds || '_' || dk AS dst, dv AS dst_val, round(p, 9) AS p, round(1 - p, 9) AS w FROM wt")
+@query("edge_weights", f"WITH {NETWORK} SELECT model_id, ss || '_' || sk AS src, sv AS src_val, ds || '_' || dk AS dst, dv AS dst_val, round(p, 9) AS p, round(least(greatest(1 - p, 0), 1), 9) AS w FROM wt")
 def _(spark, sf_dir):
     t = checkpointed(cpt(spark, sf_dir))
     return nw.edge_weights(t, nw.marginals(t, LENGTH)).select("model_id", "src", "src_val", "dst", "dst_val", *rounded("p", "w"))
@@ -335,8 +335,8 @@ def _(spark, sf_dir):
 _LAST = LENGTH - 1
 PATHS = f"""{NETWORK}, walk AS (SELECT model_id, signal AS s, k, outcome AS v, [signal || ':' || outcome] AS tokens, [signal] AS signals, 0 AS n, 0::DOUBLE AS w FROM (SELECT DISTINCT model_id, signal, k, outcome FROM cpt WHERE k = 0)
   UNION ALL SELECT a.model_id, b.ds, b.dk, b.dv, list_append(a.tokens, b.ds || ':' || b.dv), list_append(a.signals, b.ds), a.n + 1, a.w + (1 - b.p) FROM walk a JOIN wt b ON a.model_id = b.model_id AND a.s = b.ss AND a.k = b.sk AND a.v = b.sv),
-path AS (SELECT model_id, tokens, signals, w / n AS metric FROM walk WHERE k = {_LAST} AND w / n <= 1 - {THETA}),
-num AS (SELECT *, (row_number() OVER (PARTITION BY model_id ORDER BY round(metric, 12), array_to_string(tokens, ',')) - 1)::INT AS path_id FROM path)"""
+path AS MATERIALIZED (SELECT model_id, tokens, signals, w / n AS metric FROM walk WHERE k = {_LAST} AND w / n <= 1 - {THETA}),
+num AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY model_id ORDER BY round(metric, 12), array_to_string(tokens, ',')) - 1)::INT AS path_id FROM path)"""
 
 
 def _paths(spark, sf_dir, min_signals=1):
@@ -370,8 +370,8 @@ def _(spark, sf_dir):
     return pt.best(nw.edge_weights(t, nw.marginals(t, LENGTH)), nw.boundary_edges(v), states, LENGTH - 1).select("model_id", "n_edges", *rounded("metric"))
 
 
-_CODE = f"""{PATHS}, alpha AS (SELECT model_id, list_sort(list_distinct(flatten(list(tokens)))) AS a FROM num GROUP BY model_id),
-code AS (SELECT model_id, path_id, array_to_string(list_transform(tokens, lambda t: chr((64 + list_position(a, t))::INT)), '') AS c FROM num JOIN alpha USING (model_id)),
+_CODE = f"""{PATHS}, alpha AS MATERIALIZED (SELECT model_id, list_sort(list_distinct(flatten(list(tokens)))) AS a FROM num GROUP BY model_id),
+code AS MATERIALIZED (SELECT model_id, path_id, array_to_string(list_transform(tokens, lambda t: chr((64 + list_position(a, t))::INT)), '') AS c FROM num JOIN alpha USING (model_id)),
 dist AS (SELECT x.model_id, x.path_id AS a, y.path_id AS b, levenshtein(x.c, y.c)::INT AS d FROM code x JOIN code y USING (model_id))"""
 
 
@@ -433,25 +433,47 @@ def _(spark, sf_dir):
     return _kripke(spark, sf_dir).transitions
 
 
+def _walk_sql(through: str, goal: str) -> str:
+    """States of a way through states of ``through`` to one of ``goal`` (which needn't be of ``through`` itself)."""
+    return f"WITH RECURSIVE r AS (SELECT state FROM ({goal}) UNION SELECT t.src FROM r JOIN trans t ON t.dst = r.state WHERE t.src IN ({through})) SELECT state FROM r"
+
+
+def _endless_sql(within: str) -> str:
+    """States with an endless way within a set: those that reach a cycle there."""
+    inner = f"SELECT src AS x, dst AS y FROM trans WHERE src IN ({within}) AND dst IN ({within})"
+    return f"WITH RECURSIVE c AS ({inner} UNION SELECT c.x, i.y FROM c JOIN ({inner}) i ON i.x = c.y) SELECT DISTINCT x AS state FROM (SELECT x, y FROM c UNION SELECT x, x FROM c) z WHERE y IN (SELECT x FROM c WHERE x = y)"
+
+
 def _sat_sql(f) -> str:
-    """SQL for the states of a formula."""
-    f = lg.rewritten(f)
+    """SQL for the states of a formula, each operator by what it says about ways."""
     if f == lg.TRUE:
         return "SELECT state FROM states"
     if isinstance(f, str):
         return f"SELECT state FROM labels WHERE ap = '{f}'"
     op, *args = f
-    a = f"({_sat_sql(args[0])})"
-    if op == "not":
-        return f"SELECT state FROM states WHERE state NOT IN {a}"
-    if op == "or":
-        return f"SELECT state FROM {a} UNION SELECT state FROM ({_sat_sql(args[1])})"
-    if op == "EX":
-        return f"SELECT DISTINCT src AS state FROM trans WHERE dst IN {a}"
-    if op == "EU":
-        return f"WITH RECURSIVE r AS (SELECT state FROM ({_sat_sql(args[1])}) UNION SELECT t.src FROM r JOIN trans t ON t.dst = r.state WHERE t.src IN {a}) SELECT state FROM r"
-    inner = f"SELECT src AS x, dst AS y FROM trans WHERE src IN {a} AND dst IN {a}"
-    return f"WITH RECURSIVE c AS ({inner} UNION SELECT c.x, i.y FROM c JOIN ({inner}) i ON i.x = c.y) SELECT DISTINCT x AS state FROM (SELECT x, y FROM c UNION SELECT x, x FROM c) z WHERE y IN (SELECT x FROM c WHERE x = y)"
+    a, b = ([_sat_sql(x) for x in args] + [""])[:2]
+    outside = lambda x: f"SELECT state FROM states WHERE state NOT IN ({x})"
+    both = lambda x, y: f"SELECT state FROM ({x}) WHERE state IN ({y})"
+    either = lambda x, y: f"SELECT state FROM ({x}) UNION SELECT state FROM ({y})"
+    neither = f"SELECT state FROM states WHERE state NOT IN ({a}) AND state NOT IN ({b})" if b else ""
+    return {
+        "not": lambda: outside(a),
+        "or": lambda: either(a, b),
+        "and": lambda: both(a, b),
+        "imply": lambda: f"SELECT state FROM states WHERE state NOT IN ({a}) OR state IN ({b})",
+        "EX": lambda: f"SELECT DISTINCT src AS state FROM trans WHERE dst IN ({a})",
+        "AX": lambda: f"SELECT state FROM states WHERE NOT EXISTS (SELECT 1 FROM trans WHERE src = state AND dst NOT IN ({a}))",
+        "EF": lambda: _walk_sql("SELECT state FROM states", a),
+        "EG": lambda: _endless_sql(a),
+        "EU": lambda: _walk_sql(a, b),
+        "EW": lambda: either(_walk_sql(a, b), _endless_sql(a)),  # a until b, or a for ever
+        "ER": lambda: either(_walk_sql(b, both(a, b)), _endless_sql(b)),  # b up to a state with both, or b for ever
+        "AF": lambda: outside(_endless_sql(outside(a))),  # no way stays outside a for ever
+        "AG": lambda: outside(_walk_sql("SELECT state FROM states", outside(a))),  # no way leads out of a
+        "AU": lambda: outside(either(_walk_sql(outside(b), neither), _endless_sql(outside(b)))),  # no way leaves both before b, none avoids b for ever
+        "AW": lambda: outside(_walk_sql(outside(b), neither)),
+        "AR": lambda: outside(_walk_sql(outside(a), outside(b))),  # no way leaves b before a
+    }[op]()
 
 
 FORMULAS = {
@@ -657,3 +679,6 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     counted = windows.run_to_end(windows.window_counts(windows.event_stream(spark, sf_dir)), work_path(spark))
     return counted.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+from . import catalog_mining  # noqa: E402, F401  registers its queries

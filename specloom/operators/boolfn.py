@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import ast
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,3 +43,40 @@ def equivalent(a: DataFrame, b: DataFrame) -> DataFrame:
     b = b.select(a.columns)
     differ = a.exceptAll(b).union(b.exceptAll(a))
     return differ.agg((F.count("*") == 0).alias("equivalent"))
+
+
+def parsed(source: str) -> tuple[list[str], Column]:
+    """The variables and the column expression of a function like ``lambda a, b: a & ~b`` (also with and, or, not, ^, True, False)."""
+    f = ast.parse(source, mode="eval").body
+    if not isinstance(f, ast.Lambda):
+        raise ValueError("a lambda of variables is expected")
+    names = [a.arg for a in f.args.args]
+
+    def column(e: ast.expr) -> Column:
+        match e:
+            case ast.Name(id=name) if name in names:
+                return F.col(name)
+            case ast.Constant(value=bool(value)):
+                return F.lit(value)
+            case ast.UnaryOp(op=ast.Invert() | ast.Not(), operand=x):
+                return ~column(x)
+            case ast.BinOp(left=x, op=ast.BitXor(), right=y):
+                return column(x) != column(y)
+            case ast.BinOp(left=x, op=ast.BitAnd(), right=y):
+                return column(x) & column(y)
+            case ast.BinOp(left=x, op=ast.BitOr(), right=y):
+                return column(x) | column(y)
+            case ast.BoolOp(op=op, values=[first, *more]):
+                out = column(first)
+                for x in more:
+                    out = out & column(x) if isinstance(op, ast.And) else out | column(x)
+                return out
+        raise ValueError(f"no boolean expression: {ast.unparse(e)}")
+
+    return names, column(f.body)
+
+
+def table_of(grid: DataFrame, source: str) -> DataFrame:
+    """The truth table of a parsed function over a grid of its variables."""
+    names, value = parsed(source)
+    return grid.select(*names).distinct().withColumn("f", value)

@@ -3,6 +3,9 @@
 A structure is states (state), transitions (src, dst) with a successor for every state, and labels (state, ap). A formula is
 a nested tuple: a name, ("not", f), ("or", f, g), ("and", f, g), ("imply", f, g), ("EX", f), ("EU", f, g), ("EG", f), and the
 operators derived from these. ``sat`` returns the states (state) in which it holds.
+
+Under fairness conditions (``under``) quantifiers range over the ways that meet every condition again and again. ``collapsed`` switches to a
+variant of until in which a goal state that no step within or into the first argument's states touches reduces the result to the goals.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ def text(f) -> str:
     if isinstance(f, str):
         return f
     op, *args = f
-    infix = {"or": "or", "and": "and", "imply": "-->"}
+    infix = {"or": "or", "and": "and", "imply": "-->", "U": "U", "R": "R", "W": "W"}
     if op in infix:
         return f"({text(args[0])} {infix[op]} {text(args[1])})"
     if op in ("EU", "AU", "ER", "AR", "EW", "AW"):
@@ -58,6 +61,26 @@ class Kripke:
     transitions: DataFrame
     labels: DataFrame
     memo: dict = field(default_factory=dict)
+    conditions: tuple = ()
+    collapsed: bool = False
+
+    def under(self, conditions: list) -> Kripke:
+        """The same structure with quantifiers over fair ways only. Conditions themselves are judged on all ways."""
+        return Kripke(self.states, self.transitions, self.labels, conditions=tuple(conditions), collapsed=self.collapsed)
+
+    def next(self, states: DataFrame) -> DataFrame:
+        """Successors (state) of ``states``."""
+        return self.transitions.join(states.select(F.col("state").alias("src")), "src", "left_semi").select(F.col("dst").alias("state")).distinct()
+
+    def labelled(self, sat: DataFrame, name: str) -> tuple[str, Kripke]:
+        """The structure with the label ``name`` at the states ``sat``; a number is added to a name that is taken."""
+        taken = {r.ap for r in self.labels.select("ap").where(F.col("ap").startswith(name)).distinct().collect()}
+        free = next(x for x in [name, *(f"{name}{i}" for i in range(len(taken) + 1))] if x not in taken)
+        return free, Kripke(self.states, self.transitions, checkpointed(self.labels.select("state", "ap").union(sat.select("state", F.lit(free).alias("ap")))))
+
+    def labelled_fair(self, conditions: list) -> tuple[str, Kripke]:
+        """A new label for the states from which a fair way leads."""
+        return self.labelled(self.fair_states(conditions), "fair")
 
     def checked(self) -> Kripke:
         """Raises ValueError if a state has no successor."""
@@ -72,15 +95,20 @@ class Kripke:
 
     def fair_states(self, conditions: list) -> DataFrame:
         """States from which a way leads that meets every condition again and again."""
-        parts = checkpointed(strong_components(self.transitions))
+        return self._always(self.states, self.transitions, conditions)
+
+    def _always(self, inside: DataFrame, transitions: DataFrame, conditions: list) -> DataFrame:
+        """States of ``inside`` from which a way within ``transitions`` leads that meets every condition again and again."""
+        parts = checkpointed(strong_components(transitions))
         looped = parts.groupBy("component").agg(F.count("*").alias("n"))
-        loops = self.transitions.where("src = dst").join(parts, F.col("src") == F.col("node")).select("component").distinct()
+        loops = transitions.where("src = dst").join(parts, F.col("src") == F.col("node")).select("component").distinct()
         live = looped.where("n > 1").select("component").union(loops).distinct()
+        every = Kripke(self.states, self.transitions, self.labels)
         for c in conditions:
-            met = self.sat(c).join(parts, F.col("state") == F.col("node")).select("component").distinct()
+            met = every.sat(c).join(parts, F.col("state") == F.col("node")).select("component").distinct()
             live = live.join(met, "component", "left_semi")
         seeds = parts.join(live, "component", "left_semi").select("node")
-        return reachable(reversed_graph(self.transitions), seeds).select(F.col("node").alias("state"))
+        return reachable(reversed_graph(transitions), seeds).select(F.col("node").alias("state")).join(inside.select("state"), "state", "left_semi")
 
     def sat(self, f) -> DataFrame:
         f = rewritten(f)
@@ -99,16 +127,12 @@ class Kripke:
         if op == "or":
             return self.sat(args[0]).union(self.sat(args[1])).distinct()
         if op == "EX":
-            return self._before(self.sat(args[0]))
+            return self._before(self._fair(self.sat(args[0])))
         if op == "EU":
-            seen = front = self.sat(args[1])
-            through = self.sat(args[0])
-            while True:
-                front = checkpointed(self._before(front).join(through, "state", "left_semi").join(seen, "state", "left_anti"))
-                if front.isEmpty():
-                    return seen
-                seen = checkpointed(seen.union(front))
+            return self._until(self.sat(args[0]), self._fair(self.sat(args[1])))
         left = self.sat(args[0])
+        if self.conditions:
+            return self._always(left, checkpointed(self._within(left)), list(self.conditions))
         n = left.count()
         while True:  # states lose their place when no successor is left
             left = checkpointed(left.join(self._before(left), "state", "left_semi"))
@@ -116,6 +140,29 @@ class Kripke:
                 return left
             n = rest
 
+    def _fair(self, states: DataFrame) -> DataFrame:
+        if not self.conditions:
+            return states
+        if ("fair ways",) not in self.memo:
+            self.memo[("fair ways",)] = checkpointed(self.fair_states(list(self.conditions)))
+        return states.join(self.memo[("fair ways",)], "state", "left_semi")
+
+    def _within(self, states: DataFrame) -> DataFrame:
+        """Transitions between ``states``."""
+        return self.transitions.join(states.select(F.col("state").alias("src")), "src", "left_semi").join(states.select(F.col("state").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+    def _until(self, through: DataFrame, goal: DataFrame) -> DataFrame:
+        seen = front = goal
+        if self.collapsed:
+            touched = self._within(through).select(F.explode(F.array("src", "dst")).alias("state")).union(self.next(through))
+            if not goal.join(touched, "state", "left_anti").isEmpty():
+                return goal
+        while True:
+            front = checkpointed(self._before(front).join(through, "state", "left_semi").join(seen, "state", "left_anti"))
+            if front.isEmpty():
+                return seen
+            seen = checkpointed(seen.union(front))
+
     def _before(self, states: DataFrame) -> DataFrame:
         return self.transitions.join(states.select(F.col("state").alias("dst")), "dst", "left_semi").select(F.col("src").alias("state")).distinct()
 

@@ -107,6 +107,42 @@ def without_edges(cpt: DataFrame, gone: DataFrame) -> DataFrame:
     return t.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("model_id", "vertex", "parent_vals")))
 
 
+def chosen_edges(e: DataFrame, number: int | None = None, share: float | None = None) -> DataFrame:
+    """A ``number`` of each model's edges (model_id, src, dst), or a ``share`` of them (rounded half to even), in the order of a digest of their names. All, if
+    there are fewer."""
+    each = Window.partitionBy("model_id")
+    order = each.orderBy(F.md5(F.concat_ws("|", "model_id", "src", "dst")), "src", "dst")
+    most = F.lit(number) if share is None else F.bround(F.count("*").over(each) * F.lit(share))
+    return e.withColumn("place", F.row_number().over(order)).withColumn("most", most).where("place <= most").select("model_id", "src", "dst")
+
+
+def reduced(v: DataFrame, gone: DataFrame) -> DataFrame:
+    """Vertices (with parents) without the edges ``gone``."""
+    lost = gone.groupBy("model_id", F.col("dst").alias("vertex")).agg(F.collect_set("src").alias("lost"))
+    t = v.join(lost, ["model_id", "vertex"], "left")
+    return t.withColumn("parents", F.when(F.col("lost").isNull(), F.col("parents")).otherwise(F.array_except("parents", F.coalesce("lost", F.array().cast("array<string>"))))).drop("lost")
+
+
+def cleared(cpt: DataFrame) -> DataFrame:
+    """The same rows with all probabilities 0."""
+    return cpt.withColumn("p", F.lit(0.0))
+
+
+def with_edges(e: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges (model_id, src, dst) and ``new`` ones. An edge that is there twice is an error when the rows are read."""
+    n = e.unionByName(new).groupBy("model_id", "src", "dst").agg(F.count("*").alias("n"))
+    fail = F.raise_error(F.concat(F.lit("the edge is there already: "), "model_id", F.lit(" "), "src", F.lit(" -> "), "dst"))
+    return n.select("model_id", "src", F.when(F.col("n") > 1, fail).otherwise(F.col("dst")).alias("dst"))
+
+
+def neighbours(e: DataFrame) -> DataFrame:
+    """Rows (model_id, vertex, parents, children) of edges, each sorted."""
+    up = e.groupBy("model_id", F.col("dst").alias("vertex")).agg(F.array_sort(F.collect_set("src")).alias("parents"))
+    down = e.groupBy("model_id", F.col("src").alias("vertex")).agg(F.array_sort(F.collect_set("dst")).alias("children"))
+    none = F.array().cast("array<string>")
+    return up.join(down, ["model_id", "vertex"], "full").select("model_id", "vertex", F.coalesce("parents", none).alias("parents"), F.coalesce("children", none).alias("children"))
+
+
 def naming_check(v: DataFrame) -> DataFrame:
     """Rows (model_id, consistent): all names are signal_index and the indices of a signal are 0 to n - 1."""
     s = v.withColumn("named", F.col("vertex").rlike(r"^.+_[0-9]+$") & ~F.col("vertex").contains(","))
@@ -115,6 +151,13 @@ def naming_check(v: DataFrame) -> DataFrame:
     return per.groupBy("model_id").agg(F.every(good).alias("consistent"))
 
 
+def structural_boundary(e: DataFrame, v: DataFrame) -> DataFrame:
+    """Edges from ``start`` to vertices (model_id, vertex) without parents, and to ``terminal`` from those without children: for names without indices."""
+    roots = v.join(e.select("model_id", F.col("dst").alias("vertex")), ["model_id", "vertex"], "left_anti")
+    leaves = v.join(e.select("model_id", F.col("src").alias("vertex")), ["model_id", "vertex"], "left_anti")
+    return roots.select("model_id", F.lit(START).alias("src"), F.col("vertex").alias("dst")).union(leaves.select("model_id", "vertex", F.lit(TERMINAL)))
+
+
 def boundary_edges(v: DataFrame) -> DataFrame:
     """Edges from ``start`` to the first vertex of each signal, and from the last one to ``terminal``."""
     last = F.max("idx").over(Window.partitionBy("model_id", "signal"))

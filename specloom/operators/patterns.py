@@ -157,3 +157,92 @@ def as_ctl(symbols: Column) -> Column:
     upto = F.reverse(F.slice(symbols, 1, F.element_at(fixed, -1)))
     step = lambda a, s: F.when(a == "", _either(s)).when(s["kind"] == OPTION, F.concat(F.lit("E("), _either(s), F.lit(" U "), a, F.lit(")"))).otherwise(F.concat(F.lit("("), _either(s), F.lit(" and EX("), a, F.lit("))")))
     return F.when(F.size(fixed) >= 2, F.aggregate(upto, F.lit(""), step))
+
+
+class NoPremise(ValueError):
+    """The alternatives of a pattern repeat so far into it that nothing is left to conclude."""
+
+
+def _premise_end(symbols: list[dict], last: int) -> int:
+    """Where the premise ends: if a later symbol can be mistaken for the first one, as far as the pattern goes along with itself from there."""
+
+    def solid(i: int) -> int:
+        while symbols[i]["kind"] == OPTION:
+            i += 1
+        return i
+
+    def along(i: int, j: int) -> int:
+        if j > last:
+            return i
+        i = solid(i)
+        passed = along(i, j + 1) if symbols[j]["kind"] == OPTION else 0
+        while j <= last and set(symbols[i]["tokens"]) & set(symbols[j]["tokens"]):
+            i, j = i + 1, j + 1
+            if i >= last or (i := solid(i)) >= last:
+                raise NoPremise
+        return max(i, passed)
+
+    repeats = [k for k in range(1, last + 1) if set(symbols[0]["tokens"]) & set(symbols[k]["tokens"])]
+    fixed = next(i for i, s in enumerate(symbols) if s["kind"] != OPTION)
+    return max([0, *(along(1, k + 1) for k in repeats if k > fixed)])
+
+
+def _any_of(symbol: dict):
+    first, *more = symbol["tokens"]
+    for t in more:
+        first = ("or", first, t)
+    return first
+
+
+def linear_formula(symbols: list[dict]):
+    """The linear-time formula of a pattern as nested tuples: always, if the premise's symbols follow each other, the others follow. None if
+    there are fewer than two fixed symbols or nothing is left to conclude. What is xable follows in the next step, other symbols some time; options
+    before a symbol become an until."""
+    fixed = [i for i, s in enumerate(symbols) if s["kind"] != OPTION]
+    if len(fixed) < 2:
+        return None
+    last = fixed[-1]
+    try:
+        end = _premise_end(symbols, last)
+    except NoPremise:
+        return None
+    if end >= last:
+        return None
+    soon = lambda f, now: ("X", f) if now else ("X", ("F", f))
+    # From the end: what follows each fixed symbol, with the options before it folded in.
+    rest, k = None, last
+    while k > end:
+        options = k
+        while options - 1 > end and symbols[options - 1]["kind"] == OPTION:
+            options -= 1
+        body = _any_of(symbols[k]) if rest is None else ("and", _any_of(symbols[k]), rest)
+        if options == k:
+            now = symbols[k]["xable"]
+        else:
+            loose = [i for i in range(options + 1, k + 1) if not symbols[i]["xable"]]  # options before a symbol that may come later don't hold until it
+            start = loose[-1] if loose else options
+            now = symbols[options]["xable"] and not loose
+            for i in reversed(range(start, k)):
+                body = ("U", _any_of(symbols[i]), body)
+        rest, k = soon(body, now), options - 1
+    premise = [s for s in symbols[: end + 1] if s["kind"] != OPTION]
+    for place, s in enumerate(reversed(premise)):
+        rest = ("imply", _any_of(s), rest if place == 0 else ("X", ("G", rest)))
+    return ("G", rest)
+
+
+def formula_height(f, with_names: bool = True) -> int:
+    """Nested operators; without names an operator over names alone counts nothing."""
+    if isinstance(f, str):
+        return 0
+    return max([formula_height(x, with_names) + 1 for x in f[1:] if with_names or not isinstance(x, str)], default=0)
+
+
+def formula_names(f) -> list[str]:
+    return [f] if isinstance(f, str) else [n for x in f[1:] for n in formula_names(x)]
+
+
+def formula_size(f) -> tuple[int, int, int]:
+    """(height, leaves, distinct leaves) of a linear formula. Below a premise every operator counts; without one, operators over names alone don't."""
+    names = formula_names(f)
+    return formula_height(f, f[1][0] == "imply") - 1, len(names), len(set(names))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +19,30 @@ def chosen(cdf: Column, u: Column) -> Column:
     return F.when(F.size(above) > 0, F.element_at(above, 1)["outcome"]).otherwise(F.element_at(cdf, -1)["outcome"])
 
 
-def ancestral(cpt: DataFrame, ids: DataFrame, order: list[tuple[str, list[str]]], seed: int = 0) -> DataFrame:
-    """A row for each of ``ids`` (model_id, sample, sample_key): a column for each vertex, in topological ``order`` of (vertex, parents)."""
+def normal(*key: Column) -> Column:
+    """A standard normal number from two uniforms of the key (Box-Muller); the logarithm's argument is never 0."""
+    u, v = uniform(*key, F.lit("u")), uniform(*key, F.lit("v"))
+    return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * v)
+
+
+def gaussian(mean: Column, variance: Column, z: Column, terms: list[tuple[Column, Column]] = ()) -> Column:
+    """A draw of a linear Gaussian node: its mean, which grows by factor * parent for ``terms``, and the root of its variance times ``z``."""
+    for factor, parent in terms:
+        mean = mean + factor * parent
+    return mean + F.sqrt(variance) * z
+
+
+def ancestral(cpt: DataFrame, ids: DataFrame, order: list[tuple[str, list[str]]], seed: int = 0, evidence: dict[str, str] | None = None) -> DataFrame:
+    """A row for each of ``ids`` (model_id, sample, sample_key): a column for each vertex, in topological ``order`` of (vertex, parents). A vertex of ``evidence``
+    has that value, and what follows it is drawn given it; what comes before it is not conditioned."""
     up = Window.partitionBy("model_id", "vertex", "parent_vals").orderBy("outcome_idx")
     c = cpt.withColumn("c", F.sum("p").over(up))
     c = c.groupBy("model_id", "vertex", "parent_vals").agg(F.sort_array(F.collect_list(F.struct("outcome_idx", "c", "outcome"))).alias("cdf"))
     out = ids
     for vertex, parents in order:
+        if vertex in (evidence or {}):
+            out = out.withColumn(vertex, F.lit(evidence[vertex]))
+            continue
         own = c.where(F.col("vertex") == vertex).select("model_id", F.col("parent_vals").alias("_pv"), "cdf")
         key = F.array(*[F.col(p) for p in parents]) if parents else F.array().cast("array<string>")
         u = uniform(F.lit(str(seed)), F.col("sample_key"), F.lit(vertex))

@@ -1,11 +1,20 @@
-"""Plans of several operators: from accepted paths to patterns."""
+"""Plans of several operators: from accepted paths to patterns, and the two specification miners.
+
+Paths are merged with their neighbours path by path, each a group of its own; every pattern on the way is measured and held against a second network in its own
+row. Which specifications are kept depends on those accepted before, so that last step takes a model's results in order, without patterns
+that no rule could accept.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import edit, patterns
+from ..operators import edit, matching, network, patterns
+from ..operators.logic import text
 from ..sources.tables import checkpointed
 
 
@@ -17,16 +26,115 @@ def flagged(paths: DataFrame, flags: DataFrame) -> DataFrame:
     return paths.join(each, ["model_id", "path_id"])
 
 
-def patterns_of_paths(paths: DataFrame) -> DataFrame:
-    """Rows (model_id, path_id, step, probability, pattern, ctl, length, letters, ratio, strings, compared, by_metric): each path of rows (model_id, path_id, tokens,
-    xable, metric) merged with the others by distance, one after the other, until both acceptance rules have ended the run. The probability is one less the
-    mean metric of the paths merged so far."""
+def attempts(paths: DataFrame) -> DataFrame:
+    """Rows (model_id, path_id, step, member, probability, symbols, length, letters, ratio, strings, compared, by_metric): each path of rows (model_id, path_id,
+    tokens, xable, metric) merged with the others by distance, one after the other, until both acceptance rules have ended the run. ``member`` is the
+    path merged in this step; the probability is one less the mean metric of the paths merged so far."""
     order = edit.merge_order(edit.confusion(paths))
     other = paths.select("model_id", F.col("path_id").alias("b"), "tokens", "xable", "metric")
     met = checkpointed(order.join(other, ["model_id", "b"]).withColumn("key", F.concat_ws("/", "model_id", "a")))
     runs = patterns.merge_runs(met.select("key", F.col("place").alias("ord"), "tokens", "xable"))
     so_far = Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    upto = met.select("key", F.col("place").alias("step"), (1 - F.avg("metric").over(so_far)).alias("probability"))
-    out = patterns.metrics(runs.join(upto, ["key", "step"]))
-    name = F.split("key", "/")
-    return out.select(name[0].alias("model_id"), name[1].cast("int").alias("path_id"), "step", "probability", patterns.as_text(F.col("symbols")).alias("pattern"), patterns.as_ctl(F.col("symbols")).alias("ctl"), "length", "letters", "ratio", "strings", "compared", "by_metric")
+    upto = met.select("key", "model_id", F.col("a").alias("path_id"), F.col("b").alias("member"), F.col("place").alias("step"), (1 - F.avg("metric").over(so_far)).alias("probability"))
+    return patterns.metrics(runs.join(upto, ["key", "step"]).drop("key"))
+
+
+def patterns_of_paths(paths: DataFrame) -> DataFrame:
+    """The attempts with their patterns as text and as branching-time formulas."""
+    return attempts(paths).select("model_id", "path_id", "step", "probability", patterns.as_text(F.col("symbols")).alias("pattern"), patterns.as_ctl(F.col("symbols")).alias("ctl"), "length", "letters", "ratio", "strings", "compared", "by_metric")
+
+
+def judge(cpt: DataFrame, vertices: DataFrame, levels: int) -> DataFrame:
+    """A row (model_id, nodes, weights, n_paths) per network for ``matching``; it is as large as one network."""
+    v = checkpointed(vertices)
+    e = network.edges(v)
+    children = e.groupBy("model_id", F.col("src").alias("vertex")).agg(F.array_sort(F.collect_list("dst")).alias("children"))
+    node = F.struct("vertex", "signal", "idx", "vals", F.coalesce("children", F.array().cast("array<string>")).alias("children"))
+    nodes = v.join(children, ["model_id", "vertex"], "left").groupBy("model_id").agg(F.collect_list(node).alias("nodes"))
+    w = network.edge_weights(cpt, network.marginals(cpt, levels))
+    weights = w.groupBy("model_id").agg(F.collect_list(F.struct("src", "src_val", "dst", "dst_val", "w")).alias("weights"))
+    return nodes.join(weights, "model_id").join(network.path_count(v, levels).withColumnRenamed("n", "n_paths"), "model_id")
+
+
+def compared(found: DataFrame, judges: DataFrame) -> DataFrame:
+    """Adds to attempts how many states of the second network satisfy the pattern, and the least mean weight of its matches there (null: none, or
+    more matches than the network has paths)."""
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, matching.Network] = {}
+        for batch in batches:
+            rows, out = batch.to_pylist(), []
+            for r in rows:
+                if r["model_id"] not in known:
+                    known[r["model_id"]] = matching.Network(r["nodes"], r["weights"])
+                net = known[r["model_id"]]
+                states = matching.satisfying(r["symbols"], net)
+                matches, least = matching.match_weights(r["symbols"], states, net) if states else (0, None)
+                out.append((r["model_id"], r["path_id"], r["step"], len(states), matches, least if matches <= r["n_paths"] else None))
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["model_id", "path_id", "step", "n_states", "n_matches", "least"])
+
+    held = found.where("compared").join(F.broadcast(judges), "model_id").select("model_id", F.col("path_id").cast("int"), F.col("step").cast("int"), "symbols", "nodes", "weights", "n_paths")
+    held = held.mapInArrow(hold, "model_id string, path_id int, step int, n_states long, n_matches long, least double")
+    return found.join(held, ["model_id", "path_id", "step"], "left")
+
+
+SPECS = "model_id string, path_id int, probability double, ltl string, height int, leaves int, names int, n_merged int, loose boolean"
+
+
+def _kept(found: DataFrame, accept) -> DataFrame:
+    """Specifications of attempts, path by path. ``accept(step)``: None to go on, False to end the path, True to accept its pattern and end. A path ends,
+    too, when all members of an accepted specification are merged; an accepted one replaces those with all of its members. ``loose``: the
+    pattern matches more strings than paths were merged."""
+
+    def fold(t: pa.Table) -> pa.Table:
+        paths: dict[int, list[dict]] = {}
+        for r in sorted(t.to_pylist(), key=lambda r: (r["path_id"], r["step"])):
+            paths.setdefault(r["path_id"], []).append(r)
+        specs: list[tuple[set, tuple]] = []
+        for path_id, steps in paths.items():
+            members: set = set()
+            for r in steps:
+                members = members | {r["member"]}
+                if any(m <= members for m, _ in specs):
+                    break
+                verdict = accept(r)
+                if verdict is None:
+                    continue
+                if verdict:
+                    formula, failed = None, False
+                    try:
+                        formula = patterns.linear_formula(r["symbols"])
+                    except IndexError:  # the premise runs off the pattern's end
+                        failed = True
+                    if not failed and (formula is not None or r["null_too"]):
+                        size = patterns.formula_size(formula) if formula is not None else (None, None, None)
+                        specs = [s for s in specs if not members <= s[0]]
+                        specs.append((members, (r["model_id"], path_id, r["probability"], None if formula is None else text(formula), *size, len(members), r["strings"] > len(members))))
+                break
+        columns = list(zip(*(s for _, s in specs), strict=True)) or [[]] * 9
+        kinds = [pa.string(), pa.int32(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["model_id", "path_id", "probability", "ltl", "height", "leaves", "names", "n_merged", "loose"])
+
+    return found.groupBy("model_id").applyInArrow(fold, SPECS)
+
+
+def comparison_based(found: DataFrame, judges: DataFrame) -> DataFrame:
+    """Specifications of attempts (with a threshold ``theta``) whose pattern a second network satisfies: a path is merged on until some state of that
+    network satisfies the formula, and is accepted if the least mean weight of a match there is below 1 - theta."""
+
+    def accept(r: dict) -> bool | None:
+        if not r["compared"] or sum(s["kind"] != patterns.OPTION for s in r["symbols"]) < 2:
+            return False
+        if not r["n_states"]:
+            return None
+        return r["least"] is not None and r["least"] < 1 - r["theta"]
+
+    t = compared(found, judges).select("model_id", F.col("path_id").cast("int"), F.col("step").cast("int"), "member", "probability", "symbols", "strings", "compared", "theta", "n_states", "least", F.lit(False).alias("null_too"))
+    return _kept(t, accept)
+
+
+def metric_based(found: DataFrame) -> DataFrame:
+    """Specifications by the pattern's own metrics: merged on until the metrics take or refuse it. One without a linear formula has null for it."""
+    t = found.select("model_id", F.col("path_id").cast("int"), F.col("step").cast("int"), "member", "probability", "symbols", "strings", "by_metric", F.lit(True).alias("null_too"))
+    return _kept(t, lambda r: None if r["by_metric"] == 0 else r["by_metric"] > 0)
