@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,13 +70,19 @@ def _before(codes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
 
 
 def _blob(x: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(x, kind).tobytes()
+    """Numbers as bytes: all first bytes, then all second ones and so on, compressed."""
+    x = np.ascontiguousarray(x, kind)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def _read(cell, kind: str) -> np.ndarray:
     """The numbers of a binary cell (null: none)."""
-    raw = cell.as_buffer()
-    return np.frombuffer(raw, kind) if raw is not None and len(raw) else np.empty(0, kind)
+    raw = cell.as_buffer() if isinstance(cell, pa.Scalar) else cell
+    if raw is None or not len(raw):
+        return np.empty(0, kind)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(width, len(flat) // width).T).view(kind).ravel()
 
 
 def _merged(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -93,7 +100,7 @@ def _merged(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-ENCODED = "batch long, h binary, n binary, codes binary, starts binary, doc_id array<long>, held_out array<boolean>"
+ENCODED = "batch long, words long, h binary, n binary, codes binary, starts binary, doc_id array<long>, held_out array<boolean>"
 
 
 def encoded_batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
@@ -112,31 +119,36 @@ def encoded_batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
             codes = place[coded.indices.to_numpy(zero_copy_only=False)]
             train = np.repeat(~t.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(starts))
             yield pa.RecordBatch.from_arrays([
-                pa.array([(TaskContext.get().partitionId() << 32) + k]), *(pa.array([x], pa.binary()) for x in (_blob(h[order], "<u8"), _blob(np.bincount(codes[train], minlength=len(h)), "<u4"), _blob(codes, "<i4"), _blob(starts, "<i4"))),
+                pa.array([(TaskContext.get().partitionId() << 32) + k]), pa.array([len(h)]), *(pa.array([x], pa.binary()) for x in (_blob(h[order], "<u8"), _blob(np.bincount(codes[train], minlength=len(h)), "<u4"), _blob(codes, "<i4"), _blob(starts, "<i4"))),
                 *(pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t.column(c)) for c in ("doc_id", "held_out")),
-            ], ["batch", "h", "n", "codes", "starts", "doc_id", "held_out"])
+            ], ["batch", "words", "h", "n", "codes", "starts", "doc_id", "held_out"])
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(lean(encode), ENCODED)
 
 
 class Tokens:
-    """The tokens of a batch and its training bigrams (a, b, n); words are places among its distinct ones."""
+    """The tokens of a batch; words are places among its distinct ones."""
 
-    def __init__(self, row, bigrams: bool = True):
+    def __init__(self, row):
         cell = lambda c: row.column(c).combine_chunks()[0] if isinstance(row, pa.Table) else row.column(c)[0]
-        self.h, self.codes, self.starts = _read(cell("h"), "<u8"), _read(cell("codes"), "<i4"), _read(cell("starts"), "<i4").astype(np.int64)
-        self.n, self.doc_id, self.held_out = _read(cell("n"), "<u4"), cell("doc_id").values, cell("held_out").values.to_numpy(zero_copy_only=False).astype(bool)
-        if bigrams:
-            w, end = len(self.h), int(np.searchsorted(self.h, np.uint64(word_hash(END))))
-            train = np.repeat(~self.held_out, np.diff(self.starts))
-            pair, self.times = np.unique((_before(self.codes, self.starts, end).astype(np.int64) * w + self.codes)[train], return_counts=True)
-            self.a, self.b = pair // w, pair % w
+        self.cell, self.codes, self.starts = cell, _read(cell("codes"), "<i4"), _read(cell("starts"), "<i4").astype(np.int64)
+        self.held_out = cell("held_out").values.to_numpy(zero_copy_only=False).astype(bool)
+
+    def bigrams(self, words: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Training bigrams (a, b, n), given the number of distinct words and the place of the end token."""
+        train = np.repeat(~self.held_out, np.diff(self.starts))
+        pair, times = np.unique((_before(self.codes, self.starts, end).astype(np.int64) * words + self.codes)[train], return_counts=True)
+        return pair // words, pair % words, times
 
 
 def _part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _places(cell) -> np.ndarray:
+    return np.cumsum(_read(cell, "<i4"))
+
+
 def _cuts(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of a sorted array, and where each starts (one more entry)."""
     cut = np.flatnonzero(np.diff(part, prepend=-1))
@@ -164,7 +176,7 @@ def vocabulary(encoded: DataFrame, parts: int) -> DataFrame:
             n += np.bincount(place, _read(x, "<u4"), len(every)).astype(np.int64)
         rows, none = len(at), [None] * len(at)
         return pa.table({
-            "part": pa.array([t.column("part")[0].as_py()] * (rows + 1)), "batch": pa.array([WORDS, *t.column("batch").to_pylist()]), "a": pa.array([_blob(every, "<u8"), *(_blob(x, "<i4") for x in at)], pa.binary()),
+            "part": pa.array([t.column("part")[0].as_py()] * (rows + 1)), "batch": pa.array([WORDS, *t.column("batch").to_pylist()]), "a": pa.array([_blob(every, "<u8"), *(_blob(np.diff(x, prepend=0), "<i4") for x in at)], pa.binary()),
             "n": pa.array([_blob(n, "<i8"), *none], pa.binary()), "tokens": pa.array([int(n.sum()), *none], pa.int64()), "known": pa.array([int((n > 0).sum()), *none], pa.int64()),
         })
 
@@ -205,13 +217,12 @@ def seed_bigrams(encoded: DataFrame, seeds: Seeds) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for k in range(rows.num_rows):
-                t = Tokens(rows.slice(k, 1))
-                of = seeds.among(t.h)
-                a, b = of[t.a], of[t.b]
-                on = (a >= 0) & (b >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(a[on].astype(np.int32)), pa.array(b[on].astype(np.int32)), pa.array(t.times[on].astype(np.int64))], ["a", "b", "n"])
+                t, of = Tokens(rows.slice(k, 1)), seeds.among(_read(rows.column("h")[k], "<u8"))
+                a, b, n = t.bigrams(len(of), int(np.flatnonzero(of == 0)[0]))
+                on = (of[a] >= 0) & (of[b] >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(of[a[on]].astype(np.int32)), pa.array(of[b[on]].astype(np.int32)), pa.array(n[on].astype(np.int64))], ["a", "b", "n"])
 
-    return encoded.mapInArrow(lean(count), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return encoded.select("h", "codes", "starts", "held_out").mapInArrow(lean(count), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -280,36 +291,41 @@ def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first)
 
 
-def _answers(vocabulary: DataFrame, kinds: DataFrame, with_counts: bool = False) -> DataFrame:
-    """Rows (batch, part, a, n): the classes (and counts) of each batch's words of each part."""
+def _answers(vocabulary: DataFrame, kinds: DataFrame, seeds: Seeds, with_counts: bool = False) -> DataFrame:
+    """Rows (batch, part, a, s, n): of each batch's words of each part the classes, which seeds they are (or -1), and the counts if asked for."""
 
     def answer(t: pa.Table) -> pa.Table:
-        batch, cells = t.column("batch").to_numpy(), t.column("a")
+        batch, cells, part = t.column("batch").to_numpy(), t.column("a"), t.column("part")[0].as_py()
         of, n = np.empty(0, "<i2"), np.empty(0, "<i8")
         for k in np.flatnonzero(batch < 0):
             if batch[k] == KINDS:
                 of = _read(cells[int(k)], "<i2")
             else:
                 n = _read(t.column("n")[int(k)], "<i8")
+        seed, here = np.full(len(of), -1, np.int16), np.flatnonzero(seeds.part == part)
+        seed[seeds.place[here]] = here
         own = np.flatnonzero(batch >= 0)
-        at = [_read(cells[int(k)], "<i4") for k in own]
-        return pa.table({"batch": pa.array(batch[own]), "part": pa.array(np.full(len(own), t.column("part")[0].as_py())), "a": pa.array([_blob(of[x], "<i2") for x in at], pa.binary()), "n": pa.array([_blob(n[x], "<i8") if with_counts else None for x in at], pa.binary())})
+        at = [_places(cells[int(k)]) for k in own]
+        pack = lambda x, kind, on=True: pa.array([_blob(x[y], kind) if on else None for y in at], pa.binary())
+        return pa.table({"batch": pa.array(batch[own]), "part": pa.array(np.full(len(own), part)), "a": pack(of, "<i2"), "s": pack(seed, "<i2", not with_counts), "n": pack(n, "<i8", with_counts)})
 
     asked = vocabulary if with_counts else vocabulary.where(f"batch <> {WORDS}")
-    return asked.select("part", "batch", "a", "n").unionByName(kinds).groupBy("part").applyInArrow(answer, "batch long, part long, a binary, n binary")
+    return asked.select("part", "batch", "a", "n").unionByName(kinds).groupBy("part").applyInArrow(answer, "batch long, part long, a binary, s binary, n binary")
 
 
-def _joined(right: pa.Table, column: str, kind: str) -> np.ndarray:
-    """The numbers of a batch's answers, in the order of its words."""
-    order = np.argsort(right.column("part").to_numpy(), kind="stable")
-    return np.concatenate([np.empty(0, kind), *(_read(right.column(column)[int(k)], kind) for k in order)])
+def _joined(right: pa.Table, column: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of a batch's answers, in the order of its words; its parts, and where their words start (one more entry)."""
+    part = right.column("part").to_numpy()
+    order = np.argsort(part, kind="stable")
+    found = [_read(right.column(column)[int(k)], kind) for k in order]
+    return np.concatenate([np.empty(0, kind), *found]), part[order], np.cumsum([0, *(len(x) for x in found)])
 
 
 #: Rows of sums: of a part (its number), of seeds, or of class pairs; sizes say how many codes each word has.
 EVIDENCE, SEEDS, PAIRS = "part long, batch long, sizes binary, codes binary, ns binary", -1, -2
 
 
-def evidence(encoded: DataFrame, answers: DataFrame, seeds: Seeds, classes: int, parts: int, pairs_only: bool = False) -> DataFrame:
+def evidence(encoded: DataFrame, answers: DataFrame, classes: int, pairs_only: bool = False) -> DataFrame:
     """For each batch and part, how often each training word stands before a word of class ``code``, after one of class ``code - classes``, or
     before itself (2 * classes); words without a class are left out as neighbours. And how often classes follow each other."""
 
@@ -317,22 +333,24 @@ def evidence(encoded: DataFrame, answers: DataFrame, seeds: Seeds, classes: int,
         names = ["part", "batch", "sizes", "codes", "ns"]
         if not left.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), *[pa.array([], pa.binary())] * 3], names)
-        t, kind, width = Tokens(left), _joined(right, "a", "<i2").astype(np.int64), 2 * classes + 1
-        ka, kb = kind[t.a], kind[t.b]
+        t, width = Tokens(left), 2 * classes + 1
+        kind, part, cut = _joined(right, "a", "<i2")
+        kind, seed = kind.astype(np.int64), _joined(right, "s", "<i2")[0].astype(np.int64)
+        a, b, times = t.bigrams(len(kind), int(np.flatnonzero(seed == 0)[0]))
+        ka, kb = kind[a], kind[b]
         on = (ka >= 0) & (kb >= 0)
-        code, n = _sums(ka[on] * classes + kb[on], t.times[on])
+        code, n = _sums(ka[on] * classes + kb[on], times[on])
         rows = [(PAIRS, b"", _blob(code, "<i4"), _blob(n, "<u4"))]
         if not pairs_only:
-            same = t.a == t.b
+            same = a == b
             r, l = ~same & (kb >= 0), ~same & (ka >= 0)  # noqa: E741
-            key, n = _sums(np.concatenate([t.a[r] * width + kb[r], t.b[l] * width + classes + ka[l], t.a[same] * width + 2 * classes]), np.concatenate([t.times[r], t.times[l], t.times[same]]))
-            word, code, seed = key // width, key % width, seeds.among(t.h)
+            key, n = _sums(np.concatenate([a[r] * width + kb[r], b[l] * width + classes + ka[l], a[same] * width + 2 * classes]), np.concatenate([times[r], times[l], times[same]]))
+            word, code = key // width, key % width
             hot = seed[word] >= 0
             rows.append((SEEDS, _blob(seed[word[hot]], "<i4"), _blob(code[hot], "<u2"), _blob(n[hot], "<u4")))
             word, code, n = word[~hot], code[~hot], n[~hot]
-            part, cut = _cuts(_part_of(t.h, parts))
             at = np.searchsorted(word, cut)
-            sizes = np.bincount(word, minlength=len(t.h))
+            sizes = np.bincount(word, minlength=len(kind))
             for p, i, j, x, y in zip(part.tolist(), cut[:-1], cut[1:], at[:-1], at[1:], strict=True):
                 if y > x:
                     rows.append((p, _blob(sizes[i:j], "<u2"), _blob(code[x:y], "<u2"), _blob(n[x:y], "<u4")))
@@ -340,7 +358,8 @@ def evidence(encoded: DataFrame, answers: DataFrame, seeds: Seeds, classes: int,
         give_back()
         return pa.table([pa.array(p, pa.int64()), pa.array([left.column("batch")[0].as_py()] * len(p), pa.int64()), *(pa.array(x, pa.binary()) for x in rest)], names)
 
-    return encoded.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(gather, EVIDENCE)
+    tokens = encoded.select("batch", "codes", "starts", "held_out")
+    return tokens.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(gather, EVIDENCE)
 
 
 def _totals(found: DataFrame, part: int, width: int) -> pa.Table:
@@ -386,10 +405,20 @@ def choices(of: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, p
     """For each word (``of``: its class, or -1) the class that raises the likelihood most against the table of all class pairs, its own pairs
     taken out; -1 if nothing speaks for a class. Rows (word, code, n) as from ``evidence``, each once, sorted by word."""
     gains, c, out = Gains(pairs), len(pairs), np.empty(len(of), np.int64)
-    step = max(1, at_once // (4 * c))
-    for low in range(0, len(of), step):
-        i, j = np.searchsorted(word, [low, low + step])
-        out[low : low + step] = _choose(of[low : low + step], word[i:j] - low, code[i:j], n[i:j].astype(np.float64), gains)
+    # Words with at most two entries of one occurrence each are many, and few kinds: words of a kind (class and entries) move alike.
+    first, last = np.searchsorted(word, np.arange(len(of))), np.searchsorted(word, np.arange(len(of)), "right")
+    light = (last - first <= 2) & (np.bincount(word, n, len(of)) == last - first)
+    entry = lambda at, on: np.where(on, code[np.minimum(at, max(len(code) - 1, 0))] + 1, 0) if len(code) else np.zeros(len(of), np.int64)
+    kind = (entry(first, first < last) * (2 * c + 2) + entry(first + 1, first + 1 < last)) * (c + 1) + of + 1
+    one, back = np.unique(kind[light], return_index=True, return_inverse=True)[1:]
+    for chosen in (np.flatnonzero(light)[one], np.flatnonzero(~light)):
+        step = max(1, at_once // c)
+        for low in range(0, len(chosen), step):
+            own = chosen[low : low + step]
+            size = last[own] - first[own]
+            rows = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            out[own] = _choose(of[own], np.repeat(np.arange(len(own)), size), code[rows], n[rows].astype(np.float64), gains)
+    out[light] = out[np.flatnonzero(light)[one]][back]
     return out
 
 
@@ -408,31 +437,40 @@ def _choose(of: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, g
         gains.rows(k[low : low + block], x[low : low + block], up)
         first = np.flatnonzero(np.concatenate([[True], wb[1:] != wb[:-1]]))
         gain[wb[first]] += np.add.reduceat(up, first, axis=0)
-    right, left = np.zeros((count, c)), np.zeros((count, c))
-    for target, at in ((right, k < c), (left, k >= c)):
-        target[w[at], k[at] % c] = x[at]
     # The table holds the word's own pairs, in the row and the column of its class: take them out. Entries of other classes differ for the class as
     # a candidate only; the entry of the class itself differs for all candidates.
     mine, member = of[w], of >= 0
     same = mine == k % c
+    self_r, self_l = total(same & (k < c)), total(same & (k >= c))
     on = (mine >= 0) & ~same
     base = gains.both[k[on], mine[on]]
     less = np.maximum(base - x[on], 0)
     gain[member, of[member]] += np.bincount(w[on], _xlogx(less + x[on]) - _xlogx(less) - _xlogx(base + x[on]) + _xlogx(base), count)[member]
-    for at, other in ((same & (k < c), left), (same & (k >= c), right)):
+    for at, other in ((same & (k < c), k >= c), (same & (k >= c), k < c)):
         wa, xa = w[at], x[at][:, None]
-        base = gains.both[k[at]]
-        less = base - other[wa]
+        base, place = gains.both[k[at]], np.full(count, -1)
+        place[wa] = np.arange(len(wa))
+        theirs = other & (place[w] >= 0)
+        less = base.copy()
+        less[place[w[theirs]], k[theirs] % c] -= x[theirs]
         less[np.arange(len(wa)), of[wa]] -= x[at] + own[wa]
         less = np.maximum(less, 0)
         gain[wa] += _xlogx(less + xa) - _xlogx(less) - _xlogx(base + xa) + _xlogx(base)
-    # Pairs within the candidate class are counted from both sides.
-    diag = np.repeat(np.diag(pairs)[None], count, axis=0)
-    at = np.flatnonzero(member)
-    diag[at, of[at]] = np.maximum(diag[at, of[at]] - right[at, of[at]] - left[at, of[at]] - own[at], 0)
-    i, j = np.nonzero((right > 0) & (left > 0) | (own > 0)[:, None])
-    d, a, b = diag[i, j], right[i, j], left[i, j]
-    gain[i, j] += _xlogx(d + a + b + own[i]) - _xlogx(d + a) - _xlogx(d + b) + _xlogx(d)
+    # Pairs within the candidate class are counted from both sides: where the word has both, or stands beside itself.
+    whole = np.diag(pairs)
+    taken = self_r + self_l + own
+    r_key, l_key, r_x, l_x = w[k < c] * c + k[k < c], w[k >= c] * c + k[k >= c] - c, x[k < c], x[k >= c]
+    alone = np.flatnonzero(own > 0)
+    key = np.union1d(np.intersect1d(r_key, l_key, assume_unique=True), (alone[:, None] * c + np.arange(c)).ravel())
+
+    def value(keys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, xs[at], 0.0) if len(keys) else np.zeros(len(key))
+
+    i, j = key // c, key % c
+    d = np.maximum(whole[j] - np.where(of[i] == j, taken[i], 0), 0)
+    p, q = value(r_key, r_x), value(l_key, l_x)
+    gain[i, j] += _xlogx(d + p + q + own[i]) - _xlogx(d + p) - _xlogx(d + q) + _xlogx(d)
     # Totals of the classes; words of equal frequency share their row.
     for sums, size in ((pairs.sum(axis=1), r + own), (pairs.sum(axis=0), l + own)):
         value, back = np.unique(size, return_inverse=True)
@@ -455,7 +493,7 @@ def moved(found: DataFrame, vocabulary: DataFrame, kinds: DataFrame, seeds: Seed
         h, of = _read(cell[WORDS], "<u8"), _read(cell[KINDS], "<i2").astype(np.int64)
         keys, ns = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
         for k in range(left.num_rows):
-            word = np.repeat(_read(cell[left.column("batch")[k].as_py()], "<i4"), _read(left.column("sizes")[k], "<u2"))
+            word = np.repeat(_places(cell[left.column("batch")[k].as_py()]), _read(left.column("sizes")[k], "<u2"))
             keys.append(word.astype(np.int64) * width + _read(left.column("codes")[k], "<u2"))
             ns.append(_read(left.column("ns")[k], "<u4"))
         key, n = _sums(np.concatenate(keys), np.concatenate(ns))
@@ -478,7 +516,7 @@ def first_kinds(vocabulary: DataFrame, seeds: Seeds, of_seeds: np.ndarray) -> Da
                 part = rows.column("part")[k].as_py()
                 of = np.full(len(_read(rows.column("a")[k], "<u8")), -1, "<i2")
                 of[seeds.place[seeds.part == part]] = of_seeds[seeds.part == part]
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([KINDS]), pa.array([of.tobytes()], pa.binary()), pa.array([None], pa.binary())], ["part", "batch", "a", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([KINDS]), pa.array([_blob(of, "<i2")], pa.binary()), pa.array([None], pa.binary())], ["part", "batch", "a", "n"])
 
     return vocabulary.where(f"batch = {WORDS}").select("part", "a").mapInArrow(start, "part long, batch long, a binary, n binary")
 
@@ -494,12 +532,12 @@ def _cleared(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def clustered(encoded: DataFrame, words: DataFrame, seeds: Seeds, of_seeds: np.ndarray, classes: int, parts: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
+def clustered(encoded: DataFrame, words: DataFrame, seeds: Seeds, of_seeds: np.ndarray, classes: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
     """Classes of all words (a row per part) after ``rounds`` of exchange, and how often classes follow each other."""
     spark = encoded.sparkSession
     kinds, before = settle(first_kinds(words, seeds, of_seeds), "kinds"), None
     for _ in range(rounds):
-        found = settle(evidence(encoded, _answers(words, kinds), seeds, classes, parts), "evidence")
+        found = settle(evidence(encoded, _answers(words, kinds, seeds), classes), "evidence")
         _cleared(spark)
         pairs = class_pairs(found, classes)
         t = _totals(found, SEEDS, 2 * classes + 1)
@@ -512,7 +550,7 @@ def clustered(encoded: DataFrame, words: DataFrame, seeds: Seeds, of_seeds: np.n
         kinds, of_seeds = settle(moved(found, words, kinds, seeds, new, pairs), "kinds"), new
         drop(found)
         _cleared(spark)
-    pairs = class_pairs(evidence(encoded, _answers(words, kinds), seeds, classes, parts, pairs_only=True), classes)
+    pairs = class_pairs(evidence(encoded, _answers(words, kinds, seeds), classes, pairs_only=True), classes)
     if before is not None:
         if rounds > 1 and _information(before[1]) > _information(pairs):
             kinds, before, pairs = before[0], (kinds, None), before[1]
@@ -521,19 +559,19 @@ def clustered(encoded: DataFrame, words: DataFrame, seeds: Seeds, of_seeds: np.n
     return kinds, pairs
 
 
-def score_texts(docs: DataFrame, share: int = 4096, classes: int = 24, rounds: int = 3, batch_bytes: int = 8 << 20, per_part: int = 1 << 18) -> DataFrame:
+def score_texts(docs: DataFrame, share: int = 4096, classes: int = 24, rounds: int = 3, batch_bytes: int = 12 << 20, per_part: int = 1 << 18) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of rows (doc_id, text, held_out). ``classes`` is the least
     number of classes: it is the cube root of the number of training words where that is more."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     encoded = settle(encoded_batches(docs, batch_bytes), "encoded")
-    parts = max(1, math.ceil((encoded.agg(F.sum(F.octet_length("h"))).first()[0] or 0) / (8 * per_part)))
+    parts = max(1, math.ceil((encoded.agg(F.sum("words")).first()[0] or 0) / per_part))
     words = settle(vocabulary(encoded, parts), "vocabulary")
     total, distinct = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     seeds = Seeds(words, total, share)
     n_classes = max(2, min(max(classes, math.ceil(distinct ** (1 / 3))), distinct))
     of_seeds = _fit_seeds(seed_bigrams(encoded, seeds), len(seeds), n_classes)
-    kinds, seen = clustered(encoded, words, seeds, of_seeds, n_classes, parts, rounds)
+    kinds, seen = clustered(encoded, words, seeds, of_seeds, n_classes, rounds)
 
     unseen = math.log10(0.5 / (total + 0.5 * (distinct + 1)))
     live = max(int((seen.sum(axis=0) > 0).sum()), 1)
@@ -543,8 +581,8 @@ def score_texts(docs: DataFrame, share: int = 4096, classes: int = 24, rounds: i
         names, kinds = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         if not left.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
-        t = Tokens(left, bigrams=False)
-        kind, count = _joined(right, "a", "<i2").astype(np.int64), _joined(right, "n", "<i8")
+        t = Tokens(left)
+        kind, count = _joined(right, "a", "<i2")[0].astype(np.int64), _joined(right, "n", "<i8")[0]
         kind[count == 0] = -1
         c, k, n = count[t.codes], kind[t.codes], len(t.starts) - 1
         owner = np.repeat(np.arange(n), np.diff(t.starts))
@@ -555,11 +593,12 @@ def score_texts(docs: DataFrame, share: int = 4096, classes: int = 24, rounds: i
         before = np.concatenate([[0], k[known[:-1]]])[: len(known)]
         before[np.concatenate([[True], owner[known[1:]] != owner[known[:-1]]])[: len(known)]] = 0
         value += sums(step[before, k[known]], owner[known])
-        out = pa.table([t.doc_id, pa.array(t.held_out), pa.array(np.diff(t.starts)), pa.array(sums(c > 0).astype(np.int64)), pa.array(base), pa.array(value)], names)
+        out = pa.table([t.cell("doc_id").values, pa.array(t.held_out), pa.array(np.diff(t.starts)), pa.array(sums(c > 0).astype(np.int64)), pa.array(base), pa.array(value)], names)
         give_back()
         return out
 
-    out = encoded.groupBy("batch").cogroup(_answers(words, kinds, with_counts=True).groupBy("batch")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    tokens_ = encoded.select("batch", "codes", "starts", "doc_id", "held_out")
+    out = tokens_.groupBy("batch").cogroup(_answers(words, kinds, seeds, with_counts=True).groupBy("batch")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long"))
 
 

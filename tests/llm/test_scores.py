@@ -124,9 +124,9 @@ def test_all_words_take_part_in_clustering(spark):
     vocabulary = settle(class_lm.vocabulary(encoded, 3), "vocabulary")
     seeds = class_lm.Seeds(vocabulary, 61 * 80, 20)
     assert len(seeds) == 3
-    kinds, pairs = class_lm.clustered(encoded, vocabulary, seeds, np.array([0, 1, 2]), 3, 3, 3)
-    of = {r.part: np.frombuffer(r.a, "<i2") for r in kinds.collect()}
-    named = {int(h): int(k) for r in vocabulary.where("batch = -2").collect() for h, k in zip(np.frombuffer(r.a, "<u8"), of[r.part], strict=True)}
+    kinds, pairs = class_lm.clustered(encoded, vocabulary, seeds, np.array([0, 1, 2]), 3, 3)
+    of = {r.part: class_lm._read(r.a, "<i2") for r in kinds.collect()}
+    named = {int(h): int(k) for r in vocabulary.where("batch = -2").collect() for h, k in zip(class_lm._read(r.a, "<u8"), of[r.part], strict=True)}
     group = lambda x: {named[class_lm.word_hash(w)] for w in x}
     assert len(named) == 63 and group(["\n"]) == {0} and group(["a", *(f"a{i}" for i in range(30))]) == group(["a"]) != group(["b"]) == group(["b", *(f"b{i}" for i in range(30))])
 
@@ -199,6 +199,30 @@ def test_mixing(spark, sf_dir):
     assert sum(len(b.words) for b in blocks) == sum(taken.values())
 
 
+def test_mixing_takes_what_its_slots_hold(spark):
+    """Words taken of each document, from the list of slots and the streams of words, counted one by one; no draw is lost."""
+    rows = [(i, " ".join(["w"] * (i * 7 % 23)), "abc"[i % 3] if i % 5 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed, block = settle(mixing.laid_out(docs, 4), "placed"), 4
+    targets = settle(mixing.source_targets(placed.select("source", "size")), "targets")
+    stream, goal = {}, {r.source: r for r in targets.collect()}
+    for r in sorted(placed.collect(), key=lambda r: r.start):
+        stream.setdefault(r.source, []).extend([r.doc_id] * r["size"])
+    slots = mixing.slots(targets, block).collect()
+    count, seen = Counter(), {}
+    for r in slots:
+        count.update(stream[r.source][r.block * block : (r.block + 1) * block])
+        seen.setdefault((r.source, r.turn), []).append(r.block)
+    assert {r.doc_id: r.taken for r in mixing.mix(docs, block=block).collect()} == {i: count[i] for i, _, _ in rows}
+    for source, t in goal.items():
+        blocks = -(-t.source_size // block)
+        assert sum(r.source == source for r in slots) == min(round(t.target * blocks / t.source_size), 2 * blocks)
+        turns = [sorted(x) for (s, _), x in sorted(seen.items(), key=str) if s == source]
+        assert turns[0] == list(range(blocks)) if len(turns) > 1 else len(set(turns[0])) == len(turns[0])
+    per_shard = Counter((r.shard, r.source) for r in slots)
+    assert len({per_shard[k, "a"] for k in range(16)}) > 1  # drawn, not dealt evenly
+
+
 def test_mixing_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
@@ -229,6 +253,29 @@ def test_nearest_equal_brute_force_on_few_vectors(spark, sf_dir):
     assert np.mean(hits) >= 0.9
 
 
+def test_ties_go_to_the_smallest_id(spark):
+    """Four hundred different vectors with inner product 1 with the query, beside nearer and farther ones."""
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(int(i), [1.0, float(a), float(b)]) for i, (a, b) in zip(rng.permutation(np.arange(1, 400)), rng.normal(size=(399, 2)), strict=True)] + [(900 + i, [1.5, 0.0, float(i)]) for i in range(3)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(v, v.where("vec_id = 0"), target=1.0, per_block=64).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [900, 901, 902, *range(1, 18)]
+
+
+def test_more_centroids_and_recall(spark):
+    """Recall of the index against brute force, on clustered vectors, with a sample that is a fraction of them."""
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(40, 16)) * 3)[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16))
+    v = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(v, v.where("vec_id % 60 = 0"), sample=1500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x[::60] @ x.T
+    s[np.arange(100), np.arange(0, 6000, 60)] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(got[60 * i] & set(b.tolist())) / 20 for i, b in enumerate(best)]) >= 0.9
+
+
 def test_nearest_odd_rows(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(v) for v in rng.normal(size=6)]) for i in range(1, 30)] + [(100 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(60)]
@@ -288,3 +335,16 @@ def test_token_counts_odd_rows(spark, tmp_path):
     want = [(r[0], len(enc.encode_ordinary(r[1] or ""))) for r in ODD] + [(99, len(enc.encode_ordinary("<|endoftext|> a")))]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     token_counts.write_token_files(rows.limit(0), f"file://{tmp_path}/e")
+    assert token_counts.token_counts(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_files_are_cut_between_documents(spark, tmp_path):
+    enc, path = token_counts.encoder(token_counts.VOCABULARY), f"file://{tmp_path}/c"
+    rows = [(i, f"word {i} " * (i * 37 % 50)) for i in range(200)] + [(500, "long text " * 300_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    token_counts.write_token_files(docs, path, file_bytes=1000)
+    assert sorted(map(tuple, token_counts.token_counts(spark, path).collect())) == sorted((i, len(enc.encode_ordinary(t))) for i, t in rows)
+    pages = docs.selectExpr("doc_id AS page_id", "'u' AS url", "text AS html")
+    warc.write_archives(pages, f"{path}w", archive_bytes=500)
+    assert {(r.page_id, r.payload_bytes) for r in warc.read_archives(spark, f"{path}w").collect()} == {(i, len(t)) for i, t in rows}
+    assert len(list(tmp_path.glob("cw/cut=*"))) > 3
