@@ -5,14 +5,17 @@ query). Each half of the vector has its own codebook of ``k`` centroids; a cell
 centroids of both halves by distance and traverses pairs by summed distance with a heap, until the visited cells hold the
 wanted share of all vectors; entries of visited cells are reranked by the inner product of the original vectors.
 
-Codebooks are fitted on a bounded sample (``sample`` vectors, by a hash of the id); every vector is indexed. The share to
+Codebooks are fitted on a bounded sample (about ``sample`` vectors, by a hash of the id); every vector is indexed. The share to
 visit is the smallest for which the sample's own queries reach ``target`` recall, so clustered vectors need few cells and
 vectors without structure need many.
 
 Scale: equal vectors are one entry with its ``top`` + 1 smallest ids (no later id of an equal vector can be among the
 nearest), found with a rank limit that already holds before the shuffle. Cells are packed into blocks of at most
 ``per_block`` entries and large cells are split, so a crowded cell is several tasks; queries come in groups of at most
-``per_group``. A task multiplies a group of queries with a block and returns ``top`` + 1 entries a query.
+``per_group``. A task multiplies a group of queries with a block and returns ``top`` + 1 entries a query: all that could be level with
+the last of them are compared by the exact sum and then by their smallest id, so ties are settled on the whole block.
+Queries are dealt out before they traverse cells. The number of centroids grows with the fourth root of the number of vectors, so cells grow with its
+square root, and only their sizes come to the driver.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those
 of another length than the most frequent one; null ids take no part; repeated rows of a vec_id count once; an empty table
@@ -112,9 +115,14 @@ def fit(v: DataFrame, top: int, target: float = 0.97, sample: int = 8192) -> dic
     v = v.where(F.size("v") == size.d)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     n, largest = v.agg(F.count("*"), F.max(norm)).first()
-    x = np.array([r[0] for r in v.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(sample).select("v").collect()])
+    key = F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(1 << 30))
+    taken = v.where(key < math.ceil((1 << 30) * min(1.0, sample / n))).select("vec_id", "v").collect()
+    x = np.array([r.v for r in sorted(taken, key=lambda r: r.vec_id)])
+    if not len(x):  # so few rows that the hash took none
+        x = np.array([v.orderBy("vec_id").first().v])
+    x = x[np.random.default_rng(SEED).permutation(len(x))]
     h1, h2 = _halves(x, largest)
-    k = max(4, min(64, math.ceil(2 * n**0.25)))
+    k = max(4, min(len(x) // 8, math.ceil(2 * n**0.25)))
     index = {"d": size.d, "n": n, "largest": largest, "c1": _kmeans(h1, k), "c2": _kmeans(h2, k)}
     return index | {"share": _share(x, index, top, target)}
 
@@ -145,7 +153,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], ["v", "ids", "cell"])
 
     entries = settle(entries.mapInArrow(assign, "v array<double>, ids array<bigint>, cell int"), "cells")
-    counts = np.zeros(len(index["c1"]) * k2, dtype=np.int64)  # at most 64 * 64 cells
+    counts = np.zeros(len(index["c1"]) * k2, dtype=np.int64)
     for r in entries.groupBy("cell").count().collect():
         counts[r[0]] = r[1]
     # Cells in a row share a block; a cell that is larger than a block has blocks of its own.
@@ -163,7 +171,8 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
 
     asked = v if queries is None else v.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
     asked = settle(asked, "queries")
-    groups = max(1, math.ceil(asked.count() / per_group))
+    n_asked = asked.count()
+    groups = max(1, math.ceil(n_asked / per_group))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,9 +192,9 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
             took = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(took), b.column("v").take(took), pa.array(blocks, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "q", "block", "seen"])
 
-    probes = asked.select("vec_id", "v").mapInArrow(visit, "query_id long, q array<double>, block int, seen array<int>").withColumn("grp", F.pmod(F.xxhash64(F.lit(SEED), "query_id"), F.lit(groups)))
-    lookup = lambda a: F.element_at(F.array(*[F.lit(int(x)) for x in a]), F.col("cell") + 1) if len(set(a)) > 1 else F.lit(int(a[0]))
-    placed = entries.withColumn("block", (lookup(first) + F.pmod(F.xxhash64("ids"), lookup(parts))).cast("int"))
+    probes = asked.select("vec_id", "v").repartition(max(1, math.ceil(n_asked / 256)), "vec_id").mapInArrow(visit, "query_id long, q array<double>, block int, seen array<int>").withColumn("grp", F.pmod(F.xxhash64(F.lit(SEED), "query_id"), F.lit(groups)))
+    cells = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in np.flatnonzero(counts).tolist()], "cell int, at int, parts int")
+    placed = entries.join(F.broadcast(cells), "cell").withColumn("block", (F.col("at") + F.pmod(F.xxhash64("ids"), "parts")).cast("int")).drop("at", "parts")
     used = probes.select("grp", F.col("block").alias("b")).distinct() if groups > 1 else None
     placed = placed.withColumn("grp", F.lit(0).cast("long")) if used is None else placed.join(used, F.col("block") == F.col("b")).drop("b")
 
@@ -195,17 +204,22 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
             return none
         x, q = _matrix(left.column("v"), d), _matrix(right.column("q"), d)
         cell, seen, qid = left.column("cell").to_numpy(), right.column("seen").to_pylist(), right.column("query_id").to_numpy()
+        least = left.column("ids").combine_chunks()
+        least = least.flatten().to_numpy()[least.offsets.to_numpy()[:-1] - least.offsets[0].as_py()]
         flags, out_q, out_x, out_s = np.zeros(len(counts), bool), [], [], []
+        longest = float(np.sqrt((x * x).sum(axis=1).max()))
         for a in range(0, len(q), 512):
             scores = q[a : a + 512] @ x.T
             for i, row in enumerate(scores):
                 flags[:] = False
                 flags[seen[a + i]] = True
                 row[~flags[cell]] = -np.inf
-                best = np.argpartition(-row, top + 8)[: top + 9] if len(row) > top + 9 else np.arange(len(row))
-                best = best[np.isfinite(row[best])]
+                best = np.flatnonzero(np.isfinite(row))
+                if len(best) > top + 1:  # what rounding can't tell from the last place stays
+                    last = np.partition(row, len(row) - top - 1)[len(row) - top - 1]
+                    best = np.flatnonzero(row >= last - 1e-12 * d * longest * float(np.sqrt((q[a + i] ** 2).sum())))
                 exact = (x[best] * q[a + i]).sum(axis=1)
-                keep = np.argsort(-exact, kind="stable")[: top + 1]
+                keep = np.lexsort((least[best], -exact))[: top + 1]
                 out_q.append(np.full(len(keep), qid[a + i]))
                 out_x.append(best[keep])
                 out_s.append(exact[keep])
