@@ -5,12 +5,15 @@ id; nothing says where a document starts. Spark's text writer puts the files out
 separator), so output commits per task. A second flat file beside each token file holds the document ids in the same
 order, eleven bytes each (null flag, eight bytes of id, separator); it holds no offsets. Texts are never shuffled.
 
+Files are cut at about ``file_bytes``, between documents, so that a task never holds more of one than that (or one document).
+
 Scanning. A task reads a token file in blocks of fixed length and finds separators with one vectorised comparison per
 block. A document may start in one block and end in another: a prefix scan over the blocks of a file (a window over
 counts, one row per block) gives each block the ordinal of its first document and the tokens carried in.
 
 Defined cases: a null or empty text has 0 tokens; repeated rows are counted each; null ids come back as null; a document's
-own text can't make the end-of-document id, as special tokens are not parsed. The vocabulary file is a parameter.
+own text can't make the end-of-document id, as special tokens are not parsed; an empty table gives no files and no rows. The vocabulary file
+is a parameter; one that holds the end-of-document id or ids beyond 16 bits is refused.
 """
 
 from __future__ import annotations
@@ -24,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, table, work_path
+from .common import lean, pieces, table, work_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
 #: The splitting pattern of this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 1 << 16
+FILE = 16 << 20
 
 _loaded: dict = {}
 
@@ -42,15 +46,17 @@ def encoder(vocabulary: str):
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max(ranks.values(), default=0) > 0xFFFF or END in ranks.values():
+            raise ValueError(f"{vocabulary} has ids beyond 16 bits, or the end-of-document id {END}")
         _loaded[vocabulary] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _loaded[vocabulary]
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
-    """Writes ``path/kind=tokens`` and ``path/kind=ids``; files of the same name belong together."""
+def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, file_bytes: int = FILE) -> None:
+    """Writes ``path/kind=tokens/cut=k`` and ``path/kind=ids/cut=k``; files of the same name and cut belong together."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, pos = encoder(vocabulary), 0
+        tokens, pos, cut, held = encoder(vocabulary), 0, 0, 0
         for batch in batches:
             for part in pieces(batch, "text", 4 << 20):
                 n = part.num_rows
@@ -58,17 +64,28 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY)
                 ids = [struct.pack("<?q", x is None, x or 0) for x in part.column("doc_id").to_pylist()]
                 at = pa.array(np.arange(pos, pos + n))
                 pos += n
+                cuts = []
+                for x in flat:
+                    cut, held = (cut + 1, len(x)) if held and held + len(x) > file_bytes else (cut, held + len(x))
+                    cuts.append(cut)
                 for kind, data in (("ids", ids), ("tokens", flat)):
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * n), at, pa.array(data, pa.binary())], ["kind", "pos", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array(cuts, pa.int32()), at, pa.array(data, pa.binary())], ["kind", "cut", "pos", "data"])
 
     (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(encode, "kind string, pos long, data binary").sortWithinPartitions("kind", "pos")
-        .select("kind", F.col("data").cast("string").alias("value"))
-        .write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", struct.pack("<H", END).decode("latin-1")).text(path)
+        .mapInArrow(lean(encode), "kind string, cut int, pos long, data binary").sortWithinPartitions("kind", "cut", "pos")
+        .select("kind", "cut", F.col("data").cast("string").alias("value"))
+        .write.partitionBy("kind", "cut").option("encoding", "ISO-8859-1").option("lineSep", struct.pack("<H", END).decode("latin-1")).text(path)
     )
 
 
+def _files(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows (file, content) of a kind's files, each named by its cut and its task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+    at = F.split("path", "/")
+    return files.where((F.element_at(at, -3) == f"kind={kind}") & (F.col("length") > 0)).select(F.concat_ws("/", F.element_at(at, -2), F.element_at(at, -1)).alias("file"), "content")
+
+
 def block_scan(spark: SparkSession, path: str, end: int = END, block: int = BLOCK) -> DataFrame:
     """A row per block: tokens, separators, tokens before the first and after the last one, and lengths between them."""
     names = ["file", "block", "n_tokens", "n_ends", "lead", "tail", "inner"]
@@ -86,9 +103,8 @@ def block_scan(spark: SparkSession, path: str, end: int = END, block: int = BLOC
                         rows.append((name, b // block, len(x), len(at), at[0] if len(at) else len(x), len(x) - 1 - at[-1] if len(at) else len(x), (np.diff(at) - 1).astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/kind=tokens")
     schema = "file string, block long, n_tokens long, n_ends long, lead long, tail long, inner array<int>"
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(scan, schema)
+    return _files(spark, path, "tokens").mapInArrow(lean(scan), schema)
 
 
 def stitch(blocks: DataFrame) -> DataFrame:
@@ -110,8 +126,7 @@ def document_ids(spark: SparkSession, path: str) -> DataFrame:
                 ids = np.ascontiguousarray(x[:, 1:9]).view("<i8").ravel()
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array(np.arange(len(x))), pa.array(ids, mask=x[:, 0] != 0)], ["file", "ordinal", "doc_id"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/kind=ids")
-    return files.where("length > 0").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(parse, "file string, ordinal long, doc_id long")
+    return _files(spark, path, "ids").mapInArrow(lean(parse), "file string, ordinal long, doc_id long")
 
 
 def token_counts(spark: SparkSession, path: str) -> DataFrame:
