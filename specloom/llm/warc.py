@@ -7,8 +7,10 @@ here is one zero byte, which is what a gzip member ends with anyway (the top byt
 record is below 16 MiB. The member is handed over without that byte. Longer members are handed over whole, and the zero
 byte is padding between members, which the reader skips.
 
-Reading. A task takes one archive, feeds it to zlib piece by piece, frames the record by its content length, and verifies
-block and payload digests. It holds one record at a time.
+Archives are cut at about ``archive_bytes``, between records.
+
+Reading. A task takes an archive, feeds it to zlib piece by piece, frames the record by its content length, and verifies
+block and payload digests. It holds the packed archive (whose size is bounded as it was written) and one unpacked record at a time.
 
 Defined cases: null html is an empty payload; null ids and urls leave their header out; rows that repeat the largest id
 with the same payload are all responses; an empty table gives an empty archive folder; other columns are ignored.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, settle, table, work_path
+from .common import drop, lean, settle, table, work_path
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -71,8 +73,8 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 6) -> None:
-    """Writes one archive file per task under ``path``. ``min_bytes``: smaller payloads are never revisits."""
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 6, archive_bytes: int = 16 << 20) -> None:
+    """Writes archives under ``path/cut=k``, one for each task and ``archive_bytes``. ``min_bytes``: smaller payloads are never revisits."""
     shared = settle(revisits(pages, min_bytes), "revisits")
     rows = (
         pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
@@ -81,19 +83,23 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     )
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda cuts, out: pa.RecordBatch.from_arrays([pa.array(cuts, pa.int32()), pa.array(out, pa.binary())], ["cut", "member"])
+        cut, size = 0, 0
         for batch in batches:
-            out, held = [], 0
+            out, cuts, held = [], [], 0
             for page_id, url, html, refers_to, revisit in zip(*(c.to_pylist() if c.type != pa.string() else c for c in batch.columns), strict=True):
                 payload = html.as_py().encode()
                 m = _member(_record(page_id, url.as_py(), payload, _sha1(payload), refers_to, revisit, date), level)
+                cut, size = (cut + 1, len(m)) if size and size + len(m) > archive_bytes else (cut, size + len(m))
                 out.append(m[:-1] if m[-1:] == b"\0" else m)
+                cuts.append(cut)
                 held += len(m)
                 if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
-                    out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                    yield pack(cuts, out)
+                    out, cuts, held = [], [], 0
+            yield pack(cuts, out)
 
-    rows.mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    rows.mapInArrow(lean(members), "cut int, member binary").select("cut", F.col("member").cast("string").alias("value")).write.partitionBy("cut").option("lineSep", "\0").text(path)
     drop(shared)
 
 
@@ -156,7 +162,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 if rows:
                     yield pack(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(parsed, RECORD)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+    return files.select("content").mapInArrow(lean(parsed), RECORD)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
