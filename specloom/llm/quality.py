@@ -4,8 +4,8 @@ Each round of boosting visits the features in turn and adds a shallow tree of on
 residuals, to that feature's lookup table; afterwards the strongest pairs get tables of their own, from trees that split
 both features. A score is a sum of table entries: bins are found by binary search and added up for a batch at once.
 
-Features come from the text alone. They are computed for all rows in tasks; the model is fitted on at most ``sample``
-labelled rows, chosen by a hash of the id, and is a few thousand numbers.
+Features come from the text alone. They are computed for all rows in tasks; the model is fitted on about ``sample``
+labelled rows (all, if there are fewer), those below a threshold on a hash of the id, and is a few thousand numbers. Rows above it never leave their task.
 
 Defined cases: null and empty texts have features like any other (all zero) and get a score; several labels of a document are
 as many training rows; without labels of both kinds every score is the share of label 1 (0.5 without labels); repeated rows
@@ -14,6 +14,7 @@ are scored each; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, remainder, settle, split_words, table
+from .common import lean, pieces, remainder, settle, split_words, table
 
 FEATURES = [
     "log_bytes", "log_words", "word_length", "upper", "lower", "digit", "symbol", "beyond_ascii", "line_ends",
@@ -165,17 +166,20 @@ def text_features(docs: DataFrame) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 4 << 20):
                 x = features(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))], ["doc_id", "features"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, features array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(compute), "doc_id long, features array<double>")
 
 
 def learn(labelled: DataFrame, sample: int = 20_000) -> dict:
-    """Fits on at most ``sample`` rows (doc_id, features, label), taken by a hash of the id."""
-    rows = labelled.where("label IS NOT NULL").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "label").limit(sample).select("features", "label").collect()
-    return fit(np.array([r[0] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([float(r[1]) for r in rows]))
+    """Fits on about ``sample`` rows (doc_id, features, label), taken by a hash of the id."""
+    rows = labelled.where("label IS NOT NULL").select("doc_id", "features", "label")
+    share = min(1.0, sample / max(rows.count(), 1))
+    key = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30))
+    rows = sorted(rows.where(key < math.ceil((1 << 30) * share)).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.label, r.features))
+    return fit(np.array([r.features for r in rows]).reshape(len(rows), len(FEATURES)), np.array([float(r.label) for r in rows]))
 
 
 def score(rows: DataFrame, model: dict) -> DataFrame:
