@@ -4,15 +4,15 @@
 2. Sources share ``total`` times all words by weight; no target is above ``most`` times its source's words, and what
    is cut off goes to the others by weight until none is above (closed form: sources sorted by the weight at which they
    reach their cap, and running sums).
-3. Each output shard draws multinomial source counts: one pseudorandom number per slot against cumulative shares.
-   Draws beyond a source's target are dropped, and sources drawn too rarely get the missing blocks, dealt evenly over the
-   shards, so that totals meet the targets.
+3. Each output shard draws multinomial source counts, given the totals: the slots of the whole mix are numbered, a pseudorandom permutation
+   maps them onto the numbers themselves, and the range of cumulative targets in which a number falls is the slot's source. So every shard's
+   counts vary as drawn ones do, no draw is dropped, and totals meet the targets exactly.
 4. The j-th slot of a source takes block perm(j mod blocks) of pass j div blocks, where perm is a pseudorandom
    permutation of block indices for that source and pass (swap-or-not rounds: a bijection for any number of blocks).
 5. Slots join blocks by (source, block index). A block is taken at most ``most`` times, so no document exceeds that.
 
 Everything that grows with the corpus is keyed by (source, bucket) or (source, block), so a source with most rows is
-spread like any other. All draws are hashes of fixed seeds and indices: reruns agree.
+spread like any other, and is joined by shuffles, never broadcast. Only the table of sources (a row each) is ever sorted in one task. All draws are hashes of fixed seeds and indices: reruns agree.
 
 Defined cases: null text has size 0 and is taken 0 times; a null source is a source, last in order; repeated rows are
 documents of their own; an empty table gives no rows; other columns are ignored.
@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, drop, settle, table
+from .common import WORD, settle, table
 
 SEED = 20240917
 ROUNDS = 12
@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), tot
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def laid_out(docs: DataFrame, block: int, per_bucket: int = 10_000) -> DataFrame:
+def laid_out(docs: DataFrame, block: int, per_bucket: int = 2_000) -> DataFrame:
     """Documents with their size and the position in their source's stream where they start."""
     sized = docs.select("doc_id", "source", _size(F.col("text")).alias("size"), F.xxhash64("text").alias("salt"))
     sized = settle(sized, "sizes")
@@ -65,15 +65,10 @@ def laid_out(docs: DataFrame, block: int, per_bucket: int = 10_000) -> DataFrame
     sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("source", "bucket").orderBy("doc_id", "salt").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    placed = placed.join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     return placed.select("doc_id", "source", "size", (F.col("base") + F.col("inner")).alias("start"))
 
 
-def _unit(*key) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.shiftrightunsigned(F.xxhash64(*key), 11) / F.lit(float(1 << 53))
-
-
 def _permuted(index: Column, n: Column, source: Column, turn: Column, seed: int) -> Column:
     """Image of ``index`` under a pseudorandom permutation of 0..n-1: each round pairs x with key - x mod n, and a hash of
     the pair says whether its two members swap."""
@@ -92,27 +87,21 @@ def slots(targets: DataFrame, block: int, per_shard: int = 65_536, least_shards:
     t = targets.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
     # The last block of a source may be short: a slot takes source_size / blocks words on average.
     t = t.withColumn("wanted", F.when(F.col("blocks") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), 2 * F.col("blocks"))).otherwise(F.lit(0)))
-    everything = Window.partitionBy()
     up_to = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("high", F.sum("wanted").over(up_to) / F.sum("wanted").over(everything)).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy(F.col("source").asc_nulls_last())), F.lit(0.0)))
-    t = settle(t.where("wanted > 0").select("source", "blocks", "wanted", "low", "high"), "shares")
+    t = t.where("wanted > 0").withColumn("high", F.sum("wanted").over(up_to)).withColumn("low", F.col("high") - F.col("wanted"))
+    t = settle(t.select("source", "blocks", "wanted", "low", "high"), "shares")
     n_slots = t.agg(F.sum("wanted")).first()[0] or 0
-    shards = max(least_shards, math.ceil(n_slots / per_shard))
-    # Draws meet shares by a grid on [0, 1), so neither side is broadcast by hand and no key is hot.
-    cells = t.select("source", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * GRID).cast("int"), F.least(F.floor(F.col("high") * GRID).cast("int"), F.lit(GRID - 1)))).alias("cell"))
-    draws = spark.range(n_slots).select(F.pmod("id", F.lit(shards)).alias("shard"), _unit(F.lit(seed), "id").alias("u")).withColumn("cell", F.floor(F.col("u") * GRID).cast("int"))
+    shards, width = max(least_shards, math.ceil(n_slots / per_shard)), max(1, math.ceil(n_slots / GRID))
+    # Numbers meet the ranges of sources by a grid of cells, so that no key is hot.
+    cells = t.select("source", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("cell"))
+    number = _permuted(F.col("id"), F.lit(max(n_slots, 1)).cast("long"), F.lit("slots"), F.lit(0), seed)
+    draws = spark.range(n_slots).select(F.pmod("id", F.lit(shards)).alias("shard"), number.alias("u")).withColumn("cell", F.floor(F.col("u") / width))
     counts = draws.join(cells, "cell").where("u >= low AND u < high").groupBy("shard", "source").count()
     first = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("count").over(first), F.lit(0)))
-    counts = settle(counts, "counts")
-    drawn = counts.groupBy(F.col("source").alias("s")).agg(F.sum("count").alias("drawn"))
-    short = t.join(drawn, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-    kept = counts.join(t.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where("first < wanted").select("source", "blocks", F.col("shard"), "first", F.least(F.col("first") + F.col("count"), F.col("wanted")).alias("end"))
-    per = F.ceil((F.col("wanted") - F.col("drawn")) / F.lit(shards)).cast("long")
-    more = short.where("drawn < wanted").withColumn("per", per).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
-    more = more.withColumn("first", F.col("drawn") + F.col("shard") * F.col("per")).where("first < wanted").select("source", "blocks", "shard", "first", F.least(F.col("first") + F.col("per"), F.col("wanted")).alias("end"))
+    counts = settle(counts.withColumn("first", F.coalesce(F.sum("count").over(first), F.lit(0))), "counts")
+    spans = counts.join(t.select(F.col("source").alias("s"), "blocks"), F.col("source").eqNullSafe(F.col("s"))).select("source", "blocks", "shard", "first", (F.col("first") + F.col("count")).alias("end"))
     # Few small rows stand for many slots: deal them out before they unfold.
-    spans = kept.unionByName(more).repartition(max(1, math.ceil(n_slots / 50_000)), "shard", "source")
+    spans = spans.repartition(max(1, math.ceil(n_slots / 50_000)), "shard", "source")
     j = spans.select("source", "blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("j"))
     j = j.withColumn("turn", F.floor(F.col("j") / F.col("blocks")).cast("long"))
     return j.select("shard", "source", "turn", _permuted(F.pmod("j", "blocks"), F.col("blocks"), F.col("source"), F.col("turn"), seed).alias("block"))
@@ -126,9 +115,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: float =
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    taken = parts.withColumn("overlap", overlap).join(times, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k"))).groupBy("source", "start").agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
+    taken = parts.withColumn("overlap", overlap).join(times.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k"))).groupBy("source", "start").agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
     taken = taken.select(F.col("source").alias("s"), F.col("start").alias("at"), "taken")
-    out = placed.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left").drop("s", "at")
+    full = placed.where("size > 0").join(taken.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")), "left").drop("s", "at")
+    out = full.unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
     return out.join(t, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -139,13 +129,13 @@ def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total:
     targets = settle(source_targets(placed.select("source", "size"), weights, total, most), "targets")
     word = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("salt"), word.alias("words"))
-    sized = placed.join(texts.dropDuplicates(["d", "salt"]), F.col("doc_id").eqNullSafe(F.col("d")) & (F.size("words") == F.col("size")))
+    sized = placed.join(texts.dropDuplicates(["d", "salt"]).hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.size("words") == F.col("size")))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     parts = sized.where("size > 0").withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     begin, end = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     parts = parts.select("source", "block", begin.alias("start"), "doc_id", F.slice("words", (begin - F.col("start") + 1).cast("int"), (end - begin).cast("int")).alias("words"))
     s = slots(targets, block).select("shard", F.col("source").alias("s"), "turn", F.col("block").alias("k"))
-    return s.join(parts, F.col("s").eqNullSafe(F.col("source")) & (F.col("k") == F.col("block"))).select("shard", "source", "turn", "block", "start", "doc_id", "words")
+    return s.join(parts.hint("merge"), F.col("s").eqNullSafe(F.col("source")) & (F.col("k") == F.col("block"))).select("shard", "source", "turn", "block", "start", "doc_id", "words")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
