@@ -5,17 +5,18 @@ they can matter only, and the sort is dealt out by content:
 
 1. Every window of ``length`` bytes has an anchor, the smallest hash among its substrings of ``ANCHOR`` bytes. Equal windows have equal
    anchors, and neighbouring windows mostly share theirs: a run of windows with one anchor is a segment. Each document's
-   anchors go, 4 bytes each, to the partition of the anchor's hash, which answers with the anchors that several documents have.
+   anchors go, as 4 bytes and a count, to the partition of the anchor's hash, which answers with the anchors that several documents have.
 2. Segments with such an anchor go to the bucket of the anchor, each distinct one once per batch of documents, with the
    smallest and the largest id that has it. So all windows that can be equal meet in one bucket, and a passage that a third
-   of all documents share is a row per batch.
+   of all documents share is a row per batch. Of an anchor with more than ``hot_segments`` segments (a line with a number that varies, say) every
+   window goes on its own, to the bucket of its content: equal ones meet there too, and no bucket gets them all.
 3. A bucket sorts its suffixes with the difference cover {1, 2} modulo 3: sampled triples are sorted and named, the names are
    sorted the same way (until names cover ``length`` bytes), and the other suffixes are merged in. Neighbours in the sorted
    order with equal prefixes of ``length`` bytes form a group, and its smallest id is the first document of that string.
 4. Batches mark the windows whose string starts in a smaller document, and cut the union of marked windows.
 
 Buckets hold about ``bucket_bytes`` of segments at any corpus size; their number follows the input. Texts are dealt into batches by a
-hash, once: the three steps that read texts share one shuffle.
+hash, once: the three steps that read texts share one shuffle. Rows that repeat a doc_id are dealt by their own length and content.
 
 Defined cases: null text is empty; documents shorter than ``length`` keep all bytes; rows that repeat a doc_id don't remove each
 other's bytes (no id is smaller); a null id is larger than all others; other columns are ignored.
@@ -28,10 +29,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 
 LENGTH = 50
 ANCHOR = 20
@@ -93,6 +95,26 @@ class Batch:
         self.start, self.count = cut[good], count[good]
         self.anchor, self.doc = low[self.start], owner[self.start]
 
+    def weights(self, length: int) -> np.ndarray:
+        """A number for each segment that tells different ones of an anchor apart by their ends: good enough for counts."""
+        ends = np.zeros(len(self.start), _U)
+        for k in range(8):
+            ends = _mix(ends * _U(0x9E3779B97F4A7C15) + self.bytes[self.start + k] + (self.bytes[self.start + self.count + length - 2 - k].astype(_U) << _U(8)))
+        return ends + self.count.astype(_U)
+
+    def divided(self, hot: np.ndarray) -> np.ndarray:
+        """Makes every window of the segments ``hot`` a segment of its own. Returns which segments are such windows."""
+        at, n = np.flatnonzero(hot), self.count[hot]
+        own = np.repeat(at, n)
+        step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        join = lambda x: np.concatenate([x[~hot], x[own]])
+        self.anchor, self.doc, start, count = join(self.anchor), join(self.doc), join(self.start), join(self.count)
+        rest = len(start) - len(own)
+        start[rest:] += step
+        count[rest:] = 1
+        self.start, self.count = start, count
+        return np.arange(len(start)) >= rest
+
     def keys(self, length: int, at: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the bytes of the segments ``at``, from a prefix sum of scrambled bytes times powers."""
         n, odd = len(self.bytes), 0x9E3779B97F4A7C15
@@ -204,7 +226,7 @@ def first_documents(segments: np.ndarray, sizes: np.ndarray, ids: np.ndarray, le
     return out
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20, bucket_bytes: int = 3 << 20, outputs: tuple[str, ...] = ("spans", "kept"), carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20, bucket_bytes: int = 3 << 20, hot_segments: int = 20_000, outputs: tuple[str, ...] = ("spans", "kept"), carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of rows (doc_id, text), with the columns of ``docs`` named in ``carry``
     and these ``outputs``: ``spans``, removed runs as (start, bytes); ``kept``, what is left, as bytes; ``kept_text``, the same as text without
     characters that are cut in two."""
@@ -221,35 +243,51 @@ def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20,
 
     def anchors(t: pa.Table) -> pa.Table:
         b = Batch(t, length)
-        _, once = np.unique(_mix(b.anchor + b.doc.astype(_U) * _U(0x9E3779B97F4A7C15)), return_index=True)  # one of each anchor for a document
-        part, bits = _split(b.anchor[once], partitions)
+        n, value = len(b.anchor), np.sort(b.anchor)
+        value = value[np.concatenate([[True], value[1:] != value[:-1]])] if n else value
+        own = np.searchsorted(value, b.anchor)
+        # Documents of the batch with each anchor (two stand for more), and its different segments.
+        last = np.full(len(value), -1)
+        last[own] = b.doc
+        docs = 1 + np.isin(np.arange(len(value)), own[b.doc != last[own]])
+        pair = np.unique(_mix(b.weights(length) + own.astype(_U) * _U(0xD6E8FEB86659FD93)), return_index=True)[1]
+        several = np.bincount(own[pair], minlength=len(value)).astype(np.uint32)
+        part, bits = _split(value, partitions)
         order = np.lexsort((bits, part))
-        part, bits = part[order], bits[order]
-        # Of a value that several documents of the batch have, two say that it repeats.
-        third = np.zeros(len(bits), bool)
-        third[2:] = (bits[2:] == bits[:-2]) & (part[2:] == part[:-2])
-        part, bits = part[~third], bits[~third]
-        cut = np.flatnonzero(np.diff(part, prepend=-1))
-        return pa.table({"part": pa.array(part[cut]), "batch": pa.array(np.full(len(cut), t.column("batch")[0].as_py() if t.num_rows else 0)), "bits": pa.array([x.tobytes() for x in np.split(bits, cut[1:])] if len(cut) else [], pa.binary())})
+        part, bits, docs, several = part[order], bits[order], docs[order].astype(np.uint8), several[order]
+        cut = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+        pack = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary())
+        give_back()
+        return pa.table({"part": pa.array(part[cut[:-1]], pa.int64()), "batch": pa.array([t.column("batch")[0].as_py() if t.num_rows else 0] * (len(cut) - 1), pa.int64()), "bits": pack(bits), "docs": pack(docs), "several": pack(several)})
 
     def shared(t: pa.Table) -> pa.Table:
-        batch, own = t.column("batch").to_numpy(), [np.frombuffer(x, np.uint32) for x in t.column("bits").to_pylist()]
-        values, times = np.unique(np.concatenate(own), return_counts=True)
-        values = values[times > 1]
-        hits = [x[values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x] if len(values) else x[:0] for x in own]
-        return pa.table({"batch": pa.array(batch), "part": t.column("part"), "bits": pa.array([x.tobytes() for x in hits], pa.binary())})
-
-    answers = groups.applyInArrow(anchors, "part long, batch long, bits binary").groupBy("part").applyInArrow(shared, "batch long, part long, bits binary")
+        read = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
+        own = read("bits", np.uint32)
+        values, which = np.unique(np.concatenate(own), return_inverse=True)
+        docs, several = (np.bincount(which, np.concatenate(read(c, k)), len(values)) for c, k in (("docs", np.uint8), ("several", np.uint32)))
+        on, hot, at = docs > 1, several > hot_segments, np.split(which, np.cumsum([len(x) for x in own])[:-1])
+        return pa.table({"batch": t.column("batch"), "part": t.column("part"), "bits": pa.array([x[on[i]].tobytes() for x, i in zip(own, at, strict=True)], pa.binary()), "hot": pa.array([x[(on & hot)[i]].tobytes() for x, i in zip(own, at, strict=True)], pa.binary())})
+
+    asked = groups.applyInArrow(anchors, "part long, batch long, bits binary, docs binary, several binary")
+    answers = asked.groupBy("part").applyInArrow(shared, "batch long, part long, bits binary, hot binary")
+
+    def marked(b: Batch, t: pa.Table, column: str) -> np.ndarray:
+        """Which segments have an anchor that the rows (part, bits in ``column``) name."""
+        part, bits = _split(b.anchor, partitions)
+        named = [np.frombuffer(x, np.uint32).astype(np.int64) + (p << 32) for p, x in zip(t.column("part").to_pylist(), t.column(column).to_pylist(), strict=True) if x]
+        return np.isin(bits.astype(np.int64) + (part << 32), np.concatenate(named)) if named else np.zeros(len(part), bool)
 
     def segments(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(left, length)
-        part, bits = _split(b.anchor, partitions)
-        wanted = [np.frombuffer(x, np.uint32).astype(np.int64) + (p << 32) for p, x in zip(right.column("part").to_pylist(), right.column("bits").to_pylist(), strict=True)]
-        at = np.flatnonzero(np.isin(bits.astype(np.int64) + (part << 32), np.concatenate(wanted))) if wanted else np.empty(0, np.int64)
+        on, hot = marked(b, right, "bits"), marked(b, right, "hot")
+        b.anchor, b.start, b.count, b.doc = (x[on] for x in (b.anchor, b.start, b.count, b.doc))
+        single = b.divided(hot[on])
+        at = np.arange(len(b.start))
         none = pa.table({"bucket": pa.array([], pa.int64()), "batch": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("keys", "least", "most", "sizes", "data")}})
         if not len(at):
             return none
-        keys, bucket = b.keys(length, at), (_mix(b.anchor[at]) % _U(buckets)).astype(np.int64)
+        keys = b.keys(length, at)
+        bucket = (_mix(np.where(single, keys.view(_U), b.anchor)) % _U(buckets)).astype(np.int64)
         order = np.lexsort((keys, bucket))
         at, keys, bucket = at[order], keys[order], bucket[order]
         new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])]))
@@ -261,6 +299,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20,
         raw, starts = b.bytes.tobytes(), b.start[at].tolist()
         rows = [(int(bucket[i]), keys[i:j].tobytes(), least[i:j].tobytes(), most[i:j].tobytes(), size[i:j].tobytes(), b"".join([raw[starts[x] : starts[x] + int(size[x])] for x in range(i, j)])) for i, j in zip(cut, cut[1:], strict=False)]
         bucket_, *rest = zip(*rows, strict=True)
+        give_back()
         return pa.table({"bucket": pa.array(bucket_, pa.int64()), "batch": pa.array([left.column("batch")[0].as_py()] * len(rows), pa.int64()), **{c: pa.array(x, pa.binary()) for c, x in zip(("keys", "least", "most", "sizes", "data"), rest, strict=True)}})
 
     found = groups.cogroup(answers.groupBy("batch")).applyInArrow(segments, "bucket long, batch long, keys binary, least binary, most binary, sizes binary, data binary")
@@ -293,12 +332,18 @@ def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20,
         b = batch[entry]
         cut = [*np.flatnonzero(np.diff(b, prepend=-1)).tolist(), len(b)]
         pack = lambda x, kind: pa.array([x[i:j].astype(kind).tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary())
+        give_back()
         return pa.table({"batch": pa.array(b[cut[:-1]], pa.int64()), "keys": pack(keys[entry], np.int64), "at": pack(run_at[r], np.int32), "windows": pack(run_size[r], np.int32), "first": pack(run_first[r], np.int64)})
 
     firsts = found.groupBy("bucket").applyInArrow(sort, "batch long, keys binary, at binary, windows binary, first binary")
+    none = F.lit(None).cast("binary")
+    divided = answers.where("length(hot) > 0").select("batch", none.alias("keys"), none.alias("at"), none.alias("windows"), none.alias("first"), "part", "hot")
+    firsts = firsts.withColumn("part", F.lit(None).cast("long")).withColumn("hot", none).unionByName(divided)
 
     def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Batch(left, length)
+        b.divided(marked(b, right.filter(pc.is_valid(right.column("hot"))), "hot"))
+        right = right.filter(pc.is_valid(right.column("keys")))
         join = lambda c, kind: np.frombuffer(b"".join(right.column(c).to_pylist()), kind)
         keys, at, windows, first = (join(c, k) for c, k in (("keys", np.int64), ("at", np.int32), ("windows", np.int32), ("first", np.int64)))
         edge = np.zeros(len(b.bytes) + 1, np.int32)
@@ -341,6 +386,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20,
         if "kept_text" in outputs:
             more["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
         own = {"doc_id": left.column("doc_id"), "n_bytes": pa.array(b.sizes), "n_removed": pa.array(bound.astype(np.int64)), "n_spans": pa.array(n_spans.astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+        give_back()
         return pa.table(own | {f.name: left.column(f.name) for f in carried} | {c: more[c] for c in outputs})
 
     kinds = {"spans": "array<struct<start:bigint,bytes:bigint>>", "kept": "binary", "kept_text": "string"}

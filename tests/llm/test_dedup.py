@@ -113,6 +113,19 @@ def test_passages_equal_brute_force(spark, sf_dir, sizes):
     assert sorted(map(tuple, got), key=str) == brute_cut([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_hot_anchors_and_long_texts(spark):
+    """Template lines with a number that varies: one anchor with as many segments as documents, some of them equal. A long text beside them."""
+    rng = np.random.default_rng(3)
+    line = "the quarterly report number {} of the regional office in the capital city was filed {} days after it was due"
+    rows = [(i, " ".join([f"w{rng.integers(0, 1 << 30)}", line.format(int(rng.integers(0, 60)), int(rng.integers(0, 9))), f"v{rng.integers(0, 1 << 30)}"])) for i in range(120)]
+    rows += [(500, "".join(f"{int(x):06d} " for x in rng.integers(0, 10**6, 40_000))), (501, None)]
+    rows.append((502, rows[120][1][100_000:100_400] + rows[3][1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_cut(rows)
+    for options in ({"hot_segments": 2, "batch_bytes": 4_000, "bucket_bytes": 2_000}, {"batch_bytes": 4_000}):
+        assert sorted(map(tuple, suffix_dedup.repeated(docs, outputs=(), **options).collect()), key=str) == want
+
+
 def test_passages_odd_rows(spark):
     got = suffix_dedup.repeated(odd(spark), outputs=("kept", "kept_text", "spans"), carry=("lang", "score")).collect()
     assert sorted([tuple(r)[:5] for r in got], key=str) == brute_cut([(r[0], r[1]) for r in ODD])
