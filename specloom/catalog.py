@@ -107,7 +107,7 @@ def _(spark, sf_dir):
 
 @query("transition_cpt", f"WITH {SEQ}, n AS (SELECT a.event_type AS cur, b.event_type AS nxt, count(*) AS n FROM seq a JOIN seq b ON a.user_id = b.user_id AND b.pos = a.pos + 1 GROUP BY ALL) SELECT cur, nxt, n, round(n / sum(n) OVER (PARTITION BY cur), 9) AS p, round(1 - n / sum(n) OVER (PARTITION BY cur), 9) AS w FROM n")
 def _(spark, sf_dir):
-    return tr.transition_cpt(tr.transitions(placed(spark, sf_dir))).select("cur", "nxt", "n", *rounded("p", "w"))
+    return tr.transition_cpt(tr.steps(read(spark, sf_dir, "events"))).select("cur", "nxt", "n", *rounded("p", "w"))
 
 
 def _tokens(spark, sf_dir):
@@ -411,19 +411,18 @@ trans AS (SELECT * FROM strong UNION ALL SELECT state, state FROM states WHERE s
 
 
 def _strong(spark, sf_dir):
-    p = placed(spark, sf_dir).withColumn("slot", F.floor(F.hour("ts") / HOURS))
-    p = p.withColumn("event_type", F.concat_ws(":", "event_type", "slot"))
-    n = tr.transitions(p).groupBy(F.col("cur").alias("src"), F.col("nxt").alias("dst")).agg(F.count("*").alias("n"))
+    p = read(spark, sf_dir, "events").withColumn("event_type", F.concat_ws(":", "event_type", F.floor(F.hour("ts") / HOURS)))
+    n = tr.steps(p).groupBy(F.col("cur").alias("src"), F.col("nxt").alias("dst")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("src"))
     return checkpointed(n.withColumn("total", total).where(F.col("n") >= SHARE * F.col("total")).select("src", "dst"))
 
 
-def _kripke(spark, sf_dir):
+def _kripke(spark, sf_dir, strong=None):
     slot = F.floor(F.hour("ts") / HOURS)
     states = read(spark, sf_dir, "events").select("event_type", slot.alias("slot")).distinct().withColumn("state", F.concat_ws(":", "event_type", "slot"))
     states = checkpointed(states)
     labels = states.select("state", F.explode(F.array("event_type", F.concat(F.lit("slot"), F.col("slot").cast("string")))).alias("ap"))
-    strong = _strong(spark, sf_dir)
+    strong = _strong(spark, sf_dir) if strong is None else strong
     loops = states.select("state").join(strong.select(F.col("src").alias("state")), "state", "left_anti").select(F.col("state").alias("src"), F.col("state").alias("dst"))
     return lg.Kripke(states.select("state"), checkpointed(strong.union(loops)), checkpointed(labels)).checked()
 
@@ -499,8 +498,9 @@ def _(spark, sf_dir):
 
 @query("reachable_set", f"WITH RECURSIVE {KRIPKE}, r AS (SELECT state AS node FROM labels WHERE ap = 'signup' UNION SELECT s.dst FROM r JOIN strong s ON s.src = r.node) SELECT node FROM r")
 def _(spark, sf_dir):
-    k = _kripke(spark, sf_dir)
-    return gr.reachable(_strong(spark, sf_dir), k.sat("signup").select(F.col("state").alias("node")))
+    strong = _strong(spark, sf_dir)
+    k = _kripke(spark, sf_dir, strong)
+    return gr.reachable(strong, k.sat("signup").select(F.col("state").alias("node")))
 
 
 @query("scc", f"WITH RECURSIVE {KRIPKE}, {_CLOSURE}, nodes AS (SELECT src AS node FROM strong UNION SELECT dst FROM strong) SELECT node, coalesce((SELECT min(a.y) FROM clo a JOIN clo b ON a.x = b.y AND a.y = b.x WHERE a.x = node), node) AS component FROM nodes")
@@ -510,8 +510,9 @@ def _(spark, sf_dir):
 
 @query("induced_subgraph", f"WITH {KRIPKE}, n AS (SELECT state FROM labels WHERE ap IN ('view', 'click')) SELECT src, dst FROM strong WHERE src IN (FROM n) AND dst IN (FROM n)")
 def _(spark, sf_dir):
-    k = _kripke(spark, sf_dir)
-    return gr.induced(_strong(spark, sf_dir), k.sat(("or", "view", "click")).select(F.col("state").alias("node")))
+    strong = _strong(spark, sf_dir)
+    k = _kripke(spark, sf_dir, strong)
+    return gr.induced(strong, k.sat(("or", "view", "click")).select(F.col("state").alias("node")))
 
 
 @query("reversed_graph", f"WITH {KRIPKE} SELECT dst AS src, src AS dst FROM strong")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import catalog as c
@@ -12,7 +12,7 @@ from .operators import network as nw
 from .operators import sampling as sm
 from .operators import traces as tr
 from .plans import mining
-from .sources.tables import checkpointed, read
+from .sources.tables import checkpointed, node_data, ordered_skeleton, read, read_model_files, skeleton, work_path, write_model_files
 
 query, LEARN, LENGTH, MODELS, CUT = c.query, c.LEARN, c.LENGTH, c.MODELS, c.CUT
 REMOVED = 0.25
@@ -109,6 +109,111 @@ def _(spark, sf_dir):
     return g.join(n, "event_type").select("event_id", F.round(sm.gaussian(F.col("mean"), F.col("variance"), z, [(F.lit(0.5), F.col("value"))]), 3).alias("gap"))
 
 
+@query("gibbs_sample")
+def _(spark, sf_dir):
+    """A chain for each sample after two sweeps given V_2 = hi (tests compare with a plain loop)."""
+    run = tr.samples(c.placed(spark, sf_dir), LENGTH)
+    ids = run.select(F.concat(F.lit("m"), F.pmod("user_id", F.lit(MODELS)).cast("string")).alias("model_id"), F.concat_ws("/", "user_id", "sample").alias("sample_key"))
+    return sm.gibbs(checkpointed(c.cpt(spark, sf_dir)), ids, c._ORDER, 2, {"V_2": "hi"})
+
+
+# ---- model files
+
+
+def _files(spark, sf_dir):
+    path = work_path(spark)
+    write_model_files(checkpointed(nw.vertices(c.counts(spark, sf_dir))), path)
+    return read_model_files(spark, path)
+
+
+_SKELETON = f"{c._CHAIN}, e AS (SELECT model_id, s || '_' || k AS src, s || '_' || (k + 1) AS dst FROM m, s, k WHERE k < {LENGTH - 1} UNION ALL SELECT model_id, 'E_' || k, 'V_' || (k + 1) FROM m, k WHERE k < {LENGTH - 1})"
+
+
+@query("model_file_edges", f"{_SKELETON} SELECT model_id, (row_number() OVER (PARTITION BY model_id ORDER BY src, dst) - 1)::INT AS ord, src, dst FROM e")
+def _(spark, sf_dir):
+    return skeleton(_files(spark, sf_dir))[1]
+
+
+@query("model_file_order", f"{_SKELETON} SELECT model_id, s || '_' || k AS vertex, k AS depth, (row_number() OVER (PARTITION BY model_id ORDER BY k, s) - 1)::INT AS place FROM m, s, k")
+def _(spark, sf_dir):
+    return ordered_skeleton(_files(spark, sf_dir), LENGTH)
+
+
+@query("model_file_nodes", f"WITH {LEARN}, o AS (SELECT model_id, signal, string_agg(outcome, ',' ORDER BY outcome) AS vals FROM val GROUP BY ALL) SELECT v.model_id, v.vertex, o.vals, CASE WHEN k = 0 THEN '' WHEN v.signal = 'E' THEN 'E_' || (k - 1) ELSE 'V_' || (k - 1) || ',E_' || (k - 1) END AS parents FROM vert v JOIN o ON o.model_id = v.model_id AND o.signal = v.signal")
+def _(spark, sf_dir):
+    return node_data(_files(spark, sf_dir)).select("model_id", "vertex", c.joined("vals"), c.joined("parents"))
+
+
+# ---- an irregular graph: steps between event types that are likely enough
+
+
+_STEPS = f"st AS (SELECT model_id, a.e || '_' || a.k AS src, b.e || '_' || b.k AS dst, count(*) AS n FROM (SELECT * FROM slot) a JOIN slot b USING (model_id, user_id, s) WHERE b.k = a.k + 1 GROUP BY ALL), step AS (SELECT model_id, src, dst FROM (SELECT *, sum(n) OVER (PARTITION BY model_id, src) AS total FROM st) WHERE n >= 0.22 * total)"
+
+
+def _steps(spark, sf_dir):
+    model = F.concat(F.lit("m"), F.pmod("user_id", F.lit(MODELS)).cast("string"))
+    e = F.col("events.event_type")
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 2)), lambda k: F.struct(F.concat_ws("_", e[k], k).alias("src"), F.concat_ws("_", e[k + 1], k + 1).alias("dst"))))
+    n = tr.samples(c.placed(spark, sf_dir), LENGTH).select(model.alias("model_id"), pairs.alias("x")).groupBy("model_id", "x.src", "x.dst").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("model_id", "src"))
+    return checkpointed(n.withColumn("total", total).where("n >= 0.22 * total").select("model_id", "src", "dst"))
+
+
+@query("step_depth", f"WITH RECURSIVE {c.SEQ}, {c.SLOT}, {_STEPS}, v AS (SELECT model_id, src AS vertex FROM step UNION SELECT model_id, dst FROM step), w AS (SELECT model_id, vertex, 0 AS d FROM v UNION SELECT w.model_id, step.dst, d + 1 FROM w JOIN step ON step.model_id = w.model_id AND step.src = w.vertex) SELECT model_id, vertex, max(d)::INT AS depth FROM w GROUP BY ALL")
+def _(spark, sf_dir):
+    e = _steps(spark, sf_dir)
+    v = e.select("model_id", F.explode(F.array("src", "dst")).alias("vertex")).distinct()
+    return nw.depths(e, v, LENGTH)
+
+
+@query("step_boundary", f"WITH {c.SEQ}, {c.SLOT}, {_STEPS} SELECT DISTINCT model_id, 'start' AS src, src AS dst FROM step a WHERE NOT EXISTS (SELECT 1 FROM step b WHERE b.model_id = a.model_id AND b.dst = a.src) UNION ALL SELECT DISTINCT model_id, dst, 'terminal' FROM step a WHERE NOT EXISTS (SELECT 1 FROM step b WHERE b.model_id = a.model_id AND b.src = a.dst)")
+def _(spark, sf_dir):
+    e = _steps(spark, sf_dir)
+    return nw.structural_boundary(e, e.select("model_id", F.explode(F.array("src", "dst")).alias("vertex")).distinct())
+
+
+@query("step_cross_edges", f"WITH {c.SEQ}, {c.SLOT}, {_STEPS} SELECT * FROM step WHERE string_split(src, '_')[1] <> string_split(dst, '_')[1]")
+def _(spark, sf_dir):
+    return nw.cross_edges(_steps(spark, sf_dir))
+
+
+# ---- which edges may be the very next
+
+_CODE = "('0x' || substr(md5(concat_ws('|', 'xable', model_id, vertex)), {}, 8))::BIGINT"
+
+
+@query(
+    "next_flags",
+    f"WITH {c.SEQ}, {c.SLOT}, {c.OBS}, vert AS (SELECT DISTINCT model_id, vertex, signal, k FROM obs WHERE k > 0), ch AS (SELECT *, CASE WHEN {_CODE.format(1)} / 4294967296 < 0.7 THEN {_CODE.format(9)} % (CASE signal WHEN 'V' THEN 2 ELSE 1 END) ELSE -1 END AS chosen FROM vert)"
+    " SELECT model_id, signal || '_' || (k - 1) AS src, vertex AS dst, chosen = 0 AS xable FROM ch UNION ALL SELECT model_id, 'E_' || (k - 1), vertex, chosen = 1 FROM ch WHERE signal = 'V'",
+)
+def _(spark, sf_dir):
+    return patterns.edge_flags(nw.vertices(c.counts(spark, sf_dir)))
+
+
+# ---- traces of tokens
+
+_TRACES = f"""{c.SEQ}, s AS (SELECT user_id, pos // {LENGTH} AS sample, pos // {LENGTH} // 3 AS trace, pos % {LENGTH} AS i, event_type, (epoch_us(ts) - min(epoch_us(ts)) OVER w) / 1e6 AS t FROM seq WINDOW w AS (PARTITION BY user_id, pos // {LENGTH}) QUALIFY count(*) OVER w = {LENGTH}),
+ends AS (SELECT user_id, trace, sample, max(t) AS last FROM s GROUP BY ALL), shifts AS (SELECT user_id, trace, sample, coalesce(sum(last + 0.1) OVER (PARTITION BY user_id, trace ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift, count(*) OVER (PARTITION BY user_id, trace) AS n FROM ends),
+tt AS (SELECT s.user_id, s.trace, s.sample, s.i, 'F' || (s.user_id % 2) || '.E=' || event_type AS token, shift + t AS t FROM s JOIN shifts USING (user_id, trace, sample) WHERE n = 3)"""
+
+
+def _token_traces(spark, sf_dir):
+    return tr.token_traces(tr.samples(c.placed(spark, sf_dir), LENGTH), 3, F.pmod("user_id", F.lit(2)))
+
+
+@query("token_traces", f"WITH {_TRACES} SELECT user_id, trace, sample, token, round(t, 3) AS t FROM tt")
+def _(spark, sf_dir):
+    return _token_traces(spark, sf_dir).select("user_id", "trace", "sample", "token", F.round("t", 3).alias("t"))
+
+
+@query("merged_logs", f"WITH {_TRACES} SELECT user_id // 2 AS pair, trace, (row_number() OVER (PARTITION BY user_id // 2, trace ORDER BY round(t, 6), token, sample, i) - 1)::INT AS pos, token FROM tt")
+def _(spark, sf_dir):
+    """Whole traces of two users each, one of either origin, merged by time."""
+    t = _token_traces(spark, sf_dir).withColumn("pair", F.floor(F.col("user_id") / 2)).withColumn("t", F.round("t", 6))
+    return tr.merged_logs(t, ["pair", "trace"]).select("pair", "trace", "pos", "token")
+
+
 # ---- boolean functions from text
 
 

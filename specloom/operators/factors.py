@@ -30,7 +30,11 @@ def sum_out(f: DataFrame, variable: str) -> DataFrame:
 
 
 def reduce(f: DataFrame, variable: str, value: str) -> DataFrame:
-    return f.where(F.col(variable) == value).drop(variable)
+    """The factor given a value of a variable; a value that it doesn't have is an error."""
+    rows = f.where(F.col(variable) == value)
+    if rows.isEmpty():
+        raise ValueError(f"{variable} has no value {value}")
+    return rows.drop(variable)
 
 
 def normalised(f: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+
 
 def uniform(*key: Column) -> Column:
     """A number in [0, 1) from the first 32 bits of an MD5 digest; the same in any engine."""
@@ -32,19 +34,67 @@ def gaussian(mean: Column, variance: Column, z: Column, terms: list[tuple[Column
     return mean + F.sqrt(variance) * z
 
 
-def ancestral(cpt: DataFrame, ids: DataFrame, order: list[tuple[str, list[str]]], seed: int = 0, evidence: dict[str, str] | None = None) -> DataFrame:
+def ancestral(cpt: DataFrame, ids: DataFrame, order: list[tuple[str, list[str]]], seed: int = 0, evidence: dict[str, str] | None = None, most_rows: int = 100_000) -> DataFrame:
     """A row for each of ``ids`` (model_id, sample, sample_key): a column for each vertex, in topological ``order`` of (vertex, parents). A vertex of ``evidence``
     has that value, and what follows it is drawn given it; what comes before it is not conditioned."""
     up = Window.partitionBy("model_id", "vertex", "parent_vals").orderBy("outcome_idx")
     c = cpt.withColumn("c", F.sum("p").over(up))
-    c = c.groupBy("model_id", "vertex", "parent_vals").agg(F.sort_array(F.collect_list(F.struct("outcome_idx", "c", "outcome"))).alias("cdf"))
+    key = F.concat_ws("|", "vertex", F.array_join("parent_vals", "|"))
+    c = c.groupBy("model_id", key.alias("key")).agg(F.sort_array(F.collect_list(F.struct("outcome_idx", "c", "outcome"))).alias("cdf"))
+    c = checkpointed(c)
+    if c.count() > most_rows:  # too many networks for a row each that every task has: one join per vertex
+        return _by_joins(c, ids, order, seed, evidence or {})
+    # All rows of a network's tables are one map, so that a draw is a lookup and samples are never shuffled.
+    out = ids.join(F.broadcast(c.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "cdf"))).alias("_rows"))), "model_id")
+    for vertex, parents in order:
+        drawn = chosen(F.element_at("_rows", _row_of(vertex, parents)), uniform(F.lit(str(seed)), F.col("sample_key"), F.lit(vertex)))
+        out = out.withColumn(vertex, F.lit(evidence[vertex]) if vertex in (evidence or {}) else drawn)
+    return out.drop("_rows")
+
+
+def _row_of(vertex: str, parents: list[str]) -> Column:
+    return F.concat_ws("|", F.lit(vertex), F.concat_ws("|", *parents) if parents else F.lit(""))
+
+
+def _by_joins(c: DataFrame, ids: DataFrame, order: list[tuple[str, list[str]]], seed: int, evidence: dict[str, str]) -> DataFrame:
     out = ids
     for vertex, parents in order:
-        if vertex in (evidence or {}):
+        if vertex in evidence:
             out = out.withColumn(vertex, F.lit(evidence[vertex]))
             continue
-        own = c.where(F.col("vertex") == vertex).select("model_id", F.col("parent_vals").alias("_pv"), "cdf")
-        key = F.array(*[F.col(p) for p in parents]) if parents else F.array().cast("array<string>")
+        own = c.select("model_id", F.col("key").alias("_key"), "cdf")
         u = uniform(F.lit(str(seed)), F.col("sample_key"), F.lit(vertex))
-        out = out.withColumn("_pv", key).join(own, ["model_id", "_pv"]).withColumn(vertex, chosen(F.col("cdf"), u)).drop("_pv", "cdf")
+        out = out.withColumn("_key", _row_of(vertex, parents)).join(own, ["model_id", "_key"]).withColumn(vertex, chosen(F.col("cdf"), u)).drop("_key", "cdf")
     return out
+
+
+def gibbs(cpt: DataFrame, ids: DataFrame, order: list[tuple[str, list[str]]], sweeps: int, evidence: dict[str, str], seed: int = 0) -> DataFrame:
+    """The state of a chain for each of ``ids`` after ``sweeps`` sweeps of Gibbs sampling given ``evidence``: from an ancestral draw on, each other vertex in
+    turn is drawn given its parents and children. Chains are rows, independent of each other; a network's tables are one row, as in ``ancestral``.
+    If no value has a chance the vertex keeps its own."""
+    values = cpt.groupBy("model_id", "vertex").agg(F.array_sort(F.collect_set(F.struct("outcome_idx", "outcome"))).alias("v"))
+    values = values.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct("vertex", F.col("v.outcome").alias("v")))).alias("_vals"))
+    p = cpt.select("model_id", F.concat_ws("|", "vertex", F.array_join("parent_vals", "|"), "outcome").alias("key"), "p")
+    p = p.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "p"))).alias("_p"))
+    out = ancestral(cpt, ids, order, seed, evidence).join(F.broadcast(checkpointed(values.join(p, "model_id"))), "model_id")
+    for sweep in range(sweeps):
+        for vertex, parents in order:
+            if vertex in evidence:
+                continue
+
+            def weight(x: Column, vertex: str = vertex, parents: list[str] = parents) -> Column:
+                w = F.element_at("_p", F.concat_ws("|", _row_of(vertex, parents), x))
+                for child, theirs in order:
+                    if vertex in theirs:
+                        given = F.concat_ws("|", *[x if t == vertex else F.col(t) for t in theirs])
+                        w = w * F.element_at("_p", F.concat_ws("|", F.lit(child), given, F.col(child)))
+                return w
+
+            each = F.transform(F.element_at("_vals", F.lit(vertex)), lambda x: F.struct(weight(x).alias("w"), x.alias("x")))
+            total = F.aggregate(each, F.lit(0.0), lambda a, e: a + e["w"])
+            goal = total * uniform(F.lit(str(seed)), F.col("sample_key"), F.lit(vertex), F.lit(str(sweep)))
+            start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("string").alias("x"))
+            pick = F.aggregate(each, start, lambda a, e: F.when(a["x"].isNotNull(), a).otherwise(F.struct((a["s"] + e["w"]).alias("s"), F.when(a["s"] + e["w"] > goal, e["x"]).alias("x"))))  # noqa: B023
+            out = out.withColumn(vertex, F.coalesce(pick["x"], F.col(vertex)))
+        out = checkpointed(out)  # expressions of one sweep only
+    return out.drop("_vals", "_p")

@@ -31,6 +31,18 @@ def transitions(placed: DataFrame, key: str = "user_id") -> DataFrame:
     return cur.join(nxt, ["k", "at"])
 
 
+def steps(events: DataFrame, key: str = "user_id") -> DataFrame:
+    """The pairs (k, cur, nxt) of ``transitions`` without places: neighbours within a day by one window, and the last event of a day with the
+    first of the trace's next day."""
+    dated = events.select(F.col(key).alias("k"), F.to_date("ts").alias("d"), "ts", "event_id", "event_type")
+    ahead = Window.partitionBy("k", "d").orderBy("ts", "event_id")
+    inner = dated.select("k", F.col("event_type").alias("cur"), F.lead("event_type").over(ahead).alias("nxt")).where("nxt IS NOT NULL")
+    place = F.struct("ts", "event_id")
+    days = dated.groupBy("k", "d").agg(F.min_by("event_type", place).alias("first"), F.max_by("event_type", place).alias("cur"))
+    border = days.select("k", "cur", F.lead("first").over(Window.partitionBy("k").orderBy("d")).alias("nxt")).where("nxt IS NOT NULL")
+    return inner.union(border)
+
+
 def transition_cpt(pairs: DataFrame) -> DataFrame:
     """Rows (cur, nxt, n, p, w): counted transition probabilities and their metric."""
     n = pairs.groupBy("cur", "nxt").agg(F.count("*").alias("n"))
@@ -88,9 +100,14 @@ def intervals(placed: DataFrame, key: str = "user_id") -> DataFrame:
     time. Times are seconds since the trace began."""
     begin = placed.groupBy(F.col(key).alias("k")).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
-    t = placed.join(begin, F.col(key).eqNullSafe(F.col("k"))).withColumn("start", seconds("ts") - seconds("t0"))
-    ahead = Window.partitionBy(key, "event_type").orderBy("pos")
-    return t.select(key, "pos", "event_type", "start", F.coalesce(F.lead("start").over(ahead), (seconds("t1") - seconds("t0")) * 1.5).alias("end"))
+    t = placed.withColumn("_d", F.to_date("ts")).join(begin, F.col(key).eqNullSafe(F.col("k"))).withColumn("start", seconds("ts") - seconds("t0")).drop("k")
+    # The next of its type: within the day, or the first one of the next day that has any. So a long trace is many groups.
+    ahead = Window.partitionBy(key, "event_type", "_d").orderBy("pos")
+    t = t.withColumn("_next", F.lead("start").over(ahead))
+    days = t.groupBy(F.col(key).alias("k"), F.col("event_type").alias("e"), F.col("_d").alias("d")).agg(F.min("start").alias("first"))
+    days = days.select("k", "e", "d", F.lead("first").over(Window.partitionBy("k", "e").orderBy("d")).alias("later"))
+    t = t.join(days, F.col(key).eqNullSafe(F.col("k")) & F.col("event_type").eqNullSafe(F.col("e")) & F.col("_d").eqNullSafe(F.col("d")))
+    return t.select(key, "pos", "event_type", "start", F.coalesce("_next", "later", (seconds("t1") - seconds("t0")) * 1.5).alias("end"))
 
 
 def chunks(found: DataFrame, size: int, key: str = "user_id") -> DataFrame:
@@ -111,3 +128,22 @@ def interleaved(placed: DataFrame, groups: int, key: str = "user_id") -> DataFra
     log = F.format_string("%s/%d", F.date_format("ts", "yyyy-MM-dd HH"), F.floor(F.col(key) / groups) % 8)
     t = placed.select(log.alias("log"), F.format_string("F%d.%s", origin, F.col("event_type")).alias("token"), "ts", "event_id")
     return t.select("log", (F.row_number().over(Window.partitionBy("log").orderBy("ts", "event_id")) - 1).alias("pos"), "token")
+
+
+def token_traces(found: DataFrame, size: int, origin, signal: str = "E", key: str = "user_id") -> DataFrame:
+    """Rows (key, trace, token, t): ``size`` samples (key, sample, events) make a trace of tokens F<origin>.<signal>=<value>. A sample's times start at
+    0 and are shifted to 0.1 seconds after the last one of the sample before it in the trace; incomplete traces are dropped."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    trace = F.floor(F.col("sample") / size).cast("long")
+    s = found.select(key, trace.alias("trace"), "sample", F.transform("events", lambda e: F.struct(((micros(e["ts"]) - micros(F.col("events")[0]["ts"])) / 1e6).alias("t"), e["event_type"].alias("value"))).alias("events"))
+    in_trace = Window.partitionBy(key, "trace")
+    before = in_trace.orderBy("sample").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("shift", F.coalesce(F.sum(F.array_max("events.t") + 0.1).over(before), F.lit(0.0))).withColumn("n", F.count("*").over(in_trace)).where(F.col("n") == size)
+    s = s.select(key, "trace", "sample", "shift", F.posexplode("events").alias("i", "e"))
+    return s.select(key, "trace", "sample", "i", F.format_string(f"F%d.{signal}=%s", origin, F.col("e.value")).alias("token"), (F.col("shift") + F.col("e.t")).alias("t"))
+
+
+def merged_logs(traces: DataFrame, log: list) -> DataFrame:
+    """Traces of several origins merged by time: rows of ``token_traces`` with their place ``pos`` in the log that the columns ``log`` name. A log is as
+    long as the traces in it."""
+    return traces.withColumn("pos", F.row_number().over(Window.partitionBy(*log).orderBy("t", "token", "sample", "i")) - 1)

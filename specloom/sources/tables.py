@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,12 +25,19 @@ def work_path(spark: SparkSession) -> str:
     return path
 
 
+SMALL = 1 << 20
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration by a table in the shared folder."""
+    """Cuts the lineage of an iteration by a table in the shared folder. A table below ``SMALL`` bytes (networks, their states and paths mostly are)
+    is read as one partition, so that joins and sums of such tables need no shuffle."""
     spark = df.sparkSession
     path = work_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return out.coalesce(1) if size <= SMALL else out
 
 
 MODEL_FILE = "V array<string>, E array<array<string>>, Vdata map<string, struct<vals: array<string>, parents: array<string>, children: array<string>, type: string, cprob: string>>"
@@ -38,7 +45,24 @@ MODEL_FILE = "V array<string>, E array<array<string>>, Vdata map<string, struct<
 
 def read_model_files(spark: SparkSession, path: str) -> DataFrame:
     """A row per model file: JSON objects with V, E and Vdata. Broken files raise an error when they are read."""
-    return spark.read.schema(MODEL_FILE).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("model_id", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    return spark.read.schema(MODEL_FILE).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("model_id", _model_of(F.input_file_name()))
+
+
+def _model_of(file):
+    """The model's name: of the folder model_id=name, or else of the file."""
+    folder = F.regexp_extract(file, "/model_id=([^/]+)/", 1)
+    return F.when(folder != "", folder).otherwise(F.element_at(F.split(file, "/"), -1))
+
+
+def write_model_files(vertices: DataFrame, path: str) -> None:
+    """A file for each model of vertices (model_id, vertex, parents, vals) in a folder of its own: a JSON object with V, E and Vdata."""
+    edges = vertices.select("model_id", "vertex", F.explode("parents").alias("src"))
+    children = edges.groupBy("model_id", F.col("src").alias("vertex")).agg(F.array_sort(F.collect_list("vertex")).alias("children"))
+    v = vertices.join(children, ["model_id", "vertex"], "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+    data = F.map_from_entries(F.collect_list(F.struct("vertex", F.struct("vals", "parents", "children", F.lit("discrete").alias("type")))))
+    ends = F.array_sort(F.flatten(F.collect_list(F.transform("parents", lambda p: F.array(p, F.col("vertex"))))))
+    m = v.groupBy("model_id").agg(F.array_sort(F.collect_list("vertex")).alias("V"), ends.alias("E"), data.alias("Vdata"))
+    m.repartition("model_id").select("model_id", F.to_json(F.struct("V", "E", "Vdata")).alias("value")).write.partitionBy("model_id").text(path)
 
 
 def skeleton(models: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,9 +73,19 @@ def skeleton(models: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def node_data(models: DataFrame) -> DataFrame:
+    """Rows (model_id, vertex, vals, parents, children, type, cprob) of model files."""
     return models.select("model_id", F.explode("Vdata").alias("vertex", "d")).select("model_id", "vertex", "d.*")
 
 
+def ordered_skeleton(models: DataFrame, levels: int) -> DataFrame:
+    """Vertices of model files with their place in topological order: by the longest way from a root, then by name."""
+    from ..operators.network import depths
+
+    vertices, edges = skeleton(models)
+    order = Window.partitionBy("model_id").orderBy("depth", "vertex")
+    return depths(edges.select("model_id", "src", "dst"), vertices, levels).select("model_id", "vertex", "depth", (F.row_number().over(order) - 1).alias("place"))
+
+
 def write_specs(specs: DataFrame, path: str) -> None:
     """Writes rows (probability, ltl) as lines of text."""
     specs.select(F.format_string("%.4f, %s", "probability", "ltl").alias("value")).write.text(path)

@@ -299,6 +299,62 @@ def test_edges_and_parser_refuse(spark):
             boolfn.parsed(bad)
 
 
+def test_gibbs_chains_equal_a_plain_loop(spark):
+    """Every draw of every chain again, from the tables and the same uniforms."""
+    import hashlib
+
+    from specloom.operators import sampling
+
+    t, _ = worked(spark)
+    order = [("A_0", []), ("B_0", []), ("A_1", ["A_0"]), ("B_1", ["B_0", "A_0"])]
+    table = {}
+    for r in t.collect():
+        table.setdefault((r.vertex, tuple(r.parent_vals)), []).append((r.outcome_idx, r.outcome, r.p))
+    row = lambda v, state: [(x, p) for _, x, p in sorted(table[v, tuple(state[q] for q in dict(order)[v])])]
+    u = lambda *key: int(hashlib.md5("|".join(key).encode()).hexdigest()[:8], 16) / 2**32
+    ids = spark.createDataFrame([("m", str(i)) for i in range(25)], "model_id string, sample_key string")
+    want = {}
+    for i in range(25):
+        state = {}
+        for v, _ in order:
+            cumulative, state[v] = 0.0, None
+            for x, p in row(v, state):
+                cumulative += p
+                state[v] = x if state[v] is None and cumulative > u("0", str(i), v) else state[v]
+            if v == "B_0":
+                state[v] = "b1"
+        for sweep in range(2):
+            for v in ("A_0", "A_1", "B_1"):
+                weights = []
+                for x, p in row(v, state):
+                    other = state | {v: x}
+                    weights.append((x, p * np.prod([dict(row(c, other))[state[c]] for c, theirs in order if v in theirs])))
+                goal, s, new = sum(w for _, w in weights) * u("0", str(i), v, str(sweep)), 0.0, None
+                for x, w in weights:
+                    s += w
+                    new = x if new is None and s > goal else new
+                state[v] = new or state[v]
+        want[str(i)] = tuple(state[v] for v, _ in order)
+    got = sampling.gibbs(t, ids, order, 2, {"B_0": "b1"})
+    assert {r.sample_key: tuple(r[v] for v, _ in order) for r in got.collect()} == want
+    some, others = (sorted(map(tuple, sampling.ancestral(t, ids, order, most_rows=n).select("sample_key", *dict(order)).collect())) for n in (100_000, 0))
+    assert some == others
+
+
+def test_model_files_and_factor_errors(spark, tmp_path):
+    from specloom.operators import factors
+    from specloom.sources import tables
+
+    t, v = worked(spark)
+    tables.write_model_files(v, f"file://{tmp_path}/models")
+    read = tables.read_model_files(spark, f"file://{tmp_path}/models")
+    assert sorted((r.src, r.dst) for r in tables.skeleton(read)[1].collect()) == [("A_0", "A_1"), ("A_0", "B_1"), ("B_0", "B_1")]
+    assert {r.vertex: (r.vals, r.parents, r.children) for r in tables.node_data(read).collect()}["A_0"] == (["a0", "a1"], [], ["A_1", "B_1"])
+    assert [r.vertex for r in tables.ordered_skeleton(read, 3).orderBy("place").collect()] == ["A_0", "B_0", "A_1", "B_1"]
+    with pytest.raises(ValueError, match="no value"):
+        factors.reduce(factors.factor(t, "A_1", ["A_0"]), "A_0", "nothing")
+
+
 def test_every_query_of_the_miners_has_rows(spark, sf_dir):
     assert catalog.QUERIES["spec_height_hist"](spark, sf_dir).where("miner = 'invariants'").count() > 0
     assert catalog.QUERIES["specs_by_removed_edges"](spark, sf_dir).count() == 16
