@@ -559,7 +559,7 @@ def clustered(encoded: DataFrame, words: DataFrame, seeds: Seeds, of_seeds: np.n
     return kinds, pairs
 
 
-def score_texts(docs: DataFrame, share: int = 4096, classes: int = 24, rounds: int = 3, batch_bytes: int = 12 << 20, per_part: int = 1 << 18) -> DataFrame:
+def score_texts(docs: DataFrame, share: int = 4096, classes: int = 24, rounds: int = 3, batch_bytes: int = 9 << 20, per_part: int = 1 << 18) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of rows (doc_id, text, held_out). ``classes`` is the least
     number of classes: it is the cube root of the number of training words where that is more."""
     spark = docs.sparkSession
