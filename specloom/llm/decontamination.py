@@ -12,7 +12,9 @@ size, so the sketch is of the item alone:
 3. Candidates are verified on the shingles themselves, all of the item's against all of the document's.
 
 The sketch table grows with the benchmark, not the corpus. It is broadcast while it has at most ``broadcast_rows`` values
-(16 bytes each); beyond that both sides are shuffled by hash. Same for the items at verification.
+(16 bytes each); beyond that both sides are shuffled by hash. The items' shingles at verification are broadcast while their texts, once for each word
+of a shingle, have at most ``broadcast_bytes``; beyond that candidates are shuffled by item. In shuffles a common shingle or item is a plain
+equi-join's key, which Spark splits where it is skewed.
 
 Defined cases: null and empty texts and items match nothing; a text of fewer words than a shingle is one shingle, so a shorter
 item is found only as a whole text; repeated rows give their pair once; null ids are reported as null; other columns, and
@@ -58,19 +60,20 @@ def sketches(items: DataFrame, width: int, percent: int) -> DataFrame:
     return i.select("item", F.ceil(F.col("low") * percent / 100).alias("least"), F.explode(F.slice("h", F.lit(1), F.least(F.col("n").cast("int"), F.size("h")))).alias("hash"))
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 75, broadcast_rows: int = 1_000_000) -> DataFrame:
+def contained(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 75, broadcast_rows: int = 1_000_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Rows (doc_id, item_id, n_item, n_shared, containment): items contained in documents. Its ``doc_key`` tells rows apart."""
     items = settle(benchmark.select("item_id", F.col("text").alias("item_text")).distinct().withColumn("item", _row_key("item_id", "item_text")), "items")
     sketch = settle(sketches(items, width, percent), "sketches")
     texts = docs.select("doc_id", "text").withColumn("doc_key", _row_key("doc_id", "text"))
 
     small = sketch.count() <= broadcast_rows
+    light = (items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0) * width <= broadcast_bytes
     hashed = texts.select("doc_key", _hashes(F.col("text"), width).alias("h"))
     looked = hashed.select("doc_key", F.size("h").alias("size"), F.explode("h").alias("hash")).join(F.broadcast(sketch) if small else sketch, "hash")
     candidates = settle(looked.where("size >= least").select("doc_key", "item").distinct(), "candidates")
 
     strings = items.select("item", "item_id", _strings(F.col("item_text"), width).alias("wanted"))
-    pairs = texts.join(candidates, "doc_key").join(F.broadcast(strings) if small else strings, "item")
+    pairs = texts.join(candidates, "doc_key").join(F.broadcast(strings) if light else strings, "item")
     pairs = pairs.withColumn("n_item", F.size("wanted").cast("long")).withColumn("n_shared", F.size(F.array_intersect("wanted", _strings(F.col("text"), width))).cast("long"))
     pairs = pairs.where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     return pairs.select("doc_key", "doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment")).distinct()

@@ -22,7 +22,7 @@ def test_short_items_in_long_documents(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {(d, i, len(shingles(t)), len(shingles(t) & shingles(x))) for d, x in rows for i, t in items if shingles(t) and 100 * len(shingles(t) & shingles(x)) >= 75 * len(shingles(t))}
     for most in (1_000_000, 0):  # broadcast, and shuffled
-        got = decontamination.contained(docs, bench, broadcast_rows=most)
+        got = decontamination.contained(docs, bench, broadcast_rows=most, broadcast_bytes=most)
         assert sorted([tuple(r)[1:5] for r in got.collect()], key=str) == sorted(want, key=str)
     assert {r.doc_id for r in decontamination.decontaminate(docs, bench).collect()} == {1, 5}
 
