@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from specloom import catalog, catalog_mining
+from specloom import catalog_mining
 from specloom.operators import logic as lg
 from specloom.operators import matching, network, patterns, paths
 from specloom.operators.patterns import GROUP, LETTER, OPTION, letters, linear_formula, merged
@@ -353,8 +353,3 @@ def test_model_files_and_factor_errors(spark, tmp_path):
     assert [r.vertex for r in tables.ordered_skeleton(read, 3).orderBy("place").collect()] == ["A_0", "B_0", "A_1", "B_1"]
     with pytest.raises(ValueError, match="no value"):
         factors.reduce(factors.factor(t, "A_1", ["A_0"]), "A_0", "nothing")
-
-
-def test_every_query_of_the_miners_has_rows(spark, sf_dir):
-    assert catalog.QUERIES["spec_height_hist"](spark, sf_dir).where("miner = 'invariants'").count() > 0
-    assert catalog.QUERIES["specs_by_removed_edges"](spark, sf_dir).count() == 16
