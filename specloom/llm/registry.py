@@ -1,8 +1,21 @@
-"""Queries of this subpackage, one per operator, and the SQL of those that SQL can express."""
+"""Queries of this subpackage, one per operator, and the SQL of those that SQL can express. Two more queries show the parts of operators 5 and 6
+that SQL can express."""
 
 from __future__ import annotations
 
-from . import ann, class_lm, decontamination, language, mixing, near_dedup, quality, suffix_dedup, token_counts, warc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import ann, class_lm, decontamination, language, mixing, near_dedup, oracles, quality, suffix_dedup, token_counts, warc
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op5_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def class_lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.op6_class_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,5 +28,14 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_ann": ann.op9_ann,
     "op10_token_counts": token_counts.op10_token_counts,
+    "mixing_targets": mixing_targets,
+    "class_lm_base": class_lm_base,
+}
+ORACLES = {
+    "op1_decontamination": decontamination.ORACLE,
+    "op2_warc": warc.ORACLE,
+    "op4_near_dedup": oracles.NEAR_DEDUP,
+    "op8_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "mixing_targets": oracles.MIXING_TARGETS,
+    "class_lm_base": oracles.CLASS_LM_BASE,
 }
-ORACLES = {"op1_decontamination": decontamination.ORACLE, "op2_warc": warc.ORACLE}
