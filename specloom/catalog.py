@@ -339,17 +339,22 @@ path AS MATERIALIZED (SELECT model_id, tokens, signals, w / n AS metric FROM wal
 num AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY model_id ORDER BY round(metric, 12), array_to_string(tokens, ',')) - 1)::INT AS path_id FROM path)"""
 
 
-def _paths(spark, sf_dir, min_signals=1):
+def _learned(spark, sf_dir):
+    """The networks: their tables and their vertices."""
     c = checkpointed(counts(spark, sf_dir))
-    t, v = checkpointed(nw.learned(c)), nw.vertices(c)
+    return checkpointed(nw.learned(c)), checkpointed(nw.vertices(c))
+
+
+def _paths(spark, sf_dir, min_signals=1, networks=None):
+    t, v = networks or _learned(spark, sf_dir)
     states = v.select("model_id", F.col("vertex").alias("v"), F.explode("vals").alias("val"))
     w = nw.edge_weights(t, nw.marginals(t, LENGTH))
     return pt.below(w, nw.boundary_edges(v), states, THETA, LENGTH - 1, 2, min_signals)
 
 
-def _numbered(spark, sf_dir):
+def _numbered(spark, sf_dir, networks=None):
     order = Window.partitionBy("model_id").orderBy(F.round("metric", 12), joined("tokens"))
-    return checkpointed(_paths(spark, sf_dir).select("model_id", "nodes", "tokens", "metric", (F.row_number().over(order) - 1).alias("path_id")))
+    return checkpointed(_paths(spark, sf_dir, networks=networks).select("model_id", "nodes", "tokens", "metric", (F.row_number().over(order) - 1).alias("path_id")))
 
 
 @query("paths_threshold", f"WITH RECURSIVE {PATHS} SELECT model_id, array_to_string(tokens, ',') AS tokens, round(metric, 9) AS metric FROM path")
@@ -673,7 +678,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pattern_merge")
 def _(spark, sf_dir):
     """Accepted paths merged with the others by distance until the acceptance rules end it; depends on order, so there is no SQL (tests compare worked cases)."""
-    return mining.patterns_of_paths(mining.flagged(_numbered(spark, sf_dir), patterns.edge_flags(nw.vertices(counts(spark, sf_dir)))))
+    networks = _learned(spark, sf_dir)
+    return mining.patterns_of_paths(checkpointed(mining.flagged(_numbered(spark, sf_dir, networks), patterns.edge_flags(networks[1]))))
 
 
 @query("stream_window_counts", "WITH h AS (SELECT date_trunc('hour', ts) AS w, event_type, ts FROM events) SELECT w AS \"start\", event_type, count(*) AS n FROM h WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY w, event_type")

@@ -297,9 +297,8 @@ def _(spark, sf_dir):
 def _mined(spark: SparkSession, sf_dir: str, thetas: tuple[float, ...] = (c.THETA,), shares: tuple[float, ...] = (REMOVED,)) -> tuple[DataFrame, DataFrame]:
     """Attempts of every network and threshold (model_id: network@theta), and for each share of removed cross edges the networks that judge them
     (model_id: network@theta/share), in one job. Paths above the lowest threshold are found once and filtered for the others."""
-    counts = checkpointed(c.counts(spark, sf_dir))
-    t, v = checkpointed(nw.learned(counts)), checkpointed(nw.vertices(counts))
-    paths = mining.flagged(c._numbered(spark, sf_dir), patterns.edge_flags(v))
+    t, v = networks = c._learned(spark, sf_dir)
+    paths = mining.flagged(c._numbered(spark, sf_dir, networks), patterns.edge_flags(v))
     at = lambda x: F.format_string("%s@%.2f", "model_id", x)
     each = paths.withColumn("theta", F.explode(F.array(*map(F.lit, thetas)))).where("metric <= 1 - theta")
     found = mining.attempts(checkpointed(each.withColumn("model_id", at("theta")).drop("nodes")))
