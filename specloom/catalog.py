@@ -671,8 +671,8 @@ def _(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns the networks of ``events`` and lists the state paths above the threshold."""
-    return QUERIES["paths_threshold"](spark, sf_dir)
+    """Learns the networks of ``events``, finds their state paths above the threshold, and mines specifications that hold in the networks without some edges."""
+    return QUERIES["cb_specs"](spark, sf_dir)
 
 
 @query("pattern_merge")

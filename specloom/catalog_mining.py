@@ -12,7 +12,7 @@ from .operators import network as nw
 from .operators import sampling as sm
 from .operators import traces as tr
 from .plans import mining
-from .sources.tables import checkpointed, node_data, ordered_skeleton, read, read_model_files, skeleton, work_path, write_model_files
+from .sources.tables import checkpointed, node_data, ordered_skeleton, read, read_model_files, skeleton, work_path, write_model_files, write_specs
 
 query, LEARN, LENGTH, MODELS, CUT = c.query, c.LEARN, c.LENGTH, c.MODELS, c.CUT
 REMOVED = 0.25
@@ -341,6 +341,16 @@ def _(spark, sf_dir):
     return specs.select("model_id", "path_id", F.round("probability", 9).alias("probability"), "ltl", "height", "leaves", "names", "n_merged", "loose")
 
 
+@query("spec_lines")
+def _(spark, sf_dir):
+    """Specifications of both miners as lines of text, written and read back."""
+    found, judges = _mined(spark, sf_dir)
+    both = _judged(found, judges).union(mining.metric_based(found)).where("ltl IS NOT NULL")
+    path = work_path(spark)
+    write_specs(both, path)
+    return spark.read.text(path)
+
+
 @query("spec_height_hist")
 def _(spark, sf_dir):
     """How many specifications of each miner have which height and number of different names, beside the fixed sizes of the invariants."""
