@@ -67,6 +67,37 @@ def _(spark, sf_dir):
     return nw.structural_boundary(nw.edges(v), v.select("model_id", "vertex"))
 
 
+_GAPS = f"{c._CHAIN}, e AS (SELECT model_id, s || '_' || k AS src, s || '_' || (k + 1) AS dst FROM m, s, k WHERE k < {LENGTH - 1} UNION ALL SELECT model_id, 'E_' || k, 'V_' || (k + 1) FROM m, k WHERE k < {LENGTH - 1})"
+
+
+@query("gap_edges", f"{_GAPS} SELECT * FROM e UNION ALL SELECT model_id, src, 'dL_' || dst FROM e UNION ALL SELECT DISTINCT model_id, dst, 'dL_' || dst FROM e")
+def _(spark, sf_dir):
+    return nw.with_gaps(nw.edges(nw.vertices(c.counts(spark, sf_dir))))
+
+
+@query("value_edges", f"{_GAPS} SELECT * FROM e")
+def _(spark, sf_dir):
+    return nw.without_gaps(nw.with_gaps(nw.edges(nw.vertices(c.counts(spark, sf_dir)))))
+
+
+@query(
+    "reachable_without_removed",
+    f"WITH RECURSIVE {LEARN}, {c.MARGINALS}, stay AS (SELECT DISTINCT model_id, signal || '_' || k AS vertex FROM marg WHERE p >= 0.22), ed AS (SELECT model_id, signal || '_' || (k - 1) AS src, vertex AS dst FROM vert WHERE k > 0 UNION SELECT model_id, 'E_' || (k - 1), vertex FROM vert WHERE k > 0 AND signal = 'V'),"
+    " r AS (SELECT DISTINCT model_id, 'E_0' AS vertex FROM vert UNION SELECT r.model_id, ed.dst FROM r JOIN ed ON ed.model_id = r.model_id AND ed.src = r.vertex JOIN stay ON stay.model_id = ed.model_id AND stay.vertex = ed.dst) SELECT model_id, vertex FROM r",
+)
+def _(spark, sf_dir):
+    """What the first event leads to, leaving out values with less than 22 %."""
+    t, v = c._learned(spark, sf_dir)
+    m = nw.marginals(t, LENGTH)
+    seeds = v.where("vertex = 'E_0'").select("model_id", "vertex")
+    return nw.reachable_states(nw.edges(v), v, seeds, m.where("p < 0.22").select("model_id", "vertex", "outcome"))
+
+
+@query("invariant_false_positives_first", f"WITH {c.FOUND} SELECT kind, count(*) AS n, count(*) FILTER (CASE kind WHEN 'not_followed' THEN substr(a, 1, 1) <> substr(a, 2, 1) ELSE substr(a, 1, 2) <> substr(b, 1, 2) END) AS n_false FROM found GROUP BY kind")
+def _(spark, sf_dir):
+    return tr.false_positives(c._found(spark, sf_dir), first_only=True)
+
+
 # ---- sampling
 
 _EVIDENCE = {"V_1": "hi"}

@@ -135,6 +135,30 @@ def with_edges(e: DataFrame, new: DataFrame) -> DataFrame:
     return n.select("model_id", "src", F.when(F.col("n") > 1, fail).otherwise(F.col("dst")).alias("dst"))
 
 
+def with_gaps(e: DataFrame) -> DataFrame:
+    """Edges with a vertex dL_v for each vertex v that has parents: from v and from each of its parents."""
+    gap = F.concat(F.lit("dL_"), "dst")
+    return e.select("model_id", "src", "dst").union(e.select("model_id", "src", gap)).union(e.select("model_id", F.col("dst").alias("src"), gap).distinct())
+
+
+def without_gaps(e: DataFrame) -> DataFrame:
+    """Edges between vertices that are no gaps; vertices without any other edge vanish with theirs."""
+    return e.where(~F.col("src").startswith("dL_") & ~F.col("dst").startswith("dL_"))
+
+
+def reachable_states(e: DataFrame, v: DataFrame, seeds: DataFrame, removed: DataFrame) -> DataFrame:
+    """Vertices (model_id, vertex) that can be reached from ``seeds``, not through vertices all of whose values are among the ``removed`` (model_id,
+    vertex, outcome)."""
+    from .graphs import reachable
+
+    left = v.select("model_id", "vertex", F.explode("vals").alias("outcome")).join(removed, ["model_id", "vertex", "outcome"], "left_anti").select("model_id", "vertex").distinct()
+    open_ = e.join(left.withColumnRenamed("vertex", "dst"), ["model_id", "dst"], "left_semi")
+    node = lambda c: F.concat_ws("/", "model_id", c)
+    found = reachable(open_.select(node("src").alias("src"), node("dst").alias("dst")), seeds.select(node("vertex").alias("node")))
+    at = F.split("node", "/", 2)
+    return found.select(at[0].alias("model_id"), at[1].alias("vertex"))
+
+
 def neighbours(e: DataFrame) -> DataFrame:
     """Rows (model_id, vertex, parents, children) of edges, each sorted."""
     up = e.groupBy("model_id", F.col("dst").alias("vertex")).agg(F.array_sort(F.collect_set("src")).alias("parents"))

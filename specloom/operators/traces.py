@@ -82,9 +82,12 @@ def invariant_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("kind").agg(F.count("*").alias("n")).select("kind", size(0).alias("height"), size(1).alias("leaves"), "n")
 
 
-def false_positives(found: DataFrame) -> DataFrame:
-    """Rows (kind, n, n_false): invariants between tokens of different origin, which their first two characters tell."""
+def false_positives(found: DataFrame, first_only: bool = False) -> DataFrame:
+    """Rows (kind, n, n_false): invariants between tokens of different origin, which their first two characters tell. ``first_only``: pairs that
+    never follow count as false if the first two characters of their first token differ from each other."""
     differ = F.substring("a", 1, 2) != F.substring("b", 1, 2)
+    if first_only:
+        differ = F.when(F.col("kind") == "not_followed", F.substring("a", 1, 1) != F.substring("a", 2, 1)).otherwise(differ)
     return found.groupBy("kind").agg(F.count("*").alias("n"), F.count(F.when(differ, 1)).alias("n_false"))
 
 
