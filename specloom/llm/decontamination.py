@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, lower_ascii, settle, table, words
+from .common import lower_ascii, settle, table, words
 
 
 def _shingles(text: Column, width: int, make) -> Column:

@@ -1,7 +1,10 @@
 import itertools
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from specloom.llm import common, decontamination, language, quality
 from tests.oracle import same
@@ -82,6 +85,27 @@ def test_quality_of_held_out_documents(spark, sf_dir):
     assert np.mean([r.predicted == labels[r.doc_id] for r in got if r.held_out and r.doc_id in labels]) > 0.9
 
 
+def test_quality_features_equal_plain_counts():
+    texts = ["The cat, the CAT sat.\nThe cat, the CAT sat.\n", "a a a b", "Été 42!! NASA x_y", "", "  \n ", "one"]
+
+    def plain(t):
+        raw, words, lines = t.encode(), re.findall(r"[^\x20\x09-\x0D]+", t), t.split("\n")
+        low = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words]
+        n, share = max(len(words), 1), lambda test: sum(map(test, raw)) / max(len(raw), 1)
+        most = lambda x: max(Counter(x).values(), default=0)
+        return {
+            "log_bytes": np.log1p(len(raw)), "log_words": np.log1p(len(words)), "word_length": sum(len(w.encode()) for w in words) / n, "upper": share(lambda b: 65 <= b <= 90), "lower": share(lambda b: 97 <= b <= 122),
+            "digit": share(lambda b: 48 <= b <= 57), "beyond_ascii": share(lambda b: b > 127), "line_ends": share(lambda b: b == 10), "distinct_words": len(set(low)) / n, "top_word": most(low) / n,
+            "same_as_before": sum(a == b for a, b in itertools.pairwise(low)) / n, "short_words": sum(len(w.encode()) <= 3 for w in words) / n, "capital_words": sum(bool(re.match("[A-Z]{2,}", w)) and len(w.encode()) > 2 for w in words) / n,
+            "top_line": most(lines) / len(lines) * (len(lines) > 1), "distinct_bigrams": len(set(itertools.pairwise(low))) / n, "words_per_line": len(words) / len(lines),
+        }
+
+    got = quality.features(pa.array(texts))
+    for row, t in zip(got, texts, strict=True):
+        for name, value in plain(t).items():
+            assert row[quality.FEATURES.index(name)] == pytest.approx(value if t else 0), (t, name)
+
+
 def test_quality_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
