@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, class_lm, decontamination, filter_audit, language, mixing, near_dedup, oracles, quality, suffix_dedup, token_counts, warc
+from . import ann, class_lm, decontamination, filter_audit, language, mixing, near_dedup, oracles, prefix_trie, quality, suffix_dedup, token_counts, warc
 
 
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_ann": ann.op9_ann,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "mixing_targets": mixing_targets,
     "class_lm_base": class_lm_base,
@@ -37,6 +38,7 @@ ORACLES = {
     "op2_warc": warc.ORACLE,
     "op4_near_dedup": oracles.NEAR_DEDUP,
     "op8_suffix_dedup": oracles.SUFFIX_DEDUP,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
     "mixing_targets": oracles.MIXING_TARGETS,
     "class_lm_base": oracles.CLASS_LM_BASE,
