@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, class_lm, decontamination, filter_audit, language, mixing, near_dedup, oracles, prefix_trie, quality, suffix_dedup, token_counts, warc
+from . import ann, class_lm, decontamination, filter_audit, html_text, language, mixing, near_dedup, oracles, prefix_trie, quality, suffix_dedup, token_counts, warc
 
 
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,7 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_html_text": html_text.op13_html_text,
     "mixing_targets": mixing_targets,
     "class_lm_base": class_lm_base,
 }
