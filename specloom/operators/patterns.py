@@ -7,6 +7,8 @@ aligns a sequence with the pattern by edit distance, where a token is free if th
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,32 +161,23 @@ def as_ctl(symbols: Column) -> Column:
     return F.when(F.size(fixed) >= 2, F.aggregate(upto, F.lit(""), step))
 
 
-class NoPremise(ValueError):
-    """The alternatives of a pattern repeat so far into it that nothing is left to conclude."""
+def _conclusion_after(symbols: list[dict], fixed: list[int]) -> int | None:
+    """The place of the premise's last symbol; None if all of the pattern would be premise. ``fixed``: places of symbols that aren't options.
 
-
-def _premise_end(symbols: list[dict], last: int) -> int:
-    """Where the premise ends: if a later symbol can be mistaken for the first one, as far as the pattern goes along with itself from there."""
-
-    def solid(i: int) -> int:
-        while symbols[i]["kind"] == OPTION:
-            i += 1
-        return i
-
-    def along(i: int, j: int) -> int:
-        if j > last:
-            return i
-        i = solid(i)
-        passed = along(i, j + 1) if symbols[j]["kind"] == OPTION else 0
-        while j <= last and set(symbols[i]["tokens"]) & set(symbols[j]["tokens"]):
-            i, j = i + 1, j + 1
-            if i >= last or (i := solid(i)) >= last:
-                raise NoPremise
-        return max(i, passed)
-
-    repeats = [k for k in range(1, last + 1) if set(symbols[0]["tokens"]) & set(symbols[k]["tokens"])]
-    fixed = next(i for i, s in enumerate(symbols) if s["kind"] != OPTION)
-    return max([0, *(along(1, k + 1) for k in repeats if k > fixed)])
+    The first symbol alone is the premise, unless a later symbol shares a token with it: then an observer can't tell where the pattern began, and
+    the premise grows by as many fixed symbols as the part behind that later symbol has in common with the pattern's own beginning. Options behind
+    it may be left out, so the common part may start at each of them and at the fixed symbol after them; the longest counts.
+    """
+    shared = [[not set(a["tokens"]).isdisjoint(b["tokens"]) for b in symbols] for a in symbols]
+    again = [k for k in range(fixed[0] + 1, fixed[-1] + 1) if shared[0][k]]
+    if not again:
+        return 0
+    behind = {j for k in again for j in range(k + 1, next((i + 1 for i in fixed if i > k), 0))}
+    if not behind:  # the pattern's last symbol is the only one
+        return 1
+    second = next(n for n, i in enumerate(fixed) if i)
+    common = max(sum(1 for _ in takewhile(lambda pair: shared[pair[0]][pair[1]], zip(fixed[second:], range(j, fixed[-1] + 1), strict=False))) for j in behind)
+    return fixed[second + common] if second + common < len(fixed) - 1 else None
 
 
 def _any_of(symbol: dict):
@@ -201,12 +194,8 @@ def linear_formula(symbols: list[dict]):
     fixed = [i for i, s in enumerate(symbols) if s["kind"] != OPTION]
     if len(fixed) < 2:
         return None
-    last = fixed[-1]
-    try:
-        end = _premise_end(symbols, last)
-    except NoPremise:
-        return None
-    if end >= last:
+    last, end = fixed[-1], _conclusion_after(symbols, fixed)
+    if end is None or end >= last:
         return None
     soon = lambda f, now: ("X", f) if now else ("X", ("F", f))
     # From the end: what follows each fixed symbol, with the options before it folded in.
@@ -225,10 +214,9 @@ def linear_formula(symbols: list[dict]):
             for i in reversed(range(start, k)):
                 body = ("U", _any_of(symbols[i]), body)
         rest, k = soon(body, now), options - 1
-    premise = [s for s in symbols[: end + 1] if s["kind"] != OPTION]
-    for place, s in enumerate(reversed(premise)):
-        rest = ("imply", _any_of(s), rest if place == 0 else ("X", ("G", rest)))
-    return ("G", rest)
+    *before, tail = [None, *(_any_of(symbols[i]) for i in fixed if i <= end)]
+    claim = rest if tail is None else ("imply", tail, rest)
+    return ("G", reduce(lambda then, name: ("imply", name, ("X", ("G", then))), before[:0:-1], claim))
 
 
 def formula_height(f, with_names: bool = True) -> int:

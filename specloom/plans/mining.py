@@ -102,12 +102,8 @@ def _kept(found: DataFrame, accept) -> DataFrame:
                 if verdict is None:
                     continue
                 if verdict:
-                    formula, failed = None, False
-                    try:
-                        formula = patterns.linear_formula(r["symbols"])
-                    except IndexError:  # the premise runs off the pattern's end
-                        failed = True
-                    if not failed and (formula is not None or r["null_too"]):
+                    formula = patterns.linear_formula(r["symbols"])
+                    if formula is not None or r["null_too"]:
                         size = patterns.formula_size(formula) if formula is not None else (None, None, None)
                         specs = [s for s in specs if not members <= s[0]]
                         specs.append((members, (r["model_id"], path_id, r["probability"], None if formula is None else text(formula), *size, len(members), r["strings"] > len(members))))
