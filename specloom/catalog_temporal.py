@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import catalog as c
+from .operators import cliques as cl
 from .operators import gaussian as ga
+from .operators import network as nw
+from .operators import paths as pt
 from .operators import temporal as tm
-from .operators import traces as tr
 from .sources.tables import checkpointed, read
 
 query = c.query
@@ -102,3 +103,69 @@ def _(spark, sf_dir):
     """The vertex with its parameters cleared."""
     f = ga.cleared(ga.fit(_gaps(spark, sf_dir), ["event_type"], "gap", ["value"]))
     return f.select("event_type", "n", "mean_base", F.col("mean_scal")[0].alias("slope"), "variance")
+
+
+# ---- the best paths of each network
+
+K = 10
+
+
+def _k_best(spark, sf_dir, k, by_length=False):
+    t, v = c._learned(spark, sf_dir)
+    states = v.select("model_id", F.col("vertex").alias("v"), F.explode("vals").alias("val"))
+    return pt.k_best(nw.edge_weights(t, nw.marginals(t, c.LENGTH)), nw.boundary_edges(v), states, c.LENGTH - 1, k, by_length)
+
+
+_TOKENS = F.array_join(F.transform("nodes", lambda x: F.concat(nw.signal_of(x["v"]), F.lit(":"), x["val"])), ",").alias("tokens")
+_WALKED = f"all_paths AS (SELECT model_id, n, array_to_string(tokens, ',') AS tokens, w / n AS metric FROM walk WHERE k = {c.LENGTH - 1})"
+
+
+@query("paths_k_best", f"WITH RECURSIVE {c.PATHS}, {_WALKED} SELECT model_id, (row_number() OVER (PARTITION BY model_id ORDER BY round(metric, 12), tokens))::INT AS place, tokens, round(metric, 9) AS metric FROM all_paths QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY round(metric, 12), tokens) <= {K}")
+def _(spark, sf_dir):
+    """The ten paths of least mean weight in each network."""
+    return _k_best(spark, sf_dir, K).select("model_id", "place", _TOKENS, F.round("metric", 9).alias("metric"))
+
+
+@query("best_path_nodes", f"WITH RECURSIVE {c.PATHS}, b AS (SELECT model_id, n, arg_min(tokens, round(w / n, 12)) AS tokens, round(min(w / n), 9) AS metric FROM walk WHERE k = {c.LENGTH - 1} GROUP BY ALL) SELECT model_id, n AS n_edges, (i - 1)::INT AS place, tokens[i] AS token, metric FROM b, unnest(range(1, n + 2)) u(i)")
+def _(spark, sf_dir):
+    """The states of each network's best path, by its number of edges."""
+    best = _k_best(spark, sf_dir, 1, by_length=True)
+    rows = best.select("model_id", "n_edges", F.round("metric", 9).alias("metric"), F.posexplode("nodes").alias("place", "x"))
+    return rows.select("model_id", "n_edges", "place", F.concat(nw.signal_of(F.col("x.v")), F.lit(":"), F.col("x.val")).alias("token"), "metric")
+
+
+# ---- exact inference
+
+_JOINT = ["j0 AS MATERIALIZED (SELECT e.model_id, 0 AS k, e.outcome AS e, v.outcome AS v, e.p * v.p AS p FROM cpt e JOIN cpt v ON v.model_id = e.model_id AND e.vertex = 'E_0' AND v.vertex = 'V_0')"]
+for _k in range(1, c.LENGTH):
+    _JOINT.append(f"j{_k} AS MATERIALIZED (SELECT j.model_id, {_k} AS k, e.outcome AS e, v.outcome AS v, sum(j.p * e.p * v.p) AS p FROM j{_k - 1} j JOIN cpt e ON e.model_id = j.model_id AND e.vertex = 'E_{_k}' AND e.pv[1] = j.e JOIN cpt v ON v.model_id = j.model_id AND v.vertex = 'V_{_k}' AND v.pv[1] = j.v AND v.pv[2] = j.e GROUP BY ALL)")
+_EXACT = ", ".join(_JOINT) + ", joint AS (" + " UNION ALL ".join(f"SELECT * FROM j{k}" for k in range(c.LENGTH)) + "), exact AS MATERIALIZED (SELECT model_id, 'E' AS signal, k, e AS outcome, sum(p) AS p FROM joint GROUP BY ALL UNION ALL SELECT model_id, 'V', k, v, sum(p) FROM joint GROUP BY ALL)"
+
+
+@query("marginals_exact", f"WITH {c.LEARN}, {_EXACT} SELECT model_id, signal || '_' || k AS vertex, outcome, round(p, 9) AS p FROM exact")
+def _(spark, sf_dir):
+    """Chances of all values of all vertices, whatever their parents have in common."""
+    return cl.exact_marginals(*c._learned(spark, sf_dir)).select("model_id", "vertex", "outcome", F.round("p", 9).alias("p"))
+
+
+@query(
+    "marginals_given",
+    f"WITH {c.LEARN}, j AS (SELECT a.model_id, a.outcome AS e0, b.outcome AS v0, c.outcome AS e1, d.outcome AS v1, a.p * b.p * c.p * d.p AS p FROM cpt a JOIN cpt b ON b.model_id = a.model_id AND a.vertex = 'E_0' AND b.vertex = 'V_0' JOIN cpt c ON c.model_id = a.model_id AND c.vertex = 'E_1' AND c.pv[1] = a.outcome JOIN cpt d ON d.model_id = a.model_id AND d.vertex = 'V_1' AND d.pv[1] = b.outcome AND d.pv[2] = a.outcome),"
+    " x AS (SELECT j.model_id, e0, v0, e1, sum(j.p * v.p) AS p FROM j JOIN cpt v ON v.model_id = j.model_id AND v.vertex = 'V_2' AND v.pv[1] = j.v1 AND v.pv[2] = j.e1 WHERE v.outcome = 'hi' GROUP BY ALL),"
+    " u AS (SELECT model_id, 'E_0' AS vertex, e0 AS outcome, sum(p) AS p FROM x GROUP BY ALL UNION ALL SELECT model_id, 'V_0', v0, sum(p) FROM x GROUP BY ALL UNION ALL SELECT model_id, 'E_1', e1, sum(p) FROM x GROUP BY ALL)"
+    " SELECT model_id, vertex, outcome, round(p / sum(p) OVER (PARTITION BY model_id, vertex), 9) AS p FROM u",
+)
+def _(spark, sf_dir):
+    """Chances of what came before, given that the third value is high."""
+    t, v = c._learned(spark, sf_dir)
+    seen = v.select("model_id").distinct().select("model_id", F.lit("V_2").alias("vertex"), F.lit("hi").alias("outcome"))
+    return cl.exact_marginals(t, v, seen).where(F.col("vertex").isin("E_0", "V_0", "E_1")).select("model_id", "vertex", "outcome", F.round("p", 9).alias("p"))
+
+
+@query("marginals_difference", f"WITH {c.LEARN}, {c.MARGINALS}, {_EXACT} SELECT x.model_id, x.signal || '_' || x.k AS vertex, round(max(abs(x.p - m.p)), 9) AS difference FROM exact x JOIN marg m ON m.model_id = x.model_id AND m.signal = x.signal AND m.k = x.k AND m.outcome = x.outcome GROUP BY ALL")
+def _(spark, sf_dir):
+    """How far the marginals of independent parents are from the exact ones."""
+    t, v = c._learned(spark, sf_dir)
+    plain = nw.marginals(t, c.LENGTH).withColumnRenamed("p", "q")
+    both = cl.exact_marginals(t, v).join(plain, ["model_id", "vertex", "outcome"])
+    return both.groupBy("model_id", "vertex").agg(F.round(F.max(F.abs(F.col("p") - F.col("q"))), 9).alias("difference"))
