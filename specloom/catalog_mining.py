@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -334,14 +336,15 @@ def _mined(spark: SparkSession, sf_dir: str, thetas: tuple[float, ...] = (c.THET
     each = paths.withColumn("theta", F.explode(F.array(*map(F.lit, thetas)))).where("metric <= 1 - theta")
     found = mining.attempts(checkpointed(each.withColumn("model_id", at("theta")).drop("nodes")))
     found = checkpointed(found.withColumn("theta", F.element_at(F.split("model_id", "@"), 2).cast("double")))
-    judges = None
     cross = nw.cross_edges(nw.edges(v))
-    for share in shares:
-        gone = nw.chosen_edges(cross, share=share)
-        one = mining.judge(checkpointed(nw.without_edges(t, gone)), nw.reduced(v, gone), LENGTH).withColumn("share", F.lit(share))
-        judges = one if judges is None else judges.union(one)
-    judges = judges.withColumn("theta", F.explode(F.array(*map(F.lit, thetas)))).withColumn("model_id", at("theta"))
-    judges = checkpointed(judges.withColumn("model_id", F.format_string("%s/%.2f", "model_id", "share")).drop("theta"))
+    of = lambda x: F.format_string("%s/%.2f", "model_id", x)
+    gone = reduce(DataFrame.union, [nw.chosen_edges(cross, share=x).withColumn("model_id", of(F.lit(x))) for x in shares])
+    every = lambda df: df.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("model_id", of(F.col("share"))).drop("share")
+    gone = checkpointed(gone)
+    judges = mining.judge(checkpointed(nw.without_edges(every(t), gone)), nw.reduced(every(v), gone), LENGTH)
+    named = F.concat(at("theta"), F.lit("/"), F.element_at("id", 2))
+    judges = judges.withColumn("theta", F.explode(F.array(*map(F.lit, thetas)))).withColumn("id", F.split("model_id", "/")).withColumn("model_id", F.element_at("id", 1))
+    judges = checkpointed(judges.withColumn("model_id", named).drop("theta", "id"))
     return found, judges
 
 

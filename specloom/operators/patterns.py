@@ -85,6 +85,14 @@ def acceptance(pattern: list[dict]) -> tuple[bool, int]:
     return ratio >= 0.5 and strings <= 2.5**half, by_metric
 
 
+def extended(pattern: list[dict] | None, tokens: list[str], xable: list[bool], compared: bool, by_metric: int) -> tuple[list[dict], bool, int]:
+    """A pattern with one more sequence, and what the acceptance rules say then: ``compared`` until the comparison refuses a pattern, ``by_metric`` the first verdict
+    of the metrics. A run is over when both have ended it."""
+    pattern = letters(tokens, xable) if pattern is None else merged(pattern, tokens, xable)
+    now = acceptance(pattern)
+    return pattern, compared and now[0], by_metric or now[1]
+
+
 def merge_runs(sequences: DataFrame, most: int | None = None) -> DataFrame:
     """Rows (key, step, symbols): for each key the pattern after each of its sequences (key, ord, tokens, xable), in order: the first ``most``, or
     else until both acceptance rules have ended the run (the comparison at the first pattern that it refuses, the metrics at the first that they
@@ -95,14 +103,10 @@ def merge_runs(sequences: DataFrame, most: int | None = None) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         pattern, out, compared, by_metric = None, [], True, 0
         for i, (tokens, xable) in enumerate(rows.sort_values("ord")[["tokens", "xable"]].itertuples(index=False)):
-            tokens, xable = list(tokens), list(xable)
-            pattern = letters(tokens, xable) if pattern is None else merged(pattern, tokens, xable)
+            pattern, compared, by_metric = extended(pattern, list(tokens), list(xable), compared, by_metric)
             out.append((rows.key.iloc[0], i, pattern))
-            if most is None:
-                now = acceptance(pattern)
-                compared, by_metric = compared and now[0], by_metric or now[1]
-                if not compared and by_metric:
-                    break
+            if most is None and not compared and by_metric:
+                break
         return pd.DataFrame(out, columns=["key", "step", "symbols"])
 
     first = sequences if most is None else sequences.where(F.col("ord") < most)

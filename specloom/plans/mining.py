@@ -7,10 +7,8 @@ that no rule could accept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import edit, matching, network, patterns
@@ -26,17 +24,55 @@ def flagged(paths: DataFrame, flags: DataFrame) -> DataFrame:
     return paths.join(each, ["model_id", "path_id"])
 
 
+RUN = f"n int, total double, symbols {patterns.SYMBOLS}, still_compared boolean, verdict int"
+STEPS = f"model_id string, path_id int, step int, member int, probability double, {RUN}, last boolean"
+_SYMBOLS = pa.list_(pa.struct([("tokens", pa.list_(pa.string())), ("kind", pa.string()), ("xable", pa.bool_())]))
+_STEP_KINDS = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), _SYMBOLS, pa.bool_(), pa.int32(), pa.bool_()]
+
+
+def _merged_on(state: pa.Table, near: pa.Table) -> pa.Table:
+    """One path's run, merged with the members of a ring in order until it is over: a row for each merge, the last one of them (or, if there are none, a row without a step) with
+    the state to go on from."""
+    rows = []
+    for s in state.to_pylist():
+        n, total, pattern, compared, verdict = (s[c] for c in ("n", "total", "symbols", "still_compared", "verdict"))
+        head = (s["model_id"], s["path_id"])
+        for r in sorted(near.to_pylist(), key=lambda r: r["member"]):
+            pattern, compared, verdict = patterns.extended(pattern, r["tokens"], r["xable"], compared, verdict)
+            n, total = n + 1, total + r["metric"]
+            rows.append((*head, n - 1, r["member"], 1 - total / n, n, total, pattern, compared, verdict, False))
+            if not compared and verdict:
+                break
+        if rows:
+            rows[-1] = (*rows[-1][:-1], True)
+        else:
+            rows.append((*head, None, None, None, n, total, pattern, compared, verdict, True))
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 11, _STEP_KINDS, strict=True)], names=[f.split()[0] for f in ("model_id", "path_id", "step", "member", "probability", "n", "total", "symbols", "still_compared", "verdict", "last")])
+
+
 def attempts(paths: DataFrame) -> DataFrame:
     """Rows (model_id, path_id, step, member, probability, symbols, length, letters, ratio, strings, compared, by_metric): each path of rows (model_id, path_id,
     tokens, xable, metric) merged with the others by distance, one after the other, until both acceptance rules have ended the run. ``member`` is the
-    path merged in this step; the probability is one less the mean metric of the paths merged so far."""
-    order = edit.merge_order(edit.confusion(paths))
-    other = paths.select("model_id", F.col("path_id").alias("b"), "tokens", "xable", "metric")
-    met = checkpointed(order.join(other, ["model_id", "b"]).withColumn("key", F.concat_ws("/", "model_id", "a")))
-    runs = patterns.merge_runs(met.select("key", F.col("place").alias("ord"), "tokens", "xable"))
-    so_far = Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    upto = met.select("key", "model_id", F.col("a").alias("path_id"), F.col("b").alias("member"), F.col("place").alias("step"), (1 - F.avg("metric").over(so_far)).alias("probability"))
-    return patterns.metrics(runs.join(upto, ["key", "step"]).drop("key"))
+    path merged in this step; the probability is one less the mean metric of the paths merged so far.
+
+    Paths at distance 0, 1, 2 ... are looked for in rounds, for runs that aren't over; most end in the first rounds, so pairs that no run needs are never made.
+    """
+    paths = checkpointed(paths.select("model_id", F.col("path_id").cast("int").alias("path_id"), "tokens", "xable", "metric"))
+    index = checkpointed(edit.indexed(paths))
+    longest = paths.agg(F.max(F.size("tokens"))).first()[0] or 0
+    none = F.lit(None)
+    state = paths.select("model_id", "path_id", F.lit(0).alias("n"), F.lit(0.0).alias("total"), none.cast(patterns.SYMBOLS).alias("symbols"), F.lit(True).alias("still_compared"), F.lit(0).alias("verdict"))
+    other = paths.select("model_id", F.col("path_id").alias("member"), "tokens", "xable", "metric")
+    found = None
+    for d in range(longest + 1):
+        near = edit.ring(state, index, d).select("model_id", F.col("a").alias("path_id"), F.col("b").alias("member")).join(other, ["model_id", "member"])
+        rows = checkpointed(state.groupBy("model_id", "path_id").cogroup(near.groupBy("model_id", "path_id")).applyInArrow(_merged_on, STEPS))
+        steps = rows.where("step IS NOT NULL").select("model_id", "path_id", "step", "member", "probability", "symbols")
+        found = steps if found is None else found.union(steps)
+        state = rows.where("last AND (still_compared OR verdict = 0)").select("model_id", "path_id", "n", "total", "symbols", "still_compared", "verdict")
+        if state.isEmpty():
+            break
+    return patterns.metrics(found)
 
 
 def patterns_of_paths(paths: DataFrame) -> DataFrame:
@@ -56,26 +92,26 @@ def judge(cpt: DataFrame, vertices: DataFrame, levels: int) -> DataFrame:
     return nodes.join(weights, "model_id").join(network.path_count(v, levels).withColumnRenamed("n", "n_paths"), "model_id")
 
 
-def compared(found: DataFrame, judges: DataFrame) -> DataFrame:
+def compared(found: DataFrame, judges: DataFrame, parts: int = 8) -> DataFrame:
     """Adds to attempts how many states of the second network satisfy the pattern, and the least mean weight of its matches there (null: none, or
     more matches than the network has paths)."""
 
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, matching.Network] = {}
-        for batch in batches:
-            rows, out = batch.to_pylist(), []
-            for r in rows:
-                if r["model_id"] not in known:
-                    known[r["model_id"]] = matching.Network(r["nodes"], r["weights"])
-                net = known[r["model_id"]]
+    names, kinds = ["model_id", "path_id", "step", "n_states", "n_matches", "least"], [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+
+    def hold(tries: pa.Table, network_: pa.Table) -> pa.Table:
+        out = []
+        for n in network_.to_pylist() if tries.num_rows else []:
+            net = matching.Network(n["nodes"], n["weights"])
+            for r in tries.to_pylist():
                 states = matching.satisfying(r["symbols"], net)
                 matches, least = matching.match_weights(r["symbols"], states, net) if states else (0, None)
-                out.append((r["model_id"], r["path_id"], r["step"], len(states), matches, least if matches <= r["n_paths"] else None))
-            columns = zip(*out, strict=True) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["model_id", "path_id", "step", "n_states", "n_matches", "least"])
+                out.append((r["model_id"], r["path_id"], r["step"], len(states), matches, least if matches <= n["n_paths"] else None))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=names)
 
-    held = found.where("compared").join(F.broadcast(judges), "model_id").select("model_id", F.col("path_id").cast("int"), F.col("step").cast("int"), "symbols", "nodes", "weights", "n_paths")
-    held = held.mapInArrow(hold, "model_id string, path_id int, step int, n_states long, n_matches long, least double")
+    # A network meets the attempts of its model in ``parts`` groups, so that it is read once for many attempts and a model is many tasks.
+    tries = found.where("compared").select("model_id", F.col("path_id").cast("int").alias("path_id"), F.col("step").cast("int").alias("step"), "symbols", F.pmod(F.col("path_id").cast("int"), F.lit(parts)).alias("part"))
+    each = judges.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    held = tries.groupBy("model_id", "part").cogroup(each.groupBy("model_id", "part")).applyInArrow(hold, "model_id string, path_id int, step int, n_states long, n_matches long, least double")
     return found.join(held, ["model_id", "path_id", "step"], "left")
 
 

@@ -353,3 +353,41 @@ def test_model_files_and_factor_errors(spark, tmp_path):
     assert [r.vertex for r in tables.ordered_skeleton(read, 3).orderBy("place").collect()] == ["A_0", "B_0", "A_1", "B_1"]
     with pytest.raises(ValueError, match="no value"):
         factors.reduce(factors.factor(t, "A_1", ["A_0"]), "A_0", "nothing")
+
+
+def plain_distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row = row, [i]
+        for j, b in enumerate(y, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (a != b)))
+    return row[-1]
+
+
+def test_rings_hold_every_distance_once(spark):
+    """Sequences of 0 to 7 tokens, with repeated tokens and equal sequences, in two models."""
+    import random
+
+    from specloom.operators import edit
+
+    rng = random.Random(6)
+    seqs = {(m, i): [rng.choice(["a", "b", "cc", "d"][: 2 + rng.randrange(3)]) for _ in range(rng.randrange(8))] for m in "mn" for i in range(40)}
+    index = edit.indexed(spark.createDataFrame([(m, i, s) for (m, i), s in seqs.items()], "model_id string, path_id int, tokens array<string>"))
+    some = spark.createDataFrame([(m, i) for m, i in seqs if i % 3 == 0], "model_id string, path_id int")
+    for d in range(8):
+        got = sorted((r.model_id, r.a, r.b) for r in edit.ring(some, index, d).collect())
+        assert got == sorted((m, i, j) for (m, i), s in seqs.items() if i % 3 == 0 for (o, j), t in seqs.items() if o == m and plain_distance(s, t) == d)
+
+
+def test_attempts_equal_runs_over_all_pairs(spark, sf_dir):
+    """Rings give the runs that merging in the order of a table of all distances gives."""
+    from specloom import catalog
+    from specloom.operators import edit
+
+    networks = catalog._learned(spark, sf_dir)
+    found = checkpointed(mining.flagged(catalog._numbered(spark, sf_dir, networks), patterns.edge_flags(networks[1])))
+    order = edit.merge_order(edit.confusion(found)).join(found.select("model_id", F.col("path_id").alias("b"), "tokens", "xable"), ["model_id", "b"])
+    runs = patterns.merge_runs(order.select(F.concat_ws("/", "model_id", "a").alias("key"), F.col("place").alias("ord"), "tokens", "xable"))
+    plain = lambda df: sorted(str(r) for r in df.collect())
+    got = mining.attempts(found).select(F.concat_ws("/", "model_id", "path_id").alias("key"), "step", "symbols")
+    assert plain(got) == plain(runs.select("key", "step", "symbols"))
