@@ -116,14 +116,14 @@ def _k_best(spark, sf_dir, k, by_length=False):
     return pt.k_best(nw.edge_weights(t, nw.marginals(t, c.LENGTH)), nw.boundary_edges(v), states, c.LENGTH - 1, k, by_length)
 
 
-_TOKENS = F.array_join(F.transform("nodes", lambda x: F.concat(nw.signal_of(x["v"]), F.lit(":"), x["val"])), ",").alias("tokens")
 _WALKED = f"all_paths AS (SELECT model_id, n, array_to_string(tokens, ',') AS tokens, w / n AS metric FROM walk WHERE k = {c.LENGTH - 1})"
 
 
 @query("paths_k_best", f"WITH RECURSIVE {c.PATHS}, {_WALKED} SELECT model_id, (row_number() OVER (PARTITION BY model_id ORDER BY round(metric, 12), tokens))::INT AS place, tokens, round(metric, 9) AS metric FROM all_paths QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY round(metric, 12), tokens) <= {K}")
 def _(spark, sf_dir):
     """The ten paths of least mean weight in each network."""
-    return _k_best(spark, sf_dir, K).select("model_id", "place", _TOKENS, F.round("metric", 9).alias("metric"))
+    tokens = F.array_join(F.transform("nodes", lambda x: F.concat(nw.signal_of(x["v"]), F.lit(":"), x["val"])), ",").alias("tokens")
+    return _k_best(spark, sf_dir, K).select("model_id", "place", tokens, F.round("metric", 9).alias("metric"))
 
 
 @query("best_path_nodes", f"WITH RECURSIVE {c.PATHS}, b AS (SELECT model_id, n, arg_min(tokens, round(w / n, 12)) AS tokens, round(min(w / n), 9) AS metric FROM walk WHERE k = {c.LENGTH - 1} GROUP BY ALL) SELECT model_id, n AS n_edges, (i - 1)::INT AS place, tokens[i] AS token, metric FROM b, unnest(range(1, n + 2)) u(i)")
