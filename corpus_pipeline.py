@@ -25,11 +25,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; of rows with the same id one stays. Rows without
-    an id stay."""
+    """One document of each group of near duplicates, that with the smallest id; of rows with the same id the one with the smallest (text, lang, source,
+    n_chars) stays, nulls first. Rows without an id stay."""
     docs = docs.select(COLUMNS)
     keep = settle(near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS).union(docs.where("doc_id IS NULL"))
+    least = F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")
+    return docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("doc_id", "d.*").select(COLUMNS).union(docs.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
