@@ -9,8 +9,8 @@ Codebooks are fitted on a bounded sample (about ``sample`` vectors, by a hash of
 visit is the smallest for which the sample's own queries reach ``target`` recall, so clustered vectors need few cells and
 vectors without structure need many.
 
-Scale: equal vectors are one entry with its ``top`` + 1 smallest ids (no later id of an equal vector can be among the
-nearest), found with a rank limit that already holds before the shuffle. Cells are packed into blocks of at most
+Scale: equal vectors are one entry with its ``top`` + 1 smallest ids, each as often as it has that vector but ``top`` times at most (no later id of an equal vector can be
+among the nearest), found with a rank limit that already holds before the shuffle. Cells are packed into blocks of at most
 ``per_block`` entries and large cells are split, so a crowded cell is several tasks; queries come in groups of at most
 ``per_group``. A task multiplies a group of queries with a block and returns ``top`` + 1 entries a query: all that could be level with
 the last of them are compared by the exact sum and then by their smallest id, so ties are settled on the whole block.
@@ -18,8 +18,8 @@ Queries are dealt out before they traverse cells. The number of centroids grows
 square root, and only their sizes come to the driver.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those
-of another length than the most frequent one; null ids take no part; repeated rows of a vec_id count once; an empty table
-gives no rows.
+of another length than the most frequent one; null ids take no part; every row is a candidate, so a repeated vec_id is found as often as it has rows; a query has
+the smallest vector (as an array) of its id, and no row of its id is a candidate for it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,11 +39,10 @@ SEED = 7
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows (vec_id, v): one row per id with a vector that can take part, of the most frequent length."""
+    """Rows (vec_id, v): the rows whose vector can take part."""
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
     sound = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    v = v.where(sound).groupBy("vec_id").agg(F.min("v").alias("v"))
-    return v
+    return v.where(sound)
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -117,9 +116,9 @@ def fit(v: DataFrame, top: int, target: float = 0.97, sample: int = 8192) -> dic
     n, largest = v.agg(F.count("*"), F.max(norm)).first()
     key = F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(1 << 30))
     taken = v.where(key < math.ceil((1 << 30) * min(1.0, sample / n))).select("vec_id", "v").collect()
-    x = np.array([r.v for r in sorted(taken, key=lambda r: r.vec_id)])
+    x = np.array([r.v for r in sorted(taken, key=lambda r: (r.vec_id, r.v))])
     if not len(x):  # so few rows that the hash took none
-        x = np.array([v.orderBy("vec_id").first().v])
+        x = np.array([v.orderBy("vec_id", "v").first().v])
     x = x[np.random.default_rng(SEED).permutation(len(x))]
     h1, h2 = _halves(x, largest)
     k = max(4, min(len(x) // 8, math.ceil(2 * n**0.25)))
@@ -143,7 +142,9 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
     v = v.where(F.size("v") == d)
 
     by_vector = Window.partitionBy("v").orderBy("vec_id")
-    entries = v.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= top + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    often = v.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(top)).cast("int").alias("times"))
+    few = often.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= top + 1)
+    entries = few.groupBy("v").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "times"))), lambda x: F.array_repeat(x["vec_id"], x["times"]))).alias("ids"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +171,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
     wanted = math.ceil(index["share"] * counts.sum())
 
     asked = v if queries is None else v.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
-    asked = settle(asked, "queries")
+    asked = settle(asked.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     n_asked = asked.count()
     groups = max(1, math.ceil(n_asked / per_group))
 
