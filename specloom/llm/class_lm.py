@@ -5,10 +5,11 @@ is what stands before the first word. Word classes:
 
 1. Seeds: words with at least 1 / ``share`` of all training tokens (so at most ``share`` words) are clustered by the exchange algorithm in
    one task: words move one at a time to the class that raises the likelihood of their class bigrams most, until a sweep moves none.
-2. ``rounds`` of exchange over the whole training vocabulary, the seeds included: what stands before and after each word is summed over the
+2. Rounds of exchange over the whole training vocabulary, the seeds included, until it settles: what stands before and after each word is summed over the
    corpus as counts of (word, neighbour class, side), and every word moves to the class that raises the likelihood most against
-   the table of all class pairs. In the first round neighbours are seeds, later all words. If the last round lowers the likelihood, its
-   predecessor's classes are kept.
+   the table of all class pairs. In the first round neighbours are seeds, later all words. Words that move at once can spoil each other's gain, so after the first round
+   half of the words (by hash) moves in turn. A round that lowers the likelihood is undone; when two in a row gain less than ``least_gain`` of
+   the log likelihood, the best classes are the result. Each other round gains, and the likelihood is bounded, so this ends.
 
 A class depends on sums over the corpus only, never on how texts are dealt. The number of classes grows with the cube root of the vocabulary, so the
 table of class pairs grows more slowly than the vocabulary and stays small.
@@ -28,9 +29,9 @@ are scored (and learned from) each; a null id counts as the empty text for the s
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -483,8 +484,12 @@ def _choose(of: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, g
     return np.where(of == 0, 0, np.where(stay, of, best))
 
 
-def moved(found: DataFrame, vocabulary: DataFrame, kinds: DataFrame, seeds: Seeds, of_seeds: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """Each part's classes (rows as ``kinds``) after every word took its best one. A word that nothing speaks for yet takes one by its hash."""
+def in_half(h: np.ndarray, half: int) -> np.ndarray:
+    return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.int64) == half
+
+
+def moved(found: DataFrame, vocabulary: DataFrame, kinds: DataFrame, seeds: Seeds, of_seeds: np.ndarray, pairs: np.ndarray, half: int | None = None) -> DataFrame:
+    """Each part's classes (rows as ``kinds``) after every word (or ``half`` of them, 0 or 1) took its best one. A word that nothing speaks for yet takes one by its hash."""
     classes, width = len(pairs), 2 * len(pairs) + 1
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -498,6 +503,7 @@ def moved(found: DataFrame, vocabulary: DataFrame, kinds: DataFrame, seeds: Seed
             ns.append(_read(left.column("ns")[k], "<u4"))
         key, n = _sums(np.concatenate(keys), np.concatenate(ns))
         new = choices(of, key // width, key % width, n, pairs)
+        new = new if half is None else np.where(in_half(h, half) | (of < 0), new, of)
         new = np.where(new < 0, 1 + (h % np.uint64(max(classes - 1, 1))).astype(np.int64), new)
         new[seeds.place[seeds.part == part]] = of_seeds[seeds.part == part]
         give_back()
@@ -521,57 +527,73 @@ def first_kinds(vocabulary: DataFrame, seeds: Seeds, of_seeds: np.ndarray) -> Da
     return vocabulary.where(f"batch = {WORDS}").select("part", "a").mapInArrow(start, "part long, batch long, a binary, n binary")
 
 
+def _information_scale(pairs: np.ndarray) -> float:
+    """The size of what gains are measured by: the log likelihood of the class bigrams."""
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=1)).sum())
+
+
 def _information(pairs: np.ndarray) -> float:
     """The part of the log likelihood that depends on the classes."""
     return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=1)).sum() - _xlogx(pairs.sum(axis=0)).sum() + _xlogx(pairs.sum()))
 
 
-def _cleared(spark: SparkSession) -> None:
-    """Shuffle files of past queries go when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query go as soon as it has ended; everything that is read twice here is a table in the shared folder."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def clustered(encoded: DataFrame, words: DataFrame, seeds: Seeds, of_seeds: np.ndarray, classes: int, rounds: int) -> tuple[DataFrame, np.ndarray]:
-    """Classes of all words (a row per part) after ``rounds`` of exchange, and how often classes follow each other."""
-    spark = encoded.sparkSession
-    kinds, before = settle(first_kinds(words, seeds, of_seeds), "kinds"), None
-    for _ in range(rounds):
+def clustered(encoded: DataFrame, words: DataFrame, seeds: Seeds, of_seeds: np.ndarray, classes: int, least_gain: float) -> tuple[DataFrame, np.ndarray]:
+    """Classes of all words (a row per part) when the exchange has settled, and how often classes follow each other."""
+    width = 2 * classes + 1
+    kinds, best, turn, small = settle(first_kinds(words, seeds, of_seeds), "kinds"), None, None, 0  # turn: the half that moves, None: all; small: steps in a row without gain
+    while True:
         found = settle(evidence(encoded, _answers(words, kinds, seeds), classes), "evidence")
-        _cleared(spark)
         pairs = class_pairs(found, classes)
-        t = _totals(found, SEEDS, 2 * classes + 1)
+        now, first = _information(pairs), best is None
+        gain = math.inf if first else (now - best["information"]) / max(abs(_information_scale(pairs)), 1.0)
+        if best is None or gain > 0:
+            if best is not None:
+                drop(best["kinds"])
+                drop(best["found"])
+            best = {"kinds": kinds, "seeds": of_seeds, "pairs": pairs, "information": now, "found": found}
+        else:
+            drop(kinds)
+            drop(found)
+        small = 0 if gain > 0 and gain >= least_gain else small + 1
+        if small >= 2:
+            break
+        turn = None if first else 0 if turn is None else 1 - turn  # at first all take a class, then halves
+        t = _totals(best["found"], SEEDS, width)
         key, n = _sums(t.column("key").to_numpy(), t.column("n").to_numpy())
-        new = choices(of_seeds, key // (2 * classes + 1), key % (2 * classes + 1), n, pairs)
-        new = np.where(new < 0, of_seeds, new)
-        if before is not None:
-            drop(before[0])
-        before = (kinds, pairs)
-        kinds, of_seeds = settle(moved(found, words, kinds, seeds, new, pairs), "kinds"), new
-        drop(found)
-        _cleared(spark)
-    pairs = class_pairs(evidence(encoded, _answers(words, kinds, seeds), classes, pairs_only=True), classes)
-    if before is not None:
-        if rounds > 1 and _information(before[1]) > _information(pairs):
-            kinds, before, pairs = before[0], (kinds, None), before[1]
-        drop(before[0])
-    _cleared(spark)
-    return kinds, pairs
-
-
-def score_texts(docs: DataFrame, share: int = 4096, classes: int = 24, rounds: int = 3, batch_bytes: int = 9 << 20, per_part: int = 1 << 18) -> DataFrame:
+        new = choices(best["seeds"], key // width, key % width, n, best["pairs"])
+        new = np.where(new < 0, best["seeds"], new)
+        of_seeds = new if turn is None else np.where(in_half(seeds.h, turn), new, best["seeds"])
+        kinds = settle(moved(best["found"], words, best["kinds"], seeds, of_seeds, best["pairs"], turn), "kinds")
+    drop(best["found"])
+    return best["kinds"], best["pairs"]
+
+
+def score_texts(docs: DataFrame, share: int = 4096, classes: int = 24, least_gain: float = 0.01, batch_bytes: int = 9 << 20, per_part: int = 1 << 18) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of rows (doc_id, text, held_out). ``classes`` is the least
     number of classes: it is the cube root of the number of training words where that is more."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    encoded = settle(encoded_batches(docs, batch_bytes), "encoded")
-    parts = max(1, math.ceil((encoded.agg(F.sum("words")).first()[0] or 0) / per_part))
-    words = settle(vocabulary(encoded, parts), "vocabulary")
-    total, distinct = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
-    seeds = Seeds(words, total, share)
-    n_classes = max(2, min(max(classes, math.ceil(distinct ** (1 / 3))), distinct))
-    of_seeds = _fit_seeds(seed_bigrams(encoded, seeds), len(seeds), n_classes)
-    kinds, seen = clustered(encoded, words, seeds, of_seeds, n_classes, rounds)
+    with _shuffles_removed(spark):
+        encoded = settle(encoded_batches(docs, batch_bytes), "encoded")
+        parts = max(1, math.ceil((encoded.agg(F.sum("words")).first()[0] or 0) / per_part))
+        words = settle(vocabulary(encoded, parts), "vocabulary")
+        total, distinct = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+        seeds = Seeds(words, total, share)
+        n_classes = max(2, min(max(classes, math.ceil(distinct ** (1 / 3))), distinct))
+        of_seeds = _fit_seeds(seed_bigrams(encoded, seeds), len(seeds), n_classes)
+        kinds, seen = clustered(encoded, words, seeds, of_seeds, n_classes, least_gain)
 
     unseen = math.log10(0.5 / (total + 0.5 * (distinct + 1)))
     live = max(int((seen.sum(axis=0) > 0).sum()), 1)

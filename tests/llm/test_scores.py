@@ -51,8 +51,9 @@ def test_class_lm_is_the_same_for_any_batching(spark, sf_dir):
     assert all(one == pytest.approx(x, rel=1e-9) for x in others)
 
 
-def _brute_scores(rows, share, classes, rounds):
-    """Scores of (id, text, held_out) rows by plain counts: seeds by ``exchange``, then rounds in which every word takes the class of highest likelihood."""
+def _brute_scores(rows, share, classes, least_gain):
+    """Scores of (id, text, held_out) rows by plain counts: seeds by ``exchange``, then rounds in which every word, later half of them, takes the class of highest likelihood, until
+    two rounds in a row gain too little."""
     toks = [(i, words(t) + ["\n"], h) for i, t, h in rows]
     c, big = Counter(w for _, x, h in toks if not h for w in x), Counter()
     for _, x, h in toks:
@@ -71,24 +72,31 @@ def _brute_scores(rows, share, classes, rounds):
                 out[kind[a], kind[b]] += n
         return out
 
-    history = []
-    for _ in range(rounds):
-        history.append((dict(of), table(of)))
-        new = {}
+    best, turn, small, steps = None, None, 0, 0
+    while True:
+        seen = table(of)
+        now = class_lm._information(seen)
+        gain = math.inf if best is None else (now - best[2]) / max(abs(class_lm._information_scale(seen)), 1.0)
+        turn = None if best is None else 0 if turn is None else 1 - turn
+        if gain > 0:
+            best = (dict(of), seen, now)
+        small = 0 if gain > 0 and gain >= least_gain else small + 1
+        if small >= 2:
+            break
+        steps, known, of = steps + 1, best[0], {}
         for w in c:
-            value = [-np.inf] + [class_lm._information(table(of | {w: k})) for k in range(1, classes)]
-            best = int(np.argmax(value))
-            linked = any(w in p and (p[0] in of or p[1] in of or p[0] == p[1]) for p in big)
+            value = [-np.inf] + [class_lm._information(table(known | {w: k})) for k in range(1, classes)]
+            top = int(np.argmax(value))
+            linked = any(w in p and (p[0] in known or p[1] in known or p[0] == p[1]) for p in big)
             if w == "\n":
-                new[w] = 0
-            elif w in of:
-                new[w] = best if linked and value[best] > value[of[w]] + 1e-9 else of[w]
+                of[w] = 0
+            elif w in known:
+                moves = turn is None or bool(class_lm.in_half(np.array([class_lm.word_hash(w)], np.uint64), turn)[0])
+                of[w] = top if moves and linked and value[top] > value[known[w]] + 1e-9 else known[w]
             else:
-                new[w] = best if linked else 1 + class_lm.word_hash(w) % (classes - 1)
-        of = new
-    seen = table(of)
-    if rounds > 1 and class_lm._information(history[-1][1]) > class_lm._information(seen):
-        of, seen = history[-1]
+                of[w] = top if linked else 1 + class_lm.word_hash(w) % (classes - 1)
+    of, seen, _ = best
+    assert steps > 1
     unseen = math.log10(0.5 / (total + 0.5 * (v + 1)))
     live = int((seen.sum(axis=0) > 0).sum())
     out = {}
@@ -110,9 +118,9 @@ def test_class_lm_equals_brute_force(spark):
     texts = [" ".join(f"{'abc'[k % 3]}{int(rng.integers(0, 5)) ** 2 % 7}" for k in range(int(rng.integers(0, 14)))) for _ in range(40)]
     rows = [(i, t, i % 4 == 1) for i, t in enumerate(texts)] + [(90, "zz a0 yy", True), (91, "zz zz", False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
-    for share, rounds in ((4096, 2), (12, 1), (12, 3)):
-        got = {r.doc_id: r.score for r in class_lm.score_texts(docs, share=share, classes=4, rounds=rounds, per_part=4).collect()}
-        assert got == pytest.approx(_brute_scores(rows, share, 4, rounds), rel=1e-9)
+    for share, least_gain in ((4096, 0.01), (12, 0.05)):
+        got = {r.doc_id: r.score for r in class_lm.score_texts(docs, share=share, classes=4, least_gain=least_gain, per_part=4).collect()}
+        assert got == pytest.approx(_brute_scores(rows, share, 4, least_gain), rel=1e-9)
 
 
 def test_all_words_take_part_in_clustering(spark):
@@ -124,7 +132,7 @@ def test_all_words_take_part_in_clustering(spark):
     vocabulary = settle(class_lm.vocabulary(encoded, 3), "vocabulary")
     seeds = class_lm.Seeds(vocabulary, 61 * 80, 20)
     assert len(seeds) == 3
-    kinds, pairs = class_lm.clustered(encoded, vocabulary, seeds, np.array([0, 1, 2]), 3, 3)
+    kinds, pairs = class_lm.clustered(encoded, vocabulary, seeds, np.array([0, 1, 2]), 3, 0.001)
     of = {r.part: class_lm._read(r.a, "<i2") for r in kinds.collect()}
     named = {int(h): int(k) for r in vocabulary.where("batch = -2").collect() for h, k in zip(class_lm._read(r.a, "<u8"), of[r.part], strict=True)}
     group = lambda x: {named[class_lm.word_hash(w)] for w in x}
@@ -288,6 +296,16 @@ def test_nearest_odd_rows(spark):
     assert ann.nearest(v.limit(0)).count() == 0
 
 
+def test_every_row_of_a_repeated_id_is_a_candidate(spark):
+    rows = [(2, [1.0, 0.5]), (2, [5.0, 0.5]), (2, [5.0, 0.5]), (3, [0.5, 0.5]), (4, [0.25, 0.5]), (3, [9.0, 9.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(v, target=1.0).collect()}
+    assert [got[3, i] for i in range(1, 5)] == [(2, 2.75), (2, 2.75), (2, 0.75), (4, 0.375)] and (3, 5) not in got
+    assert [got[4, i] for i in range(1, 6)] == [(3, 6.75), (2, 1.5), (2, 1.5), (2, 0.5), (3, 0.375)]
+    own = spark.createDataFrame([(1, [1.0, 1.0])] * 30 + [(i, [1.0, 1.0]) for i in range(2, 30)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ann.nearest(own, own.where("vec_id = 1"), top=20).orderBy("rank").collect()] == list(range(2, 22))
+
+
 def test_warc_equals_sql(spark, sf_dir):
     same(warc.op2_warc(spark, sf_dir), warc.ORACLE, sf_dir)
 
