@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain, cycle
 
 import numpy as np
 import pyarrow as pa
@@ -326,9 +327,9 @@ def _joined(right: pa.Table, column: str, kind: str) -> tuple[np.ndarray, np.nda
 EVIDENCE, SEEDS, PAIRS = "part long, batch long, sizes binary, codes binary, ns binary", -1, -2
 
 
-def evidence(encoded: DataFrame, answers: DataFrame, classes: int, pairs_only: bool = False) -> DataFrame:
-    """For each batch and part, how often each training word stands before a word of class ``code``, after one of class ``code - classes``, or
-    before itself (2 * classes); words without a class are left out as neighbours. And how often classes follow each other."""
+def evidence(encoded: DataFrame, answers: DataFrame, classes: int, half: int | None = None) -> DataFrame:
+    """For each batch and part, how often each training word (of one half by hash, if asked for) stands before a word of class ``code``, after one of class
+    ``code - classes``, or before itself (2 * classes); words without a class are left out as neighbours. And how often classes follow each other."""
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["part", "batch", "sizes", "codes", "ns"]
@@ -342,24 +343,27 @@ def evidence(encoded: DataFrame, answers: DataFrame, classes: int, pairs_only: b
         on = (ka >= 0) & (kb >= 0)
         code, n = _sums(ka[on] * classes + kb[on], times[on])
         rows = [(PAIRS, b"", _blob(code, "<i4"), _blob(n, "<u4"))]
-        if not pairs_only:
-            same = a == b
-            r, l = ~same & (kb >= 0), ~same & (ka >= 0)  # noqa: E741
-            key, n = _sums(np.concatenate([a[r] * width + kb[r], b[l] * width + classes + ka[l], a[same] * width + 2 * classes]), np.concatenate([times[r], times[l], times[same]]))
-            word, code = key // width, key % width
-            hot = seed[word] >= 0
-            rows.append((SEEDS, _blob(seed[word[hot]], "<i4"), _blob(code[hot], "<u2"), _blob(n[hot], "<u4")))
-            word, code, n = word[~hot], code[~hot], n[~hot]
-            at = np.searchsorted(word, cut)
-            sizes = np.bincount(word, minlength=len(kind))
-            for p, i, j, x, y in zip(part.tolist(), cut[:-1], cut[1:], at[:-1], at[1:], strict=True):
-                if y > x:
-                    rows.append((p, _blob(sizes[i:j], "<u2"), _blob(code[x:y], "<u2"), _blob(n[x:y], "<u4")))
+        same, r, l = a == b, kb >= 0, ka >= 0  # noqa: E741
+        if half is not None:
+            asked = in_half(_read(t.cell("h"), "<u8"), half)
+            r, l = r & asked[a], l & asked[b]  # noqa: E741
+        own = same if half is None else same & asked[a]
+        r, l = r & ~same, l & ~same  # noqa: E741
+        key, n = _sums(np.concatenate([a[r] * width + kb[r], b[l] * width + classes + ka[l], a[own] * width + 2 * classes]), np.concatenate([times[r], times[l], times[own]]))
+        word, code = key // width, key % width
+        hot = seed[word] >= 0
+        rows.append((SEEDS, _blob(seed[word[hot]], "<i4"), _blob(code[hot], "<u2"), _blob(n[hot], "<u4")))
+        word, code, n = word[~hot], code[~hot], n[~hot]
+        at = np.searchsorted(word, cut)
+        sizes = np.bincount(word, minlength=len(kind))
+        for p, i, j, x, y in zip(part.tolist(), cut[:-1], cut[1:], at[:-1], at[1:], strict=True):
+            if y > x:
+                rows.append((p, _blob(sizes[i:j], "<u2"), _blob(code[x:y], "<u2"), _blob(n[x:y], "<u4")))
         p, *rest = zip(*rows, strict=True)
         give_back()
         return pa.table([pa.array(p, pa.int64()), pa.array([left.column("batch")[0].as_py()] * len(p), pa.int64()), *(pa.array(x, pa.binary()) for x in rest)], names)
 
-    tokens = encoded.select("batch", "codes", "starts", "held_out")
+    tokens = encoded.select("batch", "codes", "starts", "held_out", *([] if half is None else ["h"]))
     return tokens.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(gather, EVIDENCE)
 
 
@@ -485,6 +489,7 @@ def _choose(of: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, g
 
 
 def in_half(h: np.ndarray, half: int) -> np.ndarray:
+    """Which words are in a half of the vocabulary."""
     return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(np.int64) == half
 
 
@@ -552,32 +557,34 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
 def clustered(encoded: DataFrame, words: DataFrame, seeds: Seeds, of_seeds: np.ndarray, classes: int, least_gain: float) -> tuple[DataFrame, np.ndarray]:
     """Classes of all words (a row per part) when the exchange has settled, and how often classes follow each other."""
     width = 2 * classes + 1
-    kinds, best, turn, small = settle(first_kinds(words, seeds, of_seeds), "kinds"), None, None, 0  # turn: the half that moves, None: all; small: steps in a row without gain
-    while True:
-        found = settle(evidence(encoded, _answers(words, kinds, seeds), classes), "evidence")
+    kinds, best, small = settle(first_kinds(words, seeds, of_seeds), "kinds"), None, 0  # small: rounds in a row without enough gain
+    sums = lambda kinds, turn: settle(evidence(encoded, _answers(words, kinds, seeds), classes, turn), "evidence")
+    for turn in chain([None], cycle([0, 1])):  # the half that moves; at first all take a class
+        found = sums(kinds, turn)  # of the words that move next
         pairs = class_pairs(found, classes)
-        now, first = _information(pairs), best is None
-        gain = math.inf if first else (now - best["information"]) / max(abs(_information_scale(pairs)), 1.0)
-        if best is None or gain > 0:
+        now = _information(pairs)
+        gain = math.inf if best is None else (now - best["information"]) / max(abs(_information_scale(pairs)), 1.0)
+        small = 0 if gain > 0 and gain >= least_gain else small + 1
+        if gain > 0:
             if best is not None:
                 drop(best["kinds"])
-                drop(best["found"])
-            best = {"kinds": kinds, "seeds": of_seeds, "pairs": pairs, "information": now, "found": found}
+            best = {"kinds": kinds, "seeds": of_seeds, "pairs": pairs, "information": now}
         else:
-            drop(kinds)
-            drop(found)
-        small = 0 if gain > 0 and gain >= least_gain else small + 1
+            drop(kinds, found)
         if small >= 2:
-            break
-        turn = None if first else 0 if turn is None else 1 - turn  # at first all take a class, then halves
-        t = _totals(best["found"], SEEDS, width)
+            if gain > 0:
+                drop(found)
+            return best["kinds"], best["pairs"]
+        if gain <= 0:
+            found = sums(best["kinds"], turn)
+        t = _totals(found, SEEDS, width)
         key, n = _sums(t.column("key").to_numpy(), t.column("n").to_numpy())
         new = choices(best["seeds"], key // width, key % width, n, best["pairs"])
         new = np.where(new < 0, best["seeds"], new)
         of_seeds = new if turn is None else np.where(in_half(seeds.h, turn), new, best["seeds"])
-        kinds = settle(moved(best["found"], words, best["kinds"], seeds, of_seeds, best["pairs"], turn), "kinds")
-    drop(best["found"])
-    return best["kinds"], best["pairs"]
+        kinds = settle(moved(found, words, best["kinds"], seeds, of_seeds, best["pairs"], turn), "kinds")
+        drop(found)
+    raise AssertionError
 
 
 def score_texts(docs: DataFrame, share: int = 4096, classes: int = 24, least_gain: float = 0.01, batch_bytes: int = 9 << 20, per_part: int = 1 << 18) -> DataFrame:
