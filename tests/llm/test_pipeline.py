@@ -39,3 +39,11 @@ def test_language_stage_rejects_unlearned_scripts(spark, sf_dir):
     rows = [(i, "the house is on the hill by the sea", "en", "s", 9) for i in range(8)] + [(20, "ฉันรักคุณ มาก", None, "s", 9), (21, "12 34", "en", "s", 9), (22, "a hill by the sea ฉันรักคุณ", None, "s", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id: r.lang for r in cp.language_id(spark, docs, sf_dir).collect()} == {i: "en" for i in [*range(8), 22]}
+
+
+def test_repeated_ids_keep_the_smallest_row(spark, sf_dir):
+    """The same rows stay however they are dealt."""
+    rows = [(5, f"{w} text of its own that shares no words with {w}{w} or any other row here {w}x", lang, "s", 9) for w, lang in (("pear", "en"), ("apple", "fr"), ("apple", "de"), ("fig", None))] + [(5, None, "en", "s", 9), (6, "zebra", "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [sorted(map(str, cp.near_duplicates(spark, docs.repartition(k), sf_dir).collect())) for k in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 2 and "text=None" in got[0][0]
