@@ -1,4 +1,4 @@
-"""Registered queries of decision diagrams over boolean columns of ``events``."""
+"""Registered queries of decision diagrams over boolean columns of ``events``, and of model texts in a loose dialect."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import catalog as c
 from .operators import diagrams as dd
-from .sources.tables import checkpointed, read
+from .sources.tables import checkpointed, parsed_models, read
 
 query = c.query
 
@@ -72,3 +72,30 @@ def _(spark, sf_dir):
     v = [*[F.getbit(F.hour("ts").cast("bigint"), F.lit(i)) == 1 for i in (2, 1, 0)], F.col("event_type") == "error"]
     rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("fn"), dd.assignment(v).alias("assignment"))
     return dd.equal_pairs(dd.built(rows, len(v))[1]).select(F.col("fn").alias("user_id"), "same_as")
+
+
+# ---- model texts in a loose dialect
+
+_STATE = "CASE user_id % 4 WHEN 0 THEN 'whole' WHEN 3 THEN 'broken' ELSE 'repaired' END"
+
+
+@query(
+    "model_text_loose",
+    "WITH m_n AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL), m_s AS (SELECT user_id, event_type, round(n / sum(n) OVER (PARTITION BY user_id), 4) AS p FROM m_n)"
+    f" SELECT user_id, {_STATE} AS state, CASE WHEN user_id % 4 <> 3 THEN 'None .5' END AS vertex, CASE WHEN user_id % 4 <> 3 THEN string_agg(event_type, ',' ORDER BY event_type) END AS vals, CASE WHEN user_id % 4 <> 3 THEN round(sum(p), 4) END AS total FROM m_s GROUP BY user_id",
+)
+def _(spark, sf_dir):
+    """A model text for each user, by the user's remainder strict, with bare points, with None, or cut short; as it is read again. The vertex's name is what is
+    loose outside literals."""
+    n = read(spark, sf_dir, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    users = n.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", "n"))).alias("x"), F.sum("n").alias("all"))
+    share = F.transform("x", lambda x: F.format_string("%.4f", x["n"] / F.col("all")))
+    share = F.when(F.col("user_id") % 4 == 1, F.transform(share, lambda p: F.regexp_replace(p, "^0", ""))).otherwise(share)
+    kind = F.when(F.col("user_id") % 4 == 2, "None").otherwise('"discrete"')
+    vals = F.array_join(F.transform("x", lambda x: F.concat(F.lit('"'), x["event_type"], F.lit('"'))), ", ")
+    text = F.concat(F.lit('{"V": ["None .5"], "E": [],\n "Vdata": {"None .5": {"vals": ['), vals, F.lit('], "type": '), kind, F.lit(', "cprob": ['), F.array_join(share, ", "), F.lit("]}}}"))
+    whole = users.select(F.col("user_id").alias("model_id"), text.alias("t"))
+    found = parsed_models(whole.select("model_id", F.when(F.col("model_id") % 4 == 3, F.expr("substring(t, 1, length(t) - 3)")).otherwise(F.col("t")).alias("text")))
+    node = F.element_at(F.map_values("Vdata"), 1)
+    probs = F.from_json(node["cprob"], "array<double>")
+    return found.select(F.col("model_id").alias("user_id"), "state", F.col("V")[0].alias("vertex"), F.array_join(node["vals"], ",").alias("vals"), F.round(F.aggregate(probs, F.lit(0.0), lambda a, b: a + b), 4).alias("total"))

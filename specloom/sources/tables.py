@@ -48,6 +48,48 @@ def read_model_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MODEL_FILE).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("model_id", _model_of(F.input_file_name()))
 
 
+#: A string literal, what is between literals, or a quote that nothing closes.
+_PIECE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]++|"'
+#: What is written loosely, outside literals, and how JSON writes it.
+_LOOSE = [
+    (r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"),
+    (r"(?<![\w.])([+-]?)\.(?=\d)", "$10."), (r"(?<![\w.])([+-]?\d+)\.(?!\d)", "$1.0"), (r"(?<![\w.])\+(?=\d)", ""),
+    (r",(?=\s*[\]}])", ""),
+]
+
+
+def repaired_json(text):
+    """Text in a loose dialect as JSON: None, True, False, numbers with a bare point or a plus, a comma before a closing bracket. Literals stay as they are."""
+    def fixed(piece):
+        out = piece
+        for pattern, to in _LOOSE:
+            out = F.regexp_replace(out, pattern, to)
+        return F.when(piece.startswith('"'), piece).otherwise(out)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), fixed), "")
+
+
+def parsed_models(texts: DataFrame) -> DataFrame:
+    """``texts`` (model_id, text) with V, E, Vdata and ``state``: ``whole`` for JSON, ``repaired`` for what ``repaired_json`` makes readable, ``broken`` for the rest, whose V, E
+    and Vdata are null: null texts, other types than a model's, objects without V. Only texts that aren't whole are repaired."""
+    read = lambda text: F.from_json(text, f"{MODEL_FILE}, _broken string", {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"})
+    good = lambda m: F.col(f"{m}.V").isNotNull() & F.col(f"{m}._broken").isNull()
+    strict = texts.select("model_id", "text", read(F.col("text")).alias("_s"))
+    second = strict.withColumn("_r", F.when(~good("_s"), read(repaired_json(F.col("text")))))
+    state = F.when(good("_s"), "whole").when(good("_r"), "repaired").otherwise("broken")
+    either = lambda c: F.when(F.col("state") == "whole", F.col(f"_s.{c}")).when(F.col("state") == "repaired", F.col(f"_r.{c}")).alias(c)
+    return second.withColumn("state", state).select("model_id", "text", "state", either("V"), either("E"), either("Vdata"))
+
+
+def read_loose_model_files(spark: SparkSession, path: str, quarantine: str) -> DataFrame:
+    """The rows of ``read_model_files`` for all files that can be read, loose ones repaired; the others go to a table (model_id, text) at ``quarantine``, which is added to.
+    Files of no bytes have no row in either: Spark's readers pass over them."""
+    texts = spark.read.text(path, wholetext=True).select(_model_of(F.col("_metadata.file_path")).alias("model_id"), F.col("value").alias("text"))
+    found = checkpointed(parsed_models(texts))
+    found.where("state = 'broken'").select("model_id", "text").write.mode("append").parquet(quarantine)
+    return found.where("state <> 'broken'").select("V", "E", "Vdata", "model_id")
+
+
 def _model_of(file):
     """The model's name: of the folder model_id=name, or else of the file."""
     folder = F.regexp_extract(file, "/model_id=([^/]+)/", 1)
