@@ -6,8 +6,8 @@ if their roots are. ``FALSE`` and ``TRUE`` are the ends. No node has equal child
 ``MOST`` of them, while a truth table doubles with each.
 
 An assignment is a number: its variables' bits, variable 0 highest. Rows with a null function or assignment take no part, repeated rows count once. A function
-without any row has no root here; ``applied`` and ``counted`` take ``FALSE`` for it where a root says so. Work is by levels: rows that share a beginning
-meet, so a group holds at most two rows for each variable that a round takes away, whatever the data.
+without any row has no root here; ``applied`` and ``counted`` take the root ``FALSE`` for it. Work is by levels: rows that share a beginning
+meet, at most two at a level, and a key that rows are dealt by has at most 2 ** ``STRIDE`` of them, whatever the data.
 """
 
 from __future__ import annotations
