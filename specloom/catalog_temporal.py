@@ -10,7 +10,9 @@ from .operators import gaussian as ga
 from .operators import network as nw
 from .operators import paths as pt
 from .operators import temporal as tm
-from .sources.tables import checkpointed, read
+from .sources.tables import checkpointed, read, work_path
+from .streaming import invariants as si
+from .streaming import windows
 
 query = c.query
 
@@ -169,3 +171,15 @@ def _(spark, sf_dir):
     plain = nw.marginals(t, c.LENGTH).withColumnRenamed("p", "q")
     both = cl.exact_marginals(t, v).join(plain, ["model_id", "vertex", "outcome"])
     return both.groupBy("model_id", "vertex").agg(F.round(F.max(F.abs(F.col("p") - F.col("q"))), 9).alias("difference"))
+
+
+# ---- streams
+
+
+@query("stream_invariant_counts", f"WITH {c.PAIRS} SELECT * FROM pairs")
+def _(spark, sf_dir):
+    """The invariants' counts kept by a stream over the events. All files that are there are one batch, so none of their events is late."""
+    stream = windows.event_stream(spark, sf_dir)
+    hi = F.when(F.col("value") >= c.CUT, "hi").otherwise("lo")
+    tokens = stream.withColumn("event_type", F.concat(F.col("event_type"), F.lit(":"), hi))
+    return si.pair_counts(checkpointed(si.run_to_end(si.segment_summaries(tokens, late="1 day"), work_path(spark))))
