@@ -15,61 +15,36 @@ one time are ordered by their id, then by type; repeated events count each. An e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-PLACES = "at array<long>, id array<long>, type array<string>"
 SUMMARY = "k long, segment long, types array<struct<t: string, n: long>>, pairs array<struct<a: string, b: string, precedes: long, follows: long>>"
 
 
-def summary(at: list[int], ids: list[int], types: list[str]) -> tuple[list[dict], list[dict]]:
-    """Counts of the types of a segment, and of pairs of different types: events b after the first a, and events a before the last b."""
-    order = sorted(range(len(at)), key=lambda i: (at[i], ids[i], types[i]))
-    names, code = np.unique(np.array([types[i] for i in order], dtype=object), return_inverse=True)
-    here = code[None, :] == np.arange(len(names))[:, None]
-    n, first, last = here.sum(1), here.argmax(1), here.shape[1] - 1 - here[:, ::-1].argmax(1)
-    place = np.arange(here.shape[1])
-    after_first = (place[None, :] > first[:, None]).astype(np.int64) @ here.T.astype(np.int64)  # [a, b]
-    before_last = (place[None, :] < last[:, None]).astype(np.int64) @ here.T.astype(np.int64)  # [b, a]
-    pairs = [{"a": names[a], "b": names[b], "precedes": int(after_first[a, b]), "follows": int(before_last[b, a])} for a in range(len(names)) for b in range(len(names)) if a != b]
-    return [{"t": t, "n": int(c)} for t, c in zip(names, n, strict=True)], pairs
-
-
-def _updated(length: int, timed: bool):
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, ids, types = ([], [], []) if not state.exists else (list(c) for c in state.get)
-        for b in batches:
-            at += b["at"].tolist()
-            ids += b["id"].tolist()
-            types += b["type"].tolist()
-        state.update((at, ids, types))
-        if timed:
-            state.setTimeoutTimestamp((int(key[1]) + 1) * length // 1000)
-        counts, pairs = summary(at, ids, types)
-        yield pd.DataFrame({"k": pd.array([None if pd.isna(key[0]) else int(key[0])], dtype="Int64"), "segment": [int(key[1])], "types": [counts], "pairs": [pairs]})
-
-    return update
-
-
-def segment_summaries(events: DataFrame, key: str = "user_id", seconds: int = 86_400, late: str | None = None) -> DataFrame:
-    """A stream of rows (k, segment, types, pairs): new versions of the summaries of segments of ``seconds``, in update mode. ``key`` is a whole number."""
+def summary(types: Column) -> tuple[Column, Column]:
+    """Of a segment's event types in order: (t, n) for each type, and (a, b, precedes, follows) for pairs of different types: events b after the first a, and
+    events a before the last b."""
+    names = F.array_sort(F.array_distinct(types))
+    long = lambda c: c.cast("long")
+    after = lambda a: F.slice(types, F.array_position(types, a).cast("int") + 1, F.size(types))
+    before = lambda b: F.slice(types, 1, F.size(types) - F.array_position(F.reverse(types), b).cast("int"))
+    among = lambda part, t: long(F.size(F.filter(part, lambda x: x == t)))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"), among(after(a), b).alias("precedes"), among(before(b), a).alias("follows"))
+    pairs = F.flatten(F.transform(names, lambda a: F.transform(F.filter(names, lambda b: b != a), lambda b: pair(a, b))))
+    return F.transform(names, lambda t: F.struct(t.alias("t"), among(types, t).alias("n"))), pairs
+
+
+def segment_summaries(events: DataFrame, key: str = "user_id", segment: str = "1 day", late: str | None = None) -> DataFrame:
+    """A stream of rows (k, segment, types, pairs): new versions of the summaries of segments (the seconds at which they begin), in update mode. ``key`` is a
+    whole number."""
     t = events.withColumn("_time", F.col("ts").cast("timestamp")).where("_time IS NOT NULL AND event_type IS NOT NULL")
     if late:
         t = t.withWatermark("_time", late)
-    length = seconds * 1_000_000
-    micros = F.unix_micros("_time")
-    columns = [F.col(key).cast("long").alias("k"), F.floor(micros / length).cast("long").alias("segment"), micros.alias("at"), F.coalesce(F.col("event_id").cast("long"), F.lit(-1 << 63)).alias("id"), F.col("event_type").alias("type")]
-    t = t.select(*columns, *(["_time"] if late else []))
-    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
-    return t.groupBy("k", "segment").applyInPandasWithState(_updated(length, bool(late)), SUMMARY, PLACES, "update", timeout)
+    place = F.struct(F.col("_time").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("type"))
+    held = t.groupBy(F.col(key).cast("long").alias("k"), F.window("_time", segment).alias("w")).agg(F.sort_array(F.collect_list(place)).alias("places"))
+    held = held.select("k", F.unix_seconds("w.start").alias("segment"), F.col("places.type").alias("order"))
+    types, pairs = summary(F.col("order"))
+    return held.select("k", "segment", types.alias("types"), pairs.alias("pairs"))
 
 
 def run_to_end(summaries: DataFrame, path: str) -> DataFrame:
