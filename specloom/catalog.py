@@ -688,4 +688,4 @@ def _(spark, sf_dir):
     return counted.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-from . import catalog_diagrams, catalog_mining, catalog_temporal  # noqa: E402, F401  register their queries
+from . import catalog_diagrams, catalog_interleaved, catalog_mining, catalog_temporal  # noqa: E402, F401  register their queries

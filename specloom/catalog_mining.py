@@ -330,8 +330,14 @@ def _(spark, sf_dir):
 def _mined(spark: SparkSession, sf_dir: str, thetas: tuple[float, ...] = (c.THETA,), shares: tuple[float, ...] = (REMOVED,)) -> tuple[DataFrame, DataFrame]:
     """Attempts of every network and threshold (model_id: network@theta), and for each share of removed cross edges the networks that judge them
     (model_id: network@theta/share), in one job. Paths above the lowest threshold are found once and filtered for the others."""
-    t, v = networks = c._learned(spark, sf_dir)
-    paths = mining.flagged(c._numbered(spark, sf_dir, networks), patterns.edge_flags(v))
+    networks = c._learned(spark, sf_dir)
+    return _mined_of(networks, c._numbered(spark, sf_dir, networks), LENGTH, thetas, shares)
+
+
+def _mined_of(networks: tuple[DataFrame, DataFrame], numbered: DataFrame, length: int, thetas: tuple[float, ...] = (c.THETA,), shares: tuple[float, ...] = (REMOVED,)) -> tuple[DataFrame, DataFrame]:
+    """The same for networks (cpt, vertices) with up to ``length`` places a signal, and their numbered paths."""
+    t, v = networks
+    paths = mining.flagged(numbered, patterns.edge_flags(v))
     at = lambda x: F.format_string("%s@%.2f", "model_id", x)
     each = paths.withColumn("theta", F.explode(F.array(*map(F.lit, thetas)))).where("metric <= 1 - theta")
     found = mining.attempts(checkpointed(each.withColumn("model_id", at("theta")).drop("nodes")))
@@ -341,7 +347,7 @@ def _mined(spark: SparkSession, sf_dir: str, thetas: tuple[float, ...] = (c.THET
     gone = reduce(DataFrame.union, [nw.chosen_edges(cross, share=x).withColumn("model_id", of(F.lit(x))) for x in shares])
     every = lambda df: df.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("model_id", of(F.col("share"))).drop("share")
     gone = checkpointed(gone)
-    judges = mining.judge(checkpointed(nw.without_edges(every(t), gone)), nw.reduced(every(v), gone), LENGTH)
+    judges = mining.judge(checkpointed(nw.without_edges(every(t), gone)), nw.reduced(every(v), gone), length)
     named = F.concat(at("theta"), F.lit("/"), F.element_at("id", 2))
     judges = judges.withColumn("theta", F.explode(F.array(*map(F.lit, thetas)))).withColumn("id", F.split("model_id", "/")).withColumn("model_id", F.element_at("id", 1))
     judges = checkpointed(judges.withColumn("model_id", named).drop("theta", "id"))
