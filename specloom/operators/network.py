@@ -205,6 +205,18 @@ def depths(e: DataFrame, v: DataFrame, levels: int) -> DataFrame:
     return depth.withColumn("depth", F.when(top < levels, F.col("depth")).otherwise(F.raise_error(F.lit("the graph has a cycle or more levels"))))
 
 
+def ordered(e: DataFrame, v: DataFrame, levels: int, only: DataFrame | None = None) -> DataFrame:
+    """Rows (model_id, vertex, depth, place): vertices in topological order, by depth, then by name. ``only`` (model_id, vertex): of these, where just the edges
+    between two of them count, so a way that leaves them orders nothing."""
+    if only is not None:
+        only = only.select("model_id", "vertex").distinct()
+        v = v.join(only, ["model_id", "vertex"], "left_semi")
+        e = e.join(only.withColumnRenamed("vertex", "src"), ["model_id", "src"], "left_semi").join(only.withColumnRenamed("vertex", "dst"), ["model_id", "dst"], "left_semi")
+        e = e.select("model_id", "src", "dst")
+    order = Window.partitionBy("model_id").orderBy("depth", "vertex")
+    return depths(e, v, levels).select("model_id", "vertex", "depth", (F.row_number().over(order) - 1).alias("place"))
+
+
 def marginals(cpt: DataFrame, levels: int) -> DataFrame:
     """Rows (model_id, vertex, outcome, p), taking the parents of a vertex as independent."""
     row = ["model_id", "vertex", "parent_vals", "outcome"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -121,11 +121,10 @@ def node_data(models: DataFrame) -> DataFrame:
 
 def ordered_skeleton(models: DataFrame, levels: int) -> DataFrame:
     """Vertices of model files with their place in topological order: by the longest way from a root, then by name."""
-    from ..operators.network import depths
+    from ..operators.network import ordered
 
     vertices, edges = skeleton(models)
-    order = Window.partitionBy("model_id").orderBy("depth", "vertex")
-    return depths(edges.select("model_id", "src", "dst"), vertices, levels).select("model_id", "vertex", "depth", (F.row_number().over(order) - 1).alias("place"))
+    return ordered(edges.select("model_id", "src", "dst"), vertices, levels)
 
 
 def write_specs(specs: DataFrame, path: str) -> None:

@@ -269,6 +269,10 @@ def test_until_variant_and_fairness(spark):
     name, labelled = k.labelled_fair(["q"])
     assert name == "fair" and states(labelled.sat("fair")) == {"1", "2", "3", "4"} and labelled.labelled_fair(["p"])[0] == "fair0"
     assert states(k.next(k.sat("p"))) == {"2", "3"} and k.substructure(k.sat("q")).labels.count() == 2
+    kept, whole = k.substructure(k.sat("q")), states(k.sat("q"))
+    assert states(kept.states) == whole
+    assert {(t.src, t.dst) for t in kept.transitions.collect()} == {(t.src, t.dst) for t in k.transitions.collect() if t.src in whole and t.dst in whole}
+    assert sorted(map(tuple, kept.labels.collect())) == sorted(tuple(x) for x in k.labels.collect() if x.state in whole)
 
 
 def test_components_equal_closure(spark):
@@ -391,3 +395,15 @@ def test_attempts_equal_runs_over_all_pairs(spark, sf_dir):
     plain = lambda df: sorted(str(r) for r in df.collect())
     got = mining.attempts(found).select(F.concat_ws("/", "model_id", "path_id").alias("key"), "step", "symbols")
     assert plain(got) == plain(runs.select("key", "step", "symbols"))
+
+
+def test_order_of_some_vertices_follows_edges_between_them_only(spark):
+    from specloom.operators.network import ordered
+
+    e = spark.createDataFrame([("m", "d", "c"), ("m", "c", "b"), ("m", "b", "a"), ("m", "d", "a"), ("n", "a", "b")], "model_id string, src string, dst string")
+    v = spark.createDataFrame([("m", x) for x in "abcd"] + [("n", x) for x in "ab"], "model_id string, vertex string")
+    order = lambda df: [(r.model_id, r.vertex) for r in df.orderBy("model_id", "place").collect()]
+    assert order(ordered(e, v, 4)) == [("m", "d"), ("m", "c"), ("m", "b"), ("m", "a"), ("n", "a"), ("n", "b")]
+    only = spark.createDataFrame([("m", "b"), ("m", "d"), ("m", "a"), ("m", "a"), ("m", "x")], "model_id string, vertex string")
+    # Without c nothing orders d before b, so names do; a comes after both.
+    assert order(ordered(e, v, 4, only)) == [("m", "b"), ("m", "d"), ("m", "a")]
