@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,12 +45,16 @@ def ancestral(cpt: DataFrame, ids: DataFrame, order: list[tuple[str, list[str]]]
     c = checkpointed(c)
     if c.count() > most_rows:  # too many networks for a row each that every task has: one join per vertex
         return _by_joins(c, ids, order, seed, evidence or {})
-    # All rows of a network's tables are one map, so that a draw is a lookup and samples are never shuffled.
-    out = ids.join(F.broadcast(c.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "cdf"))).alias("_rows"))), "model_id")
+    # A broadcast row per vertex and parents' values, met by its hash: samples are never shuffled, and a draw costs the same however large a network is.
+    rows = F.broadcast(c.select("model_id", F.col("key").alias("_key"), "cdf"))
+    out = ids.join(F.broadcast(c.select("model_id").distinct()), "model_id", "left_semi")
     for vertex, parents in order:
-        drawn = chosen(F.element_at("_rows", _row_of(vertex, parents)), uniform(F.lit(str(seed)), F.col("sample_key"), F.lit(vertex)))
-        out = out.withColumn(vertex, F.lit(evidence[vertex]) if vertex in (evidence or {}) else drawn)
-    return out.drop("_rows")
+        if vertex in (evidence or {}):
+            out = out.withColumn(vertex, F.lit(evidence[vertex]))
+            continue
+        u = uniform(F.lit(str(seed)), F.col("sample_key"), F.lit(vertex))
+        out = out.withColumn("_key", _row_of(vertex, parents)).join(rows, ["model_id", "_key"], "left").withColumn(vertex, chosen(F.col("cdf"), u)).drop("_key", "cdf")
+    return out
 
 
 def _row_of(vertex: str, parents: list[str]) -> Column:
@@ -68,10 +73,61 @@ def _by_joins(c: DataFrame, ids: DataFrame, order: list[tuple[str, list[str]]],
     return out
 
 
-def gibbs(cpt: DataFrame, ids: DataFrame, order: list[tuple[str, list[str]]], sweeps: int, evidence: dict[str, str], seed: int = 0) -> DataFrame:
+def _around(vertex: str, order: list[tuple[str, list[str]]]) -> tuple[list[str], list[tuple[str, list[str]]]]:
+    """What a vertex's draw depends on: its parents, its children and their other parents; and the children with their parents."""
+    children = [(v, pa) for v, pa in order if vertex in pa]
+    near = [*dict(order)[vertex], *(x for v, pa in children for x in (v, *pa))]
+    return [x for x in dict.fromkeys(near) if x != vertex], children
+
+
+def _conditionals(cpt: DataFrame, order: list[tuple[str, list[str]]], drawn: list[str]) -> DataFrame:
+    """Rows (model_id, _key, cdf): for each vertex of ``drawn`` and each combination of what is around it the values' cumulated weights (c, x), where a weight is the value's own
+    probability times those of the children given it. A combination for which the tables lack a probability has no row."""
+
+    def factor(vertex: str, parents: list[str], p: str) -> DataFrame:
+        t = cpt.where((F.col("vertex") == vertex) & (F.size("parent_vals") == len(parents)))
+        return t.select("model_id", *(F.get("parent_vals", i).alias(x) for i, x in enumerate(parents)), F.col("outcome").alias(vertex), F.col("p").alias(p), *([F.col("outcome_idx").alias("_idx")] if p == "_p" else []))
+
+    sizes = cpt.groupBy("model_id", F.col("vertex").alias("_vertex")).agg(F.countDistinct("outcome").alias("_n"))
+    none, found = F.array().cast("array<struct<c:double,x:string>>"), []
+    for vertex in drawn:
+        around, children = _around(vertex, order)
+        t, w = factor(vertex, dict(order)[vertex], "_p"), F.col("_p")
+        for i, (child, parents) in enumerate(children):
+            f = factor(child, parents, f"_p{i}")
+            t, w = t.join(f, [x for x in f.columns if x in t.columns]), w * F.col(f"_p{i}")
+        key = F.concat_ws("|", F.lit(vertex), *around)
+        each = t.groupBy("model_id", key.alias("_key")).agg(F.array_sort(F.collect_list(F.struct("_idx", F.col(vertex).alias("x"), w.alias("w")))).alias("each"))
+        each = each.withColumn("_vertex", F.lit(vertex)).join(F.broadcast(sizes), ["model_id", "_vertex"]).where(F.size("each") == F.col("_n"))
+        cdf = F.aggregate("each", none, lambda a, e: F.concat(a, F.array(F.struct((F.coalesce(F.get(a, F.size(a) - 1)["c"], F.lit(0.0)) + e["w"]).alias("c"), e["x"].alias("x")))))
+        found.append(each.select("model_id", "_key", cdf.alias("cdf")))
+    return reduce(DataFrame.union, found)
+
+
+def gibbs(cpt: DataFrame, ids: DataFrame, order: list[tuple[str, list[str]]], sweeps: int, evidence: dict[str, str], seed: int = 0, most_rows: int = 100_000) -> DataFrame:
     """The state of a chain for each of ``ids`` after ``sweeps`` sweeps of Gibbs sampling given ``evidence``: from an ancestral draw on, each other vertex in
-    turn is drawn given its parents and children. Chains are rows, independent of each other; a network's tables are one row, as in ``ancestral``.
+    turn is drawn given its parents and children. Chains are rows, independent of each other, and never shuffled: a draw looks its weights up in a broadcast table of all
+    combinations around the vertex. Where these could be more than ``most_rows`` every row computes its weights from a network's tables.
     If no value has a chance the vertex keeps its own."""
+    drawn = [v for v, _ in order if v not in evidence]
+    values = cpt.groupBy("model_id", "vertex").agg(F.countDistinct("outcome").alias("n"))
+    most = {r.vertex: r for r in values.groupBy("vertex").agg(F.max("n").alias("n"), F.count("*").alias("models")).where(F.col("vertex").isin([v for v, _ in order])).collect()}
+    if not drawn or any(v not in most for v, _ in order) or sum(most[v].models * math.prod(most[x].n for x in [v, *_around(v, order)[0]]) for v in drawn) > most_rows:
+        return _gibbs_in_rows(cpt, ids, order, sweeps, evidence, seed)
+    rows = F.broadcast(checkpointed(_conditionals(cpt, order, drawn)))
+    out = ancestral(cpt, ids, order, seed, evidence)
+    for sweep in range(sweeps):
+        for vertex in drawn:
+            goal = F.element_at("cdf", -1)["c"] * uniform(F.lit(str(seed)), F.col("sample_key"), F.lit(vertex), F.lit(str(sweep)))
+            out = out.withColumn("_key", F.concat_ws("|", F.lit(vertex), *_around(vertex, order)[0])).join(rows, ["model_id", "_key"], "left").withColumn("_goal", goal)
+            pick = F.get(F.filter("cdf", lambda x: x["c"] > F.col("_goal")), 0)["x"]
+            out = out.withColumn(vertex, F.coalesce(pick, F.col(vertex))).drop("_key", "_goal", "cdf")
+        out = checkpointed(out)  # joins of one sweep only
+    return out
+
+
+def _gibbs_in_rows(cpt: DataFrame, ids: DataFrame, order: list[tuple[str, list[str]]], sweeps: int, evidence: dict[str, str], seed: int) -> DataFrame:
+    """``gibbs`` for networks with too many combinations around a vertex for a table: a network's tables are one row, joined to each chain."""
     values = cpt.groupBy("model_id", "vertex").agg(F.array_sort(F.collect_set(F.struct("outcome_idx", "outcome"))).alias("v"))
     values = values.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct("vertex", F.col("v.outcome").alias("v")))).alias("_vals"))
     p = cpt.select("model_id", F.concat_ws("|", "vertex", F.array_join("parent_vals", "|"), "outcome").alias("key"), "p")

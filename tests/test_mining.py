@@ -345,6 +345,21 @@ def test_gibbs_chains_equal_a_plain_loop(spark):
     assert some == others
 
 
+def test_gibbs_by_a_table_of_combinations_equals_weights_in_rows(spark):
+    """Also where a child lacks a probability, so that a vertex keeps its value."""
+    from specloom.operators import sampling
+
+    t, _ = worked(spark)
+    order = [("A_0", []), ("B_0", []), ("A_1", ["A_0"]), ("B_1", ["B_0", "A_0"])]
+    ids = spark.createDataFrame([("m", str(i)) for i in range(40)], "model_id string, sample_key string")
+    gap = t.where("NOT (vertex = 'A_1' AND outcome_idx = 1)")
+    for tables in (t, gap):
+        some, others = (sorted(map(tuple, sampling.gibbs(tables, ids, order, 2, {"B_0": "b1"}, most_rows=n).select("sample_key", *dict(order)).collect())) for n in (100_000, 0))
+        assert some == others and len(some) == 40
+    rows = sampling._conditionals(t, order, ["A_0", "A_1", "B_1"]).collect()
+    assert len(rows) == len({(r.model_id, r._key) for r in rows}) and len({r._key.split("|")[0] for r in rows}) == 3
+
+
 def test_model_files_and_factor_errors(spark, tmp_path):
     from specloom.operators import factors
     from specloom.sources import tables
