@@ -37,6 +37,7 @@ from .common import give_back, table
 
 LENGTH = 50
 ANCHOR = 20
+SLICE = 1 << 20
 LAST = (1 << 63) - 1
 _U = np.uint64
 
@@ -69,11 +70,28 @@ class Batch:
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.sizes = np.array([len(x) for x in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        total, keep = len(self.bytes), max(len(self.bytes) - length + 1, 0)
         self.anchor, self.start, self.count, self.doc = np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        # Texts of about SLICE bytes at a time: what is made for each byte takes many times the text's room.
+        found = [self._segments(i, j, length) for i, j in self._slices()]
+        if found:
+            self.anchor, self.start, self.count, self.doc = (np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _slices(self) -> list[tuple[int, int]]:
+        """Ranges of documents with about SLICE bytes each; a longer one is a range of its own."""
+        out, i, n = [], 0, len(self.ids)
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + SLICE, "right")) - 1)
+            out.append((i, j))
+            i = j
+        return out
+
+    def _segments(self, i: int, j: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors, places, numbers of windows and documents of the segments in the documents from ``i`` to before ``j``."""
+        base, text, starts = self.starts[i], self.bytes[self.starts[i] : self.starts[j]], self.starts[i : j + 1] - self.starts[i]
+        total, keep = len(text), max(len(text) - length + 1, 0)
         if not keep:
-            return
-        eight = _words_at(self.bytes)
+            return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        eight = _words_at(text)
         h, m = np.zeros(total - ANCHOR + 1, _U), total - ANCHOR + 1
         for k in [*range(0, ANCHOR - 7, 8), *([ANCHOR - 8] if ANCHOR % 8 else [])]:
             h ^= eight[k : k + m]
@@ -87,13 +105,14 @@ class Batch:
             h = np.minimum(h[:-span], h[span:])
             span *= 2
         low = np.minimum(h[:keep], h[width - span : width - span + keep])
-        owner = np.repeat(np.arange(n), self.sizes)[:keep]
-        valid = np.arange(keep) + length <= self.starts[owner + 1]
+        del h
+        owner = np.repeat(np.arange(j - i), np.diff(starts))[:keep]
+        valid = np.arange(keep) + length <= starts[owner + 1]
         cut = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]) | (valid[1:] != valid[:-1])]))
         count = np.diff(np.append(cut, keep))
         good = valid[cut]
-        self.start, self.count = cut[good], count[good]
-        self.anchor, self.doc = low[self.start], owner[self.start]
+        start = cut[good]
+        return low[start], start + base, count[good], owner[start] + i
 
     def weights(self, length: int) -> np.ndarray:
         """A number for each segment that tells different ones of an anchor apart by their ends: good enough for counts."""
@@ -117,14 +136,25 @@ class Batch:
 
     def keys(self, length: int, at: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the bytes of the segments ``at``, from a prefix sum of scrambled bytes times powers."""
-        n, odd = len(self.bytes), 0x9E3779B97F4A7C15
+        slices, odd = self._slices(), 0x9E3779B97F4A7C15
+        n = max((int(self.starts[j] - self.starts[i]) for i, j in slices), default=0)
         power, back = np.full(n + 1, odd, _U), np.full(n + 1, pow(odd, -1, 1 << 64), _U)
         power[0] = back[0] = 1
         np.multiply.accumulate(power, out=power)
         np.multiply.accumulate(back, out=back)
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mix(self.bytes.astype(_U) + _U(0x1234567)) * power[:n], dtype=_U)])
-        a, b = self.start[at], self.start[at] + self.count[at] + length - 1
-        return _mix((sums[b] - sums[a]) * back[a] + self.anchor[at] * _U(31) + self.count[at].astype(_U)).view(np.int64)
+        out, doc = np.empty(len(at), _U), self.doc[at]
+        order = np.argsort(doc, kind="stable")  # a hash doesn't depend on where the bytes are, so slices give the same
+        cut = np.searchsorted(doc[order], [i for i, _ in slices] + [len(self.ids)])
+        for (i, j), x, y in zip(slices, cut[:-1], cut[1:], strict=True):
+            own = order[x:y]
+            if not len(own):
+                continue
+            base, text = self.starts[i], self.bytes[self.starts[i] : self.starts[j]]
+            sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mix(text.astype(_U) + _U(0x1234567)) * power[: len(text)], dtype=_U)])
+            a = self.start[at[own]] - base
+            b = a + self.count[at[own]] + length - 1
+            out[own] = (sums[b] - sums[a]) * back[a]
+        return _mix(out + self.anchor[at] * _U(31) + self.count[at].astype(_U)).view(np.int64)
 
 
 def _split(anchor: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:

@@ -133,6 +133,31 @@ def test_passages_odd_rows(spark):
     assert suffix_dedup.repeated(odd(spark).limit(0)).count() == 0
 
 
+def test_segments_and_keys_do_not_depend_on_slices(monkeypatch):
+    """Arrays with an entry for each byte are made for a slice of the texts at a time: a batch takes less than 20 bytes a byte beside its text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcé \n"), int(n))) for n in rng.integers(0, 400, 300)] + [None, "", "x" * 49, "y" * 5000]
+    t = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    got = []
+    for size in (1 << 30, 1000, 1):
+        monkeypatch.setattr(suffix_dedup, "SLICE", size)
+        b = suffix_dedup.Batch(t, 50)
+        at = np.arange(len(b.start))[::-1]
+        got.append([x.tolist() for x in (b.anchor, b.start, b.count, b.doc, b.keys(50, at))])
+    assert got[0] == got[1] == got[2] and len(got[0][0]) > 100
+    monkeypatch.undo()
+    big = pa.table({"doc_id": pa.array(range(8), pa.int64()), "text": pa.array(["".join(map(chr, rng.integers(97, 123, 1 << 19))) for _ in range(8)])})
+    tracemalloc.start()
+    suffix_dedup.Batch(big, 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 << 22
+
+
 def test_difference_cover_order():
     rng = np.random.default_rng(0)
     for _ in range(100):
