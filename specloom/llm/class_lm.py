@@ -315,6 +315,19 @@ def _answers(vocabulary: DataFrame, kinds: DataFrame, seeds: Seeds, with_counts:
     return asked.select("part", "batch", "a", "n").unionByName(kinds).groupBy("part").applyInArrow(answer, "batch long, part long, a binary, s binary, n binary")
 
 
+def _counts(vocabulary: DataFrame) -> DataFrame:
+    """Rows (batch, part, n): of each batch's words of each part the counts."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        batch = t.column("batch").to_numpy()
+        n = _read(t.column("n")[int(np.flatnonzero(batch == WORDS)[0])], "<i8")
+        own = np.flatnonzero(batch >= 0)
+        packed = [_blob(n[_places(t.column("a")[int(k)])], "<i8") for k in own]
+        return pa.table({"batch": pa.array(batch[own]), "part": t.column("part").take(pa.array(own)), "n": pa.array(packed, pa.binary())})
+
+    return vocabulary.select("part", "batch", "a", "n").groupBy("part").applyInArrow(answer, "batch long, part long, n binary")
+
+
 def _joined(right: pa.Table, column: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The numbers of a batch's answers, in the order of its words; its parts, and where their words start (one more entry)."""
     part = right.column("part").to_numpy()
@@ -587,16 +600,22 @@ def clustered(encoded: DataFrame, words: DataFrame, seeds: Seeds, of_seeds: np.n
     raise AssertionError
 
 
+def _counted(docs: DataFrame, batch_bytes: int, per_part: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """The encoded batches, their vocabulary with counts, and how many training tokens and training words there are."""
+    encoded = settle(encoded_batches(docs, batch_bytes), "encoded")
+    parts = max(1, math.ceil((encoded.agg(F.sum("words")).first()[0] or 0) / per_part))
+    words = settle(vocabulary(encoded, parts), "vocabulary")
+    total, distinct = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    return encoded, words, total, distinct
+
+
 def score_texts(docs: DataFrame, share: int = 4096, classes: int = 24, least_gain: float = 0.01, batch_bytes: int = 9 << 20, per_part: int = 1 << 18) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of rows (doc_id, text, held_out). ``classes`` is the least
     number of classes: it is the cube root of the number of training words where that is more."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     with _shuffles_removed(spark):
-        encoded = settle(encoded_batches(docs, batch_bytes), "encoded")
-        parts = max(1, math.ceil((encoded.agg(F.sum("words")).first()[0] or 0) / per_part))
-        words = settle(vocabulary(encoded, parts), "vocabulary")
-        total, distinct = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+        encoded, words, total, distinct = _counted(docs, batch_bytes, per_part)
         seeds = Seeds(words, total, share)
         n_classes = max(2, min(max(classes, math.ceil(distinct ** (1 / 3))), distinct))
         of_seeds = _fit_seeds(seed_bigrams(encoded, seeds), len(seeds), n_classes)
@@ -631,6 +650,30 @@ def score_texts(docs: DataFrame, share: int = 4096, classes: int = 24, least_gai
     return out.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
+def base_scores(docs: DataFrame, batch_bytes: int = 9 << 20, per_part: int = 1 << 18) -> DataFrame:
+    """The rows of ``score_texts`` without ``score``: the base model needs the counts of words only, no classes."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
+    with _shuffles_removed(spark):
+        encoded, words, total, distinct = _counted(docs, batch_bytes, per_part)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, kinds = ["doc_id", "held_out", "n_tokens", "n_known", "base_score"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
+        if not left.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names)
+        t = Tokens(left)
+        c, n = _joined(right, "n", "<i8")[0][t.codes], len(t.starts) - 1
+        sums = lambda x, of=np.repeat(np.arange(n), np.diff(t.starts)): np.bincount(of, x, n)
+        base = sums(np.log10((c + 0.5) / (total + 0.5 * (distinct + 1))))
+        out = pa.table([t.cell("doc_id").values, pa.array(t.held_out), pa.array(np.diff(t.starts)), pa.array(sums(c > 0).astype(np.int64)), pa.array(base)], names)
+        give_back()
+        return out
+
+    tokens_ = encoded.select("batch", "codes", "starts", "doc_id", "held_out")
+    out = tokens_.groupBy("batch").cogroup(_counts(words).groupBy("batch")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double")
+    return out.withColumn("train_tokens", F.lit(total).cast("long"))
+
+
 def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 5) == 1)
     return score_texts(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, class_lm, decontamination, filter_audit, html_text, language, mixing, near_dedup, oracles, prefix_trie, quality, suffix_dedup, token_counts, warc
+from .common import remainder, table
 
 
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +15,8 @@ def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return class_lm.op6_class_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 5) == 1)
+    return class_lm.base_scores(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
 
 
 QUERIES = {

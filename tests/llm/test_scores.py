@@ -166,6 +166,18 @@ def test_choices_equal_the_likelihood():
         assert value[got[w] - 1] == pytest.approx(max(value))
 
 
+def test_base_scores_need_no_classes(spark, monkeypatch):
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    rows = [(i, " ".join(f"w{(i * k * k) % 37}" for k in range(i % 9)), i % 5 == 1) for i in range(60)] + [(None, None, None), (70, "", False), (3, "A b  c", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    rows_of = lambda t: sorted(map(tuple, t.select(columns).collect()), key=str)
+    want = rows_of(class_lm.score_texts(docs, share=20, classes=4))
+    none = rows_of(class_lm.score_texts(docs.limit(0)))
+    monkeypatch.setattr(class_lm, "clustered", None)
+    assert rows_of(class_lm.base_scores(docs)) == want == rows_of(class_lm.base_scores(docs.repartition(3), batch_bytes=64, per_part=7))
+    assert rows_of(class_lm.base_scores(docs.limit(0))) == none == []
+
+
 def test_class_lm_odd_rows(spark):
     docs = odd(spark).drop("held_out").selectExpr("*", "doc_id IN (5, 6) AS held_out")
     got = class_lm.score_texts(docs).collect()
