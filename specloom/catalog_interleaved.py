@@ -34,7 +34,7 @@ def _in_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event once for each number of origins: the user's origin ``o``, the log ``log`` that users of all origins share, and the place in the own trace."""
     p = c.placed(spark, sf_dir).withColumn("n", F.explode(F.array(*map(F.lit, ORIGINS))))
     p = p.withColumn("o", F.pmod("user_id", F.col("n"))).withColumn("log", F.floor(F.col("user_id") / F.col("n")).cast("long"))
-    return p.withColumn("model_id", F.format_string("n%d", "n")).withColumn("signal", F.format_string("F%dV", "o")).withColumn("v", F.when(F.col("value") >= c.CUT, "hi").otherwise("lo"))
+    return p.withColumn("model_id", F.concat(F.lit("n"), F.col("n").cast("string"))).withColumn("signal", F.concat(F.lit("F"), F.coalesce(F.col("o").cast("string"), F.lit("null")), F.lit("V"))).withColumn("v", F.when(F.col("value") >= c.CUT, "hi").otherwise("lo"))
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +66,10 @@ def _(spark, sf_dir):
 
 def _invariants(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """Invariants at or above 0.8 in logs of ``n`` origins, whose tokens begin with their origin."""
-    token = F.format_string("F%d.%s:%s", F.pmod("user_id", F.lit(n)), F.col("event_type"), F.when(F.col("value") >= c.CUT, "hi").otherwise("lo"))
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
+    token = F.concat(F.lit("F"), text(F.pmod("user_id", F.lit(n))), F.lit("."), text(F.col("event_type")), F.when(F.col("value") >= c.CUT, ":hi").otherwise(":lo"))
     events = read(spark, sf_dir, "events").select(F.floor(F.col("user_id") / n).cast("long").alias("log"), "event_id", "ts", token.alias("event_type"))
-    placed = tr.positions(events, "log")
-    return tr.invariants(tr.pair_counts(placed, "log"), 0.8)
+    return tr.invariants(tr.pair_counts(events, "log", tr.by_time()), 0.8)
 
 
 def _pairs_sql(n: int) -> str:

@@ -35,7 +35,8 @@ def observations(values: DataFrame, vertices: DataFrame) -> DataFrame:
     """Rows (model_id, vertex, parents, parent_vals, outcome) from ``values`` (model_id, log, sample, signal, idx, value): one for each vertex of a sample that it and all
     its parents have a value for, the largest of several. A sample's values are one row; the vertices of a model are one row, too, so models meet samples by a small join."""
     none = F.array().cast("array<string>")
-    one = values.where("value IS NOT NULL").groupBy("model_id", "log", "sample", "signal", "idx").agg(F.max("value").alias("value"))
+    # One shuffle, by sample, for both sums.
+    one = values.where("value IS NOT NULL").repartition("model_id", "log", "sample").groupBy("model_id", "log", "sample", "signal", "idx").agg(F.max("value").alias("value"))
     pair = F.struct(F.concat("signal", F.lit("_"), F.col("idx").cast("string")), "value")
     samples = one.groupBy("model_id", "log", "sample").agg(F.map_from_entries(F.collect_list(pair)).alias("at"))
     models = vertices.groupBy("model_id").agg(F.collect_list(F.struct("vertex", F.coalesce("parents", none).alias("parents"))).alias("net"))

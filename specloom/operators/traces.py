@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIXED_COMPLEXITY = {"precedes": (2, 2), "follows": (3, 2), "not_followed": (4, 2)}
@@ -50,15 +50,22 @@ def transition_cpt(pairs: DataFrame) -> DataFrame:
     return n.select("cur", "nxt", "n", p.alias("p"), (1 - p).alias("w"))
 
 
-def pair_counts(placed: DataFrame, key: str = "user_id") -> DataFrame:
+def by_time() -> Column:
+    """What orders events as ``positions`` does: (ts, event_id), and the type where rows repeat both."""
+    return F.struct("ts", "event_id", "event_type")
+
+
+def pair_counts(placed: DataFrame, key: str = "user_id", place: Column | str = "pos") -> DataFrame:
     """Rows (a, b, n_a, n_b, precedes, follows) for ordered pairs of different event types.
 
     ``precedes``: events b with an a earlier in their trace; ``follows``: events a with a b later in theirs. A trace gives the first and
-    last place of each type, and events are compared with those, not with each other.
+    last place of each type, and events are compared with those, not with each other. ``place`` is anything that orders a trace's events, such as
+    ``by_time()``, which needs no positions.
     """
-    types = placed.groupBy(F.col(key).alias("k"), F.col("event_type").alias("t")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    types = placed.groupBy(F.col(key).alias("k"), F.col("event_type").alias("t")).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    place = F.col(place) if isinstance(place, str) else place
     seen = placed.join(types, F.col(key).eqNullSafe(F.col("k"))).where("event_type <> t")
-    counts = seen.groupBy(F.col("event_type").alias("e"), "t").agg(F.count(F.when(F.col("first") < F.col("pos"), 1)).alias("earlier"), F.count(F.when(F.col("last") > F.col("pos"), 1)).alias("later"))
+    counts = seen.groupBy(F.col("event_type").alias("e"), "t").agg(F.count(F.when(F.col("first") < place, 1)).alias("earlier"), F.count(F.when(F.col("last") > place, 1)).alias("later"))
     total = placed.groupBy(F.col("event_type").alias("e")).agg(F.count("*").alias("n"))
     every = total.agg(F.collect_list(F.struct("e", "n")).alias("all"))  # a row with all event types
     pairs = every.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.e <> y.e")

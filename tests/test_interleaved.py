@@ -54,3 +54,19 @@ def test_specifications_between_origins(spark):
     rows = [("2", "m", "G(F0V:lo -> F F0V:hi)", True), ("2", "m", "G(F0V:lo -> F F1V:lo)", False), ("2", "m", None, True), ("3", "m", "F F2V:lo", False)]
     got = ci.false_specs(spark.createDataFrame(rows, "model_id string, miner string, ltl string, loose boolean"))
     assert sorted(map(tuple, got.collect())) == [("2", "m", 2, 1, 1), ("3", "m", 1, 0, 0)]
+
+
+def test_pairs_by_time_equal_pairs_by_place(spark):
+    """Null times and users, equal times, and rows that repeat (ts, event_id) with another type; no positions are made."""
+    from pyspark.sql import functions as F
+
+    from specloom.operators import traces as tr
+
+    rows = [(u if u < 4 else None, i, None if (i * u) % 11 == 3 else f"2024-01-0{1 + (i * 7 + u) % 5} 0{(i * 3) % 4}:00:00", "abcd"[(i * i + u) % 4]) for u in range(5) for i in range(40)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
+    by_time = tr.pair_counts(events, place=tr.by_time())
+    got, want = (sorted(map(tuple, t.collect())) for t in (by_time, tr.pair_counts(tr.positions(events))))
+    assert got == want and len(got) == 12 and any(r[4] for r in got)
+    assert "Window" not in by_time._jdf.queryExecution().toString()
+    twice = spark.createDataFrame([(1, 1, "a"), (1, 1, "b")], "user_id long, event_id long, event_type string").withColumn("ts", F.lit(None).cast("timestamp"))
+    assert sorted(map(tuple, tr.pair_counts(twice, place=tr.by_time()).collect())) == [("a", "b", 1, 1, 1, 1), ("b", "a", 1, 1, 0, 0)]
