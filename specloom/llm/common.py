@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +67,14 @@ def drop(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.settled_at)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the Arrow batches that tasks send to Python, for the session from then on: Spark reads the limit when a plan runs. Its default is
+    64 MB, so a whole partition of texts can be one batch, held by the executor's buffers and by Python at once. A limit that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def give_back() -> None:
     """Returns freed memory to the system: Python workers are reused, and what one task leaves allocated its neighbours can't have."""
     pa.default_memory_pool().release_unused()

@@ -9,7 +9,8 @@ script are ruled out. Over the words of a text, the best path through languages
 label are spans. The prediction is the language whose spans have most letters, the score the share of all letters that these spans
 have in scripts of a learned language. Paths are computed for many texts at once, a step per word position.
 
-Tasks take texts in slices of ``SLICE`` bytes, whatever the size of Arrow's batches, and keep sums only.
+Tasks take texts in slices of ``SLICE`` bytes, whatever the size of Arrow's batches, and keep sums only; n-grams exist for a block
+of a slice's distinct words at a time.
 
 Defined cases: null texts and texts without a letter (combining marks alone are none) are ``und`` with score 0; if no language is
 written in a word's script the word says nothing and counts nothing in the score, so a text wholly in unlearned scripts has score 0; ties go
@@ -28,10 +29,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, pieces, remainder, split_words, table
+from .common import bound_batches, lean, pieces, remainder, split_words, table
 
 BUCKETS = 1 << 15
 SLICE = 2 << 20
+BLOCK = 1 << 16
 #: Where scripts start and end among the code points.
 SCRIPTS = [
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x531, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("arabic", 0x750, 0x77F),
@@ -60,22 +62,50 @@ class Words:
         self.letters = pc.utf8_length(letters).to_numpy(zero_copy_only=False).astype(np.int32)
         points = np.frombuffer((" " + "  ".join(letters.to_pylist()) + " ").encode("utf-32-le"), np.uint32)
         self.n = len(self.letters)
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), self.letters + 2) if self.n else np.zeros(len(points), np.int32)
-        size = [len(points) - k for k in range(3)]
-        h, owners, buckets = np.zeros(len(points), np.uint64), [], []
-        for k, m in enumerate(size):
-            h = h[:m]
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h += points[k:]
-            h += np.uint64(k + 1)
-            inside = owner[:m] == owner[k:]
-            inside &= self.letters[owner[:m]] > 0 if self.n else False
-            owners.append(owner[:m][inside])
-            buckets.append(((h[inside] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(49)).astype(np.uint16))
-        self.owner, self.bucket = np.concatenate(owners), np.concatenate(buckets)
-        lead = np.cumsum(self.letters + 2) - self.letters - 1  # the first letter of each word
+        self.points, self.ends = points, np.cumsum(self.letters + 2, dtype=np.int64)
+        lead = self.ends - self.letters - 1  # the first letter of each word
         self.script = np.where(self.letters > 0, _scripts(points[np.minimum(lead, len(points) - 1)]), 0) if self.n else np.zeros(0, np.int64)
 
+    def grams(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Blocks of words of about ``BLOCK`` letters, a longer word alone: which words, and for each n-gram its word's place in the block and its bucket."""
+        i, start = 0, 0
+        while i < self.n:
+            j = max(i + 1, int(np.searchsorted(self.ends, start + BLOCK, "right")))
+            end, letters = int(self.ends[j - 1]), self.letters[i:j]
+            points = self.points[start:end]
+            owner = np.repeat(np.arange(j - i, dtype=np.int32), letters + 2)
+            h, owners, buckets = np.zeros(len(points), np.uint64), [], []
+            for k in range(3):
+                m = len(points) - k
+                h = h[:m]
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h += points[k:]
+                h += np.uint64(k + 1)
+                inside = owner[:m] == owner[k:]
+                inside &= letters[owner[:m]] > 0
+                owners.append(owner[:m][inside])
+                buckets.append(((h[inside] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(49)).astype(np.uint16))
+            yield slice(i, j), np.concatenate(owners), np.concatenate(buckets)
+            i, start = j, end
+
+
+def count_grams(batch: pa.RecordBatch, grams: dict[str, np.ndarray]) -> None:
+    """Adds a batch's n-grams and letters by script to the counts of its languages."""
+    for part in pieces(batch, "text", SLICE):
+        w = Words(part.column("text"))
+        langs = part.column("lang").to_pylist()
+        of_word = np.repeat(np.arange(len(langs), dtype=np.int32), np.diff(w.starts))
+        times = {}
+        for lang in dict.fromkeys(langs):
+            own = np.array([x == lang for x in langs])
+            times[lang] = np.bincount(w.codes[own[of_word]], minlength=w.n)
+            c = grams.setdefault(lang, np.zeros(BUCKETS + len(NAMES)))
+            if w.n:
+                c[BUCKETS:] += np.bincount(w.script, times[lang] * w.letters, len(NAMES))
+        for words, owner, bucket in w.grams():
+            for lang, n in times.items():
+                grams[lang][:BUCKETS] += np.bincount(bucket, n[words][owner], BUCKETS)
+
 
 def learn(docs: DataFrame) -> dict:
     """Learns from rows (text, lang); null langs are left out. Returns languages, log probabilities and allowed scripts."""
@@ -84,21 +114,12 @@ def learn(docs: DataFrame) -> dict:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in pieces(batch, "text", SLICE):
-                w = Words(part.column("text"))
-                langs = part.column("lang").to_pylist()
-                of_word = np.repeat(np.arange(len(langs)), np.diff(w.starts))
-                for lang in dict.fromkeys(langs):
-                    own = np.array([x == lang for x in langs])
-                    times = np.bincount(w.codes[own[of_word]], minlength=w.n)
-                    c = grams.setdefault(lang, np.zeros(BUCKETS + len(NAMES)))
-                    if w.n:
-                        c[:BUCKETS] += np.bincount(w.bucket, times[w.owner], BUCKETS)
-                        c[BUCKETS:] += np.bincount(w.script, times * w.letters, len(NAMES))
+            count_grams(batch, grams)
         for lang, c in grams.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], ["lang", "bucket", "n"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.where("lang IS NOT NULL").select("text", "lang").mapInArrow(lean(count), kinds).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names, total = rows.column("lang").to_pylist(), {}
     for lang, bucket, n in zip(names, rows.column("bucket").to_pylist(), rows.column("n").to_pylist(), strict=True):
@@ -113,7 +134,11 @@ def learn(docs: DataFrame) -> dict:
 
 
 def _word_scores(w: Words, model: dict) -> np.ndarray:
-    s = np.stack([np.bincount(w.owner, row[w.bucket], w.n) for row in model["logp"]], axis=1) / 3
+    s = np.empty((w.n, len(model["logp"])))
+    for words, owner, bucket in w.grams():
+        for k, row in enumerate(model["logp"]):
+            s[words, k] = np.bincount(owner, row[bucket], words.stop - words.start)
+    s /= 3
     allowed = model["allowed"].T[w.script]
     allowed[~allowed.any(axis=1)] = True
     s -= s.max(axis=1, keepdims=True)
@@ -177,6 +202,7 @@ def identify(docs: DataFrame, model: dict, penalty: float = 8.0, with_spans: boo
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2^15 numbers a language
     schema = docs.limit(0).select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), *([F.lit(None).cast(SPANS).alias("spans")] if with_spans else [])).schema
 

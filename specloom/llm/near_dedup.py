@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, lean, pieces, settle, split_words, table
+from .common import bound_batches, drop, lean, pieces, settle, split_words, table
 from .components import components
 
 SKETCH_BITS = 2048
 PACK = 1 << 17
+#: Bytes of texts whose shingles a task has at a time: these take about 30 times the room of their texts.
+SLICE = 1 << 20
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -113,7 +115,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text", 4 << 20):
+            for part in pieces(batch, "text", SLICE):
                 s, starts = shingle_sets(part.column("text"), width)
                 mins = _minhash(s, starts, bands * rows)
                 keys = np.full((len(mins), bands), 0, np.uint64)
@@ -125,6 +127,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 offsets = pa.array(np.arange(len(mins) + 1, dtype=np.int32) * bands)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(starts)), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64))), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "digest", "keys", "sketch"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(sign), "doc_id long, n_shingles long, digest binary, keys array<bigint>, sketch binary")
 
 
@@ -233,7 +236,7 @@ def _hidden(doubtful: DataFrame, labelled: DataFrame, texts: DataFrame, width: i
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", SLICE):
                 s, at = shingle_sets(part.column("text"), width)
                 raw = s.tobytes()
                 sets = [raw[i * 8 : j * 8] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

@@ -10,7 +10,7 @@ they can matter only, and the sort is dealt out by content:
    smallest and the largest id that has it. So all windows that can be equal meet in one bucket, and a passage that a third
    of all documents share is a row per batch. Of an anchor with more than ``hot_segments`` segments (a line with a number that varies, say) every
    window goes on its own, to the bucket of its content: equal ones meet there too, and no bucket gets them all.
-3. A bucket sorts its suffixes with the difference cover {1, 2} modulo 3: sampled triples are sorted and named, the names are
+3. A bucket sorts its suffixes, an eighth of its anchors at a time, with the difference cover {1, 2} modulo 3: sampled triples are sorted and named, the names are
    sorted the same way (until names cover ``length`` bytes), and the other suffixes are merged in. Neighbours in the sorted
    order with equal prefixes of ``length`` bytes form a group, and its smallest id is the first document of that string.
 4. Batches mark the windows whose string starts in a smaller document, and cut the union of marked windows.
@@ -38,6 +38,7 @@ from .common import give_back, table
 LENGTH = 50
 ANCHOR = 20
 SLICE = 1 << 20
+PARTS = 8  # of a bucket, a power of two
 LAST = (1 << 63) - 1
 _U = np.uint64
 
@@ -135,7 +136,8 @@ class Batch:
         return np.arange(len(start)) >= rest
 
     def keys(self, length: int, at: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the bytes of the segments ``at``, from a prefix sum of scrambled bytes times powers."""
+        """A 64-bit hash of the bytes of the segments ``at``, from a prefix sum of scrambled bytes times powers. Its lowest bits come from the anchor
+        alone (a number below ``PARTS``), so segments that can have equal windows share them."""
         slices, odd = self._slices(), 0x9E3779B97F4A7C15
         n = max((int(self.starts[j] - self.starts[i]) for i, j in slices), default=0)
         power, back = np.full(n + 1, odd, _U), np.full(n + 1, pow(odd, -1, 1 << 64), _U)
@@ -154,7 +156,8 @@ class Batch:
             a = self.start[at[own]] - base
             b = a + self.count[at[own]] + length - 1
             out[own] = (sums[b] - sums[a]) * back[a]
-        return _mix(out + self.anchor[at] * _U(31) + self.count[at].astype(_U)).view(np.int64)
+        out = _mix(out + self.anchor[at] * _U(31) + self.count[at].astype(_U))
+        return ((out & ~_U(PARTS - 1)) | (_mix(self.anchor[at]) >> _U(32)) % _U(PARTS)).view(np.int64)
 
 
 def _split(anchor: np.ndarray, partitions: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,6 +259,27 @@ def first_documents(segments: np.ndarray, sizes: np.ndarray, ids: np.ndarray, le
     return out
 
 
+def runs(keys: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one first document, by segment: (segment, id, windows, first window). Segments start at ``starts`` in ``data``. Those whose
+    keys differ in the lowest bits share no window and are sorted apart: a sort takes about 80 times the room of its bytes."""
+    part, found = keys & (PARTS - 1), []
+    for p in range(PARTS):
+        own = np.flatnonzero(part == p)
+        if not len(own):
+            continue
+        n = size[own]
+        place = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        first = first_documents(data[place], n, ids[own], length)
+        del place
+        windows = n - length + 1
+        owner, begin = np.repeat(np.arange(len(own)), windows), np.cumsum(windows) - windows
+        run = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (owner[1:] != owner[:-1])]))
+        found.append((own[owner[run]], first[run], np.diff(np.append(run, len(first))), run - begin[owner[run]]))
+    out = [np.concatenate(x) for x in zip(*found, strict=True)]
+    order = np.argsort(out[0], kind="stable")
+    return tuple(x[order] for x in out)
+
+
 def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20, bucket_bytes: int = 3 << 20, hot_segments: int = 20_000, outputs: tuple[str, ...] = ("spans", "kept"), carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of rows (doc_id, text), with the columns of ``docs`` named in ``carry``
     and these ``outputs``: ``spans``, removed runs as (start, bytes); ``kept``, what is left, as bytes; ``kept_text``, the same as text without
@@ -343,14 +367,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20,
         ids = np.full(len(one), LAST)
         np.minimum.at(ids, which, least)
         size = sizes[one].astype(np.int64)
-        place = np.repeat(starts[one] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        first = first_documents(data[place], size, ids, length)
-        # Runs of windows with one first document: (segment, first window, windows, id).
-        windows = size - length + 1
-        owner, begin = np.repeat(np.arange(len(one)), windows), np.cumsum(windows) - windows
-        run = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (owner[1:] != owner[:-1])]))
-        run_owner, run_first = owner[run], first[run]
-        run_size, run_at = np.diff(np.append(run, len(first))), run - begin[owner[run]]
+        run_owner, run_first, run_size, run_at = runs(keys[one], data, starts[one], size, ids, length)
         # Each batch gets the runs of its own segments that start in a document before its last.
         low, high = np.searchsorted(run_owner, which), np.searchsorted(run_owner, which, "right")
         entry = np.repeat(np.arange(len(which)), high - low)
@@ -389,15 +406,18 @@ def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20,
             begin = b.start[seg] + at[r]
             np.add.at(edge, begin, 1)
             np.add.at(edge, begin + windows[r] + length - 1, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        n = len(b.ids)
-        bound = np.diff(np.concatenate([[0], np.cumsum(gone)])[b.starts])
-        owner = np.repeat(np.arange(n), b.sizes)
-        new = np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)]
-        a = np.flatnonzero(gone & (new | ~np.concatenate([[False], gone])[:-1]))
-        last = np.concatenate([new[1:], [True]])[: len(owner)]
-        z = np.flatnonzero(gone & (last | ~np.concatenate([gone[1:], [False]]))) + 1
-        n_spans = np.bincount(owner[a], minlength=n)
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+        del edge
+        n, full = len(b.ids), b.sizes > 0
+        new, last = np.zeros(len(gone), bool), np.zeros(len(gone), bool)
+        new[b.starts[:-1][full]] = True
+        last[b.starts[1:][full] - 1] = True
+        new[1:] |= ~gone[:-1]
+        last[:-1] |= ~gone[1:]
+        a, z = np.flatnonzero(gone & new), np.flatnonzero(gone & last) + 1
+        del gone, new, last
+        owner = np.searchsorted(b.starts, a, "right") - 1  # of the spans
+        bound, n_spans = np.bincount(owner, z - a, n), np.bincount(owner, minlength=n)
         raw, kept = b.bytes.tobytes(), []
         of = np.concatenate([[0], np.cumsum(n_spans)])
         for i in range(n):
@@ -410,7 +430,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, batch_bytes: int = 6 << 20,
         more = {}
         if "spans" in outputs:
             offsets = pa.array(of.astype(np.int32))
-            more["spans"] = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(a - b.starts[owner[a]]), pa.array(z - a)], ["start", "bytes"]))
+            more["spans"] = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(a - b.starts[owner]), pa.array(z - a)], ["start", "bytes"]))
         if "kept" in outputs:
             more["kept"] = pa.array(kept, pa.binary())
         if "kept_text" in outputs:

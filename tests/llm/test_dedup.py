@@ -158,6 +158,34 @@ def test_segments_and_keys_do_not_depend_on_slices(monkeypatch):
     assert most < 20 << 22
 
 
+def test_buckets_are_sorted_in_parts():
+    """Runs of windows equal those of one sort over all segments, in less than 40 bytes a byte."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    lines = ["".join(map(chr, rng.integers(97, 123, 400))) for _ in range(400)]
+    texts = [" ".join(lines[k] for k in rng.integers(0, len(lines), 6)) for _ in range(1000)]
+    b = suffix_dedup.Batch(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)}), 50)
+    keys, size, ids = b.keys(50, np.arange(len(b.start))), b.count + 49, b.ids[b.doc]
+    # Segments of one anchor share the lowest bits, and all values of these occur.
+    part = keys & (suffix_dedup.PARTS - 1)
+    assert len(set(zip(b.anchor.tolist(), part.tolist(), strict=True))) == len(set(b.anchor.tolist())) and set(part.tolist()) == set(range(suffix_dedup.PARTS))
+    _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+    least = np.full(len(one), suffix_dedup.LAST)
+    np.minimum.at(least, which, ids)
+    place = np.concatenate([np.arange(b.start[k], b.start[k] + size[k]) for k in one])
+    first = suffix_dedup.first_documents(b.bytes[place], size[one], least, 50)
+    tracemalloc.start()
+    owner, ids, windows, at = suffix_dedup.runs(keys[one], b.bytes, b.start[one], size[one], least, 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.repeat(ids, windows).tolist() == first.tolist()
+    assert (np.diff(owner) >= 0).all() and np.bincount(owner, windows).tolist() == (size[one] - 49).tolist() and at[0] == 0
+    assert most < 40 * len(place), (most, len(place))
+
+
 def test_difference_cover_order():
     rng = np.random.default_rng(0)
     for _ in range(100):

@@ -53,6 +53,55 @@ def test_spans_of_mixed_text(spark):
     assert [s.lang for s in row.spans] == ["en", "fr", "ru"] and sum(s.words for s in row.spans) == len(text.split())
 
 
+def test_ngrams_exist_for_a_block_at_a_time(monkeypatch):
+    """Blocks of words change no count and no label, and a slice of 2 MB with new words only takes less than 40 bytes a byte beside Arrow's."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdeéжж1")) for _ in range(rng.integers(1, 9)))
+    texts = pa.array([" ".join(word() for _ in range(rng.integers(0, 30))) for _ in range(60)] + [None, "", "12 %", "z" * 3000])
+    batch = pa.RecordBatch.from_arrays([texts, pa.array([["en", "ru", "fr"][i % 3] for i in range(len(texts))])], ["text", "lang"])
+    model = {"langs": ["en", "ru"], "logp": rng.normal(size=(2, language.BUCKETS)).astype(np.float32), "allowed": np.ones((2, len(language.NAMES)), bool)}
+    got = []
+    for size in (1 << 30, 50, 1):
+        monkeypatch.setattr(language, "BLOCK", size)
+        grams = {}
+        language.count_grams(batch, grams)
+        lang, score, spans = language.label_texts(texts, model, 2.0)
+        got.append(({k: v.tolist() for k, v in grams.items()}, lang, score.tolist(), spans))
+    assert got[0] == got[1] == got[2] and {None, "en", "ru"} == set(got[0][1])
+    monkeypatch.undo()
+    big = pa.array(["".join(map(chr, x)) for x in np.where(rng.random((200, 10_000)) < 0.125, 32, rng.integers(97, 123, (200, 10_000)))])
+    tracemalloc.start()
+    language.label_texts(big, model, 2.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 21, most
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """A partition of 12 MB comes to Python in batches of about 2 MB, and a limit that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.getAll.get(key)
+    try:
+        spark.conf.unset(key)
+        model = language.learn(spark.createDataFrame([("the house on the hill", "en")], "text string, lang string"))
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+        texts = spark.range(0, 1200, 1, 1).selectExpr("id AS doc_id", "repeat('the house ', 1000) AS text")
+        assert language.identify(texts, model, with_spans=False).where("lang_pred = 'en'").count() == 1200
+        got = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+        assert len(got) >= 5 and max(got) < 3 << 20
+        spark.conf.set(key, "64m")
+        common.bound_batches(spark)
+        assert spark.conf.get(key) == "64m"
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def test_marks_alone_are_no_letters(spark):
     model = language.learn(spark.createDataFrame([("the house on the hill", "en")], "text string, lang string"))
     docs = spark.createDataFrame([(1, "\u0301\u0302 \u0301"), (2, "e\u0301t"), (3, "ฉันรัก"), (4, "12 %")], "doc_id long, text string")
