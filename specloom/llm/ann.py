@@ -196,8 +196,11 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
     probes = asked.select("vec_id", "v").repartition(max(1, math.ceil(n_asked / 256)), "vec_id").mapInArrow(visit, "query_id long, q array<double>, block int, seen array<int>").withColumn("grp", F.pmod(F.xxhash64(F.lit(SEED), "query_id"), F.lit(groups)))
     cells = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in np.flatnonzero(counts).tolist()], "cell int, at int, parts int")
     placed = entries.join(F.broadcast(cells), "cell").withColumn("block", (F.col("at") + F.pmod(F.xxhash64("ids"), "parts")).cast("int")).drop("at", "parts")
-    used = probes.select("grp", F.col("block").alias("b")).distinct() if groups > 1 else None
-    placed = placed.withColumn("grp", F.lit(0).cast("long")) if used is None else placed.join(used, F.col("block") == F.col("b")).drop("b")
+    if groups > 1:  # renamed, else the cogroup can't tell this side's group from that of the probes
+        used = probes.select(F.col("grp").alias("g"), F.col("block").alias("b")).distinct()
+        placed = placed.join(used, F.col("block") == F.col("b")).drop("b").withColumnRenamed("g", "grp")
+    else:
+        placed = placed.withColumn("grp", F.lit(0).cast("long"))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})

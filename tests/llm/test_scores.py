@@ -296,6 +296,19 @@ def test_more_centroids_and_recall(spark):
     assert np.mean([len(got[60 * i] & set(b.tolist())) / 20 for i, b in enumerate(best)]) >= 0.9
 
 
+def test_several_groups_of_queries_equal_brute_force(spark):
+    """More queries than a group holds, in several blocks: each finds what a single group finds."""
+    x = np.random.default_rng(3).normal(size=(300, 6))
+    v = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(v, v.where("vec_id % 3 = 0"), top=5, target=1.0, per_block=64, per_group=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert set(got) == set(range(0, 300, 3)) and all(len(near) == 5 for near in got.values())
+    assert np.mean([len(set(near) & set(np.argsort(-s[q])[:5].tolist())) / 5 for q, near in got.items()]) >= 0.97
+
+
 def test_nearest_odd_rows(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(v) for v in rng.normal(size=6)]) for i in range(1, 30)] + [(100 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(60)]
