@@ -10,12 +10,14 @@ visit is the smallest for which the sample's own queries reach ``target`` recall
 vectors without structure need many.
 
 Scale: equal vectors are one entry with its ``top`` + 1 smallest ids, each as often as it has that vector but ``top`` times at most (no later id of an equal vector can be
-among the nearest), found with a rank limit that already holds before the shuffle. Cells are packed into blocks of at most
-``per_block`` entries and large cells are split, so a crowded cell is several tasks; queries come in groups of at most
-``per_group``. A task multiplies a group of queries with a block and returns ``top`` + 1 entries a query: all that could be level with
-the last of them are compared by the exact sum and then by their smallest id, so ties are settled on the whole block.
-Queries are dealt out before they traverse cells. The number of centroids grows with the fourth root of the number of vectors, so cells grow with its
-square root, and only their sizes come to the driver.
+among the nearest), found with a rank limit that already holds before the shuffle. Cells are packed into blocks of about
+``per_block`` entries and large cells are split, so a crowded cell is several tasks; queries come in groups of about
+``per_group``. A task holds a group of queries, each with a bit for every cell that it visits, and the entries of some blocks in a row pass by in the order of cells:
+a cell is multiplied with the queries that visit it, and ``top`` + 1 entries a query stay. All that could be level with
+the last of them are compared by the exact sum and then by their smallest id, so ties are settled on all of a task's entries. A query
+and what a task found for it are sent once for each run of blocks, an entry once for each group.
+Queries are dealt out before they traverse cells, once. Vectors of floats stay floats until they are multiplied. The number of centroids grows with the fourth root of the number of vectors, so cells grow with its
+square root, and only their sizes come to the driver. Without clusters the pairs to multiply are a share of all, so they grow with the square of the input.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those
 of another length than the most frequent one; null ids take no part; every row is a candidate, so a repeated vec_id is found as often as it has rows; a query has
@@ -33,14 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, settle, table
+from .common import drop, lean, settle, table
 
 SEED = 7
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows (vec_id, v): the rows whose vector can take part."""
-    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
+    """Rows (vec_id, v): the rows whose vector can take part; floats stay floats, other components become doubles."""
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
     sound = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     return v.where(sound)
 
@@ -68,7 +71,7 @@ def _near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
 
 
-def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, wanted: int) -> list[int]:
+def traverse(d1: np.ndarray, d2: np.ndarray, counts: list[int], wanted: int) -> list[int]:
     """Cells in the order of summed distance until they hold ``wanted`` entries. ``counts``: entries per cell, flat."""
     o1, o2, k2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable"), len(d2)
     s1, s2, o1, o2 = d1[o1].tolist(), d2[o2].tolist(), o1.tolist(), o2.tolist()
@@ -96,9 +99,9 @@ def _share(x: np.ndarray, index: dict, top: int, target: float, queries: int = 2
     best = np.argsort(-scores, axis=1)[:, : min(top, len(x) - 1)]
     q1, q2 = _halves(q, None)
     d1, d2 = _near(q1, index["c1"]), _near(q2, index["c2"])
-    need = []
+    need, sizes = [], counts.tolist()
     for i in range(len(q)):
-        order = traverse(d1[i], d2[i], counts, len(x))
+        order = traverse(d1[i], d2[i], sizes, len(x))
         at = np.full(len(counts), len(x))
         at[order] = np.cumsum(counts[order])
         need.append(at[cell[best[i]]])
@@ -112,7 +115,7 @@ def fit(v: DataFrame, top: int, target: float = 0.97, sample: int = 8192) -> dic
     if size is None:
         return None
     v = v.where(F.size("v") == size.d)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     n, largest = v.agg(F.count("*"), F.max(norm)).first()
     key = F.pmod(F.xxhash64(F.lit(SEED), "vec_id"), F.lit(1 << 30))
     taken = v.where(key < math.ceil((1 << 30) * min(1.0, sample / n))).select("vec_id", "v").collect()
@@ -128,23 +131,105 @@ def fit(v: DataFrame, top: int, target: float = 0.97, sample: int = 8192) -> dic
 
 def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
+
+
+class _Best:
+    """The ``width`` best entries so far of each query of a group, by the exact sum and then by the smallest id. An entry counts as its position in the stream.
+    ``seen``: a row of packed bits for each query, a bit for each cell from ``start`` on."""
+
+    def __init__(self, q: np.ndarray, seen: np.ndarray, start: int, width: int):
+        self.q, self.seen, self.start, self.width, self.size = q, np.ascontiguousarray(seen.T), start, width, np.sqrt((q * q).sum(axis=1))
+        self.score, self.least = np.full((len(q), width), -np.inf), np.full((len(q), width), np.iinfo(np.int64).max)
+        self.entry = np.full((len(q), width), -1)
+
+    def look(self, cell: int, x: np.ndarray, least: np.ndarray, at: int) -> None:
+        """Entries of one cell; the first is at position ``at``."""
+        byte, bit = divmod(cell - self.start, 8)
+        asked = np.flatnonzero(self.seen[byte] >> (7 - bit) & 1)
+        step = max(1, (1 << 20) // len(x))
+        for a in range(0, len(asked), step):
+            self._look(asked[a : a + step], x, least, at)
+
+    def _look(self, own: np.ndarray, x: np.ndarray, least: np.ndarray, at: int) -> None:
+        q, size, w = self.q[own], self.size[own], self.width
+        s = q @ x.T
+        longest = float(np.sqrt((x * x).sum(axis=1).max()))
+        if not np.isfinite(longest * size.max()):
+            s[~np.isfinite(s)] = -np.inf
+        last = self.score[own, -1]
+        new = last == -np.inf
+        if len(x) > w and new.any():
+            last[new] = np.partition(s[new], len(x) - w, axis=1)[:, len(x) - w]
+        # What rounding can't tell from the last place stays.
+        i, j = np.nonzero(s >= (last - np.nan_to_num(1e-12 * x.shape[1] * longest * size, nan=np.inf, posinf=np.inf))[:, None])
+        step = max(1, (4 << 20) // x.shape[1])
+        exact = np.concatenate([np.empty(0), *((x[j[p : p + step]] * q[i[p : p + step]]).sum(axis=1) for p in range(0, len(i), step))])
+        last, least_last = self.score[own[i], -1], self.least[own[i], -1]
+        better = np.isfinite(exact) & ((exact > last) | ((exact == last) & (least[j] < least_last)))
+        i, j, exact = i[better], j[better], exact[better]
+        if not len(i):
+            return
+        rows, start, n = np.unique(i, return_index=True, return_counts=True)
+        put = np.repeat(np.arange(len(rows)), n), w + np.arange(len(i)) - np.repeat(start, n)
+        own, shape = own[rows], (len(rows), int(n.max()))
+        both = [np.hstack([old[own], np.full(shape, none)]) for old, none in ((self.score, -np.inf), (self.least, np.iinfo(np.int64).max), (self.entry, -1))]
+        for table, value in zip(both, (exact, least[j], at + j), strict=True):
+            table[put] = value
+        order = np.lexsort((both[1], -both[0]), axis=-1)[:, :w]
+        self.score[own], self.least[own], self.entry[own] = (np.take_along_axis(t, order, 1) for t in both)
+
+
+def _search(batches: Iterator[pa.RecordBatch], d: int, top: int) -> Iterator[pa.RecordBatch]:
+    """Rows (query_id, ids, score) of a task: its queries come first (their cell is -1 less the first cell of the task), then entries in the order of cells."""
+    held, best, ids, at = [], None, [], 0
+    for b in batches:
+        cell = b.column("cell").to_numpy()
+        n = int((cell < 0).sum())
+        if n:
+            held.append(b.slice(0, n))
+        if n == len(cell):
+            continue
+        if not held:
+            return
+        if best is None:
+            seen = np.vstack([np.frombuffer(x.as_buffer(), np.uint8) for h in held for x in h.column("seen")])
+            best = _Best(np.vstack([_matrix(h.column("v"), d) for h in held]), seen, -1 - held[0].column("cell")[0].as_py(), top + 1)
+        cell, x, own = cell[n:], _matrix(b.column("v").slice(n), d), pa.concat_arrays([b.column("ids").slice(n)])
+        least = own.flatten().to_numpy()[own.offsets.to_numpy()[:-1] - own.offsets[0].as_py()]
+        ends = np.append(np.flatnonzero(np.diff(cell)) + 1, len(cell))
+        for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            for a in range(start, end, 1024):
+                z = min(end, a + 1024)
+                best.look(int(cell[a]), x[a:z], least[a:z], at + a)
+        ids.append(own)
+        at += len(cell)
+    if best is None:
+        return
+    ids, names = pa.concat_arrays(ids), np.concatenate([h.column("ids").flatten().to_numpy() for h in held])
+    for a in range(0, len(names), 256):
+        entry, score = best.entry[a : a + 256], best.score[a : a + 256]
+        found = entry >= 0
+        query = np.repeat(names[a : a + 256], found.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(query), ids.take(pa.array(entry[found])), pa.array(score[found])], ["query_id", "ids", "score"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20, target: float = 0.97, sample: int = 8192, per_block: int = 8192, per_group: int = 4096) -> DataFrame:
     """Rows (query_id, rank, vec_id, score). ``queries``: ids (``vec_id``) of the vectors to search for; all if None."""
     spark = vectors.sparkSession
-    v = settle(usable(vectors), "vectors")
-    index = fit(v, top, target, sample)
+    vectors = settle(usable(vectors), "vectors")
+    index = fit(vectors, top, target, sample)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, k2 = index["d"], len(index["c2"])
-    v = v.where(F.size("v") == d)
+    d, k2, kind = index["d"], len(index["c2"]), dict(vectors.dtypes)["v"]
+    v = vectors.where(F.size("v") == d)
 
-    by_vector = Window.partitionBy("v").orderBy("vec_id")
-    often = v.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(top)).cast("int").alias("times"))
+    # The hash makes for cheap sorting; both windows share an exchange, which a grouping by ``v`` would not.
+    by_vector = Window.partitionBy("h", "v").orderBy("vec_id")
+    often = v.groupBy(F.xxhash64("v").alias("h"), "v", "vec_id").agg(F.least(F.count("*"), F.lit(top)).cast("int").alias("times"))
     few = often.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= top + 1)
-    entries = few.groupBy("v").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "times"))), lambda x: F.array_repeat(x["vec_id"], x["times"]))).alias("ids"))
+    few = few.withColumn("few", F.collect_list(F.struct("vec_id", "times")).over(by_vector.rowsBetween(0, top))).where("r = 1")
+    entries = few.select("v", F.flatten(F.transform("few", lambda x: F.array_repeat(x["vec_id"], x["times"]))).alias("ids"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,7 +238,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
                 cell = np.argmin(_near(h1, index["c1"]), 1) * k2 + np.argmin(_near(h2, index["c2"]), 1)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], ["v", "ids", "cell"])
 
-    entries = settle(entries.mapInArrow(assign, "v array<double>, ids array<bigint>, cell int"), "cells")
+    entries = settle(entries.mapInArrow(assign, f"v {kind}, ids array<bigint>, cell int"), "cells")
     counts = np.zeros(len(index["c1"]) * k2, dtype=np.int64)
     for r in entries.groupBy("cell").count().collect():
         counts[r[0]] = r[1]
@@ -168,68 +253,43 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
             if held + counts[c] > per_block:
                 block, held = block + 1, 0
             first[c], held = block, held + counts[c]
-    wanted = math.ceil(index["share"] * counts.sum())
+    wanted, sizes = math.ceil(index["share"] * counts.sum()), counts.tolist()
 
     asked = v if queries is None else v.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
     asked = settle(asked.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    n_asked = asked.count()
+    drop(vectors)
+    n_asked, blocks = asked.count(), int(block) + int(held > 0)
     groups = max(1, math.ceil(n_asked / per_group))
+    # A task is a group of queries and a run of blocks; a run's cells are in a row.
+    runs = min(blocks, max(math.ceil(blocks / 8), math.ceil(48 / groups)))
+    full = np.flatnonzero(counts)
+    lowest = [int(full[np.searchsorted((first + parts - 1)[full] * runs // blocks, r)]) for r in range(runs)]
+    highest = [int(full[np.searchsorted(first[full] * runs // blocks, r, "right") - 1]) for r in range(runs)]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            q = _matrix(b.column("v"), d) if b.num_rows else np.empty((0, d))
-            q1, q2 = _halves(q, None)
+        for b in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
+            q1, q2 = _halves(_matrix(b.column("v"), d), None)
             d1, d2 = _near(q1, index["c1"]), _near(q2, index["c2"])
-            rows, blocks, cells = [], [], []
-            for i in range(len(q)):
-                seen = np.array(traverse(d1[i], d2[i], counts, wanted))
-                by_block: dict[int, list[int]] = {}
-                for c in seen.tolist():
-                    for p in range(parts[c]):
-                        by_block.setdefault(int(first[c]) + p, []).append(c)
-                rows += [i] * len(by_block)
-                blocks += by_block
-                cells += by_block.values()
-            took = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(took), b.column("v").take(took), pa.array(blocks, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "q", "block", "seen"])
-
-    probes = asked.select("vec_id", "v").repartition(max(1, math.ceil(n_asked / 256)), "vec_id").mapInArrow(visit, "query_id long, q array<double>, block int, seen array<int>").withColumn("grp", F.pmod(F.xxhash64(F.lit(SEED), "query_id"), F.lit(groups)))
+            seen = np.zeros((b.num_rows, len(sizes)), bool)
+            for i in range(len(seen)):
+                seen[i, traverse(d1[i], d2[i], sizes, wanted)] = True
+            for r in range(runs):
+                part = seen[:, lowest[r] : highest[r] + 1]
+                took = np.flatnonzero(part.any(axis=1))
+                if not len(took):
+                    continue
+                bits, ask = pa.array([x.tobytes() for x in np.packbits(part[took], axis=1)], pa.binary()), pa.array(took)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(ask), b.column("v").take(ask), bits, pa.array(np.full(len(took), r, np.int32))], ["query_id", "v", "seen", "run"])
+
+    probes = asked.select("vec_id", "v").repartition(max(1, math.ceil(n_asked / 256)), "vec_id").mapInArrow(visit, f"query_id long, v {kind}, seen binary, run int")
+    probes = probes.withColumn("grp", F.pmod(F.xxhash64(F.lit(SEED), "query_id"), F.lit(groups)).cast("int")).withColumn("cell", -1 - F.element_at(F.lit(lowest), F.col("run") + 1))
     cells = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in np.flatnonzero(counts).tolist()], "cell int, at int, parts int")
-    placed = entries.join(F.broadcast(cells), "cell").withColumn("block", (F.col("at") + F.pmod(F.xxhash64("ids"), "parts")).cast("int")).drop("at", "parts")
-    if groups > 1:  # renamed, else the cogroup can't tell this side's group from that of the probes
-        used = probes.select(F.col("grp").alias("g"), F.col("block").alias("b")).distinct()
-        placed = placed.join(used, F.col("block") == F.col("b")).drop("b").withColumnRenamed("g", "grp")
-    else:
-        placed = placed.withColumn("grp", F.lit(0).cast("long"))
-
-    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return none
-        x, q = _matrix(left.column("v"), d), _matrix(right.column("q"), d)
-        cell, seen, qid = left.column("cell").to_numpy(), right.column("seen").to_pylist(), right.column("query_id").to_numpy()
-        least = left.column("ids").combine_chunks()
-        least = least.flatten().to_numpy()[least.offsets.to_numpy()[:-1] - least.offsets[0].as_py()]
-        flags, out_q, out_x, out_s = np.zeros(len(counts), bool), [], [], []
-        longest = float(np.sqrt((x * x).sum(axis=1).max()))
-        for a in range(0, len(q), 512):
-            scores = q[a : a + 512] @ x.T
-            for i, row in enumerate(scores):
-                flags[:] = False
-                flags[seen[a + i]] = True
-                row[~flags[cell]] = -np.inf
-                best = np.flatnonzero(np.isfinite(row))
-                if len(best) > top + 1:  # what rounding can't tell from the last place stays
-                    last = np.partition(row, len(row) - top - 1)[len(row) - top - 1]
-                    best = np.flatnonzero(row >= last - 1e-12 * d * longest * float(np.sqrt((q[a + i] ** 2).sum())))
-                exact = (x[best] * q[a + i]).sum(axis=1)
-                keep = np.lexsort((least[best], -exact))[: top + 1]
-                out_q.append(np.full(len(keep), qid[a + i]))
-                out_x.append(best[keep])
-                out_s.append(exact[keep])
-        return pa.table({"query_id": pa.array(np.concatenate(out_q)), "ids": left.column("ids").take(pa.array(np.concatenate(out_x))), "score": pa.array(np.concatenate(out_s))})
-
-    found = placed.groupBy("grp", "block").cogroup(probes.groupBy("grp", "block")).applyInArrow(rerank, "query_id long, ids array<bigint>, score double")
+    placed = entries.join(F.broadcast(cells), "cell").withColumn("run", ((F.col("at") + F.pmod(F.xxhash64("ids"), "parts")) * runs / blocks).cast("int"))
+    placed = placed.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    task = (F.col("grp") * runs + F.col("run")).alias("task")
+    both = probes.select(task, "cell", F.array("query_id").alias("ids"), "v", "seen").union(placed.select(task, "cell", "ids", "v", F.lit(None).cast("binary").alias("seen")))
+    dealt = both.repartitionById(groups * runs, "task").sortWithinPartitions("cell").drop("task")
+    found = dealt.mapInArrow(lean(lambda batches: _search(batches, d, top)), "query_id long, ids array<bigint>, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.element_at("ids", 1))
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top + 1)
     near = found.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
