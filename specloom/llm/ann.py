@@ -279,10 +279,10 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
                 if not len(took):
                     continue
                 bits, ask = pa.array([x.tobytes() for x in np.packbits(part[took], axis=1)], pa.binary()), pa.array(took)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(ask), b.column("v").take(ask), bits, pa.array(np.full(len(took), r, np.int32))], ["query_id", "v", "seen", "run"])
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(ask), b.column("v").take(ask), bits, pa.array(np.full(len(took), r, np.int32)), pa.array(np.full(len(took), -1 - lowest[r], np.int32))], ["query_id", "v", "seen", "run", "cell"])
 
-    probes = asked.select("vec_id", "v").repartition(max(1, math.ceil(n_asked / 256)), "vec_id").mapInArrow(visit, f"query_id long, v {kind}, seen binary, run int")
-    probes = probes.withColumn("grp", F.pmod(F.xxhash64(F.lit(SEED), "query_id"), F.lit(groups)).cast("int")).withColumn("cell", -1 - F.element_at(F.lit(lowest), F.col("run") + 1))
+    probes = asked.select("vec_id", "v").repartition(max(1, math.ceil(n_asked / 256)), "vec_id").mapInArrow(visit, f"query_id long, v {kind}, seen binary, run int, cell int")
+    probes = probes.withColumn("grp", F.pmod(F.xxhash64(F.lit(SEED), "query_id"), F.lit(groups)).cast("int"))
     cells = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in np.flatnonzero(counts).tolist()], "cell int, at int, parts int")
     placed = entries.join(F.broadcast(cells), "cell").withColumn("run", ((F.col("at") + F.pmod(F.xxhash64("ids"), "parts")) * runs / blocks).cast("int"))
     placed = placed.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
