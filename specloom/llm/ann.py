@@ -138,22 +138,27 @@ class _Best:
     """The ``width`` best entries so far of each query of a group, by the exact sum and then by the smallest id. An entry counts as its position in the stream.
     ``seen``: a row of packed bits for each query, a bit for each cell from ``start`` on."""
 
-    def __init__(self, q: np.ndarray, seen: np.ndarray, start: int, width: int):
+    def __init__(self, names: np.ndarray, q: np.ndarray, seen: np.ndarray, start: int, width: int):
+        self.names, self.by_name = names, np.argsort(names)
         self.q, self.seen, self.start, self.width, self.size = q, np.ascontiguousarray(seen.T), start, width, np.sqrt((q * q).sum(axis=1))
         self.score, self.least = np.full((len(q), width), -np.inf), np.full((len(q), width), np.iinfo(np.int64).max)
         self.entry = np.full((len(q), width), -1)
 
-    def look(self, cell: int, x: np.ndarray, least: np.ndarray, at: int) -> None:
-        """Entries of one cell; the first is at position ``at``."""
+    def look(self, cell: int, x: np.ndarray, least: np.ndarray, alone: np.ndarray, at: int) -> None:
+        """Entries of one cell; the first is at position ``at``. ``alone``: no other id has that vector, so it is none for the query of that id."""
         byte, bit = divmod(cell - self.start, 8)
         asked = np.flatnonzero(self.seen[byte] >> (7 - bit) & 1)
         step = max(1, (1 << 20) // len(x))
+        named = self.by_name[np.minimum(np.searchsorted(self.names, least, sorter=self.by_name), len(self.names) - 1)]
+        theirs = np.flatnonzero(alone & (self.names[named] == least))
         for a in range(0, len(asked), step):
-            self._look(asked[a : a + step], x, least, at)
+            self._look(asked[a : a + step], x, least, at, named[theirs], theirs)
 
-    def _look(self, own: np.ndarray, x: np.ndarray, least: np.ndarray, at: int) -> None:
+    def _look(self, own: np.ndarray, x: np.ndarray, least: np.ndarray, at: int, named: np.ndarray, theirs: np.ndarray) -> None:
         q, size, w = self.q[own], self.size[own], self.width
         s = q @ x.T
+        row = np.minimum(np.searchsorted(own, named), len(own) - 1)
+        s[row[own[row] == named], theirs[own[row] == named]] = -np.inf
         longest = float(np.sqrt((x * x).sum(axis=1).max()))
         if not np.isfinite(longest * size.max()):
             s[~np.isfinite(s)] = -np.inf
@@ -163,6 +168,7 @@ class _Best:
             last[new] = np.partition(s[new], len(x) - w, axis=1)[:, len(x) - w]
         # What rounding can't tell from the last place stays.
         i, j = np.nonzero(s >= (last - np.nan_to_num(1e-12 * x.shape[1] * longest * size, nan=np.inf, posinf=np.inf))[:, None])
+        i, j = (k[s[i, j] > -np.inf] for k in (i, j))
         step = max(1, (4 << 20) // x.shape[1])
         exact = np.concatenate([np.empty(0), *((x[j[p : p + step]] * q[i[p : p + step]]).sum(axis=1) for p in range(0, len(i), step))])
         last, least_last = self.score[own[i], -1], self.least[own[i], -1]
@@ -194,19 +200,21 @@ def _search(batches: Iterator[pa.RecordBatch], d: int, top: int) -> Iterator[pa.
             return
         if best is None:
             seen = np.vstack([np.frombuffer(x.as_buffer(), np.uint8) for h in held for x in h.column("seen")])
-            best = _Best(np.vstack([_matrix(h.column("v"), d) for h in held]), seen, -1 - held[0].column("cell")[0].as_py(), top + 1)
+            names = np.concatenate([h.column("ids").flatten().to_numpy() for h in held])
+            best = _Best(names, np.vstack([_matrix(h.column("v"), d) for h in held]), seen, -1 - held[0].column("cell")[0].as_py(), top + 1)
         cell, x, own = cell[n:], _matrix(b.column("v").slice(n), d), pa.concat_arrays([b.column("ids").slice(n)])
-        least = own.flatten().to_numpy()[own.offsets.to_numpy()[:-1] - own.offsets[0].as_py()]
+        some, bounds = own.flatten().to_numpy(), own.offsets.to_numpy() - own.offsets[0].as_py()
+        least, alone = some[bounds[:-1]], some[bounds[:-1]] == some[bounds[1:] - 1]
         ends = np.append(np.flatnonzero(np.diff(cell)) + 1, len(cell))
         for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
             for a in range(start, end, 1024):
                 z = min(end, a + 1024)
-                best.look(int(cell[a]), x[a:z], least[a:z], at + a)
+                best.look(int(cell[a]), x[a:z], least[a:z], alone[a:z], at + a)
         ids.append(own)
         at += len(cell)
     if best is None:
         return
-    ids, names = pa.concat_arrays(ids), np.concatenate([h.column("ids").flatten().to_numpy() for h in held])
+    ids, names = pa.concat_arrays(ids), best.names
     for a in range(0, len(names), 256):
         entry, score = best.entry[a : a + 256], best.score[a : a + 256]
         found = entry >= 0
@@ -256,7 +264,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
     wanted, sizes = math.ceil(index["share"] * counts.sum()), counts.tolist()
 
     asked = v if queries is None else v.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
-    asked = settle(asked.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    asked = settle(asked.groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("own")), "queries")
     drop(vectors)
     n_asked, blocks = asked.count(), int(block) + int(held > 0)
     groups = max(1, math.ceil(n_asked / per_group))
@@ -269,10 +277,10 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
             q1, q2 = _halves(_matrix(b.column("v"), d), None)
-            d1, d2 = _near(q1, index["c1"]), _near(q2, index["c2"])
+            d1, d2, own = _near(q1, index["c1"]), _near(q2, index["c2"]), b.column("own").to_pylist()
             seen = np.zeros((b.num_rows, len(sizes)), bool)
             for i in range(len(seen)):
-                seen[i, traverse(d1[i], d2[i], sizes, wanted)] = True
+                seen[i, traverse(d1[i], d2[i], sizes, wanted + own[i] - 1)] = True  # its id's other vectors don't count
             for r in range(runs):
                 part = seen[:, lowest[r] : highest[r] + 1]
                 took = np.flatnonzero(part.any(axis=1))
@@ -281,7 +289,7 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, top: int = 20,
                 bits, ask = pa.array([x.tobytes() for x in np.packbits(part[took], axis=1)], pa.binary()), pa.array(took)
                 yield pa.RecordBatch.from_arrays([b.column("vec_id").take(ask), b.column("v").take(ask), bits, pa.array(np.full(len(took), r, np.int32)), pa.array(np.full(len(took), -1 - lowest[r], np.int32))], ["query_id", "v", "seen", "run", "cell"])
 
-    probes = asked.select("vec_id", "v").repartition(max(1, math.ceil(n_asked / 256)), "vec_id").mapInArrow(visit, f"query_id long, v {kind}, seen binary, run int, cell int")
+    probes = asked.select("vec_id", "v", "own").repartition(max(1, math.ceil(n_asked / 256)), "vec_id").mapInArrow(visit, f"query_id long, v {kind}, seen binary, run int, cell int")
     probes = probes.withColumn("grp", F.pmod(F.xxhash64(F.lit(SEED), "query_id"), F.lit(groups)).cast("int"))
     cells = spark.createDataFrame([(c, int(first[c]), int(parts[c])) for c in np.flatnonzero(counts).tolist()], "cell int, at int, parts int")
     placed = entries.join(F.broadcast(cells), "cell").withColumn("run", ((F.col("at") + F.pmod(F.xxhash64("ids"), "parts")) * runs / blocks).cast("int"))

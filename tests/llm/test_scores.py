@@ -331,6 +331,12 @@ def test_every_row_of_a_repeated_id_is_a_candidate(spark):
     assert [r.vec_id for r in ann.nearest(own, own.where("vec_id = 1"), top=20).orderBy("rank").collect()] == list(range(2, 22))
 
 
+def test_many_vectors_of_the_query_leave_the_candidates(spark):
+    v = spark.createDataFrame([(0, [1.0, i / 100]) for i in range(30)] + [(i, [0.5, -i / 100]) for i in range(1, 41)], "vec_id long, embedding array<double>")
+    got = ann.nearest(v, v.where("vec_id = 0"), target=1.0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 0.5) for i in range(1, 21)]
+
+
 def test_warc_equals_sql(spark, sf_dir):
     same(warc.op2_warc(spark, sf_dir), warc.ORACLE, sf_dir)
 
